@@ -239,7 +239,7 @@ def mask_bits(mask: DataFrame, keys: Sequence[str] = PATCH) -> DataFrame:
     """Pixels as bit rows ``keys…, y, word, bits``: 32 columns per value, merged map-side."""
     return (
         mask.select(*keys, F.col("y").cast("long").alias("y"), F.floor(F.col("x") / WORD).alias("word"),
-                    F.shiftleft(F.lit(1).cast("long"), F.pmod(F.col("x"), F.lit(WORD)).cast("int")).alias("bits"))
+                    F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("x"), F.lit(WORD)).cast("int")).alias("bits"))
         .groupBy(*keys, "y", "word")
         .agg(F.bit_or("bits").alias("bits"))
     )

@@ -25,7 +25,8 @@ EVENTS = (
     "description:string,overall_confidence:double>, inference_ms bigint, scratchpad string, action string, "
     "reasoning string, decision_ms bigint, bandwidth_used_kb bigint, bandwidth_remaining_kb bigint"
 )
-GEOJSON = "type: string, geometry: struct<type:string,coordinates:string>, properties: struct<id:string,status:string>"
+GEOMETRY = "struct<type:string,coordinates:string>"
+PROPERTIES = "struct<id:string,status:string>"
 
 
 def clean_splits(rows: DataFrame) -> DataFrame:
@@ -108,11 +109,11 @@ def read_site_vertices(spark: SparkSession, path: str, collection: bool = False)
     Line-delimited features split over tasks; a document is read whole by one task.
     """
     if collection:
-        doc = spark.read.schema(f"features array<struct<{GEOJSON}>>").json(path, multiLine=True)
+        doc = spark.read.schema(f"features array<struct<geometry:{GEOMETRY},properties:{PROPERTIES}>>").json(path, multiLine=True)
         rows = doc.select(F.posexplode("features").alias("no", "f")).select(F.col("no").cast("string").alias("no"), "f.*")
         site = F.coalesce("properties.id", "no")
     else:
-        rows = spark.read.schema(GEOJSON).json(path)
+        rows = spark.read.schema(f"geometry {GEOMETRY}, properties {PROPERTIES}").json(path)
         site = F.col("properties.id")
     return site_vertices(rows.select(site.alias("site_id"), F.col("properties.status").alias("status"), "geometry"))
 
