@@ -20,16 +20,8 @@ _ARG = rf"(?:[A-Za-z_]\w*\s*=\s*)?{_VALUE}"
 CALL = rf"^([A-Za-z_]\w*)\s*\(\s*(?:{_ARG}(?:\s*,\s*{_ARG})*\s*,?)?\s*\)$"
 
 
-def strict_json(text: Column) -> Column:
-    """The JSON value of the whole text as a VARIANT, or null.
-
-    ``try_parse_json`` ignores text after the first value, so the text is wrapped together with an
-    end marker: trailing or extra content changes the wrapper's keys and is refused.
-    """
-    wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(',"end":1}')))
-    members = F.try_variant_get(wrapped, "$", "map<string,variant>")
-    whole = (F.size(members) == 2) & F.map_contains_key(members, F.lit("end"))
-    return F.when(whole, F.try_element_at(members, F.lit("v")))
+# An end mark that model text cannot hold: control characters are escaped in JSON.
+_END = "\\u0001end"
 
 
 def bracketed(text: Column, opening: str, closing: str) -> Column:
@@ -37,15 +29,35 @@ def bracketed(text: Column, opening: str, closing: str) -> Column:
     return F.nullif(F.regexp_extract(text, rf"(?s)\{opening}.*\{closing}", 0), F.lit(""))
 
 
-def json_items(text: Column) -> Column:
-    """Elements of the JSON array found in the text, as ``array<variant>``; null if there is none."""
-    return F.try_variant_get(strict_json(bracketed(text, "[", "]")), "$", "array<variant>")
+def with_strict_json(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Adds the JSON value of the whole text as a VARIANT, or null.
 
+    ``try_parse_json`` ignores text after the first value, so the text becomes the first of two list
+    items, the second an end mark: trailing or extra content moves the mark and is refused. Every
+    step is a column of its own, so nothing is parsed twice.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    pair = F.col("_pair")
+    whole = (F.size(pair) == 2) & (F.try_variant_get(F.get(pair, F.lit(1)), "$", "string") == F.lit("\u0001end"))
+    return (
+        df.withColumn("_json", listed)
+        .withColumn("_pair", F.try_variant_get("_json", "$", "array<variant>"))
+        .withColumn(name, F.when(whole, F.get(pair, F.lit(0))))
+        .drop("_json", "_pair")
+    )
 
-def _labelled(e: Column) -> Column:
-    b = B.corners_to_box(F.try_variant_get(e, "$.bbox", "array<double>"))
-    label = F.coalesce(F.try_variant_get(e, "$.label", "string"), F.lit(K.BOX_LABEL))
-    return F.struct(label.alias("label"), *[b[c].alias(c) for c in B.CORNERS])
+
+def _read(e: Column) -> Column:
+    """Label and numbers of one list element; null numbers unless ``bbox`` is a list."""
+    return F.struct(
+        F.coalesce(F.try_variant_get(e, "$.label", "string"), F.lit(K.BOX_LABEL)).alias("label"),
+        F.try_variant_get(e, "$.bbox", "array<double>").alias("xs"),
+        F.size(F.try_variant_get(e, "$.bbox", "array<variant>")).alias("n"),
+    )
+
+
+def _labelled(r: Column) -> Column:
+    return F.struct(r["label"].alias("label"), *[F.get(r["xs"], F.lit(i)).alias(c) for i, c in enumerate(B.CORNERS)])
 
 
 def _clamped(b: Column) -> Column:
@@ -53,6 +65,10 @@ def _clamped(b: Column) -> Column:
     return F.struct(b["label"].alias("label"), *[c[n].alias(n) for n in B.CORNERS])
 
 
+def _unreadable(r: Column) -> Column:
+    return r["xs"].isNull() | F.exists(r["xs"], lambda x: x.isNull())
+
+
 def parse_boxes(df: DataFrame, text: str, mode: str = "strict", min_area: float = 0.0) -> DataFrame:
     """Add ``boxes`` and ``n_boxes`` parsed from a text column.
 
@@ -60,40 +76,34 @@ def parse_boxes(df: DataFrame, text: str, mode: str = "strict", min_area: float
     perception: four numbers per box as they stand; one unreadable number empties the row.
     lenient: every object with a ``bbox`` counts; without a JSON list, bracketed number quadruples count.
     """
-    with_items = df.withColumn("_items", json_items(F.col(text)))
+    if mode not in ("strict", "perception", "lenient"):
+        raise ValueError(f"unknown mode {mode!r}")
+    parsed = with_strict_json(df, bracketed(F.col(text), "[", "]"), "_value").withColumn(
+        "_items", F.try_variant_get("_value", "$", "array<variant>")
+    )
     items = F.coalesce(F.col("_items"), F.expr("cast(array() as array<variant>)"))
+    if mode == "lenient":
+        items = F.filter(items, lambda e: F.try_variant_get(e, "$.bbox", "variant").isNotNull())
+    staged = parsed.withColumn("_rows", F.transform(items, _read))
+    rows = F.col("_rows")
     if mode == "strict":
-        shaped = F.transform(
-            F.filter(F.transform(items, _labelled), lambda b: b["x1"].isNotNull() & b["x2"].isNotNull()
-                     & b["y1"].isNotNull() & b["y2"].isNotNull()),
-            _clamped,
-        )
-        out = with_items.withColumn(
+        good = F.filter(rows, lambda r: (r["n"] == 4) & ~_unreadable(r))
+        shaped = F.transform(F.transform(good, _labelled), _clamped)
+        out = staged.withColumn(
             "boxes", F.filter(shaped, lambda b: B.is_valid_box(b) & (B.box_area(b) >= F.lit(float(min_area))))
         ).withColumn("n_boxes", F.size("boxes"))
     elif mode == "perception":
-        quads = F.filter(items, lambda e: F.size(F.try_variant_get(e, "$.bbox", "array<variant>")) == 4)
-        shaped = F.transform(quads, _labelled)
-        broken = F.exists(shaped, lambda b: b["x1"].isNull() | b["y1"].isNull() | b["x2"].isNull() | b["y2"].isNull())
-        out = with_items.withColumn(
-            "boxes", F.when(broken, F.filter(shaped, lambda b: F.lit(False))).otherwise(shaped)
-        ).withColumn("n_boxes", F.size("boxes"))
-    elif mode == "lenient":
-        having = F.filter(
-            items,
-            lambda e: F.coalesce(
-                F.map_contains_key(F.try_variant_get(e, "$", "map<string,variant>"), F.lit("bbox")), F.lit(False)
-            ),
-        )
-        out = with_items.withColumn("boxes", F.transform(having, _labelled)).withColumn(
+        quads = F.filter(rows, lambda r: r["n"] == 4)
+        kept = F.when(F.exists(quads, _unreadable), F.filter(quads, lambda r: F.lit(False))).otherwise(quads)
+        out = staged.withColumn("boxes", F.transform(kept, _labelled)).withColumn("n_boxes", F.size("boxes"))
+    else:
+        out = staged.withColumn("boxes", F.transform(rows, _labelled)).withColumn(
             "n_boxes",
             F.when(F.col("_items").isNotNull(), F.size("boxes")).otherwise(
                 F.coalesce(F.regexp_count(F.col(text), F.lit(FOUR_NUMBERS)), F.lit(0))
             ),
         )
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    return out.drop("_items")
+    return out.drop("_value", "_items", "_rows")
 
 
 def is_unparseable(text: Column, n_boxes: Column) -> Column:
@@ -186,10 +196,8 @@ def parse_json_actions(df: DataFrame, text: str, mode: str = "policy") -> DataFr
     policy: action trimmed and lower-cased, every failure becomes a discard with its own code.
     eval: action taken as it stands, ``<unparseable>`` or ``<no_action_field>`` otherwise.
     """
-    staged = (
-        df.withColumn("_span", bracketed(F.col(text), "{", "}"))
-        .withColumn("_obj", F.try_variant_get(strict_json(F.col("_span")), "$", "map<string,variant>"))
-        .withColumn("_said", F.try_variant_get(F.try_element_at("_obj", F.lit("action")), "$", "string"))
+    staged = with_strict_json(df.withColumn("_span", bracketed(F.col(text), "{", "}")), F.col("_span"), "_obj").withColumn(
+        "_said", F.try_variant_get("_obj", "$.action", "string")
     )
     span, obj, said = F.col("_span"), F.col("_obj"), F.col("_said")
     if mode == "eval":
@@ -206,8 +214,8 @@ def parse_json_actions(df: DataFrame, text: str, mode: str = "policy") -> DataFr
         )
     named = F.lower(strip(F.coalesce(said, F.lit(""))))
     known = named.isin(*K.ACTIONS)
-    reason = strip(F.coalesce(F.try_variant_get(F.try_element_at("_obj", F.lit("reason")), "$", "string"), F.lit("")))
-    direction = F.coalesce(F.try_variant_get(F.try_element_at("_obj", F.lit("direction")), "$", "string"), F.lit(""))
+    reason = strip(F.coalesce(F.try_variant_get("_obj", "$.reason", "string"), F.lit("")))
+    direction = F.coalesce(F.try_variant_get("_obj", "$.direction", "string"), F.lit(""))
     worded = F.coalesce(F.nullif(reason, F.lit("")), F.lit("(no reason given)"))
     return (
         staged.withColumn(

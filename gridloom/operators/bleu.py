@@ -34,20 +34,18 @@ def tokens(text: Column, tokenize: str = "13a") -> Column:
     return F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
 
 
-def _grams(words: Column) -> Column:
-    """All n-grams of orders 1..4 as ``struct(n, gram)``."""
+def _positions(words: Column) -> Column:
+    """Per token the token and the three after it (null past the end)."""
+    ahead = [F.slice(words, k, F.size(words)).alias(f"w{k}") for k in range(2, MAX_ORDER + 1)]
+    return F.arrays_zip(words.alias("w1"), *ahead)
 
-    def of_order(n: int) -> Column:
-        last = F.size(words) - n
-        return F.when(
-            last >= 0,
-            F.transform(
-                F.sequence(F.lit(1), last + 1),
-                lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(words, i, n), " ").alias("gram")),
-            ),
-        ).otherwise(F.expr("cast(array() as array<struct<n:int,gram:string>>)"))
 
-    return F.flatten(F.array(*[of_order(n) for n in range(1, MAX_ORDER + 1)]))
+def _grams(at: Column) -> Column:
+    """The n-grams that start at a position, orders 1..4; null where the text ends before."""
+    grams = [at["w1"]]
+    for k in range(2, MAX_ORDER + 1):
+        grams.append(F.concat(grams[-1], F.lit(" "), at[f"w{k}"]))
+    return F.array(*grams)
 
 
 def bleu_counts(pairs: DataFrame, key: str, pred: str, gold: str, by: Sequence[str] = (), tokenize: str = "13a") -> DataFrame:
@@ -56,16 +54,19 @@ def bleu_counts(pairs: DataFrame, key: str, pred: str, gold: str, by: Sequence[s
     Texts are placed once by document; their n-grams then stay in place, so the many n-grams are
     never shuffled and a pair is counted whole whatever its length.
     """
-    placed = pairs.select(
-        F.col(key).alias("_key"), *by, tokens(F.col(pred), tokenize).alias("_p"), tokens(F.col(gold), tokenize).alias("_g"),
-        (strip(F.coalesce(F.col(pred), F.lit(""))) == "").alias("_empty"),
-    ).repartition("_key")
-    sides = placed.select(
+    texts = pairs.select(F.col(key).alias("_key"), *by, F.col(pred).alias("_p"), F.col(gold).alias("_g")).repartition("_key")
+    sides = texts.select(
         "_key", *by,
-        F.explode(F.array(F.struct(F.col("_p").alias("w"), F.lit(1).alias("p")), F.struct(F.col("_g").alias("w"), F.lit(0).alias("p")))).alias("s"),
+        F.explode(
+            F.array(
+                F.struct(tokens(F.col("_p"), tokenize).alias("w"), F.lit(1).alias("p")),
+                F.struct(tokens(F.col("_g"), tokenize).alias("w"), F.lit(0).alias("p")),
+            )
+        ).alias("s"),
     )
-    grams = sides.select("_key", *by, F.col("s.p").alias("p"), F.explode(_grams(F.col("s.w"))).alias("x"))
-    counted = grams.groupBy("_key", *by, F.col("x.n").alias("n"), F.col("x.gram").alias("gram")).agg(
+    starts = sides.select("_key", *by, F.col("s.p").alias("p"), F.explode(_positions(F.col("s.w"))).alias("at"))
+    grams = starts.select("_key", *by, "p", F.posexplode(_grams(F.col("at"))).alias("n", "gram")).filter(F.col("gram").isNotNull())
+    counted = grams.groupBy("_key", *by, (F.col("n") + 1).alias("n"), "gram").agg(
         F.sum("p").alias("cp"), F.sum(1 - F.col("p")).alias("cg")
     )
     clipped = counted.groupBy(*by).agg(

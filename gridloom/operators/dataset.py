@@ -101,6 +101,29 @@ def number_images(samples: DataFrame, preset: Preset, per_block: int = 64) -> Da
     return numbered.withColumn("images", F.array(*[name(c) for c in preset.composites]))
 
 
+# Bands of each composite kind.
+COMPOSITES = {"rgb": K.RGB_BANDS, "swir": K.SWIR_BANDS}
+
+
+def render_images(pixels: DataFrame, numbered: DataFrame, size: Column, kinds: tuple[str, ...], keys: tuple[str, ...] = ("patch_id",)) -> DataFrame:
+    """Pixels of every sample image: ``sample_no, kind, x, y, r, g, b``.
+
+    Symmetries leave percentiles as they are, so each patch is stretched once and its pixels then
+    moved per sample; jittered samples draw their factors from the image's own key.
+    """
+    used = sorted({b for k in kinds for b in COMPOSITES[k]})
+    levels = R.stretch(pixels, used, keys)
+    out = None
+    for kind in kinds:
+        rgb = R.composite(pixels, COMPOSITES[kind], keys, stretched=levels).fillna(0, list("rgb"))
+        moved = R.augment(rgb, size).join(numbered.select(*keys, "variant", "light", "sample_no"), [*keys, "variant"])
+        plain = moved.filter("light = 'orig'").select("sample_no", "x", "y", *"rgb")
+        lit = R.jitter(moved.filter("light = 'jitter'").select("sample_no", "x", "y", *"rgb"), kind, ["sample_no"])
+        both = plain.unionByName(lit).select("sample_no", F.lit(kind).alias("kind"), "x", "y", *"rgb")
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 def to_records(numbered: DataFrame, preset: Preset) -> DataFrame:
     """Message records: a description row and, where the preset has it, a grounding row per sample."""
     images = [F.col("images")[i] for i in range(len(preset.composites))]

@@ -56,32 +56,64 @@ def _boxed(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 
 
 def best_iou(
-    pred: DataFrame, gold: DataFrame, tiles: DataFrame, keys: Sequence[str] = TILE, grid: int = GRID,
-    thresholds: Sequence[float] = (),
+    pred: DataFrame, gold: DataFrame, tiles: DataFrame, keys: Sequence[str] = TILE, grid: int = 16,
+    thresholds: Sequence[float] = (), max_array: int = MAX_ARRAY,
 ) -> DataFrame:
     """Per tile ``n_gold, n_pred, iou``: mean over gold boxes of the best IoU with any prediction.
 
-    No boxes on either side scores 1, boxes on one side only score 0. Equal boxes are counted once and
-    weighted, and the maximum is merged map-side straight after the join, so pairs are not shuffled.
-    ``thresholds`` adds ``hit_<i>``: gold boxes whose best IoU reaches the threshold.
+    No boxes on either side scores 1, boxes on one side only score 0. ``thresholds`` adds ``hit_<i>``:
+    gold boxes whose best IoU reaches the threshold. Tiles of up to ``max_array`` boxes take one shuffle
+    and an array expression; crowded ones are joined cell by cell.
     """
     keys = list(keys)
-    golds = _boxed(gold, keys, "g").groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("m"))
-    preds = _boxed(pred, keys, "p").groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("m"))
+    sides = _boxed(gold, keys, "b").withColumn("_side", F.lit(0)).unionByName(_boxed(pred, keys, "b").withColumn("_side", F.lit(1)))
+    crowded = _crowded(sides, keys, max_array)
+    few = sides if crowded is None else sides.join(crowded, keys, "left_anti")
+
+    def side(n: int) -> Column:
+        return F.collect_list(F.when(F.col("_side") == n, F.col("b")))
+
+    lists = few.groupBy(*keys).agg(side(0).alias("_g"), side(1).alias("_p"))
+    best = F.transform(
+        "_g", lambda g: F.aggregate("_p", F.lit(0.0), lambda top, p: F.greatest(top, B.box_iou(g, p)))
+    )
+
+    def reaching(t: float) -> Column:
+        return F.size(F.filter("_best", lambda s: s >= F.lit(float(t)))).cast("long")
+
+    hits = [reaching(t).alias(f"hit_{i}") for i, t in enumerate(thresholds)]
+    scored = lists.withColumn("_best", best).select(
+        *keys, F.size("_g").cast("long").alias("n_gold"), F.size("_p").cast("long").alias("n_pred"),
+        F.aggregate("_best", F.lit(0.0), lambda s, v: s + v).alias("_s"), *hits,
+    )
+    if crowded is not None:
+        dense = sides.join(crowded, keys, "left_semi")
+        scored = scored.unionByName(_best_by_cells(dense, keys, grid, thresholds))
+    names = [f"hit_{i}" for i in range(len(thresholds))]
+    out = tiles.select(*keys).join(scored, keys, "left").fillna(0, ["n_gold", "n_pred", *names])
+    iou = F.when(F.col("n_gold") > 0, F.col("_s") / F.col("n_gold")).otherwise(
+        F.when(F.col("n_pred") == 0, 1.0).otherwise(0.0)
+    )
+    return out.select(*keys, "n_gold", "n_pred", iou.alias("iou"), *names)
+
+
+def _best_by_cells(sides: DataFrame, keys: list[str], grid: int, thresholds: Sequence[float]) -> DataFrame:
+    """The same sums by joins: equal boxes folded and weighted, the maximum merged map-side."""
+    golds = sides.filter("_side = 0").groupBy(*keys, F.col("b").alias("g")).agg(F.count(F.lit(1)).alias("m"))
+    preds = sides.filter("_side = 1").groupBy(*keys, F.col("b").alias("p")).agg(F.count(F.lit(1)).alias("m"))
     best = overlapping(golds.select(*keys, "g"), preds.select(*keys, "p"), keys, "g", "p", grid).groupBy(
         *keys, "g"
     ).agg(F.max("iou").alias("best"))
-    hits = [F.sum(F.when(F.col("best") >= F.lit(float(t)), F.col("m")).otherwise(0)).alias(f"hit_{i}") for i, t in enumerate(thresholds)]
-    scored = golds.join(best, [*keys, "g"], "left").groupBy(*keys).agg(
-        F.sum("m").alias("n_gold"), F.sum(F.coalesce("best", F.lit(0.0)) * F.col("m")).alias("_s"), *hits
+    zero = F.lit(0).cast("long")
+    hits = [F.when(F.col("best") >= F.lit(float(t)), F.col("m")).otherwise(zero).alias(f"hit_{i}") for i, t in enumerate(thresholds)]
+    per_gold = golds.join(best, [*keys, "g"], "left").select(
+        *keys, F.col("m").alias("n_gold"), zero.alias("n_pred"), (F.coalesce("best", F.lit(0.0)) * F.col("m")).alias("_s"), *hits
     )
-    counts = preds.groupBy(*keys).agg(F.sum("m").alias("n_pred"))
-    hit_names = [f"hit_{i}" for i in range(len(thresholds))]
-    out = tiles.select(*keys).join(scored, keys, "left").join(counts, keys, "left").fillna(0, ["n_gold", "n_pred", *hit_names])
-    iou = F.when(F.col("n_gold") > 0, F.col("_s") / F.col("n_gold")).otherwise(
-        F.when(F.col("n_pred") == 0, 1.0).otherwise(0.0)
+    per_pred = preds.select(
+        *keys, zero.alias("n_gold"), F.col("m").alias("n_pred"), F.lit(0.0).alias("_s"), *[zero.alias(f"hit_{i}") for i in range(len(thresholds))]
     )
-    return out.select(*keys, "n_gold", "n_pred", iou.alias("iou"), *hit_names)
+    both = per_gold.unionByName(per_pred)
+    return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in both.columns if c not in keys])
 
 
 def _crowded(boxes: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
@@ -106,13 +138,12 @@ def nms_table(
     valid = boxes.filter(B.is_valid_box(F.struct(*B.CORNERS)))
     crowded = _crowded(valid, keys, max_array)
     few = valid if crowded is None else valid.join(crowded, keys, "left_anti")
-    rest = [c for c in boxes.columns if c not in keys]
-    ranked = F.struct((-B.box_area(F.struct(*B.CORNERS))).alias("neg"), F.col(order).alias("ord"), F.struct(*rest).alias("b"))
+    rest = [c for c in boxes.columns if c not in (*keys, order)]
+    ranked = F.struct((-B.box_area(F.struct(*B.CORNERS))).alias("neg"), F.col(order).alias(order), *rest)
     rows = few.groupBy(*keys).agg(F.array_sort(F.collect_list(ranked)).alias("_r"))
-    candidates = F.transform("_r", lambda r: r["b"])
     kept = F.aggregate(
-        candidates,
-        F.filter(candidates, lambda b: F.lit(False)),
+        "_r",
+        F.filter("_r", lambda b: F.lit(False)),
         lambda acc, b: F.when(F.exists(acc, lambda k: B.box_iou(b, k) >= F.lit(float(iou))), acc).otherwise(F.array_append(acc, b)),
     )
     out = rows.select(*keys, F.explode(kept).alias("b")).select(*keys, "b.*").select(*boxes.columns)

@@ -1,8 +1,9 @@
 """Ranks, running sums and quantiles that never gather one group in one task.
 
 A plain window sorts a whole group in a single task. Here the caller names a *block*: any coarse,
-monotone function of the ordering (leading hash digits, ``seq div 4096``, a month). Rows are ranked
-inside ``(group, block)``; block totals, pre-aggregated map-side, give each block its offset.
+monotone function of the ordering (leading hash digits, ``seq div 4096``, a month). Block totals,
+pre-aggregated map-side, give each block an opening balance, and that balance enters the block as
+one more row ahead of its data. Rows are shuffled once, by ``(group, block)``, and nothing is joined.
 """
 
 from __future__ import annotations
@@ -14,26 +15,34 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SEQ_BLOCK = 4096
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join that also pairs null keys, so rows with a null group are not lost."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def seq_block(seq: Column, size: int = SEQ_BLOCK) -> Column:
     return F.floor(seq / size)
 
 
-def _offsets(keyed: DataFrame, by: Sequence[str], value: Column, name: str, total: str | None) -> DataFrame:
-    per_block = keyed.groupBy(*by, "_blk").agg(F.sum(value).alias("_n"))
+def block_running_sum(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column | str], block: Column,
+    value: Column, name: str, total: str | None = None,
+) -> DataFrame:
+    """Exact running sum of ``value`` per group, up to and including each row.
+
+    ``total`` additionally names the group's sum. Null groups count as groups of their own. ``df`` is
+    read twice: settle it first where it is costly.
+    """
+    keyed = df.withColumn("_blk", block).withColumn("_val", value)
+    per_block = keyed.groupBy(*by, "_blk").agg(F.sum("_val").alias("_sum"))
     before = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    out = per_block.withColumn(name, F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    opening = per_block.select(
+        *by, "_blk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_val"),
+        F.sum("_sum").over(Window.partitionBy(*by)).alias("_blk_total"), F.lit(0).alias("_data"),
+    )
+    rows = keyed.withColumn("_data", F.lit(1)).unionByName(opening, allowMissingColumns=True)
+    upto = (
+        Window.partitionBy(*by, "_blk").orderBy("_data", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    summed = rows.withColumn(name, F.sum("_val").over(upto))
     if total:
-        out = out.withColumn(total, F.sum("_n").over(Window.partitionBy(*by)))
-    return out.drop("_n")
+        summed = summed.withColumn(total, F.first("_blk_total").over(upto))
+    return summed.filter(F.col("_data") == 1).drop("_blk", "_val", "_blk_total", "_data")
 
 
 def block_rank(
@@ -41,33 +50,7 @@ def block_rank(
     name: str = "rn", total: str | None = None,
 ) -> DataFrame:
     """Exact ``row_number`` per group. ``total`` additionally names the group's row count."""
-    keyed = df.withColumn("_blk", block)
-    local = Window.partitionBy(*by, "_blk").orderBy(*order)
-    ranked = keyed.withColumn("_local", F.row_number().over(local))
-    offsets = _offsets(keyed, by, F.lit(1), "_off", total)
-    return (
-        join_null_safe(ranked, offsets, [*by, "_blk"])
-        .withColumn(name, (F.col("_local") + F.col("_off")).cast("long"))
-        .drop("_local", "_off", "_blk")
-    )
-
-
-def block_running_sum(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column | str], block: Column,
-    value: Column, name: str,
-) -> DataFrame:
-    """Exact running sum of ``value`` per group, up to and including each row."""
-    keyed = df.withColumn("_blk", block).withColumn("_val", value)
-    local = (
-        Window.partitionBy(*by, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    summed = keyed.withColumn("_local", F.sum("_val").over(local))
-    offsets = _offsets(keyed, by, F.col("_val"), "_off", None)
-    return (
-        join_null_safe(summed, offsets, [*by, "_blk"])
-        .withColumn(name, F.col("_local") + F.col("_off"))
-        .drop("_local", "_off", "_blk", "_val")
-    )
+    return block_running_sum(df, by, order, block, F.lit(1).cast("long"), name, total)
 
 
 def exact_quantiles(
@@ -83,7 +66,7 @@ def exact_quantiles(
         F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_n").alias("_total")
     )
     width = (F.col("_hi") - F.col("_lo")) / F.lit(buckets)
-    bucketed = join_null_safe(counted, span, by).withColumn(
+    bucketed = counted.join(span, list(by)).withColumn(
         "_blk", F.when(width > 0, F.least(F.lit(buckets - 1), F.floor((F.col(value) - F.col("_lo")) / width))).otherwise(F.lit(0))
     )
     per_bucket = bucketed.groupBy(*by, "_blk", "_total").agg(F.sum("_n").alias("_in"))
@@ -95,7 +78,7 @@ def exact_quantiles(
     hits = per_bucket.filter(hit).select(*by, "_blk", "_off")
     local = Window.partitionBy(*by, "_blk").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
-        join_null_safe(bucketed, hits, [*by, "_blk"])
+        bucketed.join(hits, [*by, "_blk"])
         .withColumn("_end", F.sum("_n").over(local) + F.col("_off"))
         .withColumn("_start", F.col("_end") - F.col("_n"))
     )

@@ -13,6 +13,7 @@ from gridloom.functions.keyed import key_hash, uniform
 from gridloom.functions.numbers import half_even
 from gridloom.operators.graph import connected
 from gridloom.operators.ranking import exact_quantiles
+from gridloom.session import cut_lineage
 
 BLOCK = 128
 HOT_PIXELS = 4_000_000
@@ -130,8 +131,6 @@ def components(
         return F.shiftleft(gy, 32) + gx
 
     if several:
-        from gridloom.session import cut_lineage
-
         labelled = cut_lineage(labelled)
     parts = labelled.select(*keys, "_bx", "_by", F.explode("_l.parts").alias("p")).select(
         *keys, node(F.col("p.root")).alias("node"), F.col("p.px").cast("long").alias("px"),
@@ -383,16 +382,37 @@ def augment(pixels: DataFrame, size: Column, group: str = "d4", only: Column | N
     )
 
 
-def band_bounds(
-    pixels: DataFrame, keys: Sequence[str] = PATCH, lo: float = K.STRETCH_LOW, hi: float = K.STRETCH_HIGH
-) -> DataFrame:
-    """Exact interpolated percentiles per patch and band: ``keys…, band, lo, hi``."""
+def _hot(pixels: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
+    """Patches with more values than one task should sort; None where there are none (checked now)."""
+    found = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys)
+    return None if found.isEmpty() else cut_lineage(found)
+
+
+def _small_bounds(pixels: DataFrame, keys: list[str], lo: float, hi: float) -> DataFrame:
     q = F.percentile("v", F.array(F.lit(lo), F.lit(hi)))
     return pixels.groupBy(*keys, "band").agg(q.alias("_q")).select(
         *keys, "band", F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi")
     )
 
 
+def _wide_bounds(pixels: DataFrame, keys: list[str], lo: float, hi: float) -> DataFrame:
+    return exact_quantiles(pixels, [*keys, "band"], "v", (lo, hi)).withColumnsRenamed({"q0": "lo", "q1": "hi"})
+
+
+def band_bounds(
+    pixels: DataFrame, keys: Sequence[str] = PATCH, lo: float = K.STRETCH_LOW, hi: float = K.STRETCH_HIGH,
+    hot_pixels: int = HOT_PIXELS,
+) -> DataFrame:
+    """Exact interpolated percentiles per patch and band: ``keys…, band, lo, hi``."""
+    keys = list(keys)
+    hot = _hot(pixels, keys, hot_pixels)
+    if hot is None:
+        return _small_bounds(pixels, keys, lo, hi)
+    return _small_bounds(pixels.join(hot, keys, "left_anti"), keys, lo, hi).unionByName(
+        _wide_bounds(pixels.join(hot, keys, "left_semi"), keys, lo, hi)
+    )
+
+
 def _stretched(v: Column, lo: Column, hi: Column) -> Column:
     clipped = F.least(F.greatest(v, lo), hi)
     return F.floor((clipped - lo) / F.greatest(hi - lo, F.lit(1e-9)) * F.lit(255.0)).cast("int")
@@ -409,18 +429,17 @@ def stretch(
     """
     keys = list(keys)
     source = pixels if bands is None else pixels.filter(F.col("band").isin(*bands))
-    hot = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_pixels).select(*keys)
-    has_hot = not hot.isEmpty()
-    usual = (source.join(hot, keys, "left_anti") if has_hot else source).repartition(*keys)
-    bounds = band_bounds(usual, keys, lo, hi).groupBy(*keys).agg(
+    hot = _hot(source, keys, hot_pixels)
+    usual = (source if hot is None else source.join(hot, keys, "left_anti")).repartition(*keys)
+    bounds = _small_bounds(usual, keys, lo, hi).groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("band", F.struct("lo", "hi")))).alias("_b")
     )
     b = F.try_element_at("_b", F.col("band"))
     out = usual.join(bounds.hint("shuffle_hash"), keys).withColumn("level", _stretched(F.col("v"), b["lo"], b["hi"])).drop("_b")
-    if has_hot:
+    if hot is not None:
         big = source.join(hot, keys, "left_semi")
-        wide = exact_quantiles(big, [*keys, "band"], "v", (lo, hi))
-        spread = big.join(wide, [*keys, "band"]).withColumn("level", _stretched(F.col("v"), F.col("q0"), F.col("q1")))
+        wide = _wide_bounds(big, keys, lo, hi)
+        spread = big.join(wide, [*keys, "band"]).withColumn("level", _stretched(F.col("v"), F.col("lo"), F.col("hi")))
         out = out.unionByName(spread.select(*out.columns))
     return out
 

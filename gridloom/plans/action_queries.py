@@ -139,72 +139,56 @@ def parse_json_eval(fx):
     return G.parse_json_actions(texts, "t", "eval").select("event_id", "action")
 
 
-def box_texts(fx: Fixtures) -> DataFrame:
-    """Model answers with box lists: clean, wrapped in prose, broken, with odd elements, or none."""
-    b = fx.boxes()
-    k = F.col("ord.l_partkey")
-    item = F.concat(F.lit('{"label": "mining_pit", "bbox": ['), F.concat_ws(", ", *[F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2")]), F.lit("]}"))
-    odd = F.when(k % 7 == 0, "17").when(k % 11 == 0, '{"label": "note"}').when(k % 13 == 0, '{"bbox": [0.1, 0.2]}').when(
-        k % 17 == 0, '{"bbox": [0.1, "wide", 0.3, 0.4]}'
-    ).otherwise(item)
-    lists = b.groupBy("tile_id").agg(F.array_sort(F.collect_list(F.struct("ord", odd.alias("t")))).alias("l"))
-    body = F.concat(F.lit("["), F.concat_ws(", ", F.transform("l", lambda r: r["t"])), F.lit("]"))
-    t = F.col("tile_id")
-    return lists.select(
-        "tile_id",
-        F.when(t % 9 == 0, "[]").when(t % 9 == 1, "no boxes here").when(t % 9 == 2, F.concat(F.lit("Boxes: "), body, F.lit(" as asked.")))
-        .when(t % 9 == 3, F.concat(body, F.lit(" and [1]"))).when(t % 9 == 4, F.concat(F.lit("["), body)).otherwise(body).alias("answer"),
-    )
-
-
-_ANSWERS = r"""
-WITH items AS (SELECT l_orderkey AS tile_id, l_partkey AS k, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate,
-  cast(l_partkey % 96 AS double) / 128e0 AS x1, cast(l_suppkey % 96 AS double) / 128e0 AS y1,
-  CASE WHEN l_linenumber = 7 THEN cast(l_partkey % 96 AS double) / 128e0 ELSE (cast(l_partkey % 96 AS double) + l_quantity) / 128e0 END AS x2,
-  (cast(l_suppkey % 96 AS double) + 1e0 + cast(l_partkey % 40 AS double)) / 128e0 AS y2, l_orderkey % 9 IN (2, 5, 6, 7, 8) AS readable FROM lineitem),
-kinds AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'number' WHEN k % 11 = 0 THEN 'note' WHEN k % 13 = 0 THEN 'short' WHEN k % 17 = 0 THEN 'word' ELSE 'box' END AS kind FROM items),
+_ANSWERS = """
+WITH raw AS (SELECT l_orderkey AS tile_id, l_partkey AS k, cast(l_partkey % 96 AS double) AS x, cast(l_suppkey % 96 AS double) AS y,
+  CASE WHEN l_linenumber = 7 THEN cast(l_partkey % 96 AS double) ELSE cast(l_partkey % 96 AS double) + l_quantity END AS xx,
+  l_orderkey % 9 IN (2, 5, 6, 7, 8) AS readable FROM lineitem),
+rows AS (SELECT *, row_number() OVER () AS row_no, CASE WHEN k % 7 = 0 THEN 'number' WHEN k % 11 = 0 THEN 'note' WHEN k % 13 = 0 THEN 'short' WHEN k % 17 = 0 THEN 'word' ELSE 'box' END AS kind FROM raw),
+items AS (SELECT row_no, tile_id, readable, 'box' AS kind, x / 128e0 AS x1, y / 128e0 AS y1, xx / 128e0 AS x2, (y + 1e0 + cast(k % 40 AS double)) / 128e0 AS y2 FROM rows
+  UNION ALL SELECT row_no, tile_id, readable, kind, (x + 8e0) / 128e0, y / 128e0, (xx + 8e0) / 128e0, (y + 1e0 + cast(k % 40 AS double)) / 128e0 FROM rows),
+clamped AS (SELECT row_no, tile_id, readable, kind, greatest(0e0, least(1e0, x1)) AS x1, greatest(0e0, least(1e0, y1)) AS y1, greatest(0e0, least(1e0, x2)) AS x2, greatest(0e0, least(1e0, y2)) AS y2 FROM items),
+good AS (SELECT * FROM clamped WHERE kind = 'box' AND readable AND x2 > x1 AND y2 > y1),
 """
 
 
 @query("parse_boxes_strict", _ANSWERS + """
-good AS (SELECT tile_id, greatest(0e0, least(1e0, x1)) AS x1, greatest(0e0, least(1e0, y1)) AS y1, greatest(0e0, least(1e0, x2)) AS x2, greatest(0e0, least(1e0, y2)) AS y2
-  FROM kinds WHERE kind = 'box' AND readable)
-SELECT t.tile_id, count(g.tile_id) AS n_boxes, round(coalesce(sum((x2 - x1) * (y2 - y1)), 0), 6) AS area
-FROM (SELECT DISTINCT l_orderkey AS tile_id FROM lineitem) t LEFT JOIN (SELECT * FROM good WHERE x2 > x1 AND y2 > y1) g USING (tile_id) GROUP BY 1""")
+per AS (SELECT tile_id, count(*) AS n, sum((x2 - x1) * (y2 - y1)) AS area FROM good GROUP BY 1)
+SELECT t.tile_id, coalesce(n, 0) AS n_boxes, round(coalesce(area, 0), 6) AS area FROM (SELECT DISTINCT tile_id FROM raw) t LEFT JOIN per USING (tile_id)""")
 def parse_boxes_strict(fx):
-    out = G.parse_boxes(box_texts(fx), "answer", "strict")
-    total = F.aggregate("boxes", F.lit(0.0), lambda s, b: s + (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]))
-    return out.select("tile_id", "n_boxes", F.round(total, 6).alias("area"))
+    out = G.parse_boxes(fx.answers(), "answer", "strict")
+    area = F.aggregate("boxes", F.lit(0.0), lambda s, b: s + (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]))
+    return out.groupBy("tile_id").agg(F.sum("n_boxes").alias("n_boxes"), F.round(F.sum(area), 6).alias("area"))
 
 
 @query("parse_boxes_perception", _ANSWERS + """
-per AS (SELECT tile_id, bool_or(kind = 'word') AS broken, count(*) FILTER (kind = 'box') AS n, sum(x1) FILTER (kind = 'box') AS sx FROM kinds WHERE readable GROUP BY 1)
-SELECT t.tile_id, CASE WHEN per.broken THEN 0 ELSE coalesce(per.n, 0) END AS n_boxes, round(CASE WHEN per.broken THEN 0e0 ELSE coalesce(per.sx, 0e0) END, 6) AS sum_x1
-FROM (SELECT DISTINCT l_orderkey AS tile_id FROM lineitem) t LEFT JOIN per USING (tile_id)""")
+per AS (SELECT row_no, tile_id, bool_or(kind = 'word') AS broken, count(*) FILTER (kind = 'box') AS n, sum(x1) FILTER (kind = 'box') AS sx FROM items WHERE readable GROUP BY 1, 2),
+tot AS (SELECT tile_id, sum(CASE WHEN broken THEN 0 ELSE n END) AS n, sum(CASE WHEN broken THEN 0e0 ELSE sx END) AS sx FROM per GROUP BY 1)
+SELECT t.tile_id, coalesce(n, 0) AS n_boxes, round(coalesce(sx, 0e0), 6) AS sum_x1 FROM (SELECT DISTINCT tile_id FROM raw) t LEFT JOIN tot USING (tile_id)""")
 def parse_boxes_perception(fx):
-    out = G.parse_boxes(box_texts(fx), "answer", "perception")
-    return out.select("tile_id", "n_boxes", F.round(F.aggregate("boxes", F.lit(0.0), lambda s, b: s + b["x1"]), 6).alias("sum_x1"))
+    out = G.parse_boxes(fx.answers(), "answer", "perception")
+    sum_x1 = F.aggregate("boxes", F.lit(0.0), lambda s, b: s + b["x1"])
+    return out.groupBy("tile_id").agg(F.sum("n_boxes").alias("n_boxes"), F.round(F.sum(sum_x1), 6).alias("sum_x1"))
 
 
 @query("parse_boxes_lenient", _ANSWERS + """
-per AS (SELECT tile_id, count(*) FILTER (kind IN ('box', 'short', 'word')) AS n, count(*) FILTER (kind = 'box') AS n_quads FROM kinds GROUP BY 1)
-SELECT tile_id, CASE WHEN tile_id % 9 IN (0, 1) THEN 0 WHEN tile_id % 9 IN (3, 4) THEN n_quads ELSE n END AS n_boxes FROM per""")
+zz AS (SELECT 1)
+SELECT tile_id, sum(CASE WHEN tile_id % 9 IN (0, 1) THEN 0 WHEN tile_id % 9 IN (3, 4) THEN (kind = 'box')::int ELSE (kind IN ('box', 'short', 'word'))::int END) AS n_boxes FROM items GROUP BY 1""")
 def parse_boxes_lenient(fx):
-    return G.parse_boxes(box_texts(fx), "answer", "lenient").select("tile_id", "n_boxes")
+    return G.parse_boxes(fx.answers(), "answer", "lenient").groupBy("tile_id").agg(F.sum("n_boxes").alias("n_boxes"))
 
 
 @query("output_hygiene", _ANSWERS + """
-good AS (SELECT tile_id, count(*) AS n FROM kinds WHERE kind = 'box' AND readable AND least(1e0, x2) > x1 AND least(1e0, y2) > y1 GROUP BY 1),
-t AS (SELECT DISTINCT l_orderkey AS tile_id FROM lineitem)
+per AS (SELECT row_no, count(*) AS n FROM good GROUP BY 1)
 SELECT count(*) FILTER (tile_id % 9 = 1) AS n_unparseable, count(*) FILTER (coalesce(n, 0) = 0 AND tile_id % 3 <> 0) AS empty_on_negative,
   count(*) FILTER (coalesce(n, 0) = 0 AND tile_id % 3 = 0) AS empty_on_positive, count(*) AS n, count(*) FILTER (tile_id % 9 <> 1) AS n_parseable
-FROM t LEFT JOIN good USING (tile_id)""")
+FROM rows LEFT JOIN per USING (row_no)""")
 def output_hygiene(fx):
-    out = G.parse_boxes(box_texts(fx), "answer", "strict")
+    out = G.parse_boxes(fx.answers(), "answer", "strict")
     bad, truth = G.is_unparseable(F.col("answer"), F.col("n_boxes")), F.col("tile_id") % 3 == 0
     listed = G.is_parseable_list(F.col("answer"), F.col("n_boxes"))
-    scored = E.hygiene(out, bad, F.col("n_boxes"), truth)
-    return scored.withColumn("n_parseable", out.agg(F.sum(F.when(listed, 1).otherwise(0)).alias("s")).scalar())
+    scored = E.hygiene(out.withColumn("_all", F.lit(1)), bad, F.col("n_boxes"), truth, ["_all"])
+    counted = out.groupBy(F.lit(1).alias("_all")).agg(F.sum(F.when(listed, 1).otherwise(0)).alias("n_parseable"))
+    return scored.join(counted, "_all").drop("_all")
 
 
 # --------------------------------------------------------------------------- text scores

@@ -376,22 +376,24 @@ def site_status(fx):
 
 
 @query("geojson_sites", """
-SELECT cast(l_orderkey AS varchar) AS site_id, round_even(avg(-3e0 + (l_partkey % 300) / 100e0), 5) AS lng, round_even(avg(4e0 + l_quantity / 10e0), 5) AS lat, count(*) AS n_vertices
-FROM lineitem WHERE l_orderkey % 5 <> 4 GROUP BY 1""")
+SELECT cast(o_orderkey AS varchar) AS site_id, round_even((4 * lon + 1e0 + 2e0) / 4, 5) AS lng, round_even((4 * lat + 0.5e0) / 4, 5) AS lat, 4 AS n_vertices
+FROM (SELECT o_orderkey, o_orderkey % 5 AS k, -3e0 + (o_custkey % 300) / 100e0 AS lon, 4e0 + (o_orderkey % 50) / 10e0 AS lat FROM orders) WHERE k <> 4""")
 def geojson_sites(fx):
     """Polygons, multi-polygons and skipped shapes as GeoJSON lines, read back to centroids."""
-    point = F.concat(
-        F.lit("["), (F.lit(-3.0) + (F.col("l_partkey") % 300) / 100.0).cast("string"), F.lit(", "), (F.lit(4.0) + F.col("l_quantity") / 10.0).cast("string"), F.lit("]")
-    )
-    rings = fx.table("lineitem").groupBy("l_orderkey").agg(F.concat_ws(", ", F.collect_list(point)).alias("pts"))
-    k = F.col("l_orderkey") % 5
-    ring = F.concat(F.lit("[["), F.col("pts"), F.lit("]]"))
-    shape = F.when(k == 4, F.concat(F.lit('{"type": "LineString", "coordinates": ['), F.col("pts"), F.lit("]}"))).when(
+    lon, lat = F.lit(-3.0) + (F.col("o_custkey") % 300) / 100.0, F.lit(4.0) + (F.col("o_orderkey") % 50) / 10.0
+
+    def point(dx: float, dy: float):
+        return F.concat(F.lit("["), (lon + dx).cast("string"), F.lit(", "), (lat + dy).cast("string"), F.lit("]"))
+
+    pts = F.concat_ws(", ", point(0.0, 0.0), point(1.0, 0.0), point(2.0, 0.5), point(0.0, 0.0))
+    k = F.col("o_orderkey") % 5
+    ring = F.concat(F.lit("[["), pts, F.lit("]]"))
+    shape = F.when(k == 4, F.concat(F.lit('{"type": "LineString", "coordinates": ['), pts, F.lit("]}"))).when(
         k == 3, F.concat(F.lit('{"type": "MultiPolygon", "coordinates": ['), ring, F.lit(", [[]]]}"))
     ).otherwise(F.concat(F.lit('{"type": "Polygon", "coordinates": '), ring, F.lit("}")))
-    line = F.concat(F.lit('{"type": "Feature", "properties": {"id": "'), F.col("l_orderkey").cast("string"), F.lit('"}, "geometry": '), shape, F.lit("}"))
+    line = F.concat(F.lit('{"type": "Feature", "properties": {"id": "'), F.col("o_orderkey").cast("string"), F.lit('"}, "geometry": '), shape, F.lit("}"))
     path = scratch_path(fx.spark, "geojson")
-    rings.select(line.alias("value")).write.text(path)
+    fx.table("orders").select(line.alias("value")).write.text(path)
     return Z.site_centroids(S.read_site_vertices(fx.spark, path))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.operators.ranking import block_rank
+from gridloom.session import spread
 
 
 class Fixtures:
@@ -38,6 +39,7 @@ class Fixtures:
         return self.table("lineitem").select(
             F.col("l_orderkey").alias("tile_id"),
             F.when(F.col("l_returnflag") == "R", 2016).otherwise(2022).alias("year"),
+            F.col("l_linenumber").alias("line"),
             F.struct(
                 "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"
             ).alias("ord"),
@@ -46,6 +48,39 @@ class Fixtures:
             ((y + 1.0 + (F.col("l_partkey") % 40).cast("double")) / 128.0).alias("y2"),
         )
 
+    def detections(self) -> DataFrame:
+        """Nested detections: one row per tile with an array of six raw boxes."""
+        k = F.col("o_orderkey")
+
+        def box(i: Column) -> Column:
+            x, y = ((F.col("o_custkey") + i * 5 + (k % 3) * i) % 96).cast("double"), ((k + i * 7) % 96).cast("double")
+            return F.struct(
+                F.lit("mining_pit").alias("label"), (x / 128.0).alias("x1"), (y / 128.0).alias("y1"),
+                ((x + ((k + i * i) % 40).cast("double")) / 128.0).alias("x2"), ((y + 1.0 + ((k + i) % 30).cast("double")) / 128.0).alias("y2"),
+            )
+
+        return spread(self.table("orders")).select(k.alias("tile_id"), F.transform(F.sequence(F.lit(0), F.lit(5)), box).alias("raw"))
+
+    def answers(self) -> DataFrame:
+        """Model answers with box lists: clean, wrapped in prose, broken, with odd elements, or none."""
+        k, t = F.col("l_partkey"), F.col("l_orderkey")
+        x, y, q = (k % 96).cast("double"), (F.col("l_suppkey") % 96).cast("double"), F.col("l_quantity")
+        x2 = F.when(F.col("l_linenumber") == 7, x).otherwise(x + q)
+
+        def item(shift: float) -> Column:
+            corners = [(x + shift) / 128.0, y / 128.0, (x2 + shift) / 128.0, (y + 1.0 + (k % 40).cast("double")) / 128.0]
+            return F.concat(F.lit('{"label": "mining_pit", "bbox": ['), F.concat_ws(", ", *[c.cast("string") for c in corners]), F.lit("]}"))
+
+        odd = F.when(k % 7 == 0, "17").when(k % 11 == 0, '{"label": "note"}').when(k % 13 == 0, '{"bbox": [0.1, 0.2]}').when(
+            k % 17 == 0, '{"bbox": [0.1, "wide", 0.3, 0.4]}'
+        ).otherwise(item(8.0))
+        body = F.concat(F.lit("["), item(0.0), F.lit(", "), odd, F.lit("]"))
+        text = (
+            F.when(t % 9 == 0, "[]").when(t % 9 == 1, "no boxes here").when(t % 9 == 2, F.concat(F.lit("Boxes: "), body, F.lit(" as asked.")))
+            .when(t % 9 == 3, F.concat(body, F.lit(" and [1]"))).when(t % 9 == 4, F.concat(F.lit("["), body)).otherwise(body)
+        )
+        return spread(self.table("lineitem")).select(t.alias("tile_id"), text.alias("answer"))
+
     def _mask(self, per_patch: int) -> DataFrame:
         early = (F.col("l_returnflag") == "R") | ((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"))
         return self.table("lineitem").select(
@@ -126,7 +161,7 @@ class Fixtures:
             '{"action": "downlink", ',
         ]
         pick = F.get(F.array(*[F.lit(t) for t in texts]), (F.col("event_id") % 8).cast("int"))
-        return self.table("events").select("event_id", pick.alias("raw"))
+        return spread(self.table("events")).select("event_id", pick.alias("raw"))
 
     def text_pairs(self) -> DataFrame:
         """Whole documents against a copy with some words changed or dropped."""

@@ -18,7 +18,7 @@ SELECT o_orderkey AS tile_id, o_custkey AS pass_id,
 FROM orders""")
 
 _view("fx_boxes", """
-SELECT l_orderkey AS tile_id, CASE WHEN l_returnflag = 'R' THEN 2016 ELSE 2022 END AS year,
+SELECT l_orderkey AS tile_id, CASE WHEN l_returnflag = 'R' THEN 2016 ELSE 2022 END AS year, l_linenumber AS line,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS box_no,
   cast(l_partkey % 96 AS double) / 128e0 AS x1, cast(l_suppkey % 96 AS double) / 128e0 AS y1,
   CASE WHEN l_linenumber = 7 THEN cast(l_partkey % 96 AS double) / 128e0
@@ -28,7 +28,7 @@ FROM lineitem""")
 
 _view("fx_valid", """
 SELECT * FROM (
-  SELECT tile_id, year, box_no, greatest(0e0, least(1e0, x1)) AS x1, greatest(0e0, least(1e0, y1)) AS y1,
+  SELECT tile_id, year, line, box_no, greatest(0e0, least(1e0, x1)) AS x1, greatest(0e0, least(1e0, y1)) AS y1,
     greatest(0e0, least(1e0, x2)) AS x2, greatest(0e0, least(1e0, y2)) AS y2 FROM fx_boxes)
 WHERE x2 > x1 AND y2 > y1 AND (x2 - x1) * (y2 - y1) >= 1e-4""", "fx_boxes")
 
@@ -43,6 +43,13 @@ def iou(a: str, b: str) -> str:
     return f"(CASE WHEN {w} > 0 AND {h} > 0 AND {union} > 0 THEN {w} * {h} / {union} ELSE 0e0 END)"
 
 
+_view("fx_nested", """
+SELECT * FROM (SELECT tile_id, box_no, greatest(0e0, least(1e0, x1)) AS x1, greatest(0e0, least(1e0, y1)) AS y1, greatest(0e0, least(1e0, x2)) AS x2, greatest(0e0, least(1e0, y2)) AS y2
+  FROM (SELECT tile_id, i AS box_no, x / 128e0 AS x1, y / 128e0 AS y1, (x + cast((k + i * i) % 40 AS double)) / 128e0 AS x2, (y + 1e0 + cast((k + i) % 30 AS double)) / 128e0 AS y2
+    FROM (SELECT o_orderkey AS tile_id, o_orderkey AS k, i, cast((o_custkey + i * 5 + (o_orderkey % 3) * i) % 96 AS double) AS x, cast((o_orderkey + i * 7) % 96 AS double) AS y
+      FROM orders, range(6) AS r(i))))
+WHERE x2 > x1 AND y2 > y1 AND (x2 - x1) * (y2 - y1) >= 1e-4""")
+
 _view("fx_ranked", """
 SELECT *, (x2 - x1) * (y2 - y1) AS area,
   row_number() OVER (PARTITION BY tile_id ORDER BY (x2 - x1) * (y2 - y1) DESC, box_no) AS rk FROM fx_valid""", "fx_valid")
@@ -59,6 +66,22 @@ _view("fx_kept", """
 SELECT tile_id, k.box_no AS box_no, k.x1 AS x1, k.y1 AS y1, k.x2 AS x2, k.y2 AS y2
 FROM (SELECT tile_id, unnest(kept) AS k FROM (SELECT tile_id, arg_max(kept, rk) AS kept FROM fx_walk GROUP BY tile_id))""", "fx_walk")
 
+_view("fx_nranked", """
+SELECT *, (x2 - x1) * (y2 - y1) AS area,
+  row_number() OVER (PARTITION BY tile_id ORDER BY (x2 - x1) * (y2 - y1) DESC, box_no) AS rk FROM fx_nested""", "fx_nested")
+
+_view("fx_nwalk", f"""
+SELECT tile_id, rk, [{{'box_no': box_no, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM fx_nranked WHERE rk = 1
+UNION ALL
+SELECT r.tile_id, r.rk,
+  CASE WHEN len(list_filter(w.kept, lambda k: {iou('r.', 'k.')} >= 0.5e0)) > 0 THEN w.kept
+       ELSE list_append(w.kept, {{'box_no': r.box_no, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}}) END
+FROM fx_nwalk w JOIN fx_nranked r ON r.tile_id = w.tile_id AND r.rk = w.rk + 1""", "fx_nranked")
+
+_view("fx_nkept", """
+SELECT tile_id, k.box_no AS box_no, k.x1 AS x1, k.y1 AS y1, k.x2 AS x2, k.y2 AS y2
+FROM (SELECT tile_id, unnest(kept) AS k FROM (SELECT tile_id, arg_max(kept, rk) AS kept FROM fx_nwalk GROUP BY tile_id))""", "fx_nwalk")
+
 _view("fx_conf", """
 SELECT *, CASE WHEN n_boxes = 0 THEN 0e0 ELSE least(1e0, 0.5e0 + 0.2e0 * n_boxes + max_area * 1.5e0) END AS confidence FROM (
   SELECT t.*, coalesce(b.n, 0) AS n_boxes, coalesce(b.a, 0e0) AS max_area

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridloom import constants as K
 from gridloom.functions.text import plain_description, presence_description
-from gridloom.operators import curation as C, evaluate as E, messages as T, raster as R
+from gridloom.operators import curation as C, dataset as D, evaluate as E, messages as T, raster as R
 from gridloom.plans.catalog import query
 from gridloom.plans.fixtures import Fixtures
 from gridloom.plans.tile_queries import valid
@@ -109,15 +109,14 @@ def change_classes(fx):
 _PRED_PX = """
 , span AS (SELECT cast(floor(tile_id / 128e0) AS bigint) AS patch_id, year,
   cast(greatest(0, least(32, round_even(x1 * 32, 0))) AS int) AS ax, cast(greatest(0, least(32, round_even(x2 * 32, 0))) AS int) AS bx,
-  cast(greatest(0, least(32, round_even(y1 * 32, 0))) AS int) AS ay, cast(greatest(0, least(32, round_even(y2 * 32, 0))) AS int) AS by_ FROM fx_valid WHERE box_no = 1),
+  cast(greatest(0, least(32, round_even(y1 * 32, 0))) AS int) AS ay, cast(greatest(0, least(32, round_even(y2 * 32, 0))) AS int) AS by_ FROM fx_valid WHERE line = 1),
 pred AS (SELECT DISTINCT patch_id, year, x, unnest(range(ay, by_)) AS y FROM (SELECT *, unnest(range(ax, bx)) AS x FROM span WHERE bx > ax AND by_ > ay))
 """
 
 
 def predicted_boxes(fx: Fixtures) -> DataFrame:
-    """The first box of every tile as a prediction for its patch and year."""
-    first = fx.boxes().groupBy("tile_id").agg(F.min("ord").alias("ord"))
-    return valid(fx).join(first, ["tile_id", "ord"]).withColumn("patch_id", F.floor(F.col("tile_id") / 128))
+    """The first line's boxes as predictions for their patch and year."""
+    return valid(fx).filter("line = 1").withColumn("patch_id", F.floor(F.col("tile_id") / 128))
 
 
 def _pred_bits(fx: Fixtures) -> DataFrame:
@@ -284,6 +283,34 @@ def jittered_images(fx):
     return R.jitter(true_colour(fx), "rgb")
 
 
+_RENDERED = f"""
+, swir AS (SELECT patch_id, x, y, coalesce(max(level) FILTER (band = 9), 0) AS r, coalesce(max(level) FILTER (band = 8), 0) AS g, coalesce(max(level) FILTER (band = 6), 0) AS b
+  FROM fx_levels WHERE band IN (9, 8, 6) GROUP BY 1, 2, 3),
+every AS (SELECT 'rgb' AS kind, * FROM rgb UNION ALL SELECT 'swir', * FROM swir),
+moved AS (SELECT kind, patch_id * 4 + no AS sample_no, CASE WHEN no IN (1, 3) THEN 31 - x ELSE x END AS x, CASE WHEN no IN (2, 3) THEN 31 - y ELSE y END AS y, r, g, b FROM every, range(4) AS v(no)),
+f AS (SELECT *, 0.8e0 + 0.4e0 * cast('0x' || substr(h, 1, 8) AS bigint) / 4294967296e0 AS fb, 0.8e0 + 0.4e0 * cast('0x' || substr(h, 9, 8) AS bigint) / 4294967296e0 AS fc,
+  0.8e0 + 0.4e0 * cast('0x' || substr(h, 17, 8) AS bigint) / 4294967296e0 AS fs FROM (SELECT *, md5(kind || '|' || sample_no) AS h FROM moved WHERE sample_no % 4 IN (1, 2))),
+a AS (SELECT kind, sample_no, x, y, fc, fs, {_clip('r * fb')} AS r, {_clip('g * fb')} AS g, {_clip('b * fb')} AS b FROM f),
+m AS (SELECT *, floor(avg({_lum('r', 'g', 'b')}) OVER (PARTITION BY kind, sample_no) + 0.5e0) AS mean FROM a),
+c AS (SELECT kind, sample_no, x, y, fs, {_clip('mean + (r - mean) * fc')} AS r, {_clip('mean + (g - mean) * fc')} AS g, {_clip('mean + (b - mean) * fc')} AS b FROM m),
+l AS (SELECT *, {_lum('r', 'g', 'b')} AS lum FROM c),
+px AS (SELECT kind, sample_no, x, y, {_clip('lum + (r - lum) * fs')} AS r, {_clip('lum + (g - lum) * fs')} AS g, {_clip('lum + (b - lum) * fs')} AS b FROM l
+  UNION ALL SELECT kind, sample_no, x, y, r, g, b FROM moved WHERE sample_no % 4 NOT IN (1, 2))
+SELECT kind, sample_no, count(*) AS n, cast(sum(r * (x + 1)) AS bigint) AS sx, cast(sum(g * (y + 1)) AS bigint) AS sy, cast(sum(b) AS bigint) AS sb FROM px GROUP BY 1, 2"""
+
+
+@query("rendered_images", _RGB + _RENDERED, "fx_levels")
+def rendered_images(fx):
+    """Flipped and partly jittered sample images of every patch, as checksums."""
+    names = R.SYMMETRIES["flips"]
+    rows = fx.bands().select("patch_id").distinct().select("patch_id", F.posexplode(F.array(*[F.lit(n) for n in names])).alias("no", "variant"))
+    numbered = rows.withColumn("sample_no", F.col("patch_id") * 4 + F.col("no")).withColumn("light", F.when(F.col("no").isin(1, 2), "jitter").otherwise("orig"))
+    px = D.render_images(fx.bands(), numbered, F.lit(32), ("rgb", "swir"))
+    return px.groupBy("kind", "sample_no").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("r") * (F.col("x") + 1)).alias("sx"), F.sum(F.col("g") * (F.col("y") + 1)).alias("sy"), F.sum("b").alias("sb")
+    )
+
+
 @query("imagery_issues", _RGB + """
 SELECT patch_id, round(avg((r + g + b = 0)::int), 6) AS black_share, avg((r + g + b = 0)::int) >= 0.002e0 AS partial FROM rgb GROUP BY 1""", "fx_levels")
 def imagery_issues(fx):

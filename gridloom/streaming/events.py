@@ -41,7 +41,7 @@ def stream_counts(events: DataFrame, num: Column, by: Sequence[str] = ()) -> Dat
     )
 
 
-_STATE = "used long, next_seq long, closed boolean, counts array<long>, seqs array<long>, tiles array<long>, actions array<string>"
+_STATE = "used long, next_seq long, closed boolean, budget long, planned long, last_ms long, counts array<long>, seqs array<long>, tiles array<long>, actions array<string>"
 _ROWS = "pass_id long, seq long, tile_id long, action string, used_kb long, remaining_kb long"
 _SUMMARY = (
     "pass_id long, tiles_processed long, tiles_flagged long, tiles_downlinked long, tiles_discarded long, "
@@ -52,53 +52,50 @@ _SUMMARY = (
 def _account(cost_kb: int, summarize: bool, patience_ms: int) -> Callable:
     """State function of one pass: tiles are taken in ``seq`` order, early ones wait in the state.
 
-    The pass ends at its last planned tile or when its budget is used up; the emptied state stays
-    until the timeout only to swallow stragglers.
+    The pass ends at its last planned tile or when its budget is used up; its emptied state stays
+    until the timeout only to swallow stragglers. The timeout follows the pass's own last event: once
+    the watermark is ``patience_ms`` past it, the pass is given up and what still waits is settled.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used, next_seq, closed, counts, seqs, tiles, actions = state.get if state.exists else (0, 1, False, [0, 0, 0], [], [], [])
+        if state.exists:
+            used, next_seq, closed, budget, planned, last_ms, counts, seqs, tiles, actions = state.get
+        else:
+            used, next_seq, closed, budget, planned, last_ms, counts, seqs, tiles, actions = 0, 1, False, 0, 0, 0, [0, 0, 0], [], [], []
         waiting = dict(zip(seqs, zip(tiles, actions)))
-        budget = total = None
+        given_up, counts = state.hasTimedOut, list(counts)
         for pdf in batches:
-            for seq, tile, action, limit, planned in zip(pdf["seq"], pdf["tile_id"], pdf["action"], pdf["budget_kb"], pdf["tile_count"]):
-                budget, total = int(limit), int(planned)
+            for seq, tile, action, limit, total, at in zip(*(pdf[c] for c in ("seq", "tile_id", "action", "budget_kb", "tile_count", "ts"))):
+                budget, planned, last_ms = int(limit), int(total), max(last_ms, int(at.timestamp() * 1000))
                 if not closed and int(seq) >= next_seq:
                     waiting[int(seq)] = (int(tile), action)
-        rows, ended = [], False
-        late = state.hasTimedOut
-        counts = list(counts)
-        if late and closed:
-            state.remove()
-            return
+        was_closed, rows = closed, []
         while waiting and not closed:
             if next_seq not in waiting:
-                if not late:
+                if not given_up:
                     break
                 next_seq = min(waiting)
             tile, action = waiting.pop(next_seq)
             used += cost_kb if action == "downlink" else 0
             counts[{"flag": 0, "downlink": 1}.get(action, 2)] += 1
-            left = max(0, (budget if budget is not None else K.BUDGET_KB) - used)
-            rows.append((key[0], next_seq, tile, action, used, left))
-            closed = left == 0 or (total is not None and next_seq >= total)
+            rows.append((key[0], next_seq, tile, action, used, max(0, budget - used)))
+            closed = used >= budget or next_seq >= planned
             next_seq += 1
-        ended = closed and bool(rows)
-        if closed:
-            waiting = {}
-        if late:
+        if given_up:
             state.remove()
-            ended = ended or bool(counts and sum(counts))
         else:
-            kept = sorted(waiting)
-            state.update((used, next_seq, closed, counts, kept, [waiting[s][0] for s in kept], [waiting[s][1] for s in kept]))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + patience_ms)
-        if summarize:
-            if ended:
-                left = rows[-1][5] if rows else 0
-                yield pd.DataFrame([(key[0], sum(counts), counts[0], counts[1], counts[2], used, left)], columns=[c.split()[0] for c in _SUMMARY.split(", ")])
-        elif rows:
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ROWS.split(", ")])
+            kept = [] if closed else sorted(waiting)
+            state.update(
+                (used, next_seq, closed, budget, planned, last_ms, counts, kept, [waiting[s][0] for s in kept], [waiting[s][1] for s in kept])
+            )
+            state.setTimeoutTimestamp(max(last_ms + patience_ms, state.getCurrentWatermarkMs() + 1))
+        if not summarize:
+            out, layout = rows, _ROWS
+        else:
+            ended = not was_closed and (closed or (given_up and sum(counts) > 0))
+            out, layout = ([(key[0], sum(counts), *counts, used, max(0, budget - used))] if ended else []), _SUMMARY
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in layout.split(", ")])
 
     return step
 
