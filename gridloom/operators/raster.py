@@ -106,14 +106,15 @@ def _label_blocks(size: int):
 
 def components(
     mask: DataFrame, keys: Sequence[str] = YEARLY, min_pixels: int = 1,
-    block: int = BLOCK, max_rounds: int = 64,
+    block: int = BLOCK, max_rounds: int = 64, within_block: bool | None = None,
 ) -> DataFrame:
     """4-connected components: ``keys…, comp, px, x1, y1, x2, y2`` (exclusive maxima).
 
     ``comp`` is the raster-first pixel as ``y << 32 | x``, so it orders components as a raster scan.
     Pixels are gathered per fixed-size block, never per patch. Where a mask spans several blocks the
     block results are stitched over their seams, so a scene of any extent, or a whole archive under
-    one key, is labelled by the same call.
+    one key, is labelled by the same call. ``within_block`` states that no patch reaches beyond one
+    block; left open, the coordinates are checked (row-group statistics make that cheap on files).
     """
     keys = list(keys)
     x, y = F.col("x").cast("long"), F.col("y").cast("long")
@@ -122,7 +123,10 @@ def components(
         .groupBy(*keys, "_bx", "_by")
         .agg(F.collect_set(((F.col("y") - F.col("_by") * block) * block + F.col("x") - F.col("_bx") * block).cast("int")).alias("_cells"))
     )
-    several = not mask.filter((F.col("x") >= block) | (F.col("y") >= block) | (F.col("x") < 0) | (F.col("y") < 0)).isEmpty()
+    if within_block is None:
+        outside = (F.col("x") >= block) | (F.col("y") >= block) | (F.col("x") < 0) | (F.col("y") < 0)
+        within_block = mask.filter(outside).isEmpty()
+    several = not within_block
     labelled = cells.select(*keys, "_bx", "_by", _label_blocks(block)("_cells").alias("_l"))
     x0, y0 = F.col("_bx") * block, F.col("_by") * block
 
