@@ -55,31 +55,38 @@ def bleu_counts(pairs: DataFrame, key: str, pred: str, gold: str, by: Sequence[s
     never shuffled and a pair is counted whole whatever its length.
     """
     texts = pairs.select(F.col(key).alias("_key"), *by, F.col(pred).alias("_p"), F.col(gold).alias("_g")).repartition("_key")
+    blank = strip(F.coalesce(F.col("_p"), F.lit(""))) == ""
+    # One marker token per pair counts pairs and blank predictions in the same pass; real tokens are never empty.
     sides = texts.select(
         "_key", *by,
         F.explode(
             F.array(
-                F.struct(tokens(F.col("_p"), tokenize).alias("w"), F.lit(1).alias("p")),
-                F.struct(tokens(F.col("_g"), tokenize).alias("w"), F.lit(0).alias("p")),
+                F.struct(tokens(F.col("_p"), tokenize).alias("w"), F.lit("pred").alias("side")),
+                F.struct(tokens(F.col("_g"), tokenize).alias("w"), F.lit("gold").alias("side")),
+                F.struct(F.array(F.lit("")).alias("w"), F.when(blank, "blank").otherwise("pair").alias("side")),
             )
         ).alias("s"),
     )
-    starts = sides.select("_key", *by, F.col("s.p").alias("p"), F.explode(_positions(F.col("s.w"))).alias("at"))
-    grams = starts.select("_key", *by, "p", F.posexplode(_grams(F.col("at"))).alias("n", "gram")).filter(F.col("gram").isNotNull())
+    starts = sides.select("_key", *by, F.col("s.side").alias("side"), F.explode(_positions(F.col("s.w"))).alias("at"))
+    grams = starts.select("_key", *by, "side", F.posexplode(_grams(F.col("at"))).alias("n", "gram")).filter(F.col("gram").isNotNull())
+
+    def of(*sides_: str) -> Column:
+        return F.sum(F.when(F.col("side").isin(*sides_), 1).otherwise(0))
+
     counted = grams.groupBy("_key", *by, (F.col("n") + 1).alias("n"), "gram").agg(
-        F.sum("p").alias("cp"), F.sum(1 - F.col("p")).alias("cg")
-    )
-    clipped = counted.groupBy(*by).agg(
-        *[F.sum(F.when(F.col("n") == n, F.least("cp", "cg")).otherwise(0)).alias(f"correct_{n}") for n in range(1, MAX_ORDER + 1)],
-        *[F.sum(F.when(F.col("n") == n, F.col("cp")).otherwise(0)).alias(f"total_{n}") for n in range(1, MAX_ORDER + 1)],
-        F.sum(F.when(F.col("n") == 1, F.col("cg")).otherwise(0)).alias("gold_len"),
+        of("pred").alias("cp"), of("gold").alias("cg"), of("blank").alias("blanks"), of("blank", "pair").alias("pairs")
     )
-    empties = pairs.groupBy(*by).agg(
-        F.sum(F.when(strip(F.coalesce(F.col(pred), F.lit(""))) == "", 1).otherwise(0)).alias("n_empty"),
-        F.count(F.lit(1)).alias("n_pairs"),
+
+    def upto(n: int, value: Column) -> Column:
+        return F.sum(F.when(F.col("n") == n, value).otherwise(0))
+
+    orders = range(1, MAX_ORDER + 1)
+    return counted.groupBy(*by).agg(
+        *[upto(n, F.least("cp", "cg")).alias(f"correct_{n}") for n in orders],
+        *[upto(n, F.col("cp")).alias(f"total_{n}") for n in orders],
+        upto(1, F.col("cp")).alias("pred_len"), upto(1, F.col("cg")).alias("gold_len"),
+        F.sum("blanks").alias("n_empty"), F.sum("pairs").alias("n_pairs"),
     )
-    joined = empties.join(clipped, list(by), "left") if by else empties.join(clipped, F.lit(True), "left")
-    return joined.withColumn("pred_len", F.col("total_1"))
 
 
 def corpus_bleu(

@@ -428,18 +428,16 @@ def stretch(
 ) -> DataFrame:
     """Percentile stretch of every patch and band to 0..255, column ``level``.
 
-    Pixels are shuffled once, by patch; bounds and the join back reuse that exchange. Patches of more
-    than ``hot_pixels`` values (whole scenes) are spread over tasks instead.
+    Pixels are shuffled once, by patch: the percentiles are window values on that exchange, and a
+    composite built on top pivots on it too. Patches of more than ``hot_pixels`` values (whole scenes)
+    are spread over tasks instead.
     """
     keys = list(keys)
     source = pixels if bands is None else pixels.filter(F.col("band").isin(*bands))
     hot = _hot(source, keys, hot_pixels)
     usual = (source if hot is None else source.join(hot, keys, "left_anti")).repartition(*keys)
-    bounds = _small_bounds(usual, keys, lo, hi).groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("band", F.struct("lo", "hi")))).alias("_b")
-    )
-    b = F.try_element_at("_b", F.col("band"))
-    out = usual.join(bounds.hint("shuffle_hash"), keys).withColumn("level", _stretched(F.col("v"), b["lo"], b["hi"])).drop("_b")
+    q = F.percentile("v", F.array(F.lit(lo), F.lit(hi))).over(Window.partitionBy(*keys, "band"))
+    out = usual.withColumn("_q", q).withColumn("level", _stretched(F.col("v"), F.col("_q")[0], F.col("_q")[1])).drop("_q")
     if hot is not None:
         big = source.join(hot, keys, "left_semi")
         wide = _wide_bounds(big, keys, lo, hi)

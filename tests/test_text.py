@@ -133,3 +133,9 @@ def test_geojson_document(spark, tmp_path):
     (tmp_path / "s.geojson").write_text(doc)
     rows = S.read_site_vertices(spark, str(tmp_path), collection=True).collect()
     assert [(r.site_id, r.lon, r.lat) for r in rows] == [("0", 0.0, 0.0), ("0", 2.0, 0.0), ("0", 0.0, 0.0)]
+
+
+def test_bleu_keeps_null_groups_and_counts_blanks(spark):
+    df = spark.createDataFrame([(1, None, "a b c d", "a b c d"), (2, None, " ", "x"), (3, "en", "q", "q")], "k long, lang string, p string, g string")
+    out = {r.lang: r for r in L.corpus_bleu(df, "k", "p", "g", ["lang"], "none").collect()}
+    assert set(out) == {None, "en"} and (out[None].n_empty, out[None].n_pairs) == (1, 2) and abs(out[None].bleu - 100 * math.exp(1 - 5 / 4)) < 1e-9
