@@ -163,7 +163,7 @@ def parse_boxes_strict(fx):
 @query("parse_boxes_perception", _ANSWERS + """
 per AS (SELECT row_no, tile_id, bool_or(kind = 'word') AS broken, count(*) FILTER (kind = 'box') AS n, sum(x1) FILTER (kind = 'box') AS sx FROM items WHERE readable GROUP BY 1, 2),
 tot AS (SELECT tile_id, sum(CASE WHEN broken THEN 0 ELSE n END) AS n, sum(CASE WHEN broken THEN 0e0 ELSE sx END) AS sx FROM per GROUP BY 1)
-SELECT t.tile_id, coalesce(n, 0) AS n_boxes, round(coalesce(sx, 0e0), 6) AS sum_x1 FROM (SELECT DISTINCT tile_id FROM raw) t LEFT JOIN tot USING (tile_id)""")
+SELECT t.tile_id, cast(coalesce(n, 0) AS bigint) AS n_boxes, round(coalesce(sx, 0e0), 6) AS sum_x1 FROM (SELECT DISTINCT tile_id FROM raw) t LEFT JOIN tot USING (tile_id)""")
 def parse_boxes_perception(fx):
     out = G.parse_boxes(fx.answers(), "answer", "perception")
     sum_x1 = F.aggregate("boxes", F.lit(0.0), lambda s, b: s + b["x1"])
@@ -172,7 +172,7 @@ def parse_boxes_perception(fx):
 
 @query("parse_boxes_lenient", _ANSWERS + """
 zz AS (SELECT 1)
-SELECT tile_id, sum(CASE WHEN tile_id % 9 IN (0, 1) THEN 0 WHEN tile_id % 9 IN (3, 4) THEN (kind = 'box')::int ELSE (kind IN ('box', 'short', 'word'))::int END) AS n_boxes FROM items GROUP BY 1""")
+SELECT tile_id, cast(sum(CASE WHEN tile_id % 9 IN (0, 1) THEN 0 WHEN tile_id % 9 IN (3, 4) THEN (kind = 'box')::int ELSE (kind IN ('box', 'short', 'word'))::int END) AS bigint) AS n_boxes FROM items GROUP BY 1""")
 def parse_boxes_lenient(fx):
     return G.parse_boxes(fx.answers(), "answer", "lenient").groupBy("tile_id").agg(F.sum("n_boxes").alias("n_boxes"))
 

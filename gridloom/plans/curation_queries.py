@@ -331,7 +331,7 @@ def tile_manifest(fx):
 
 
 @query("label_round_trip", """
-SELECT stratum, action, count(*) AS n, round(sum(lon), 4) AS lon, count(cloud) AS n_cloud, sum(boxes) AS boxes FROM (
+SELECT stratum, action, count(*) AS n, round(sum(lon), 4) AS lon, count(cloud) AS n_cloud, cast(sum(boxes) AS bigint) AS boxes FROM (
   SELECT CASE WHEN n_boxes >= 3 THEN 'cluster' WHEN n_boxes >= 1 THEN 'mixed' ELSE 'forest' END AS stratum, action, lon, cloud_cover AS cloud, n_boxes AS boxes FROM fx_decided) GROUP BY 1, 2""", "fx_decided")
 def label_round_trip(fx):
     """Nested label records written as JSON lines and read back with their schema."""

@@ -45,7 +45,7 @@ def components_filtered(fx):
 
 
 @query("patch_stats", """
-SELECT p.patch_id, p.year, count(c.comp) AS pit_count, round(coalesce(sum(px), 0) * 0.01, 6) AS total_area_ha,
+SELECT p.patch_id, p.year, count(c.comp) AS pit_count, round(cast(coalesce(sum(px), 0) AS double) * 0.01e0, 6) AS total_area_ha,
   coalesce(string_agg(px || ':' || printf('%.4f', round_even(x1 / 32e0, 4)) || ':' || printf('%.4f', round_even(y2 / 32e0, 4)), ' ' ORDER BY comp), '') AS listed
 FROM fx_patches p LEFT JOIN (SELECT * FROM fx_mask_comps WHERE px >= 5) c USING (patch_id, year) GROUP BY 1, 2""", "fx_patches fx_mask_comps")
 def patch_stats(fx):
@@ -215,7 +215,7 @@ def augmented_masks(fx):
 
 
 @query("augmented_components", """
-SELECT v.variant, count(*) AS n, sum(px) AS px FROM fx_mask_comps CROSS JOIN (SELECT unnest(['orig', 'hflip', 'vflip', 'hvflip', 'rot90', 'rot270', 'rot90_hflip', 'rot90_vflip']) AS variant) v GROUP BY 1""", "fx_mask_comps")
+SELECT v.variant, count(*) AS n, cast(sum(px) AS bigint) AS px FROM fx_mask_comps CROSS JOIN (SELECT unnest(['orig', 'hflip', 'vflip', 'hvflip', 'rot90', 'rot270', 'rot90_hflip', 'rot90_vflip']) AS variant) v GROUP BY 1""", "fx_mask_comps")
 def augmented_components(fx):
     """Boxes are taken anew from every transformed mask."""
     comps = R.components(R.augment(fx.mask(), F.lit(32)), ["patch_id", "year", "variant"])

@@ -340,7 +340,7 @@ def label_messages(fx):
 
 @query("prompt_fields", _MESSAGES + """
 SELECT tile_id, 'u' || tile_id AS named, cast(printf('%.4f', lon) AS double) AS lon, cast(printf('%.4f', lat) AS double) AS lat, cloud_cover,
-  strftime(captured_at, '%Y-%m-%dT%H:%M:%SZ') AS captured_at, greatest(0, 512 - 80 * prior) AS budget_remaining_kb, 512 AS budget_total_kb,
+  strftime(captured_at, '%Y-%m-%dT%H:%M:%SZ') AS captured_at, cast(greatest(0, 512 - 80 * prior) AS int) AS budget_remaining_kb, 512 AS budget_total_kb,
   'known area' AS mission_priors, md5(""" + _NEIGHBOR_JSON + ") AS neighbors FROM told", "fx_decided")
 def prompt_fields(fx):
     f = X.prompt_fields(F.col("message"))
@@ -442,7 +442,7 @@ def best_iou(fx):
     return M.best_iou(pred, gold, fx.tiles()).withColumn("iou", F.round("iou", 6))
 
 
-@query("best_iou_crowded", _BEST + "SELECT tile_id, n_gold, n_pred, round(iou, 6) AS iou, h0 AS hit_0 FROM best", "fx_valid fx_tiles")
+@query("best_iou_crowded", _BEST + "SELECT tile_id, n_gold, n_pred, round(iou, 6) AS iou, cast(h0 AS bigint) AS hit_0 FROM best", "fx_valid fx_tiles")
 def best_iou_crowded(fx):
     """The cell join that crowded tiles take, forced for tiles of more than three boxes."""
     gold, pred = _years(fx)

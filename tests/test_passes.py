@@ -108,3 +108,15 @@ def test_abandoned_pass_is_settled_once_the_watermark_is_past_it(spark, tmp_path
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = {(r.pass_id, r.seq, r.used_kb) for r in S.run_available(S.stream_ledger(stream, watermark="1 hour"), "append").collect()}
     assert got == {(1, 1, 0), (1, 3, 80), (2, 1, 0)}
+
+
+def test_typed_events_from_json_lines_arrive_once(spark, tmp_path):
+    lines = [
+        '{"event": "vlm_done", "pass_id": "p", "seq": 2, "ts": "2024-01-01T00:00:02Z", "tile_id": "t1", "detection": {"tile_id": "t1", "boxes": [{"label": "x", "bbox": [0, 0, 1, 1], "confidence": 1.0}], "description": "d", "overall_confidence": 0.9}}',
+        '{"event": "budget_update", "pass_id": "p", "seq": 3, "ts": "2024-01-01T00:00:03Z", "bandwidth_used_kb": 80, "bandwidth_remaining_kb": 432}',
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines + lines[:1]) + "\n\n")
+    rows = S.run_available(S.event_stream(spark, str(tmp_path / "in")), "append").orderBy("seq").collect()
+    assert [(r.seq, r.event) for r in rows] == [(2, "vlm_done"), (3, "budget_update")]
+    assert rows[0].detection.boxes[0].bbox == [0.0, 0.0, 1.0, 1.0] and rows[1].bandwidth_used_kb == 80
