@@ -157,27 +157,24 @@ def _nms_rounds(boxes: DataFrame, order: str, keys: list[str], iou: float) -> Da
     rank = F.struct((-B.box_area(F.struct(*B.CORNERS))).alias("neg"), F.col(order).alias("ord"), *[F.col(c) for c in B.CORNERS])
     # Copies of a box overlap it fully: only the first can survive, so copies are folded before pairing.
     single = boxes.groupBy(*keys, *B.CORNERS).agg(F.min_by(F.struct(*rest), F.col(order)).alias("row")).select(*keys, "row.*")
-    open_ = cut_lineage(single.withColumn("id", rank))
-    a = open_.select(*keys, F.col("id").alias("ia"), _box_of(F.col("id")).alias("a"))
-    b = open_.select(*keys, F.col("id").alias("ib"), _box_of(F.col("id")).alias("b"))
+    nodes = cut_lineage(single.withColumn("id", rank))
+    a = nodes.select(*keys, F.col("id").alias("ia"), _box_of(F.col("id")).alias("a"))
+    b = nodes.select(*keys, F.col("id").alias("ib"), _box_of(F.col("id")).alias("b"))
     pairs = overlapping(a, b, keys, "a", "b", 16).filter((F.col("iou") >= iou) & (F.col("ia") < F.col("ib")))
     edges = cut_lineage(pairs.select(*keys, "ia", "ib"))
-    kept = None
-    while not open_.isEmpty():
-        blocked = edges.select(*keys, F.col("ib").alias("id")).distinct()
-        free = cut_lineage(open_.join(blocked, [*keys, "id"], "left_anti"))
-        kept = free if kept is None else kept.unionByName(free)
-        winners = free.select(*keys, F.col("id").alias("ia"))
-        lost = edges.join(winners, [*keys, "ia"], "left_semi").select(*keys, F.col("ib").alias("id")).distinct()
-        open_ = cut_lineage(
-            open_.join(free.select(*keys, "id"), [*keys, "id"], "left_anti").join(lost, [*keys, "id"], "left_anti")
-        )
-        alive = open_.select(*keys, "id")
+    dropped = None
+    # A box that nothing open outranks is kept and drops all it overlaps; what is never dropped is kept.
+    while not edges.isEmpty():
+        outranked = edges.select(*keys, F.col("ib").alias("ia")).distinct()
+        winning = edges.join(outranked, [*keys, "ia"], "left_anti")
+        lost = cut_lineage(winning.select(*keys, F.col("ib").alias("id")).distinct())
+        dropped = lost if dropped is None else dropped.unionByName(lost)
         edges = cut_lineage(
-            edges.join(alive.withColumnRenamed("id", "ia"), [*keys, "ia"], "left_semi")
-            .join(alive.withColumnRenamed("id", "ib"), [*keys, "ib"], "left_semi")
+            edges.join(lost.withColumnRenamed("id", "ia"), [*keys, "ia"], "left_anti")
+            .join(lost.withColumnRenamed("id", "ib"), [*keys, "ib"], "left_anti")
         )
-    return (kept if kept is not None else open_).drop("id")
+    kept = nodes if dropped is None else nodes.join(dropped, [*keys, "id"], "left_anti")
+    return kept.drop("id")
 
 
 def match_change_table(
