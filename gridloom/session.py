@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: set[str] = set()
+
 
 def get_spark(app: str = "gridloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume; cluster sizing is left to the caller."""
@@ -30,10 +33,13 @@ def _conf(spark: SparkSession, name: str) -> str | None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where none is named."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a folder of this machine only where Spark runs on it alone."""
     named = _conf(spark, "spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = _conf(spark, "spark.gridloom.scratch.dir")
     if not local:
         local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -42,8 +48,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below the shared folder."""
-    return f"{shared_folder(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
+    """A fresh folder name below the shared folder, removed when the driver's program ends."""
+    path = f"{shared_folder(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(clear_scratch, spark)
+    _scratch.add(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every scratch folder made so far. Frames that read from them can't be used any more."""
+    if spark.sparkContext._jsc is None:  # already stopped
+        return
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: computed once, compressed, safe from lost executors."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
