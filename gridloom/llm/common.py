@@ -80,15 +80,15 @@ def pieces(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, row_id: Sequence[Column]) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, row_id: Sequence[Column], heavy: int = HEAVY_KEYS) -> DataFrame:
     """``left`` with the columns of ``right`` (unique by ``keys``), or nulls, however many rows of ``left`` share a key.
 
-    The ``HEAVY_KEYS`` keys of greatest ``weight`` are broadcast: that many rows, whatever the size. No other key
-    holds more than one row in ``HEAVY_KEYS``; those meet in a shuffle, where rows already served are dealt out by a
+    The ``heavy`` keys of greatest ``weight`` are broadcast: that many rows, whatever the size. No other key
+    holds more than one row in ``heavy``; those meet in a shuffle, where rows already served are dealt out by a
     hash of ``row_id``. Keys are integers and not null. ``right`` is read twice: settle it first. ``weight`` is dropped.
     """
     gains = [c for c in right.columns if c not in (*keys, weight)]
-    top = right.orderBy(F.desc(weight), *keys).limit(HEAVY_KEYS).select(*keys, F.struct(*gains).alias("_heavy"))
+    top = right.orderBy(F.desc(weight), *keys).limit(heavy).select(*keys, F.struct(*gains).alias("_heavy"))
     served = left.join(F.broadcast(top), list(keys), "left")
     own = [F.when(F.col("_heavy").isNull(), F.col(k)).otherwise(F.xxhash64(F.lit(i), *row_id)).alias(f"_k{i}") for i, k in enumerate(keys)]
     dealt = served.select("*", *own, F.col("_heavy").isNotNull().alias("_done"))
@@ -107,3 +107,15 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "rn") ->
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return ordered.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+
+
+#: Hash slots of ``likely_in``: a broadcast of that many small integers at most.
+SLOTS = 1 << 18
+
+
+def likely_in(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``df`` whose ``col`` may be among ``ids``, so that a following join shuffles less. No row is missed.
+
+    What is broadcast are hash slots, ``SLOTS`` of them at most, whatever the number of ids."""
+    slot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SLOTS)).cast("int").alias("_slot")
+    return df.join(F.broadcast(ids.select(slot).distinct()), F.pmod(F.xxhash64(F.col(col)), F.lit(SLOTS)).cast("int") == F.col("_slot"), "left_semi")

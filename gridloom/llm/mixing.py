@@ -125,6 +125,6 @@ def mix(
 
 
 def repeated(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the named columns and ``copy`` (from 1)."""
-    taken = mixed.filter("copies > 0").select(F.struct(*[mixed[c] for c in columns]).alias("row"), F.explode(F.sequence(F.lit(1), mixed["copies"].cast("int"))).alias("copy"))
-    return taken.select(*[F.col("row").getField(c).alias(c) for c in columns if c != "copy"], "copy")
+    """The mix itself: a row for each copy of a document, with the named columns."""
+    taken = mixed.filter("copies > 0").select(F.struct(*[mixed[c] for c in columns]).alias("row"), F.explode(F.sequence(F.lit(1), mixed["copies"].cast("int"))))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import decontaminate, line_dedup, mixing, syncmers, token_files, warc
+from gridloom.llm import decontaminate, language_id, line_dedup, minhash, mixing, quality, syncmers, token_files, toxicity, warc
 from gridloom.llm.common import crc_mod
 from gridloom.session import scratch_path
 
@@ -24,6 +24,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the labelled ones."""
+    labels = table(spark, folder, "labels").filter(crc_mod("doc_id", 5) != 0)
+    rated = toxicity.rate(table(spark, folder, "documents"), labels, keep=["doc_id"])
+    return rated.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
 @query
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Source mixture: words per document, its source's words and target, and the words the mix takes."""
@@ -77,6 +85,15 @@ FROM k
 """
 
 
+@query
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = table(spark, folder, "documents")
+    prototypes = language_id.learn(docs.filter(crc_mod("doc_id", 4) != 2))
+    found = language_id.identify(docs, prototypes, row=F.struct("doc_id"))
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Syncmer fingerprints of documents and of their edited texts."""
@@ -96,6 +113,33 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of documents linked by 2-word shingle sets of similarity 0.8 or more."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), n=2, percent=80)
+
+
+ORACLES["op8_minhash"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
+  FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+k AS (SELECT s, min(doc_id) AS rep FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0) GROUP BY s),
+copies AS (SELECT doc_id AS a, rep AS b FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0) JOIN k USING (s)),
+r AS (SELECT e.* FROM e JOIN (SELECT DISTINCT b FROM copies) ON doc_id = b),
+near AS (
+  SELECT p.doc_id AS a, q.doc_id AS b FROM r p JOIN r q ON p.x = q.x AND p.doc_id < q.doc_id AND 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n)
+  GROUP BY p.doc_id, q.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+edges AS (SELECT a, b FROM copies WHERE a <> b UNION SELECT b, a FROM copies WHERE a <> b UNION SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT edges.b, reach.root FROM reach JOIN edges ON edges.a = reach.node),
+roots AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, len(s) AS n_shingles, component_id, component_id = doc_id AS kept FROM s JOIN roots ON node = doc_id
+"""
+
+
 @query
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows found in documents."""
@@ -128,3 +172,9 @@ SELECT s.id AS doc_id, s.n AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_i
   sha256(coalesce(all_items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= s.n AS contaminated
 FROM sized s LEFT JOIN hit_words h ON h.doc_id = s.id LEFT JOIN items t ON t.doc_id = s.id WHERE s.kind = 'd'
 """
+
+
+@query
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Perplexity of every document under a model of trusted text, against its language's threshold."""
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), keep=["doc_id", "lang"])
