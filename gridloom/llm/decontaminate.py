@@ -111,7 +111,7 @@ def find_contamination(
     windows = settle(_benchmark_windows(benchmark, item_col, item_text_col, n), "windows")
     blocks = max(1, -(-windows.count() // max_windows))
     names = [c for c in (keep or docs.columns) if c not in ADDED]
-    current = docs.select(F.col(text_col).alias("_text"), F.lit(None).cast(T.DataType.fromDDL(HITS)).alias("_hits"), F.struct(*[docs[c] for c in names], F.lit(0).alias("_")).alias("_row"))
+    current = docs.select(F.col(text_col).alias("_text"), F.lit(None).cast(T.DataType.fromDDL(HITS)).alias("_hits"), F.struct(*[docs[c] for c in names]).alias("_row"))
     row = current.schema["_row"]
     for k in range(blocks):
         rows = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).collect()  # max_windows rows or so

@@ -102,7 +102,7 @@ def mix(
     names = [c for c in (keep or docs.columns) if c not in ("size", "source_size", "target", "rate", "copies")]
     source = F.col(source_col)
     rows = docs.select(
-        F.struct(*[docs[c] for c in names], F.lit(0).alias("_")).alias("row"), source.alias("source"),
+        F.struct(*[docs[c] for c in names]).alias("row"), source.alias("source"),
         F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source)).alias("key"), word_count(F.col(text_col)).alias("size"),
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"),
     ).withColumn("block", F.pmod("h", F.lit(BLOCKS)))

@@ -201,12 +201,12 @@ def classify(
         return docs.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("trusted"), "left_semi")
 
     model = KneserNey(learn(trusted.filter(~held_out)).select(F.col(text_col).alias("text")))
-    row = F.struct(*[docs[c] for c in names], docs[id_col].alias("_id"), docs[lang_col].alias("_lang"))
+    row = F.struct(F.struct(*[docs[c] for c in names]).alias("kept"), docs[id_col].alias("id"), docs[lang_col].alias("lang"))
     scored = score(docs, model, row, docs[text_col])
     rate = F.when(F.col("n_chars") > 0, F.col("bits") / F.col("n_chars")).otherwise(0.0)
     scored = settle(scored.withColumn("rate", rate).withColumn("bin", F.ceil(F.col("rate") * 1000)), "scored", "zstd")
 
-    calibration = scored.select(F.col("row._id").alias("id"), F.col("row._lang").alias("lang"), "bin").filter("bin > 0")
+    calibration = scored.select(F.col("row.id").alias("id"), F.col("row.lang").alias("lang"), "bin").filter("bin > 0")
     chosen = trusted.filter(held_out)
     sample = calibration.join(F.broadcast(chosen) if few else chosen, F.col("id") == F.col("trusted"), "left_semi")
     bins = settle(sample.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n")), "bins")
@@ -219,9 +219,9 @@ def classify(
     everywhere = cut([]).first()
     shared = F.lit(everywhere["cut"] if everywhere else None).cast("long")
     by_lang = cut(["lang"]).filter("all >= 50").select(F.col("lang").alias("_of"), "cut")
-    done = scored.join(by_lang, F.col("row._lang").eqNullSafe(F.col("_of")), "left").withColumn("cut", F.coalesce("cut", shared))
+    done = scored.join(by_lang, F.col("row.lang").eqNullSafe(F.col("_of")), "left").withColumn("cut", F.coalesce("cut", shared))
     return done.select(
-        *[F.col("row").getField(c).alias(c) for c in names], "n_chars", F.pow(F.lit(2.0), F.col("rate")).alias("perplexity"),
+        *[F.col("row.kept").getField(c).alias(c) for c in names], "n_chars", F.pow(F.lit(2.0), F.col("rate")).alias("perplexity"),
         F.pow(F.lit(2.0), F.col("cut") / 1000).alias("threshold"), F.coalesce(F.col("bin") <= F.col("cut"), F.lit(True)).alias("accepted"),
     )
 

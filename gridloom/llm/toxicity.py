@@ -258,7 +258,7 @@ def rate(
                 lists = [pa.array([[x[k] for x in row] for row in out], pa.list_(pa.int32())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["row", "id", "terms", "counts"])
 
-    rows = docs.select(F.struct(*[docs[c] for c in names], F.lit(0).alias("_")).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([rows.schema["row"], rows.schema["id"], *T.StructType.fromDDL("terms array<int>, counts array<int>").fields])
     held = settle(rows.mapInArrow(vectors, schema), "vectors", "zstd")
     n = held.count()
