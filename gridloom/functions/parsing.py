@@ -13,11 +13,23 @@ TOOL_CALL = r"(?s)<\|tool_call_start\|>(.*?)<\|tool_call_end\|>"
 CALL_END, TURN_END = "<|tool_call_end|>", "<|im_end|>"
 FOUR_NUMBERS = r"\[\s*[\d.]+\s*,\s*[\d.]+\s*,\s*[\d.]+\s*,\s*[\d.]+\s*\]"
 
-# A call with literal arguments: name(key="text", key='text', key=3, key=None).
+# A call with literal arguments: positional ones first, then keywords. Values: adjacent strings, numbers, names, and lists,
+# tuples and dicts of them, nested twice.
 _STRING = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
-_VALUE = rf"(?:{_STRING}|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[A-Za-z_]\w*)"
-_ARG = rf"(?:[A-Za-z_]\w*\s*=\s*)?{_VALUE}"
-CALL = rf"^([A-Za-z_]\w*)\s*\(\s*(?:{_ARG}(?:\s*,\s*{_ARG})*\s*,?)?\s*\)$"
+
+
+def _nested(value: str) -> str:
+    some = rf"(?:{value}(?:\s*,\s*{value})*\s*,?)?"
+    pair = rf"{value}\s*:\s*{value}"
+    return rf"(?:{value}|\[\s*{some}\s*\]|\(\s*{some}\s*\)|\{{\s*(?:{pair}(?:\s*,\s*{pair})*\s*,?)?\s*\}})"
+
+
+_STRINGS = rf"{_STRING}(?:\s*{_STRING})*"
+_VALUE = _nested(_nested(rf"(?:{_STRINGS}|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[A-Za-z_]\w*)"))
+_NAMED = rf"[A-Za-z_]\w*\s*=\s*{_VALUE}"
+_ARGS = rf"(?:{_VALUE}(?:\s*,\s*{_VALUE})*(?:\s*,\s*{_NAMED})*|{_NAMED}(?:\s*,\s*{_NAMED})*)"
+CALL = rf"^([A-Za-z_]\w*)\s*\(\s*((?:{_ARGS}\s*,?)?)\s*\)$"
+ARGUMENT = rf"(?:([A-Za-z_]\w*)\s*=\s*)?({_VALUE})\s*(?:,\s*|$)"
 
 
 # An end mark that model text cannot hold: control characters are escaped in JSON.
@@ -34,8 +46,10 @@ def with_strict_json(df: DataFrame, text: Column, name: str) -> DataFrame:
 
     ``try_parse_json`` ignores text after the first value, so the text becomes the first of two list
     items, the second an end mark: trailing or extra content moves the mark and is refused. Every
-    step is a column of its own, so nothing is parsed twice.
+    step is a column of its own, so nothing is parsed twice. Of doubled keys the last counts, which is
+    what the session is set to.
     """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
     pair = F.col("_pair")
     whole = (F.size(pair) == 2) & (F.try_variant_get(F.get(pair, F.lit(1)), "$", "string") == F.lit("\u0001end"))
@@ -124,9 +138,28 @@ def _unquote(literal: Column) -> Column:
     return F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\"))
 
 
-def _argument(body: Column, name: str) -> Column:
-    return _unquote(
-        F.nullif(F.regexp_extract(body, rf"[(,]\s*{name}\s*=\s*({_STRING})", 1), F.lit(""))
+def _arguments(body: Column) -> Column:
+    """Keywords of a call with their literals, in order; positional arguments have an empty keyword."""
+    inside = F.regexp_extract(body, CALL, 2)
+    names, values = (F.regexp_extract_all(inside, F.lit(ARGUMENT), F.lit(i)) for i in (1, 2))
+    return F.when(inside != "", F.arrays_zip(names.alias("k"), values.alias("v"))).otherwise(F.expr("cast(array() as array<struct<k:string,v:string>>)"))
+
+
+def _call_name(body: Column, arguments: Column) -> Column:
+    """Name of a call, or null where the text is no call or repeats a keyword."""
+    named = F.filter(arguments, lambda a: a["k"] != "")
+    repeated = F.size(named) != F.size(F.array_distinct(F.transform(named, lambda a: a["k"])))
+    return F.when(~repeated, F.nullif(F.regexp_extract(body, CALL, 1), F.lit("")))
+
+
+def _text_of(arguments: Column, name: str) -> Column:
+    """A keyword's value as text: strings unquoted and joined, names other than literals as None, the rest as it stands."""
+    literal = F.get(F.filter(arguments, lambda a: a["k"] == name), F.lit(0))["v"]
+    joined = F.array_join(F.transform(F.regexp_extract_all(literal, F.lit(f"({_STRING})")), _unquote), "")
+    return (
+        F.when(literal.rlike(rf"^{_STRINGS}$"), joined)
+        .when(literal.rlike(r"^[A-Za-z_]\w*$") & ~literal.isin("True", "False"), "None")
+        .otherwise(literal)
     )
 
 
@@ -144,10 +177,12 @@ def parse_tool_calls(df: DataFrame, text: str) -> DataFrame:
     marked = raw.rlike(TOOL_CALL)
     staged = (
         df.withColumn("_body", F.when(marked, _call_body(F.regexp_extract(raw, TOOL_CALL, 1))))
-        .withColumn("_name", F.nullif(F.regexp_extract(F.col("_body"), CALL, 1), F.lit("")))
+        .withColumn("_args", _arguments(F.col("_body")))
+        .withColumn("_name", _call_name(F.col("_body"), F.col("_args")))
         .withColumn("_known", tool_to_action(F.col("_name")))
-        .withColumn("direction", F.nullif(F.when(F.col("_known").isNotNull(), _argument(F.col("_body"), "direction")), F.lit("")))
-        .withColumn("_said", strip(F.coalesce(_argument(F.col("_body"), "reason"), F.lit(""))))
+        .withColumn("_to", F.when(F.col("_known").isNotNull(), _text_of(F.col("_args"), "direction")))
+        .withColumn("direction", F.when(~F.col("_to").isin("", "None", "False", "0", "[]", "{}", "()"), F.col("_to")))
+        .withColumn("_said", strip(F.coalesce(_text_of(F.col("_args"), "reason"), F.lit(""))))
     )
     after = F.substring(raw, F.instr(raw, CALL_END) + len(CALL_END), F.length(raw))
     trailing = strip(F.substring_index(after, TURN_END, 1))
@@ -175,7 +210,7 @@ def parse_tool_calls(df: DataFrame, text: str) -> DataFrame:
             .when(F.col("_known").isNull(), F.concat(F.lit("agent called unknown tool '"), name, F.lit("'; default discard")))
             .otherwise(F.coalesce(F.nullif(full, F.lit("")), F.lit("(no reason given)"))),
         )
-        .drop("_body", "_name", "_known", "_said", "_after")
+        .drop("_body", "_args", "_name", "_known", "_to", "_said", "_after")
     )
 
 
@@ -186,10 +221,15 @@ def lenient_tool(text: Column) -> Column:
         F.regexp_extract(strip(F.substring_index(text, TURN_END, 1)), r"(?s)(\w+)\s*\([^)]*\)", 0), F.lit("")
     )
     body = F.when(marked, _call_body(F.regexp_extract(text, TOOL_CALL, 1))).otherwise(bare)
-    name = F.nullif(F.regexp_extract(body, CALL, 1), F.lit(""))
+    name = _call_name(body, _arguments(body))
     return F.when(body.isNull(), "<no_call>").otherwise(F.coalesce(name, F.lit("<unparseable>")))
 
 
+def _is_null(field: str) -> Column:
+    """True for a JSON null in the object, not for an absent field."""
+    return F.coalesce(F.is_variant_null(F.try_variant_get("_obj", f"$.{field}", "variant")), F.lit(False))
+
+
 def parse_json_actions(df: DataFrame, text: str, mode: str = "policy") -> DataFrame:
     """Add ``action`` and ``outcome`` (policy mode: also ``tool`` and ``reason``) from JSON text.
 
@@ -212,9 +252,10 @@ def parse_json_actions(df: DataFrame, text: str, mode: str = "policy") -> DataFr
             )
             .drop("_span", "_obj", "_said")
         )
-    named = F.lower(strip(F.coalesce(said, F.lit(""))))
+    # A null field reads None; an absent one is empty.
+    named = F.lower(strip(F.coalesce(F.when(_is_null("action"), "None").otherwise(said), F.lit(""))))
     known = named.isin(*K.ACTIONS)
-    reason = strip(F.coalesce(F.try_variant_get("_obj", "$.reason", "string"), F.lit("")))
+    reason = strip(F.coalesce(F.when(_is_null("reason"), "None").otherwise(F.try_variant_get("_obj", "$.reason", "string")), F.lit("")))
     direction = F.coalesce(F.try_variant_get("_obj", "$.direction", "string"), F.lit(""))
     worded = F.coalesce(F.nullif(reason, F.lit("")), F.lit("(no reason given)"))
     return (

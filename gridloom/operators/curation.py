@@ -129,9 +129,10 @@ def systematic_sample(df: DataFrame, order: Sequence[str], block: Column, n: int
 
 
 def sample_per_group(df: DataFrame, by: Sequence[str], k: int, key: str, seed: int = 42) -> DataFrame:
-    """``k`` keyed-random rows per group; the rank limit is applied before the shuffle as well."""
-    w = Window.partitionBy(*by).orderBy(key_hash(seed, key), key)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+    """``k`` keyed-random rows per group; a group of any size is ranked over its hash blocks."""
+    staged = df.withColumn("_h", key_hash(seed, key))
+    ranked = block_rank(staged, by, ["_h", key], hash_block(F.col("_h")), "_rn")
+    return ranked.filter(F.col("_rn") <= k).drop("_h", "_rn")
 
 
 def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:

@@ -196,7 +196,7 @@ def match_change_table(
         return F.array_sort(F.collect_list(F.when(F.col("_side") == n, F.struct("ord", "b"))))
 
     lists = few.groupBy(*keys).agg(side(0).alias("_past"), side(1).alias("_present"))
-    matched = B.match_change(F.transform("_past", lambda r: r["b"]), F.transform("_present", lambda r: r["b"]))
+    matched = B.match_change(F.transform("_past", lambda r: r["b"]), F.transform("_present", lambda r: r["b"]), min_iou)
     out = lists.select(*keys, F.explode(F.arrays_zip(F.col("_present"), matched.alias("_m"))).alias("z")).select(
         *keys, F.col("z._present.ord").alias(order), *[F.col(f"z._present.b.{c}").alias(c) for c in B.CORNERS],
         F.col("z._m.status").alias("status"),

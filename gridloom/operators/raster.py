@@ -12,11 +12,9 @@ from gridloom import constants as K
 from gridloom.functions.keyed import key_hash, uniform
 from gridloom.functions.numbers import half_even
 from gridloom.operators.graph import connected
-from gridloom.operators.ranking import exact_quantiles
 from gridloom.session import cut_lineage
 
 BLOCK = 128
-HOT_PIXELS = 4_000_000
 PATCH = ("patch_id",)
 YEARLY = ("patch_id", "year")
 
@@ -106,26 +104,27 @@ def _label_blocks(size: int):
 
 def components(
     mask: DataFrame, keys: Sequence[str] = YEARLY, min_pixels: int = 1,
-    block: int = BLOCK, max_rounds: int = 64, within_block: bool | None = None,
+    block: int = BLOCK, within_block: bool = False,
 ) -> DataFrame:
     """4-connected components: ``keys…, comp, px, x1, y1, x2, y2`` (exclusive maxima).
 
     ``comp`` is the raster-first pixel as ``y << 32 | x``, so it orders components as a raster scan.
     Pixels are gathered per fixed-size block, never per patch. Where a mask spans several blocks the
     block results are stitched over their seams, so a scene of any extent, or a whole archive under
-    one key, is labelled by the same call. ``within_block`` states that no patch reaches beyond one
-    block; left open, the coordinates are checked (row-group statistics make that cheap on files).
+    one key, is labelled by the same call. ``within_block`` declares that no patch reaches beyond one
+    block, which leaves the stitching out; a pixel that does so fails the job.
     """
     keys = list(keys)
     x, y = F.col("x").cast("long"), F.col("y").cast("long")
+    bx, by = F.floor(x / block), F.floor(y / block)
+    if within_block:
+        beyond = F.raise_error(F.lit(f"within_block, but a pixel lies outside the first block of {block}")).cast("long")
+        bx, by = (F.when(b == 0, F.lit(0).cast("long")).otherwise(beyond) for b in (bx, by))
     cells = (
-        mask.select(*keys, F.floor(x / block).alias("_bx"), F.floor(y / block).alias("_by"), x.alias("x"), y.alias("y"))
+        mask.select(*keys, bx.alias("_bx"), by.alias("_by"), x.alias("x"), y.alias("y"))
         .groupBy(*keys, "_bx", "_by")
         .agg(F.collect_set(((F.col("y") - F.col("_by") * block) * block + F.col("x") - F.col("_bx") * block).cast("int")).alias("_cells"))
     )
-    if within_block is None:
-        outside = (F.col("x") >= block) | (F.col("y") >= block) | (F.col("x") < 0) | (F.col("y") < 0)
-        within_block = mask.filter(outside).isEmpty()
     several = not within_block
     labelled = cells.select(*keys, "_bx", "_by", _label_blocks(block)("_cells").alias("_l"))
     x0, y0 = F.col("_bx") * block, F.col("_by") * block
@@ -156,7 +155,7 @@ def components(
         return far.join(near, [*keys, "_bx", "_by", "pos"]).select(*keys, "a", "b")
 
     edges = facing(0, 1, 1, 0).unionByName(facing(2, 3, 0, 1))
-    roots = connected(edges, keys, max_rounds)
+    roots = connected(edges, keys)
     return (
         parts.join(roots, [*keys, "node"], "left")
         .groupBy(*keys, F.coalesce("root", "node").alias("comp"))
@@ -340,10 +339,10 @@ def change_mask(mask: DataFrame, y0: int = K.YEARS[0], y1: int = K.YEARS[1]) ->
 
 
 def box_ceiling(
-    mask: DataFrame, patches: DataFrame, keys: Sequence[str] = YEARLY, block: int = BLOCK
+    mask: DataFrame, patches: DataFrame, keys: Sequence[str] = YEARLY, block: int = BLOCK, within_block: bool = False
 ) -> DataFrame:
     """Per-patch confusion of the truth against its own component boxes: the best boxes can do."""
-    comps = components(mask, keys, 1, block)
+    comps = components(mask, keys, 1, block, within_block)
     return confusion_of_bits(component_bits(comps, keys), mask_bits(mask, keys), patches, keys)
 
 
@@ -386,35 +385,16 @@ def augment(pixels: DataFrame, size: Column, group: str = "d4", only: Column | N
     )
 
 
-def _hot(pixels: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
-    """Patches with more values than one task should sort; None where there are none (checked now)."""
-    found = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys)
-    return None if found.isEmpty() else cut_lineage(found)
-
-
-def _small_bounds(pixels: DataFrame, keys: list[str], lo: float, hi: float) -> DataFrame:
-    q = F.percentile("v", F.array(F.lit(lo), F.lit(hi)))
-    return pixels.groupBy(*keys, "band").agg(q.alias("_q")).select(
-        *keys, "band", F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi")
-    )
-
-
-def _wide_bounds(pixels: DataFrame, keys: list[str], lo: float, hi: float) -> DataFrame:
-    return exact_quantiles(pixels, [*keys, "band"], "v", (lo, hi)).withColumnsRenamed({"q0": "lo", "q1": "hi"})
-
-
 def band_bounds(
-    pixels: DataFrame, keys: Sequence[str] = PATCH, lo: float = K.STRETCH_LOW, hi: float = K.STRETCH_HIGH,
-    hot_pixels: int = HOT_PIXELS,
+    pixels: DataFrame, keys: Sequence[str] = PATCH, lo: float = K.STRETCH_LOW, hi: float = K.STRETCH_HIGH
 ) -> DataFrame:
-    """Exact interpolated percentiles per patch and band: ``keys…, band, lo, hi``."""
-    keys = list(keys)
-    hot = _hot(pixels, keys, hot_pixels)
-    if hot is None:
-        return _small_bounds(pixels, keys, lo, hi)
-    return _small_bounds(pixels.join(hot, keys, "left_anti"), keys, lo, hi).unionByName(
-        _wide_bounds(pixels.join(hot, keys, "left_semi"), keys, lo, hi)
-    )
+    """Exact interpolated percentiles per patch and band: ``keys…, band, lo, hi``; null for a band without values.
+
+    Equal values are counted map-side, so a task holds a patch's distinct values and never its pixels.
+    """
+    q = F.percentile("v", F.array(F.lit(lo), F.lit(hi)))
+    found = pixels.groupBy(*keys, "band").agg(q.alias("_q"))
+    return found.select(*keys, "band", F.get("_q", F.lit(0)).alias("lo"), F.get("_q", F.lit(1)).alias("hi"))
 
 
 def _stretched(v: Column, lo: Column, hi: Column) -> Column:
@@ -424,26 +404,18 @@ def _stretched(v: Column, lo: Column, hi: Column) -> Column:
 
 def stretch(
     pixels: DataFrame, bands: Sequence[int] | None = None, keys: Sequence[str] = PATCH,
-    lo: float = K.STRETCH_LOW, hi: float = K.STRETCH_HIGH, hot_pixels: int = HOT_PIXELS,
+    lo: float = K.STRETCH_LOW, hi: float = K.STRETCH_HIGH,
 ) -> DataFrame:
-    """Percentile stretch of every patch and band to 0..255, column ``level``.
+    """Percentile stretch of every patch and band to 0..255, column ``level``; null where ``v`` is null.
 
-    Pixels are shuffled once, by patch: the percentiles are window values on that exchange, and a
-    composite built on top pivots on it too. Patches of more than ``hot_pixels`` values (whole scenes)
-    are spread over tasks instead.
+    The bounds, one row per patch and band, are joined to the pixels, so a scene under one key is spread
+    over tasks like many small patches.
     """
     keys = list(keys)
     source = pixels if bands is None else pixels.filter(F.col("band").isin(*bands))
-    hot = _hot(source, keys, hot_pixels)
-    usual = (source if hot is None else source.join(hot, keys, "left_anti")).repartition(*keys)
-    q = F.percentile("v", F.array(F.lit(lo), F.lit(hi))).over(Window.partitionBy(*keys, "band"))
-    out = usual.withColumn("_q", q).withColumn("level", _stretched(F.col("v"), F.col("_q")[0], F.col("_q")[1])).drop("_q")
-    if hot is not None:
-        big = source.join(hot, keys, "left_semi")
-        wide = _wide_bounds(big, keys, lo, hi)
-        spread = big.join(wide, [*keys, "band"]).withColumn("level", _stretched(F.col("v"), F.col("lo"), F.col("hi")))
-        out = out.unionByName(spread.select(*out.columns))
-    return out
+    bounds = band_bounds(source, keys, lo, hi)
+    level = _stretched(F.col("v"), F.col("lo"), F.col("hi")).alias("level")
+    return source.join(bounds, [*keys, "band"]).select(*source.columns, level)
 
 
 def composite(

@@ -123,7 +123,7 @@ def oversampled(fx):
 @query("repeated_singles", """
 SELECT patch_id, year, unnest(range(1, CASE WHEN pit_count = 1 AND split = 'train' THEN 4 ELSE 2 END)) AS copy FROM fx_stats""", "fx_stats")
 def repeated_singles(fx):
-    t = R.patch_totals(R.components(fx.mask()), fx.patches())
+    t = R.patch_totals(R.components(fx.mask(), within_block=True), fx.patches())
     times = F.when((F.col("pit_count") == 1) & (F.col("split") == "train"), K.SINGLE_COMPONENT_COPIES).otherwise(1)
     return C.repeat_rows(t, times).select("patch_id", "year", "copy")
 
@@ -167,10 +167,10 @@ def first_rows_per_split(fx):
     return C.first_rows(fx.patches(), ["split"], ["patch_id", "year"], 3).select("patch_id", "year", "split")
 
 
-@query("held_out_range", "SELECT 'u' || lpad(cast(tile_id AS varchar), 4, '0') AS coord_id FROM fx_tiles WHERE 'u' || lpad(cast(tile_id AS varchar), 4, '0') BETWEEN 'u0190' AND 'u0249'", "fx_tiles")
+@query("held_out_range", "SELECT coord_id FROM (SELECT 'u' || lpad(cast(tile_id AS varchar), cast(greatest(4, length(cast(tile_id AS varchar))) AS int), '0') AS coord_id FROM fx_tiles) WHERE coord_id BETWEEN 'u0190' AND 'u0249'", "fx_tiles")
 def held_out_range(fx):
     digits = F.col("o_orderkey").cast("string")
-    ids = fx.table("orders").select(F.concat(F.lit("u"), F.substring(F.lpad(digits, 4, "0"), 1, 4)).alias("coord_id"))
+    ids = fx.table("orders").select(F.concat(F.lit("u"), F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), F.lit("0"))).alias("coord_id"))
     return ids.filter(F.col("coord_id").between("u0190", "u0249"))
 
 
@@ -298,7 +298,7 @@ def distinct_descriptions(fx):
     """Exact distinct sentences per split."""
     from gridloom.functions.text import plain_description
 
-    t = R.patch_totals(R.components(fx.mask()), fx.patches())
+    t = R.patch_totals(R.components(fx.mask(), within_block=True), fx.patches())
     said = t.select("split", plain_description(F.col("pit_count"), F.col("total_area_ha")).alias("t"))
     return said.groupBy("split").agg(F.count_distinct("t").alias("n"))
 

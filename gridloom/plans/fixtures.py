@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.operators.ranking import block_rank
-from gridloom.session import spread
 
 
 class Fixtures:
@@ -59,7 +58,7 @@ class Fixtures:
                 ((x + ((k + i * i) % 40).cast("double")) / 128.0).alias("x2"), ((y + 1.0 + ((k + i) % 30).cast("double")) / 128.0).alias("y2"),
             )
 
-        return spread(self.table("orders")).select(k.alias("tile_id"), F.transform(F.sequence(F.lit(0), F.lit(5)), box).alias("raw"))
+        return self.table("orders").select(k.alias("tile_id"), F.transform(F.sequence(F.lit(0), F.lit(5)), box).alias("raw"))
 
     def answers(self) -> DataFrame:
         """Model answers with box lists: clean, wrapped in prose, broken, with odd elements, or none."""
@@ -79,7 +78,7 @@ class Fixtures:
             F.when(t % 9 == 0, "[]").when(t % 9 == 1, "no boxes here").when(t % 9 == 2, F.concat(F.lit("Boxes: "), body, F.lit(" as asked.")))
             .when(t % 9 == 3, F.concat(body, F.lit(" and [1]"))).when(t % 9 == 4, F.concat(F.lit("["), body)).otherwise(body)
         )
-        return spread(self.table("lineitem")).select(t.alias("tile_id"), text.alias("answer"))
+        return self.table("lineitem").select(t.alias("tile_id"), text.alias("answer"))
 
     def _mask(self, per_patch: int) -> DataFrame:
         early = (F.col("l_returnflag") == "R") | ((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"))
@@ -90,8 +89,12 @@ class Fixtures:
         )
 
     def mask(self) -> DataFrame:
-        """Sparse positives on a 32 x 32 grid, two years (pixels may repeat)."""
-        return self._mask(128)
+        """Sparse positives on a 32 x 32 grid, two years (pixels may repeat). Of seven patches, one is empty, one has
+        the earlier year alone, one has one pixel in the later year alone, and one has the same pixel in both."""
+        kind = F.col("patch_id") % 7
+        chosen = self._mask(128).filter((kind != 4) & ~((kind == 3) & (F.col("year") == 2022)) & ~((kind == 2) & (F.col("year") == 2016)))
+        single = kind.isin(2, 5)
+        return chosen.withColumns({"x": F.when(single, 5).otherwise(F.col("x")), "y": F.when(single, 6).otherwise(F.col("y"))})
 
     def dense_mask(self) -> DataFrame:
         return self._mask(512)
@@ -161,7 +164,7 @@ class Fixtures:
             '{"action": "downlink", ',
         ]
         pick = F.get(F.array(*[F.lit(t) for t in texts]), (F.col("event_id") % 8).cast("int"))
-        return spread(self.table("events")).select("event_id", pick.alias("raw"))
+        return self.table("events").select("event_id", pick.alias("raw"))
 
     def text_pairs(self) -> DataFrame:
         """Whole documents against a copy with some words changed or dropped."""

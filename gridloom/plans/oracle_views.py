@@ -98,12 +98,19 @@ SELECT *, used_kb - CASE WHEN action = 'downlink' THEN 80 ELSE 0 END AS used_bef
   FROM fx_decided)
 WHERE seq = 1 OR used_kb - CASE WHEN action = 'downlink' THEN 80 ELSE 0 END < budget_kb""", "fx_decided")
 
-for _name, _per in (("fx_mask", 128), ("fx_mask_dense", 512)):
+for _name, _per in (("fx_mask_full", 128), ("fx_mask_dense", 512)):
     _view(_name, f"""
 SELECT DISTINCT cast(floor(cast(l_orderkey AS double) / {_per}e0) AS bigint) AS patch_id,
   CASE WHEN l_returnflag = 'R' OR (l_returnflag = 'A' AND l_linestatus = 'O') THEN 2016 ELSE 2022 END AS year,
   cast(l_partkey % 32 AS int) AS x, cast(l_quantity AS int) % 32 AS y FROM lineitem""")
 
+_view("fx_mask", """
+SELECT DISTINCT patch_id, year, CASE WHEN patch_id % 7 IN (2, 5) THEN 5 ELSE x END AS x, CASE WHEN patch_id % 7 IN (2, 5) THEN 6 ELSE y END AS y
+FROM fx_mask_full WHERE patch_id % 7 <> 4 AND NOT (patch_id % 7 = 3 AND year = 2022) AND NOT (patch_id % 7 = 2 AND year = 2016)""", "fx_mask_full")
+
+_view("fx_change", """
+SELECT patch_id, 2022 AS year, x, y FROM (SELECT patch_id, x, y FROM fx_mask WHERE year = 2022 EXCEPT SELECT patch_id, x, y FROM fx_mask WHERE year = 2016)""", "fx_mask")
+
 for _name, _per in (("fx_patches", 128), ("fx_patches_dense", 512)):
     _view(_name, f"""
 SELECT p.patch_id, y.year, 32 AS w, 32 AS h,
@@ -119,7 +126,7 @@ SELECT patch_id, year, x, y, min(lab) AS comp FROM (
   SELECT patch_id, year, x, y, lab FROM {mask}_reach) GROUP BY 1, 2, 3, 4"""
 
 
-for _m in ("fx_mask", "fx_mask_dense"):
+for _m in ("fx_mask", "fx_mask_dense", "fx_change"):
     _view(f"{_m}_reach", f"""
 SELECT patch_id, year, x, y, cast(y AS bigint) * 4294967296 + x AS lab FROM {_m}
 UNION

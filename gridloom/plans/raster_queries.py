@@ -16,7 +16,7 @@ _COMPS = "SELECT patch_id, year, comp, px, x1, y1, x2, y2 FROM {}"
 
 @query("components", _COMPS.format("fx_mask_comps"), "fx_mask_comps")
 def components(fx):
-    return R.components(fx.mask())
+    return R.components(fx.mask(), within_block=True)
 
 
 @query("components_stitched", _COMPS.format("fx_mask_comps"), "fx_mask_comps")
@@ -27,7 +27,7 @@ def components_stitched(fx):
 
 @query("components_dense", _COMPS.format("fx_mask_dense_comps"), "fx_mask_dense_comps")
 def components_dense(fx):
-    return R.components(fx.dense_mask())
+    return R.components(fx.dense_mask(), within_block=True)
 
 
 @query("components_dense_stitched", _COMPS.format("fx_mask_dense_comps"), "fx_mask_dense_comps")
@@ -39,7 +39,7 @@ def components_dense_stitched(fx):
 SELECT patch_id, year, count(*) FILTER (px >= 5) AS n_kept, count(*) FILTER (px < 5) AS n_filtered FROM fx_mask_comps GROUP BY 1, 2""", "fx_mask_comps")
 def components_filtered(fx):
     small = F.col("px") < K.MIN_COMPONENT_PIXELS
-    return R.components(fx.mask()).groupBy("patch_id", "year").agg(
+    return R.components(fx.mask(), within_block=True).groupBy("patch_id", "year").agg(
         F.sum(F.when(small, 0).otherwise(1)).alias("n_kept"), F.sum(F.when(small, 1).otherwise(0)).alias("n_filtered")
     )
 
@@ -49,7 +49,7 @@ SELECT p.patch_id, p.year, count(c.comp) AS pit_count, round(cast(coalesce(sum(p
   coalesce(string_agg(px || ':' || printf('%.4f', round_even(x1 / 32e0, 4)) || ':' || printf('%.4f', round_even(y2 / 32e0, 4)), ' ' ORDER BY comp), '') AS listed
 FROM fx_patches p LEFT JOIN (SELECT * FROM fx_mask_comps WHERE px >= 5) c USING (patch_id, year) GROUP BY 1, 2""", "fx_patches fx_mask_comps")
 def patch_stats(fx):
-    s = R.patch_stats(R.components(fx.mask(), min_pixels=K.MIN_COMPONENT_PIXELS), fx.patches())
+    s = R.patch_stats(R.components(fx.mask(), min_pixels=K.MIN_COMPONENT_PIXELS, within_block=True), fx.patches())
     each = F.zip_with(
         "areas_ha", "bboxes",
         lambda a, b: F.concat(F.round(a / 0.01).cast("int").cast("string"), F.lit(":"), F.format_string("%.4f", b["x1"]), F.lit(":"), F.format_string("%.4f", b["y2"])),
@@ -60,14 +60,14 @@ def patch_stats(fx):
 @query("largest_components", """
 SELECT patch_id, year, comp, px, x1, y1, x2, y2 FROM (SELECT *, row_number() OVER (PARTITION BY patch_id, year ORDER BY px DESC, comp) AS rn FROM fx_mask_comps) WHERE rn = 1""", "fx_mask_comps")
 def largest_components(fx):
-    return R.largest(R.components(fx.mask()))
+    return R.largest(R.components(fx.mask(), within_block=True))
 
 
 @query("single_or_multi", """
 SELECT CASE pit_count WHEN 0 THEN 'none' WHEN 1 THEN 'single' ELSE 'multi' END AS kind, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
 FROM fx_stats GROUP BY 1""", "fx_stats")
 def single_or_multi(fx):
-    t = R.patch_totals(R.components(fx.mask()), fx.patches())
+    t = R.patch_totals(R.components(fx.mask(), within_block=True), fx.patches())
     kind = F.when(F.col("pit_count") == 0, "none").when(F.col("pit_count") == 1, "single").otherwise("multi")
     counted = t.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("share", F.round(F.col("n") / counted.agg(F.sum("n").alias("s")).scalar(), 6))
@@ -107,16 +107,18 @@ def change_classes(fx):
 
 
 _PRED_PX = """
-, span AS (SELECT cast(floor(tile_id / 128e0) AS bigint) AS patch_id, year,
+, small AS (SELECT cast(floor(tile_id / 128e0) AS bigint) AS patch_id, year, x1, x1 + (x2 - x1) / 8e0 AS x2, y1, y1 + (y2 - y1) / 8e0 AS y2 FROM fx_valid),
+span AS (SELECT patch_id, year,
   cast(greatest(0, least(32, round_even(x1 * 32, 0))) AS int) AS ax, cast(greatest(0, least(32, round_even(x2 * 32, 0))) AS int) AS bx,
-  cast(greatest(0, least(32, round_even(y1 * 32, 0))) AS int) AS ay, cast(greatest(0, least(32, round_even(y2 * 32, 0))) AS int) AS by_ FROM fx_valid WHERE line = 1),
+  cast(greatest(0, least(32, round_even(y1 * 32, 0))) AS int) AS ay, cast(greatest(0, least(32, round_even(y2 * 32, 0))) AS int) AS by_ FROM small WHERE patch_id % 5 <> 1),
 pred AS (SELECT DISTINCT patch_id, year, x, unnest(range(ay, by_)) AS y FROM (SELECT *, unnest(range(ax, bx)) AS x FROM span WHERE bx > ax AND by_ > ay))
 """
 
 
 def predicted_boxes(fx: Fixtures) -> DataFrame:
-    """The first line's boxes as predictions for their patch and year."""
-    return valid(fx).filter("line = 1").withColumn("patch_id", F.floor(F.col("tile_id") / 128))
+    """All valid boxes at an eighth of their size, as predictions for their patch and year; one patch in five has none."""
+    placed = valid(fx).withColumn("patch_id", F.floor(F.col("tile_id") / 128)).filter("patch_id % 5 <> 1")
+    return placed.withColumns({"x2": F.col("x1") + (F.col("x2") - F.col("x1")) / 8, "y2": F.col("y1") + (F.col("y2") - F.col("y1")) / 8})
 
 
 def _pred_bits(fx: Fixtures) -> DataFrame:
@@ -178,7 +180,7 @@ conf AS (SELECT p.patch_id, p.year, p.split, coalesce(tp, 0) AS tp, coalesce(np,
   LEFT JOIN (SELECT patch_id, year, count(*) AS tp FROM cells JOIN fx_mask USING (patch_id, year, x, y) GROUP BY 1, 2) USING (patch_id, year))
 """ + f"SELECT split, {_SCORES} FROM conf GROUP BY split", "fx_mask_comps fx_patches")
 def box_ceiling(fx):
-    return E.pixel_metrics(R.box_ceiling(fx.mask(), fx.patches()), ["split"])
+    return E.pixel_metrics(R.box_ceiling(fx.mask(), fx.patches(), within_block=True), ["split"])
 
 
 @query("model_comparison", _CONF + """,
@@ -218,7 +220,7 @@ def augmented_masks(fx):
 SELECT v.variant, count(*) AS n, cast(sum(px) AS bigint) AS px FROM fx_mask_comps CROSS JOIN (SELECT unnest(['orig', 'hflip', 'vflip', 'hvflip', 'rot90', 'rot270', 'rot90_hflip', 'rot90_vflip']) AS variant) v GROUP BY 1""", "fx_mask_comps")
 def augmented_components(fx):
     """Boxes are taken anew from every transformed mask."""
-    comps = R.components(R.augment(fx.mask(), F.lit(32)), ["patch_id", "year", "variant"])
+    comps = R.components(R.augment(fx.mask(), F.lit(32)), ["patch_id", "year", "variant"], within_block=True)
     return comps.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.sum("px").alias("px"))
 
 
@@ -238,8 +240,8 @@ def stretched_bands(fx):
 
 @query("stretched_scenes", _LEVELS, "fx_levels")
 def stretched_scenes(fx):
-    """The spread-out path of scene-sized patches, forced for patches above 300 values."""
-    return R.stretch(fx.bands(), hot_pixels=300).select("patch_id", "band", "x", "y", "level")
+    """The same of pixels that lie scattered over many partitions."""
+    return R.stretch(fx.bands().repartition(16)).select("patch_id", "band", "x", "y", "level")
 
 
 @query("false_colour", """
@@ -349,13 +351,13 @@ SELECT patch_id, year, {tidy if not change else body} AS description FROM d"""
 
 @query("descriptions", _describe_sql(T.BANKS["static"], False), "fx_stats")
 def descriptions(fx):
-    totals = R.patch_totals(R.components(fx.mask()), fx.patches())
+    totals = R.patch_totals(R.components(fx.mask(), within_block=True), fx.patches())
     return T.describe(totals, ["patch_id", "year"]).select("patch_id", "year", "description")
 
 
 @query("change_descriptions", _describe_sql(T.BANKS["change"], True), "fx_stats")
 def change_descriptions(fx):
-    totals = R.patch_totals(R.components(fx.mask()), fx.patches())
+    totals = R.patch_totals(R.components(fx.mask(), within_block=True), fx.patches())
     return T.describe(totals, ["patch_id", "year"], bank="change").select("patch_id", "year", "description")
 
 
@@ -364,7 +366,7 @@ SELECT patch_id, year, CASE WHEN pit_count = 0 THEN '{K.NEGATIVE_SENTENCES[0]}'
   || ' visible, total affected area approximately ' || printf('%.2f', total_area_ha) || ' hectares.' END AS plain,
   CASE WHEN px > 0 THEN '{K.PRESENT_SENTENCE}' ELSE '{K.ABSENT_SENTENCE}' END AS presence FROM fx_stats""", "fx_stats")
 def plain_descriptions(fx):
-    t = R.patch_totals(R.components(fx.mask()), fx.patches())
+    t = R.patch_totals(R.components(fx.mask(), within_block=True), fx.patches())
     return t.select(
         "patch_id", "year", plain_description(F.col("pit_count"), F.col("total_area_ha")).alias("plain"), presence_description(F.col("px")).alias("presence")
     )
@@ -375,5 +377,5 @@ SELECT p.patch_id, p.year, '[' || coalesce(string_agg('{"label": "mining_pit", "
 FROM fx_patches p LEFT JOIN (SELECT patch_id, year, comp, cast(round_even(x1 / 32e0, 4) AS varchar) AS nx1, cast(round_even(y1 / 32e0, 4) AS varchar) AS ny1,
   cast(round_even(x2 / 32e0, 4) AS varchar) AS nx2, cast(round_even(y2 / 32e0, 4) AS varchar) AS ny2 FROM fx_mask_comps WHERE px >= 5) c USING (patch_id, year) GROUP BY 1, 2""", "fx_patches fx_mask_comps")
 def grounding_targets(fx):
-    s = R.patch_stats(R.components(fx.mask(), min_pixels=K.MIN_COMPONENT_PIXELS), fx.patches())
+    s = R.patch_stats(R.components(fx.mask(), min_pixels=K.MIN_COMPONENT_PIXELS, within_block=True), fx.patches())
     return s.select("patch_id", "year", T.grounding_target(F.col("bboxes")).alias("target"))

@@ -21,6 +21,7 @@ def get_spark(app: str = "gridloom", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.variant.allowDuplicateKeys": "true",
     }
     for name, value in {**defaults, **conf}.items():
         builder = builder.config(name, value)
@@ -80,8 +81,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out evenly where there are fewer input files than cores; larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
