@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -11,33 +14,66 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tokenizers import Tokenizer
 
-from gridloom.llm.common import pieces
+from gridloom.llm.common import TO_LOWER, pieces, utf8
 
 #: White space at which a text may be cut without changing its ids, for tokenizers that drop white space.
-SPACES = str.maketrans("\t\n\r", "   ")
+SPACES = bytes.maketrans(b"\t\n\r", b"   ")
+#: The same, with A-Z in lower case, for tokenizers that lower it anyway.
+LOWERED = bytes(SPACES).translate(TO_LOWER)
+#: Signs that stand behind a word as a token of their own.
+SIGNS = (b".", b",", b";", b":", b"?")
 
 
-class _Pieces(dict):
-    """Text pieces to the bytes of their ids. Holds ``most`` pieces at most, longer pieces than ``longest`` never."""
+class Encoder:
+    """Texts to the bytes of their ids. Pieces between blanks are remembered: the ``most`` met last, and as many before.
 
-    def __init__(self, path: str, most: int = 300_000, longest: int = 64):
-        super().__init__()
-        self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
+    A worker process keeps one encoder for a tokenizer file, so its tasks share what it has met."""
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    held: dict[str, Encoder] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        (value,) = self.encode([piece])
-        if len(piece) <= self.longest:
-            self[piece] = value
-        return value
+    def __init__(self, path: str, most: int = 250_000, longest: int = 48):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.lowers = self.encode(["AbC É"]) == self.encode(["abc É"]) and self.encode(["XYZ"]) == self.encode(["xyz"])
 
-    def learn(self, words: set[str]) -> None:
-        if len(self) >= self.most:
-            self.clear()
-        new = [w for w in words if w not in self and len(w) <= self.longest]
-        self.update(zip(new, self.encode(new)))
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls.held:
+            cls.held[path] = cls(path)
+        return cls.held[path]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_pieces(self, texts: list[bytes]) -> list[bytes]:
+        """As ``encode``, of tokenizers that drop white space. Texts with a special token keep their case."""
+        split = [t.translate(LOWERED if self.lowers and b"<|" not in t else SPACES).split(b" ") for t in texts]
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = set()
+        for words in split:
+            new.update(filterfalse(young.__contains__, words))
+        todo = {}
+        for w in new:
+            if w in old:
+                young[w] = old[w]
+            elif w[-1:] in SIGNS and w[:-1].isalpha():  # of bytes: ASCII letters alone
+                todo[w[:-1]] = todo[w[-1:]] = True
+            else:
+                todo[w] = True
+        missing = [w for w in todo if w not in young]
+        young.update(zip(missing, self.encode([w.decode() for w in missing])))
+        for w in new:
+            if w not in young:
+                young[w] = young[w[:-1]] + young[w[-1:]]
+        out = [b"".join(map(young.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > self.longest:
+                del young[w]
+        return out
 
 
 def write_tokens(
@@ -65,16 +101,11 @@ def write_tokens(
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, at, part_id = _Pieces(tokenizer), 0, TaskContext.get().partitionId()
+        encoder, at, part_id = Encoder.of(tokenizer), 0, TaskContext.get().partitionId()
         for batch in batches:
             for part in pieces(batch, 500):
-                texts = part.column(1).to_pylist()
-                if drops_space:
-                    split = [t.translate(SPACES).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
-                    known.learn(set().union(*split))
-                    ids = [b"".join(map(known.__getitem__, words)) + end for words in split]
-                else:
-                    ids = [x + end for x in known.encode(texts)]
+                made = encoder.encode_pieces(utf8(part.column(1))) if drops_space else encoder.encode(part.column(1).to_pylist())
+                ids = [x + end for x in made]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.cumsum(n)
                 tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
