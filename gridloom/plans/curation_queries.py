@@ -8,6 +8,7 @@ from gridloom import constants as K
 from gridloom.operators import curation as C, dataset as D, messages as T, raster as R, sites as Z
 from gridloom.plans.catalog import query
 from gridloom.plans.fixtures import Fixtures
+from gridloom.plans.raster_queries import describe_sql
 from gridloom.plans.tile_queries import detected, labelled
 from gridloom.session import scratch_path
 from gridloom.sources import files as S
@@ -243,9 +244,6 @@ def referenced_images(fx):
     return T.referenced_images(chat_records(fx), every.filter(~F.col("path").endswith("_2.png")).distinct())
 
 
-_SYM = {"none": 1, "hflip": 2, "flips": 4, "d4": 8}
-
-
 def full_roster(fx: Fixtures) -> DataFrame:
     """Patches with a positivity flag from their mask."""
     has = fx.mask().select("patch_id", "year").distinct().withColumn("has", F.lit(True))
@@ -255,41 +253,83 @@ def full_roster(fx: Fixtures) -> DataFrame:
     )
 
 
-def _report_sql(preset: str) -> str:
+def _records_sql(preset: str) -> str:
+    """All records of a preset: components moved by each symmetry, told and boxed anew, numbered, named and shuffled."""
     p = D.PRESETS[preset]
-    per = _SYM[p.symmetries] * (2 if p.jitter else 1)
-    grounding = "" if p.grounding else " * 0"
-    where = "WHERE year = 2022" if p.change else ""
-    copies = f"CASE WHEN is_positive AND pit_count = 1 THEN {p.single_copies} ELSE 1 END"
+    bank = "change" if p.sentences == "change" else "static"
+    label = "fx_change_label" if p.change else "fx_mask_label"
+    names = list(enumerate(R.SYMMETRIES[p.symmetries]))
+    moved = [" ".join(f"WHEN '{n}' THEN {R.D4[n][i].replace('M', '31')}" for _, n in names) for i in (0, 1)]
+    if p.change:
+        sel = f"""sel AS (SELECT a.patch_num AS patch_id, 2022 AS year, b.split, true AS pos FROM fx_roster a JOIN fx_roster b ON a.patch_num = b.patch_num AND a.year = 2016 AND b.year = 2022 AND a.split = b.split
+  WHERE a.patch_num IN (SELECT patch_num FROM (SELECT DISTINCT patch_num, year, kind FROM fx_index) GROUP BY 1 HAVING count(*) = 4))"""
+    else:
+        sel = """r AS (SELECT patch_id, year, split, px > 0 AND patch_id % 3 <> 0 AS pos, patch_id || '-' || year AS patch_key FROM fx_stats),
+neg AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || patch_key), patch_key) AS rn FROM r WHERE split = 'train' AND NOT pos),
+sel AS (SELECT patch_id, year, split, pos FROM r WHERE split <> 'train' OR pos
+  UNION ALL SELECT patch_id, year, split, pos FROM neg WHERE rn <= 2 * (SELECT count(*) FROM r WHERE split = 'train' AND pos))"""
+    view, told = describe_sql(T.BANKS[bank], p.change, "vstats", f"'{preset}-42|' || patch_id || '|' || year || '|' || variant", "patch_id, year, variant, pit_count, px, total_area_ha")
+    if p.sentences == "plain":
+        told = f"CASE WHEN pit_count = 0 THEN '{K.NEGATIVE_SENTENCES[0]}' ELSE pit_count || ' active excavation ' || CASE WHEN pit_count = 1 THEN 'pit' ELSE 'pits' END || ' visible, total affected area approximately ' || printf('%.2f', total_area_ha) || ' hectares.' END"
+    elif p.sentences == "presence":
+        told = f"CASE WHEN px > 0 THEN '{K.PRESENT_SENTENCE}' ELSE '{K.ABSENT_SENTENCE}' END"
+    box = K.NEW_BOX_LABEL if p.change else K.BOX_LABEL
+    heads = [f"{preset}_"] if len(p.composites) == 1 else [f"{preset}_{c}_" for c in p.composites]
+    images = " || ' ' || ".join(f"'{h}' || lpad(cast(sample_no AS varchar), cast(greatest({p.digits}, length(cast(sample_no AS varchar))) AS int), '0') || '.png'" for h in heads)
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    tasks = f"SELECT sample_no, split, 'description' AS task, images, md5({quote(p.description_prompt)}) AS prompt, description AS target FROM named"
+    if p.grounding:
+        tasks += f" UNION ALL SELECT sample_no, split, 'grounding', images, md5({quote(p.grounding_prompt)}), boxes FROM named"
+    place = "CASE WHEN split = 'train' THEN row_number() OVER (PARTITION BY split ORDER BY md5('44|' || task || '-' || sample_no), task || '-' || sample_no) END" if p.mixed else "cast(NULL AS bigint)"
     return f"""
-, r AS (SELECT p.*, p.px > 0 AND p.patch_id % 3 <> 0 AS is_positive, p.patch_id || '-' || p.year AS patch_key FROM fx_stats p {where}),
-neg AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || patch_key), patch_key) AS rn FROM r WHERE split = 'train' AND NOT is_positive),
-sel AS (SELECT split, pit_count, is_positive FROM r WHERE split <> 'train' OR is_positive
-  UNION ALL SELECT split, pit_count, is_positive FROM neg WHERE rn <= 2 * (SELECT count(*) FROM r WHERE split = 'train' AND is_positive))
-SELECT cast(coalesce(sum(n) FILTER (split = 'train'), 0) AS bigint) AS train_desc, cast(coalesce(sum(1) FILTER (split = 'test'), 0) AS bigint) AS eval_desc,
-  cast(coalesce(sum(n{grounding}) FILTER (split = 'train'), 0) AS bigint) AS train_grounding,
-  cast(coalesce(sum(n + n{grounding}) FILTER (split = 'train'), 0) AS bigint) AS multitask FROM (SELECT *, {per} * {copies} AS n FROM sel)"""
+, {sel},
+v AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}')" for i, n in names)}) AS t(variant_no, variant)),
+sv AS (SELECT sel.*, v.* FROM sel JOIN v ON split = 'train' OR variant_no = 0),
+vpx AS (SELECT patch_id, year, variant, l.comp AS c0, CASE variant {moved[0]} END AS x, CASE variant {moved[1]} END AS y FROM sv JOIN {label} l USING (patch_id, year)),
+vcomps AS (SELECT patch_id, year, variant, min(cast(y AS bigint) * 4294967296 + x) AS comp, count(*) AS px, round_even(min(x) / 32e0, 4) AS bx1, round_even(min(y) / 32e0, 4) AS by1,
+  round_even((max(x) + 1) / 32e0, 4) AS bx2, round_even((max(y) + 1) / 32e0, 4) AS by2 FROM vpx GROUP BY patch_id, year, variant, c0 HAVING count(*) >= {p.min_pixels}),
+vsum AS (SELECT patch_id, year, variant, count(*) AS n, cast(sum(px) AS bigint) AS px, min(px * 0.01e0) AS min_ha, max(px * 0.01e0) AS max_ha,
+  max((bx1 + bx2) / 2e0) - min((bx1 + bx2) / 2e0) AS sx, max((by1 + by2) / 2e0) - min((by1 + by2) / 2e0) AS sy,
+  first({{'x1': bx1, 'y1': by1, 'x2': bx2, 'y2': by2}} ORDER BY px DESC, comp) AS big,
+  string_agg('{{"label": "{box}", "bbox": [' || bx1 || ', ' || by1 || ', ' || bx2 || ', ' || by2 || ']}}', ', ' ORDER BY comp) AS boxes FROM vcomps GROUP BY 1, 2, 3),
+vstats AS (SELECT sv.*, coalesce(n, 0) AS pit_count, coalesce(px, 0) AS px, coalesce(px, 0) * 0.01e0 AS total_area_ha, coalesce(min_ha, 0e0) AS min_area_ha, coalesce(max_ha, 0e0) AS max_area_ha,
+  coalesce(sx, 0e0) AS span_x, coalesce(sy, 0e0) AS span_y, big, '[' || coalesce(boxes, '') || ']' AS boxes FROM sv LEFT JOIN vsum USING (patch_id, year, variant)){view},
+said AS (SELECT patch_id, year, variant, {told} AS description FROM d),
+copied AS (SELECT vstats.*, unnest(range(1, 1 + CASE WHEN split = 'train' AND pos AND pit_count = 1 THEN {p.single_copies} ELSE 1 END)) AS copy FROM vstats),
+lit AS (SELECT copied.*, unnest(range(0, CASE WHEN split = 'train' THEN {2 if p.jitter else 1} ELSE 1 END)) AS light_no FROM copied),
+numbered AS (SELECT lit.*, description, row_number() OVER (ORDER BY split <> 'train', patch_id, year, variant_no, copy, light_no) - 1 AS sample_no FROM lit JOIN said USING (patch_id, year, variant)),
+named AS (SELECT *, {images} AS images FROM numbered{'' if p.first is None else f' WHERE sample_no < {p.first}'}),
+tasks AS ({tasks})
+SELECT *, {place} AS position FROM tasks"""
 
 
 def records(fx: Fixtures, preset: str) -> DataFrame:
     p = D.PRESETS[preset]
-    chosen = full_roster(fx)
-    if p.change:
-        chosen = chosen.filter(F.col("year") == K.YEARS[1])
-    samples = D.build_samples(fx.mask(), D.select_patches(chosen), p)
+    chosen = D.change_roster(roster(fx), S.index_patch_files(fx.patch_paths()), fx.patches()) if p.change else D.select_patches(full_roster(fx))
+    samples = D.build_samples(fx.mask(), chosen, p, within_block=True)
     return D.to_records(D.number_images(samples, p), p)
 
 
 def _register_preset(preset: str) -> None:
-    @query(f"dataset_{preset}", _report_sql(preset), "fx_stats")
+    @query(f"dataset_{preset}", _records_sql(preset), "fx_stats fx_change_label fx_roster fx_index" if D.PRESETS[preset].change else "fx_stats fx_mask_label")
     def build(fx: Fixtures) -> DataFrame:
-        return D.build_report(records(fx, preset)).drop("unique_descriptions")
+        m = F.col("messages")
+        images = F.array_join(F.filter(F.transform(m[0]["content"], lambda c: c["image"]), lambda i: i.isNotNull()), " ")
+        return records(fx, preset).select("sample_no", "split", "task", images.alias("images"), F.md5(T.user_text(m)).alias("prompt"), T.last_text(m).alias("target"), "position")
 
 
 for _preset in D.PRESETS:
     _register_preset(_preset)
 
 
+@query("build_report", _records_sql("v10").replace("SELECT *, CASE WHEN split", ", all_tasks AS (SELECT *, CASE WHEN split") + """)
+SELECT count(*) FILTER (split = 'train' AND task = 'description') AS train_desc, count(*) FILTER (split <> 'train' AND task = 'description') AS eval_desc,
+  count(*) FILTER (split = 'train' AND task = 'grounding') AS train_grounding, count(*) FILTER (split = 'train') AS multitask,
+  count(DISTINCT target) FILTER (split = 'train' AND task = 'description') AS unique_descriptions FROM all_tasks""", "fx_stats fx_mask_label")
+def build_report(fx):
+    return D.build_report(records(fx, "v10"))
+
+
 @query("distinct_descriptions", """
 , d AS (SELECT pit_count, CASE WHEN pit_count = 0 THEN 'none' ELSE pit_count || ' active excavation ' || CASE WHEN pit_count = 1 THEN 'pit' ELSE 'pits' END
   || ' visible, total affected area approximately ' || printf('%.2f', total_area_ha) || ' hectares.' END AS t, split FROM fx_stats)

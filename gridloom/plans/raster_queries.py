@@ -326,8 +326,9 @@ def _sql_list(items: list[str]) -> str:
     return "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in items) + "]"
 
 
-def _describe_sql(bank: tuple, change: bool) -> str:
-    draw = "cast('0x' || substr(md5('42|' || patch_id || '|' || year), 1, 8) AS bigint)"
+def describe_sql(bank: tuple, change: bool, source: str, hashed: str, keep: str) -> tuple[str, str]:
+    """A view ``d`` of slot values over ``source`` with the columns ``keep``, and the sentence made from it."""
+    draw = f"cast('0x' || substr(md5({hashed}), 1, 8) AS bigint)"
     area = "greatest((big.x2 - big.x1) * (big.y2 - big.y1), 0e0)"
     h = "CASE WHEN (big.x1 + big.x2) / 2 < 0.33e0 THEN 'left' WHEN (big.x1 + big.x2) / 2 > 0.67e0 THEN 'right' ELSE 'center' END"
     v = "CASE WHEN (big.y1 + big.y2) / 2 < 0.33e0 THEN 'upper' WHEN (big.y1 + big.y2) / 2 > 0.67e0 THEN 'lower' ELSE 'middle' END"
@@ -337,16 +338,21 @@ def _describe_sql(bank: tuple, change: bool) -> str:
     for slot in ("count", "size", "region", "area", "adjacency", "phrase"):
         body = f"replace({body}, '{{{slot}}}', coalesce(s_{slot}, ''))"
     tidy = f"replace(replace(regexp_replace({body}, ' {{2,}}', ' ', 'g'), ' .', '.'), ' ,', ',')"
-    return f"""
-, d AS (SELECT patch_id, year, {sentence} AS sentence, cast(pit_count AS varchar) AS s_count,
+    view = f"""
+, d AS (SELECT {keep}, {sentence} AS sentence, cast(pit_count AS varchar) AS s_count,
   CASE WHEN {area} < 0.01e0 THEN 'very small' WHEN {area} < 0.04e0 THEN 'small' WHEN {area} < 0.15e0 THEN 'moderate' WHEN {area} < 0.40e0 THEN 'large' ELSE 'very large' END AS s_size,
   CASE WHEN {h} = 'center' AND {v} = 'middle' THEN 'center of the scene' WHEN {h} = 'center' THEN {v} || ' portion of the scene' WHEN {v} = 'middle' THEN {h} || ' side of the scene' ELSE {v} || '-' || {h} || ' quadrant' END AS s_region,
   printf('%.2f', total_area_ha) AS s_area,
   CASE WHEN pit_count < 2 THEN '' WHEN span_x + span_y < 0.3e0 THEN '{tight}' WHEN span_x + span_y < 0.7e0 THEN 'spread across a connected area' ELSE 'scattered across the scene' END AS s_adjacency,
   CASE WHEN pit_count <= 1 THEN '' WHEN (max_area_ha - min_area_ha) / greatest(total_area_ha / pit_count, 1e-9) < 0.4e0 THEN 'with roughly uniform pit sizes'
     WHEN (max_area_ha - min_area_ha) / greatest(total_area_ha / pit_count, 1e-9) < 1.5e0 THEN 'with mixed pit sizes' ELSE 'dominated by one or two large pits among smaller satellite pits' END AS s_phrase
-  FROM fx_stats)
-SELECT patch_id, year, {tidy if not change else body} AS description FROM d"""
+  FROM {source})"""
+    return view, tidy if not change else body
+
+
+def _describe_sql(bank: tuple, change: bool, source: str = "fx_stats") -> str:
+    view, sentence = describe_sql(bank, change, source, "'42|' || patch_id || '|' || year", "patch_id, year")
+    return f"{view}\nSELECT patch_id, year, {sentence} AS description FROM d"
 
 
 @query("descriptions", _describe_sql(T.BANKS["static"], False), "fx_stats")
