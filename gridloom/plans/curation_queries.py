@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom import constants as K
+from gridloom.functions.text import action_to_tool
 from gridloom.operators import curation as C, dataset as D, messages as T, raster as R, sites as Z
 from gridloom.plans.catalog import query
 from gridloom.plans.fixtures import Fixtures
 from gridloom.plans.raster_queries import describe_sql
 from gridloom.plans.tile_queries import detected, labelled
-from gridloom.session import scratch_path
+from gridloom.session import scratch_path, settle
 from gridloom.sources import files as S
 
 # --------------------------------------------------------------------------- files and rosters
@@ -452,3 +453,77 @@ def tile_metadata(fx):
     )
     raw = fx.table("events").select("event_id", F.when(k % 7 == 0, F.lit("{broken")).otherwise(text).alias("metadata"))
     return S.normalize_tile_metadata(raw).select("event_id", "image_available", "cloud_cover", "size_km", "source")
+
+
+# --------------------------------------------------------------------------- unified presets
+
+
+# Rows per task of the published multi-task sets, and the oversampling target is K.OVERSAMPLE_TARGET.
+UNIFIED_TASKS = {"v4": {"description": 500, "grounding": 500, "action": 327}, "v4_1": {"description": 125, "grounding": 125, "action": 327}}
+
+
+def _actions(fx: Fixtures) -> DataFrame:
+    """Decided tiles with the tool call to learn, without and with its reason."""
+    t = labelled(fx).withColumn("coord_id", F.concat(F.lit("u"), F.col("tile_id").cast("string"))).select(
+        "coord_id", F.col("decision").alias("action"), F.col("description").alias("reason"), F.lit(None).cast("string").alias("direction")
+    )
+    tool = action_to_tool(F.col("action"))
+    return t.select("coord_id", "action", T.action_target(tool, F.col("direction")).alias("short"), T.action_target(tool, F.col("direction"), F.col("reason")).alias("long"))
+
+
+_ACTIONS = """
+, acts AS (SELECT 'u' || tile_id AS coord_id, action, CASE action WHEN 'downlink' THEN 'downlink_now' WHEN 'flag' THEN 'flag_for_review' ELSE 'discard' END AS tool, description FROM fx_decided),
+told AS (SELECT coord_id, action, '{"action": "' || tool || '"}' AS short, '{"action": "' || tool || '", "reason": "' || description || '"}' AS long FROM acts),
+parted AS (SELECT *, CASE WHEN rn <= CASE WHEN n >= 2 THEN greatest(1, round_even(n * 0.2e0, 0)) ELSE 0 END THEN 'eval' ELSE 'train' END AS split
+  FROM (SELECT *, row_number() OVER (PARTITION BY action ORDER BY md5('42|' || coord_id), coord_id) AS rn, count(*) OVER (PARTITION BY action) AS n FROM told))
+"""
+
+
+@query("dataset_unified_v1", _ACTIONS + "SELECT coord_id, split, long AS target FROM parted", "fx_decided")
+def dataset_unified_v1(fx):
+    """Actions with reasons, split by class."""
+    return C.stratified_split(_actions(fx), ["action"], "coord_id").select("coord_id", "split", F.col("long").alias("target"))
+
+
+@query("dataset_unified_v2", _ACTIONS + f""",
+ranked AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY md5('43|' || coord_id), coord_id) AS r2, count(*) OVER (PARTITION BY action) AS n2 FROM parted WHERE split = 'train')
+SELECT coord_id, split, short AS target, unnest(range(1, 1 + CASE WHEN n2 >= {K.OVERSAMPLE_TARGET} THEN 1 ELSE {K.OVERSAMPLE_TARGET} // n2 + CASE WHEN r2 <= {K.OVERSAMPLE_TARGET} % n2 THEN 1 ELSE 0 END END)) AS copy FROM ranked
+UNION ALL SELECT coord_id, split, short, 1 FROM parted WHERE split = 'eval'""", "fx_decided")
+def dataset_unified_v2(fx):
+    """Actions alone, rare classes of the training part oversampled."""
+    parted = settle(C.stratified_split(_actions(fx), ["action"], "coord_id"), "parted")
+    train = C.oversample(parted.filter("split = 'train'"), ["action"], K.OVERSAMPLE_TARGET, "coord_id")
+    both = train.unionByName(parted.filter("split = 'eval'").withColumn("copy", F.lit(1).cast("long")))
+    return both.select("coord_id", "split", F.col("short").alias("target"), "copy")
+
+
+def _unified_sql(version: str) -> str:
+    limits = " ".join(f"WHEN '{t}' THEN {n}" for t, n in UNIFIED_TASKS[version].items())
+    view, told = describe_sql(T.BANKS["static"], False, "fx_stats", "'42|' || patch_id || '|' || year", "patch_id, year")
+    return _ACTIONS + f"""{view},
+boxes AS (SELECT p.patch_id, p.year, '[' || coalesce(string_agg('{{"label": "mining_pit", "bbox": [' || nx1 || ', ' || ny1 || ', ' || nx2 || ', ' || ny2 || ']}}', ', ' ORDER BY comp), '') || ']' AS target
+  FROM fx_patches p LEFT JOIN (SELECT patch_id, year, comp, cast(round_even(x1 / 32e0, 4) AS varchar) AS nx1, cast(round_even(y1 / 32e0, 4) AS varchar) AS ny1,
+    cast(round_even(x2 / 32e0, 4) AS varchar) AS nx2, cast(round_even(y2 / 32e0, 4) AS varchar) AS ny2 FROM fx_mask_comps) c USING (patch_id, year) GROUP BY 1, 2),
+pool AS (SELECT 'action' AS task, coord_id AS key, short AS target FROM told
+  UNION ALL SELECT 'description', patch_id || '-' || year, {told} FROM d
+  UNION ALL SELECT 'grounding', patch_id || '-' || year, target FROM boxes),
+picked AS (SELECT task, key, target FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY md5('42|' || key), key) AS rn FROM pool) WHERE rn <= CASE task {limits} END)
+SELECT *, row_number() OVER (ORDER BY md5('44|' || task || '-' || key), task || '-' || key) AS position FROM picked"""
+
+
+def _register_unified(version: str) -> None:
+    @query(f"dataset_unified_{version}", _unified_sql(version), "fx_decided fx_stats fx_patches fx_mask_comps")
+    def build(fx: Fixtures) -> DataFrame:
+        """A sample of each of three tasks, shuffled together."""
+        comps = settle(R.components(fx.mask(), within_block=True), "components")
+        patch = F.concat_ws("-", F.col("patch_id").cast("string"), F.col("year").cast("string")).alias("key")
+        told = T.describe(R.patch_totals(comps, fx.patches()), ["patch_id", "year"]).select(F.lit("description").alias("task"), patch, F.col("description").alias("target"))
+        boxed = R.patch_stats(comps, fx.patches()).select(F.lit("grounding").alias("task"), patch, T.grounding_target(F.col("bboxes")).alias("target"))
+        acted = _actions(fx).select(F.lit("action").alias("task"), F.col("coord_id").alias("key"), F.col("short").alias("target"))
+        parts = [C.sample_per_group(settle(rows, task), ["task"], UNIFIED_TASKS[version][task], "key") for task, rows in (("action", acted), ("description", told), ("grounding", boxed))]
+        mixed = C.mix_tasks(*parts).withColumn("_id", F.concat_ws("-", "task", "key"))
+        return C.shuffle_rank(settle(mixed, "mixed"), "_id").drop("_id")
+
+
+for _version in UNIFIED_TASKS:
+    _register_unified(_version)
