@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridloom.functions.text import strip
 
@@ -34,59 +36,51 @@ def tokens(text: Column, tokenize: str = "13a") -> Column:
     return F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
 
 
-def _positions(words: Column) -> Column:
-    """Per token the token and the three after it (null past the end)."""
-    ahead = [F.slice(words, k, F.size(words)).alias(f"w{k}") for k in range(2, MAX_ORDER + 1)]
-    return F.arrays_zip(words.alias("w1"), *ahead)
+def _pair_counts(pred: list[str], gold: list[str]) -> list[int]:
+    """Clipped matches and totals of orders 1..4, and both lengths. N-grams are numbered, so counts are exact."""
+    ids: dict[str, int] = {}
+    p, g = (np.array([ids.setdefault(w, len(ids)) for w in words], np.int64) for words in (pred, gold))
+    code, split = np.concatenate([p, g]), len(p)
+    correct, totals = [], []
+    at_p, at_g = code[:split], code[split:]
+    for n in range(1, MAX_ORDER + 1):
+        if n > 1:  # the gram one shorter, renumbered, and the word behind it
+            at_p, at_g = at_p[: max(0, len(p) - n + 1)], at_g[: max(0, len(g) - n + 1)]
+            grams, number = np.unique(np.concatenate([at_p, at_g]), return_inverse=True)
+            at_p, at_g = number[: len(at_p)] * len(ids) + p[n - 1 :], number[len(at_p) :] * len(ids) + g[n - 1 :]
+        (own, n_own), (other, n_other) = (np.unique(x, return_counts=True) for x in (at_p, at_g))
+        _, i, j = np.intersect1d(own, other, assume_unique=True, return_indices=True)
+        correct.append(int(np.minimum(n_own[i], n_other[j]).sum()))
+        totals.append(len(at_p))
+    return [*correct, *totals, len(p), len(g)]
 
 
-def _grams(at: Column) -> Column:
-    """The n-grams that start at a position, orders 1..4; null where the text ends before."""
-    grams = [at["w1"]]
-    for k in range(2, MAX_ORDER + 1):
-        grams.append(F.concat(grams[-1], F.lit(" "), at[f"w{k}"]))
-    return F.array(*grams)
+_SUMS = [*[f"correct_{n}" for n in range(1, MAX_ORDER + 1)], *[f"total_{n}" for n in range(1, MAX_ORDER + 1)], "pred_len", "gold_len"]
 
 
 def bleu_counts(pairs: DataFrame, key: str, pred: str, gold: str, by: Sequence[str] = (), tokenize: str = "13a") -> DataFrame:
-    """Sums that BLEU needs, per group: ``correct_n, total_n, pred_len, gold_len, n_empty``.
+    """Sums that BLEU needs, per group: ``correct_n, total_n, pred_len, gold_len, n_empty, n_pairs``.
 
-    Texts are placed once by document; their n-grams then stay in place, so the many n-grams are
-    never shuffled and a pair is counted whole whatever its length.
+    A row is a pair, counted where it lies whatever its ``key``; only sums per group are shuffled.
     """
-    texts = pairs.select(F.col(key).alias("_key"), *by, F.col(pred).alias("_p"), F.col(gold).alias("_g")).repartition("_key")
-    blank = strip(F.coalesce(F.col("_p"), F.lit(""))) == ""
-    # One marker token per pair counts pairs and blank predictions in the same pass; real tokens are never empty.
-    sides = texts.select(
-        "_key", *by,
-        F.explode(
-            F.array(
-                F.struct(tokens(F.col("_p"), tokenize).alias("w"), F.lit("pred").alias("side")),
-                F.struct(tokens(F.col("_g"), tokenize).alias("w"), F.lit("gold").alias("side")),
-                F.struct(F.array(F.lit("")).alias("w"), F.when(blank, "blank").otherwise("pair").alias("side")),
-            )
-        ).alias("s"),
+    blank = strip(F.coalesce(F.col(pred), F.lit(""))) == ""
+    rows = pairs.select(
+        F.struct(F.lit(0).alias("_"), *by).alias("by"), tokens(F.col(pred), tokenize).alias("p"), tokens(F.col(gold), tokenize).alias("g"), blank.cast("long").alias("n_empty")
     )
-    starts = sides.select("_key", *by, F.col("s.side").alias("side"), F.explode(_positions(F.col("s.w"))).alias("at"))
-    grams = starts.select("_key", *by, "side", F.posexplode(_grams(F.col("at"))).alias("n", "gram")).filter(F.col("gram").isNotNull())
 
-    def of(*sides_: str) -> Column:
-        return F.sum(F.when(F.col("side").isin(*sides_), 1).otherwise(0))
-
-    counted = grams.groupBy("_key", *by, (F.col("n") + 1).alias("n"), "gram").agg(
-        of("pred").alias("cp"), of("gold").alias("cg"), of("blank").alias("blanks"), of("blank", "pair").alias("pairs")
-    )
-
-    def upto(n: int, value: Column) -> Column:
-        return F.sum(F.when(F.col("n") == n, value).otherwise(0))
-
-    orders = range(1, MAX_ORDER + 1)
-    return counted.groupBy(*by).agg(
-        *[upto(n, F.least("cp", "cg")).alias(f"correct_{n}") for n in orders],
-        *[upto(n, F.col("cp")).alias(f"total_{n}") for n in orders],
-        upto(1, F.col("cp")).alias("pred_len"), upto(1, F.col("cg")).alias("gold_len"),
-        F.sum("blanks").alias("n_empty"), F.sum("pairs").alias("n_pairs"),
-    )
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sums = [_pair_counts(p, g) for p, g in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(3), *[pa.array([x[i] for x in sums], pa.int64()) for i in range(len(_SUMS))]], names=["by", "n_empty", *_SUMS]
+                )
+
+    long = [T.StructField(c, T.LongType()) for c in ("n_empty", *_SUMS)]
+    counted = rows.mapInArrow(count, T.StructType([rows.schema["by"], *long]))
+    flat = counted.select(*[F.col("by").getField(c).alias(c) for c in by], "n_empty", *_SUMS)
+    return flat.groupBy(*by).agg(*[F.sum(c).alias(c) for c in _SUMS], F.sum("n_empty").alias("n_empty"), F.count(F.lit(1)).alias("n_pairs"))
 
 
 def corpus_bleu(
