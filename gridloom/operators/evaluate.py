@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom import constants as K
 from gridloom.functions.numbers import half_even, safe_div
-from gridloom.operators.ranking import block_running_sum
+from gridloom.operators.ranking import block_running_sums
 
 PIXEL_METRICS = (
     "pixel_iou", "pixel_precision", "pixel_recall", "pixel_sdc_f1", "pixel_accuracy", "mean_per_patch_iou",
@@ -163,7 +163,5 @@ def running_ratio(
     df: DataFrame, order: Sequence[str], block: Column, num: Column, den: Column, name: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """``sum(num) / sum(den)`` over the rows up to each row (running accuracy, running IoU)."""
-    staged = df.withColumn("_num", num).withColumn("_den", den)
-    first = block_running_sum(staged, by, list(order), block, F.col("_num"), "_cn")
-    both = block_running_sum(first, by, list(order), block, F.col("_den"), "_cd")
-    return both.withColumn(name, safe_div(F.col("_cn"), F.col("_cd"))).drop("_num", "_den", "_cn", "_cd")
+    both = block_running_sums(df, by, list(order), block, {"_cn": num, "_cd": den})
+    return both.withColumn(name, safe_div(F.col("_cn"), F.col("_cd"))).drop("_cn", "_cd")

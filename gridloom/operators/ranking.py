@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridloom.session import cut_lineage
+
 SEQ_BLOCK = 4096
 
 
@@ -19,30 +21,58 @@ def seq_block(seq: Column, size: int = SEQ_BLOCK) -> Column:
     return F.floor(seq / size)
 
 
-def block_running_sum(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column | str], block: Column,
-    value: Column, name: str, total: str | None = None,
+def _openings(per_block: DataFrame, by: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Block totals with what stands before each block (``_val…``) and the group's totals (``_blk_total…``).
+
+    Groups keep their blocks in one window. Without a group the blocks of all rows are range-sorted, summed within each
+    partition, and only the partitions' totals, one row each, meet in one task.
+    """
+    if by:
+        before, whole = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+        return per_block.select(
+            *by, "_blk", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_val{c}") for c in sums], *[F.sum(c).over(whole).alias(f"_blk_total{c}") for c in sums]
+        )
+    ordered = cut_lineage(per_block.orderBy("_blk").withColumn("_part", F.spark_partition_id()))
+    parts = ordered.groupBy("_part").agg(*[F.sum(c).alias(f"_of{c}") for c in sums])
+    upto, every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    starts = parts.select(
+        "_part", *[F.coalesce(F.sum(f"_of{c}").over(upto), F.lit(0)).alias(f"_start{c}") for c in sums], *[F.sum(f"_of{c}").over(every).alias(f"_blk_total{c}") for c in sums]
+    )
+    inside = Window.partitionBy("_part").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    within = ordered.select("_part", "_blk", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in{c}") for c in sums])
+    return within.join(F.broadcast(starts), "_part").select(
+        "_blk", *[(F.col(f"_start{c}") + F.col(f"_in{c}")).alias(f"_val{c}") for c in sums], *[f"_blk_total{c}" for c in sums]
+    )
+
+
+def block_running_sums(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column | str], block: Column, values: dict[str, Column], total: str | None = None,
 ) -> DataFrame:
-    """Exact running sum of ``value`` per group, up to and including each row.
+    """Exact running sums per group, up to and including each row: new name → value.
 
-    ``total`` additionally names the group's sum. Null groups count as groups of their own. ``df`` is
+    ``total`` additionally names the group's sum of the first value. Null groups count as groups of their own. ``df`` is
     read twice: settle it first where it is costly.
     """
-    keyed = df.withColumn("_blk", block).withColumn("_val", value)
-    per_block = keyed.groupBy(*by, "_blk").agg(F.sum("_val").alias("_sum"))
-    before = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    opening = per_block.select(
-        *by, "_blk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_val"),
-        F.sum("_sum").over(Window.partitionBy(*by)).alias("_blk_total"), F.lit(0).alias("_data"),
-    )
+    sums = [f"_{i}" for i in range(len(values))]
+    keyed = df.withColumn("_blk", block).withColumns({f"_val{c}": v for c, v in zip(sums, values.values())})
+    per_block = keyed.groupBy(*by, "_blk").agg(*[F.sum(f"_val{c}").alias(c) for c in sums])
+    opening = _openings(per_block, by, sums).withColumn("_data", F.lit(0))
     rows = keyed.withColumn("_data", F.lit(1)).unionByName(opening, allowMissingColumns=True)
     upto = (
         Window.partitionBy(*by, "_blk").orderBy("_data", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    summed = rows.withColumn(name, F.sum("_val").over(upto))
+    summed = rows.withColumns({name: F.sum(f"_val{c}").over(upto) for name, c in zip(values, sums)})
     if total:
-        summed = summed.withColumn(total, F.first("_blk_total").over(upto))
-    return summed.filter(F.col("_data") == 1).drop("_blk", "_val", "_blk_total", "_data")
+        summed = summed.withColumn(total, F.first("_blk_total_0").over(upto))
+    return summed.filter(F.col("_data") == 1).drop("_blk", "_data", *[f"_val{c}" for c in sums], *[f"_blk_total{c}" for c in sums])
+
+
+def block_running_sum(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column | str], block: Column,
+    value: Column, name: str, total: str | None = None,
+) -> DataFrame:
+    """``block_running_sums`` of one value."""
+    return block_running_sums(df, by, order, block, {name: value}, total)
 
 
 def block_rank(
