@@ -107,3 +107,12 @@ def test_published_confusion_matrix(spark):
     assert scores["flag_for_review"].support == 18 and abs(scores["flag_for_review"].recall - 16 / 18) < 1e-12
     assert "request_neighbor_tile" not in scores and scores["request_higher_resolution"].precision == 0.0
     assert {(r.gold_action, r.pred_action): r.n for r in E.action_confusion(df).collect()} == cells
+
+
+def test_least_iou_counts_on_both_paths(spark):
+    """A pair at IoU 0.5: persistent at 0.3, new at 0.6, for few boxes and for many."""
+    past, now = {1: [(0.0, 0.0, 0.5, 0.5)]}, {1: [(0.0, 0.0, 0.5, 0.25)]}
+    for limit in (4096, 0):
+        for least, status in ((0.3, "persistent"), (0.6, "new")):
+            out = M.match_change_table(table(spark, past), table(spark, now), "no", min_iou=least, max_array=limit)
+            assert [r.status for r in out.collect()] == [status]

@@ -2,6 +2,7 @@ import itertools
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import evaluate as E, messages as T, raster as R
@@ -149,3 +150,16 @@ def test_patch_stats_keep_empty_patches_and_raster_order(spark):
     assert [tuple(b) for b in out["a"].bboxes] == [(0.0, 0.0, 0.25, 0.25), (0.25, 0.25, 0.5, 0.5), (0.5, 0.5, 0.75, 0.75), (0.0, 0.75, 0.25, 1.0), (0.75, 0.75, 1.0, 1.0)]
     sentence = T.describe(R.patch_totals(R.components(df, ["patch_id"]), patches, ["patch_id"]), ["patch_id"]).collect()
     assert Counter(r.pit_count for r in sentence) == {0: 1, 5: 1} and all("{" not in r.description and "  " not in r.description for r in sentence)
+
+
+def test_stretch_keeps_bands_without_values(spark):
+    rows = [(1, 0, i, 0, float(i)) for i in range(50)] + [(1, 1, i, 0, None) for i in range(50)]
+    out = R.stretch(spark.createDataFrame(rows, "patch_id long, band int, x int, y int, v double")).collect()
+    assert len(out) == 100 and all((r.level is None) == (r.band == 1) for r in out)
+
+
+def test_declared_extent_is_checked(spark):
+    df = spark.createDataFrame([(1, 2, 3), (1, 2, 4)], "patch_id long, x int, y int")
+    assert [r.px for r in R.components(df, ["patch_id"], within_block=True).collect()] == [2]
+    with pytest.raises(Exception, match="within_block"):
+        R.components(spark.createDataFrame([(1, 500, 3)], "patch_id long, x int, y int"), ["patch_id"], within_block=True).collect()

@@ -139,3 +139,36 @@ def test_bleu_keeps_null_groups_and_counts_blanks(spark):
     df = spark.createDataFrame([(1, None, "a b c d", "a b c d"), (2, None, " ", "x"), (3, "en", "q", "q")], "k long, lang string, p string, g string")
     out = {r.lang: r for r in L.corpus_bleu(df, "k", "p", "g", ["lang"], "none").collect()}
     assert set(out) == {None, "en"} and (out[None].n_empty, out[None].n_pairs) == (1, 2) and abs(out[None].bleu - 100 * math.exp(1 - 5 / 4)) < 1e-9
+
+
+def test_calls_as_the_interpreter_reads_them(spark):
+    def made(call):
+        df = spark.createDataFrame([(f"<|tool_call_start|>[{call}]<|tool_call_end|>",)], "t string")
+        r = G.parse_tool_calls(df, "t").first()
+        return r.tool, r.reason, r.direction
+
+    for call, want in {
+        'flag_for_review(reason="a", boxes=[1,2])': ("flag_for_review", "a", None),
+        'discard(reason="x", "y")': None,
+        'discard(reason="x", reason="y")': None,
+        "discard(reason=5)": ("discard", "5", None),
+        """downlink_now(note="a, reason='q'", reason="r")""": ("downlink_now", "r", None),
+        """discard("x", reason="a" 'b')""": ("discard", "ab", None),
+        "discard(reason=None)": ("discard", "None", None),
+        'discard(opts={"a": [1, 2], "b": (3,)}, reason="ok")': ("discard", "ok", None),
+        'request_neighbor_tile(direction="east", reason="z",)': ("request_neighbor_tile", "[east] z", "east"),
+        'request_neighbor_tile(direction=None, reason="z")': ("request_neighbor_tile", "z", None),
+    }.items():
+        got = made(call)
+        assert got == want if want else got[0] == "(unparseable)", call
+
+
+def test_json_nulls_and_doubled_keys(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(['{"action":"flag","action":"downlink"}', '{"action": null}', '{"action":"flag","reason":null}', '{"action":"flag"}'])], "i int, t string")
+    got = [(r.tool, r.reason) for r in G.parse_json_actions(df, "t").orderBy("i").collect()]
+    assert [g[0] for g in got] == ["downlink", "(invalid_action:none)", "flag", "flag"] and [g[1] for g in got[2:]] == ["None", "(no reason given)"]
+
+
+def test_bleu_counts_pairs_that_share_a_key(spark):
+    df = spark.createDataFrame([(1, "a b c d", "w x y z"), (1, "w x y z", "a b c d")], "k long, p string, g string")
+    assert L.corpus_bleu(df, "k", "p", "g", tokenize="none").first().bleu == 0.0
