@@ -20,6 +20,8 @@ from gridloom.llm.common import TO_LOWER, pieces, utf8
 SPACES = bytes.maketrans(b"\t\n\r", b"   ")
 #: The same, with A-Z in lower case, for tokenizers that lower it anyway.
 LOWERED = bytes(SPACES).translate(TO_LOWER)
+#: Byte-level merges write bytes as letters: printable Latin-1 as it is, the other bytes, in order, from code point 256 on.
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
 #: Signs that stand behind a word as a token of their own.
 SIGNS = (b".", b",", b";", b":", b"?")
 
@@ -37,6 +39,8 @@ class Encoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.lowers = self.encode(["AbC É"]) == self.encode(["abc É"]) and self.encode(["XYZ"]) == self.encode(["xyz"])
+        probes = ["a", "qzxvoe", "straße", "élèveó", "ñandúşık"]
+        self.direct = self.lowers and self.encode(probes) == [self.word(w) for w in probes]
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -47,6 +51,17 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def word(self, word: str) -> bytes:
+        """A lower-case word of letters, straight to the merges: no other step of the tokenizer changes it."""
+        bytes_as_letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(bytes_as_letters)]).tobytes()
+
+    def encode_new(self, words: list[str]) -> list[bytes]:
+        """``encode``, with lower-case Latin words by ``word`` where that is the same for this tokenizer."""
+        plain = [self.direct and w.isalpha() and w.islower() and max(w) < "\u0250" for w in words]
+        others = iter(self.encode([w for w, p in zip(words, plain) if not p]))
+        return [self.word(w) if p else next(others) for w, p in zip(words, plain)]
+
     def encode_pieces(self, texts: list[bytes]) -> list[bytes]:
         """As ``encode``, of tokenizers that drop white space. Texts with a special token keep their case."""
         split = [t.translate(LOWERED if self.lowers and b"<|" not in t else SPACES).split(b" ") for t in texts]
@@ -65,7 +80,7 @@ class Encoder:
             else:
                 todo[w] = True
         missing = [w for w in todo if w not in young]
-        young.update(zip(missing, self.encode([w.decode() for w in missing])))
+        young.update(zip(missing, self.encode_new([w.decode() for w in missing])))
         for w in new:
             if w not in young:
                 young[w] = young[w[:-1]] + young[w[-1:]]
