@@ -20,7 +20,7 @@ SYMBOLS = 1 << BITS
 #: Code points from here on share the last 512 symbols; the text starts with ORDER - 1 marks.
 PLAIN, START = SYMBOLS - 512, 1
 #: Characters in a shard, at most (but for one longer text).
-SHARD = 12 << 20
+SHARD = 32 << 20
 #: Trusted ids that are broadcast, at most; beyond that they meet the documents in a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 #: One trusted document in so many is kept from training, to set the thresholds.
@@ -109,7 +109,7 @@ class KneserNey:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (struct ``row``, ``text``) packed into shards: id, the distinct grams, and the rows themselves compressed."""
+    """Rows (struct ``row``, ``text``) packed into shards: id, the distinct grams in order, and the rows compressed."""
     made, held, size, known = 0, [], 0, np.empty(0, np.int64)
 
     def shard() -> pa.RecordBatch:
@@ -138,12 +138,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            known, bits = np.empty(0, np.int64), np.empty(0)
-            if batch.column(1)[i].is_valid:  # else its texts are all empty
-                looked = batch.column(1)[i].values
-                known, bits = np.asarray(looked.field("g")), np.asarray(looked.field("bits"))
-                order = np.argsort(known)
-                known, bits = known[order], bits[order]
+            known = np.asarray(batch.column(1)[i].values)
+            bits = np.zeros(len(known))
+            if batch.column(2)[i].is_valid:  # else its texts are all empty
+                looked = batch.column(2)[i].values
+                bits[np.asarray(looked.field("at"))] = np.asarray(looked.field("bits"))
             with pa.ipc.open_stream(zstandard.decompress(batch.column(0)[i].as_py())) as rows:
                 for part in rows:
                     g, sizes = grams([t or "" for t in part.column(1).to_pylist()])
@@ -166,12 +165,12 @@ def score(docs: DataFrame, model: KneserNey, row: Column, text: Column) -> DataF
     packed = rows.mapInArrow(_pack, "shard bigint, grams array<bigint>, blob binary")
     packed.write.bucketBy(buckets, "shard").option("path", scratch_path(spark, "shards")).option("compression", "zstd").format("parquet").saveAsTable(name)
     held = spark.table(name)
-    asked = held.select("shard", F.explode("grams").alias("g"))
-    answers = model.log2(settle(asked.select("g").distinct(), "asked"))
-    looked = asked.join(answers, "g").groupBy("shard").agg(F.collect_list(F.struct("g", "bits")).alias("looked"))
+    asked = held.select("shard", F.posexplode("grams").alias("at", "g"))
+    answers = model.log2(settle(asked.select("g").distinct(), "asked")).select("g", F.col("bits").cast("float").alias("bits"))
+    looked = asked.join(answers, "g").groupBy("shard").agg(F.collect_list(F.struct("at", "bits")).alias("looked"))
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("n_chars bigint, bits double").fields])
-    met = held.select("shard", "blob").join(looked, "shard", "left")
-    return met.select("blob", "looked").mapInArrow(_score, schema)
+    met = held.select("shard", "blob", "grams").join(looked, "shard", "left")
+    return met.select("blob", "grams", "looked").mapInArrow(_score, schema)
 
 
 def classify(
