@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -22,12 +21,12 @@ STEMS = (4, 5, 6)
 MAX_EXAMPLES, MAX_TERMS = 20_000, 8192
 #: Likelihood-ratio statistic from which a term tells something about the label, and rows that must hold it.
 LEAST_G2, LEAST_ROWS = 20.0, 3
-#: How many times more or less often than all rows those with a term must be toxic.
+#: How many times more often than all rows those with a term must be toxic.
 LEAST_LIFT = 3.0
 #: Neighbours that vote; similarity their votes are weighed against; examples in a block of a posting list.
-NEIGHBOURS, PRIOR, BLOCK = 15, 0.5, 64
-#: Bins of the calibration.
-BINS = 10
+NEIGHBOURS, PRIOR, BLOCK = 15, 0.5, 1024
+#: Bins of the calibration, and distinct examples that are judged for it, at most.
+BINS, JUDGED = 10, 500
 
 
 #: A term met so often in a text is a term of its own, as one hit says less than many.
@@ -113,34 +112,25 @@ class Index:
         Lists are read block by block in order of example numbers. The sum of the blocks' greatest weights bounds every
         example up to the nearest end of a block; where it can't enter the ``k`` best, all lists skip to behind it."""
         lists = [(w, *self.postings[t]) for t, w in query.items() if t in self.postings]
-        best: list[tuple[float, int]] = []
-        at = [0] * len(lists)
-        floor = -1
+        best_s, best_i, floor = np.empty(0), np.empty(0, np.int64), -1
         while True:
-            blocks = []
-            for j, (_, ids, _, lasts, _) in enumerate(lists):
-                b = int(np.searchsorted(lasts, floor + 1))
-                at[j] = b
-                if b < len(lasts):
-                    blocks.append(j)
+            at = [(j, int(np.searchsorted(x[3], floor + 1))) for j, x in enumerate(lists)]
+            blocks = [(j, b) for j, b in at if b < len(lists[j][3])]
             if not blocks:
-                return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
-            end = min(int(lists[j][3][at[j]]) for j in blocks)
-            bound = sum(lists[j][0] * lists[j][4][at[j]] for j in blocks)
-            if len(best) < k or bound >= best[0][0] - 1e-12:
-                found: dict[int, float] = {}
-                for j in blocks:
+                return [(float(s), int(i)) for s, i in zip(best_s, best_i)]
+            end = min(int(lists[j][3][b]) for j, b in blocks)
+            if len(best_i) < k or sum(lists[j][0] * lists[j][4][b] for j, b in blocks) >= best_s[-1] - 1e-9:
+                found = np.zeros(end - floor)
+                for j, _ in blocks:
                     w, ids, weights, _, _ = lists[j]
                     a, z = np.searchsorted(ids, (floor + 1, end + 1))
-                    for i, x in zip(ids[a:z].tolist(), weights[a:z].tolist()):
-                        found[i] = found.get(i, 0.0) + w * x
-                for i, s in found.items():
-                    if i != without:
-                        entry = (round(s, 12), -i)
-                        if len(best) < k:
-                            heapq.heappush(best, entry)
-                        elif entry > best[0]:
-                            heapq.heapreplace(best, entry)
+                    found[ids[a:z] - floor - 1] += w * weights[a:z]
+                if without is not None and floor < without <= end:
+                    found[without - floor - 1] = 0.0
+                new = np.flatnonzero(found)
+                s, i = np.append(best_s, found[new].round(12)), np.append(best_i, new + floor + 1)
+                first = np.lexsort((i, -s))[:k]
+                best_s, best_i = s[first], i[first]
             floor = end
 
     def vote(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
@@ -165,9 +155,9 @@ class Index:
         """Votes to the share of toxic examples that got them: each example is judged by the others, its votes fall into
         bins, and the bins' shares are smoothed and made to rise (pooling neighbours that don't)."""
         up, all_ = np.zeros(BINS), np.zeros(BINS)
-        for i, e in enumerate(self.examples):
+        for i in range(0, len(self.examples), max(1, -(-len(self.examples) // JUDGED))):  # evenly spaced
             alone = self.total[i] == 1
-            near = self.nearest(self.vector(dict(e)), without=i if alone else None)
+            near = self.nearest(self.vector(dict(self.examples[i])), without=i if alone else None)
             for label, n in ((1, self.toxic[i]), (0, self.total[i] - self.toxic[i])):
                 if n:
                     b = int(np.searchsorted(self.cuts, self._share(near, None if alone else (i, label)), side="right"))
@@ -211,7 +201,9 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def telling_terms(examples: DataFrame) -> list[str]:
-    """Terms whose presence goes with the label, either way, by the likelihood-ratio statistic: the strongest, in order."""
+    """Terms whose presence goes with the label by the likelihood-ratio statistic: the strongest, in order. Equal texts
+    count once."""
+    examples = settle(examples.groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "example-texts")
     n, toxic = examples.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     counts = examples.select("text", "toxic").mapInArrow(_label_counts, "term string, toxic bigint, n bigint").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("n").alias("r"))
 
@@ -221,7 +213,7 @@ def telling_terms(examples: DataFrame) -> list[str]:
     a, r, t, m = F.col("a"), F.col("r"), F.lit(float(toxic or 0)), float(n)
     g2 = 2 * (part(a, r, t) + part(r - a, r, m - t) + part(t - a, m - r, t) + part(m - r - t + a, m - r, m - t))
     lift = a * m / (r * F.greatest(t, F.lit(1.0)))
-    chosen = counts.filter((F.col("r") >= LEAST_ROWS) & ((lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT))).withColumn("g2", g2).filter(F.col("g2") >= LEAST_G2)
+    chosen = counts.filter((F.col("r") >= LEAST_ROWS) & (lift >= LEAST_LIFT)).withColumn("g2", g2).filter(F.col("g2") >= LEAST_G2)
     return [x.term for x in chosen.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()]
 
 
@@ -232,7 +224,7 @@ def rate(
     examples with similarity and toxic share.
 
     Examples are the ``MAX_EXAMPLES`` rows of ``labels`` with the smallest hash of the id: a bounded sample, whose index goes
-    to every task. Their terms (lower-case words and word beginnings) that go with the label make the vocabulary. All
+    to every task. Their terms (lower-case words and word beginnings) that go with the label, met once or often, make the vocabulary. All
     documents become sparse vectors over it, once; document frequencies are counted over all of them. A document's
     cosines to the examples are exact (``Index.nearest``); equal vectors are searched once in a task.
 

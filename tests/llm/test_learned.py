@@ -29,7 +29,7 @@ def index_of(seed: int, n: int = 300) -> toxicity.Index:
 
 @pytest.mark.parametrize("seed", range(4))
 def test_block_max_search_is_exact(seed, monkeypatch):
-    monkeypatch.setattr(toxicity, "BLOCK", 4)
+    monkeypatch.setattr(toxicity, "BLOCK", 4)  # many blocks in a list
     index, rng = index_of(seed), random.Random(seed + 100)
     for _ in range(60):
         query = index.vector({rng.randrange(40): rng.randint(1, 5) for _ in range(rng.randint(1, 6))})
@@ -41,7 +41,7 @@ def test_block_max_search_is_exact(seed, monkeypatch):
                 every.append((s, i))
         every.sort(key=lambda x: (-x[0], x[1]))
         got = index.nearest(query, k)
-        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in every[:k]]
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in every[:k]], abs=1e-9)
         assert all(abs(dict((i, s) for s, i in every)[i] - s) < 1e-9 for s, i in got)
 
 
