@@ -23,8 +23,8 @@ MAX_EXAMPLES, MAX_TERMS = 20_000, 8192
 LEAST_G2, LEAST_ROWS = 20.0, 3
 #: How many times more often than all rows those with a term must be toxic.
 LEAST_LIFT = 3.0
-#: Neighbours that vote; similarity their votes are weighed against; examples in a block of a posting list.
-NEIGHBOURS, PRIOR, BLOCK = 15, 0.5, 1024
+#: Neighbours that vote; similarity their votes are weighed against; example numbers in a block.
+NEIGHBOURS, PRIOR, BLOCK = 15, 0.5, 256
 #: Bins of the calibration, and distinct examples that are judged for it, at most.
 BINS, JUDGED = 10, 500
 
@@ -91,12 +91,12 @@ class Index:
         for i, e in enumerate(self.examples):
             for t, w in self.vector(dict(e)).items():
                 postings.setdefault(t, []).append((i, w))
-        self.postings = {}
+        self.postings, blocks = {}, -(-len(self.examples) // BLOCK)
         for t, held in postings.items():
             ids, w = np.array([x[0] for x in held], np.int32), np.array([x[1] for x in held])
-            tops = [float(w[a : a + BLOCK].max()) for a in range(0, len(w), BLOCK)]
-            lasts = [int(ids[min(a + BLOCK, len(ids)) - 1]) for a in range(0, len(ids), BLOCK)]
-            self.postings[t] = (ids, w, np.array(lasts), np.array(tops))
+            starts = np.searchsorted(ids, np.arange(blocks + 1) * BLOCK)
+            tops = np.array([w[a:z].max() if a < z else 0.0 for a, z in zip(starts[:-1], starts[1:])])
+            self.postings[t] = (ids, w, starts, tops)
         self.cuts, self.levels = np.linspace(0, 1, BINS + 1)[1:-1], None
         self.calibrate()
 
@@ -109,29 +109,28 @@ class Index:
     def nearest(self, query: dict[int, float], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
         """The ``k`` examples of greatest cosine, exactly; ties by example number.
 
-        Lists are read block by block in order of example numbers. The sum of the blocks' greatest weights bounds every
-        example up to the nearest end of a block; where it can't enter the ``k`` best, all lists skip to behind it."""
+        Blocks are runs of ``BLOCK`` example numbers. The sum of a block's greatest weights over the query's lists bounds
+        every example in it: blocks are read from the greatest bound on, until none can enter the ``k`` best."""
         lists = [(w, *self.postings[t]) for t, w in query.items() if t in self.postings]
-        best_s, best_i, floor = np.empty(0), np.empty(0, np.int64), -1
-        while True:
-            at = [(j, int(np.searchsorted(x[3], floor + 1))) for j, x in enumerate(lists)]
-            blocks = [(j, b) for j, b in at if b < len(lists[j][3])]
-            if not blocks:
-                return [(float(s), int(i)) for s, i in zip(best_s, best_i)]
-            end = min(int(lists[j][3][b]) for j, b in blocks)
-            if len(best_i) < k or sum(lists[j][0] * lists[j][4][b] for j, b in blocks) >= best_s[-1] - 1e-9:
-                found = np.zeros(end - floor)
-                for j, _ in blocks:
-                    w, ids, weights, _, _ = lists[j]
-                    a, z = np.searchsorted(ids, (floor + 1, end + 1))
-                    found[ids[a:z] - floor - 1] += w * weights[a:z]
-                if without is not None and floor < without <= end:
-                    found[without - floor - 1] = 0.0
-                new = np.flatnonzero(found)
-                s, i = np.append(best_s, found[new].round(12)), np.append(best_i, new + floor + 1)
-                first = np.lexsort((i, -s))[:k]
-                best_s, best_i = s[first], i[first]
-            floor = end
+        best_s, best_i = np.empty(0), np.empty(0, np.int64)
+        if not lists:
+            return []
+        bounds = sum(w * tops for w, _, _, _, tops in lists)
+        for b in np.argsort(-bounds, kind="stable").tolist():
+            if bounds[b] <= 0 or (len(best_i) >= k and bounds[b] < best_s[-1] - 1e-9):
+                break
+            found = np.zeros(BLOCK)
+            for w, ids, weights, starts, _ in lists:
+                a, z = starts[b], starts[b + 1]
+                if a < z:
+                    found[ids[a:z] - b * BLOCK] += w * weights[a:z]
+            if without is not None and without // BLOCK == b:
+                found[without % BLOCK] = 0.0
+            new = np.flatnonzero(found)
+            s, i = np.append(best_s, found[new].round(12)), np.append(best_i, new + b * BLOCK)
+            first = np.lexsort((i, -s))[:k]
+            best_s, best_i = s[first], i[first]
+        return [(float(s), int(i)) for s, i in zip(best_s, best_i)]
 
     def vote(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
         near = self.nearest(self.vector(counts)) if counts else []
