@@ -1,15 +1,16 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, votes weighted by nearness."""
+"""Toxicity by nearest labelled examples: exact cosine of TF-IDF vectors that hold every term of the examples, votes weighted by nearness."""
 
 from __future__ import annotations
 
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import xxhash
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridloom.llm.common import pieces
 from gridloom.session import settle
@@ -17,14 +18,14 @@ from gridloom.session import settle
 WORD = re.compile(r"[^\W\d_]+")
 #: Word beginnings that are terms too, so that inflected forms meet.
 STEMS = (4, 5, 6)
-#: Labelled rows to learn from, at most (those with the smallest hash of the id), and terms kept.
-MAX_EXAMPLES, MAX_TERMS = 20_000, 8192
-#: Likelihood-ratio statistic from which a term tells something about the label, and rows that must hold it.
-LEAST_G2, LEAST_ROWS = 20.0, 3
-#: How many times more often than all rows those with a term must be toxic.
-LEAST_LIFT = 3.0
-#: Neighbours that vote; similarity their votes are weighed against; example numbers in a block.
+#: Labelled rows to learn from, at most (those with the smallest hash of the id).
+MAX_EXAMPLES = 20_000
+#: Neighbours that vote; similarity their votes are weighed against; documents searched at once.
 NEIGHBOURS, PRIOR, BLOCK = 15, 0.5, 256
+#: Terms of more than this share of the examples are multiplied as a dense matrix, the others by posting lists.
+COMMON = 0.1
+#: Single precision finds the candidates; what it may be off by, at most, for unit vectors of non-negative weights.
+SLACK = 1e-4
 #: Bins of the calibration, and distinct examples that are judged for it, at most.
 BINS, JUDGED = 10, 500
 
@@ -50,93 +51,158 @@ def text_terms(words: Counter, terms: _Terms) -> dict[str, int]:
 class _Terms(dict):
     """Words to their terms, for the words met last."""
 
-    def __init__(self, known: dict[str, int] | None = None, most: int = 200_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
-        self.known, self.most = None if known is None else {t.partition("*")[0] for t in known}, most
+        self.most = most
 
     def __missing__(self, word: str):
         if len(self) >= self.most:
             self.clear()
-        terms = word_terms(word)
-        value = self[word] = terms if self.known is None else [t for t in terms if t in self.known]
+        value = self[word] = word_terms(word)
         return value
 
 
+class _Known(dict):
+    """Words to the numbers of their terms in a vocabulary, for the words met last."""
+
+    def __init__(self, known: dict[str, int], often: dict[int, list[tuple[int, int]]], most: int = 200_000):
+        super().__init__()
+        self.known, self.often, self.most = known, often, most
+
+    def __missing__(self, word: str):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = [self.known[t] for t in word_terms(word) if t in self.known]
+        return value
+
+    def numbered(self, words: Counter) -> list[tuple[int, int]]:
+        """As ``text_terms``, of the known terms, by number."""
+        counts: dict[int, int] = {}
+        for word, n in words.items():
+            for t in self[word]:
+                counts[t] = counts.get(t, 0) + n
+        more = [(t, n) for base, n in counts.items() if n >= OFTEN[0] and base in self.often for k, t in self.often[base] if n >= k]
+        return sorted([*counts.items(), *more])
+
+
 def words_of(text: str | None) -> Counter:
     return Counter(WORD.findall(text.lower())) if text else Counter()
 
 
 class Index:
-    """Labelled examples by term, in blocks that know their greatest weight. Equal vectors are one example with its numbers
-    of labels. Bounded by the examples: about 100 bytes for each of their terms."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, rows: list[tuple[dict[int, int], int, int]]):
-        self.terms, self.idf = {t: i for i, t in enumerate(terms)}, idf
-        groups: dict[tuple, list[int]] = {}
+    """Labelled examples with all their terms. Equal vectors are one example with its numbers of labels. Bounded by the
+    examples: about 15 bytes for each of their terms.
+
+    ``weights``: of the terms, all positive. ``rows``: counts by term, label and name; or the same as flat arrays (``of``)."""
+
+    def __init__(self, terms: Sequence[str], weights: np.ndarray, rows: list[tuple[dict[int, int], int, int]]):
+        flat = [sorted(x[0].items()) for x in rows]
+        ids, counts = (np.array([x[k] for row in flat for x in row], np.int32) for k in (0, 1))
+        self._build(weights, np.append(0, np.cumsum([len(x) for x in flat])).astype(np.int64), ids, counts, [x[1] for x in rows], [x[2] for x in rows])
+        self.levels = levels(self.judged(range(0, self.n, max(1, -(-self.n // JUDGED)))))
+
+    @classmethod
+    def of(cls, weights: np.ndarray, offsets: np.ndarray, ids: np.ndarray, counts: np.ndarray, labels: Sequence[int], names: Sequence[int]) -> Index:
+        """From flat arrays of terms and counts; not calibrated."""
+        made = cls.__new__(cls)
+        made._build(weights, offsets, ids, counts, labels, names)
+        made.levels = None
+        return made
+
+    def _build(self, weights, offsets, ids, counts, labels, names) -> None:
+        self.weights = np.asarray(weights, float)
+        groups: dict[bytes, list] = {}
         self.plain = [0, 0]  # examples without any term: toxic, all
-        first: dict[tuple, int] = {}
-        for counts, label, name in rows:
-            key = tuple(sorted(counts.items()))
-            held = groups.setdefault(key, [0, 0]) if key else self.plain
-            first[key] = min(name, first.get(key, name))
+        for j, (a, z, label, name) in enumerate(zip(offsets[:-1], offsets[1:], labels, names)):
+            if a == z:
+                held = self.plain
+            else:
+                held = groups.setdefault(xxhash.xxh3_128_digest(ids[a:z].tobytes() + counts[a:z].tobytes()), [0, 0, name, j])
+                held[2] = min(held[2], name)
             held[0] += label
             held[1] += 1
-        self.examples = sorted(groups)
-        self.names = [first[e] for e in self.examples]
-        self.toxic = np.array([groups[e][0] for e in self.examples], float)
-        self.total = np.array([groups[e][1] for e in self.examples], float)
-        seen = sum(x[1] for x in groups.values()) + self.plain[1]
-        self.base = (sum(x[0] for x in groups.values()) + self.plain[0] + 0.5) / (seen + 2)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for i, e in enumerate(self.examples):
-            for t, w in self.vector(dict(e)).items():
-                postings.setdefault(t, []).append((i, w))
-        self.postings, blocks = {}, -(-len(self.examples) // BLOCK)
-        for t, held in postings.items():
-            ids, w = np.array([x[0] for x in held], np.int32), np.array([x[1] for x in held])
-            starts = np.searchsorted(ids, np.arange(blocks + 1) * BLOCK)
-            tops = np.array([w[a:z].max() if a < z else 0.0 for a, z in zip(starts[:-1], starts[1:])])
-            self.postings[t] = (ids, w, starts, tops)
-        self.cuts, self.levels = np.linspace(0, 1, BINS + 1)[1:-1], None
-        self.calibrate()
+        chosen = sorted(groups.values(), key=lambda g: (g[2], g[3]))
+        self.n, self.names = len(chosen), [g[2] for g in chosen]
+        self.toxic, self.total = (np.array([g[k] for g in chosen], float) for k in (0, 1))
+        seen, toxic = self.total.sum() + self.plain[1], self.toxic.sum() + self.plain[0]
+        self.base = (toxic + 0.5) / (seen + 2)
+        at = [g[3] for g in chosen]
+        self.offsets = np.append(0, np.cumsum([offsets[j + 1] - offsets[j] for j in at])).astype(np.int64)
+        self.ids = np.concatenate([ids[:0], *[ids[offsets[j] : offsets[j + 1]] for j in at]]).astype(np.int32)
+        self.counts = np.concatenate([counts[:0], *[counts[offsets[j] : offsets[j + 1]] for j in at]]).astype(np.int32)
+        unit = np.concatenate([np.empty(0, np.float32), *[self._unit(self.ids[a:z], self.counts[a:z]).astype(np.float32) for a, z in zip(self.offsets[:-1], self.offsets[1:])]])
+        held = np.bincount(self.ids, minlength=len(self.weights))
+        common = np.flatnonzero(held > COMMON * self.n)
+        self.column = np.full(len(self.weights), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        of, dense = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.offsets)), self.column[self.ids]
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        self.dense[dense[dense >= 0], of[dense >= 0]] = unit[dense >= 0]
+        rare = np.flatnonzero(dense < 0)
+        rare = rare[np.argsort(self.ids[rare], kind="stable")]
+        self.post_of, self.post_w = of[rare], unit[rare]
+        held[common] = 0
+        self.starts = np.append(0, np.cumsum(held)).astype(np.int64)
+
+    def _unit(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.weights[ids]
+        length = math.sqrt((w * w).sum())
+        return w / length if length else w
+
+    @property
+    def examples(self) -> list[tuple[tuple[int, int], ...]]:
+        return [tuple(zip(self.ids[a:z].tolist(), self.counts[a:z].tolist())) for a, z in zip(self.offsets[:-1], self.offsets[1:])]
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        """Unit TF-IDF vector: (1 + log count) times the inverse document frequency."""
-        w = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        length = math.sqrt(sum(x * x for x in w.values()))
-        return {t: x / length for t, x in w.items()} if length else {}
+        """Unit vector: (1 + log count) times the term's weight."""
+        ids = np.fromiter(counts.keys(), np.int64, len(counts))
+        return dict(zip(ids.tolist(), self._unit(ids, np.fromiter(counts.values(), np.int64, len(counts))).tolist()))
 
     def nearest(self, query: dict[int, float], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
-        """The ``k`` examples of greatest cosine, exactly; ties by example number.
-
-        Blocks are runs of ``BLOCK`` example numbers. The sum of a block's greatest weights over the query's lists bounds
-        every example in it: blocks are read from the greatest bound on, until none can enter the ``k`` best."""
-        lists = [(w, *self.postings[t]) for t, w in query.items() if t in self.postings]
-        best_s, best_i = np.empty(0), np.empty(0, np.int64)
-        if not lists:
-            return []
-        bounds = sum(w * tops for w, _, _, _, tops in lists)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(best_i) >= k and bounds[b] < best_s[-1] - 1e-9):
-                break
-            found = np.zeros(BLOCK)
-            for w, ids, weights, starts, _ in lists:
-                a, z = starts[b], starts[b + 1]
-                if a < z:
-                    found[ids[a:z] - b * BLOCK] += w * weights[a:z]
-            if without is not None and without // BLOCK == b:
-                found[without % BLOCK] = 0.0
-            new = np.flatnonzero(found)
-            s, i = np.append(best_s, found[new].round(12)), np.append(best_i, new + b * BLOCK)
-            first = np.lexsort((i, -s))[:k]
-            best_s, best_i = s[first], i[first]
-        return [(float(s), int(i)) for s, i in zip(best_s, best_i)]
-
-    def vote(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(self.vector(counts)) if counts else []
-        if not near:
-            return (self.plain[0] + PRIOR * self.base) / (self.plain[1] + PRIOR), []
-        return self._share(near), near
+        ids = np.fromiter(query.keys(), np.int64, len(query))
+        return self.search([(ids, np.fromiter(query.values(), float, len(query)))], k, [without])[0]
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: Sequence[int | None] | None = None) -> list[list[tuple[float, int]]]:
+        """The ``k`` examples of greatest positive cosine to each query (terms, unit weights), exactly; ties by example number.
+
+        Every example that shares a term is summed in single precision: common terms as one matrix product, the others by
+        their posting lists. All that may be among the ``k`` best are then summed again in double precision."""
+        out = []
+        full = np.zeros(len(self.weights))
+        for at in range(0, len(queries), BLOCK):
+            part = queries[at : at + BLOCK]
+            q = np.zeros((len(part), len(self.dense)), np.float32)
+            for row, (ids, w) in zip(q, part):
+                c = self.column[ids]
+                row[c[c >= 0]] = w[c >= 0]
+            sums = q @ self.dense if len(self.dense) else np.zeros((len(part), self.n), np.float32)
+            for j, ((ids, w), s) in enumerate(zip(part, sums)):
+                a, z = self.starts[ids], self.starts[ids + 1]
+                some = np.flatnonzero(z > a)
+                if len(some):
+                    ends = list(zip(a[some].tolist(), z[some].tolist()))
+                    of = np.concatenate([self.post_of[x:y] for x, y in ends])
+                    add = np.concatenate([self.post_w[x:y] for x, y in ends]) * np.repeat(w[some].astype(np.float32), z[some] - a[some])
+                    s += np.bincount(of, add, self.n).astype(np.float32)
+                if without is not None and without[at + j] is not None:
+                    s[without[at + j]] = 0.0
+                least = np.partition(s, self.n - k)[self.n - k] - SLACK if self.n > k else 0.0
+                near = np.flatnonzero((s > 0) & (s >= least))
+                if not len(near):
+                    out.append([])
+                    continue
+                full[ids] = w
+                exact = np.array([self._unit(self.ids[x:y], self.counts[x:y]) @ full[self.ids[x:y]] for x, y in zip(self.offsets[near], self.offsets[near + 1])]).round(12)
+                full[ids] = 0.0
+                best = np.lexsort((near, -exact))[:k]
+                out.append(list(zip(exact[best].tolist(), near[best].tolist())))
+        return out
+
+    def votes(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Vote and neighbours for each row (terms, counts)."""
+        none = (self.plain[0] + PRIOR * self.base) / (self.plain[1] + PRIOR)
+        found = self.search([(ids, self._unit(ids, counts)) for ids, counts in rows])
+        return [(self._share(near) if near else none, near) for near in found]
 
     def _share(self, near: list[tuple[float, int]], judged: tuple[int, int] | None = None) -> float:
         """Toxic share among the neighbours, weighted by similarity and drawn to the base rate by ``PRIOR``. Equal examples
@@ -150,31 +216,33 @@ class Index:
             mass += s * min(total, 3)
         return up / mass
 
-    def calibrate(self) -> None:
-        """Votes to the share of toxic examples that got them: each example is judged by the others, its votes fall into
-        bins, and the bins' shares are smoothed and made to rise (pooling neighbours that don't)."""
-        up, all_ = np.zeros(BINS), np.zeros(BINS)
-        for i in range(0, len(self.examples), max(1, -(-len(self.examples) // JUDGED))):  # evenly spaced
-            alone = self.total[i] == 1
-            near = self.nearest(self.vector(dict(self.examples[i])), without=i if alone else None)
+    def judged(self, numbers: Sequence[int]) -> np.ndarray:
+        """Examples judged by all others: toxic and all labels for each bin of the votes."""
+        sums, cuts = np.zeros((2, BINS)), np.linspace(0, 1, BINS + 1)[1:-1]
+        alone = [self.total[i] == 1 for i in numbers]
+        spans = [slice(self.offsets[i], self.offsets[i + 1]) for i in numbers]
+        found = self.search([(self.ids[x], self._unit(self.ids[x], self.counts[x])) for x in spans], without=[i if a else None for i, a in zip(numbers, alone)])
+        for i, a, near in zip(numbers, alone, found):
             for label, n in ((1, self.toxic[i]), (0, self.total[i] - self.toxic[i])):
                 if n:
-                    b = int(np.searchsorted(self.cuts, self._share(near, None if alone else (i, label)), side="right"))
-                    up[b] += label * n
-                    all_[b] += n
-        centre = (np.arange(BINS) + 0.5) / BINS
-        merged: list[list[float]] = []
-        for u, a, c in zip(up, all_, centre):
-            merged.append([u + 2 * c, a + 2.0, 1])
-            while len(merged) > 1 and merged[-2][0] / merged[-2][1] > merged[-1][0] / merged[-1][1]:
-                last = merged.pop()
-                merged[-1] = [x + y for x, y in zip(merged[-1], last)]
-        self.levels = np.array([u / a for u, a, n in merged for _ in range(int(n))])
+                    b = int(np.searchsorted(cuts, self._share(near, None if a else (i, label)), side="right"))
+                    sums[:, b] += label * n, n
+        return sums
 
     def score(self, vote: float) -> float:
         """The calibrated vote: between the centres of bins, a straight line."""
-        centre = (np.arange(BINS) + 0.5) / BINS
-        return float(np.interp(vote, centre, self.levels))
+        return float(np.interp(vote, (np.arange(BINS) + 0.5) / BINS, self.levels))
+
+
+def levels(sums: np.ndarray) -> np.ndarray:
+    """Calibration: the bins' toxic shares, smoothed and made to rise (pooling neighbours that don't)."""
+    merged: list[list[float]] = []
+    for u, a, c in zip(*sums, (np.arange(BINS) + 0.5) / BINS):
+        merged.append([u + 2 * c, a + 2.0, 1])
+        while len(merged) > 1 and merged[-2][0] / merged[-2][1] > merged[-1][0] / merged[-1][1]:
+            last = merged.pop()
+            merged[-1] = [x + y for x, y in zip(merged[-1], last)]
+    return np.array([u / a for u, a, n in merged for _ in range(int(n))])
 
 
 def _counted(column: pa.Array) -> Iterator[Counter]:
@@ -199,21 +267,35 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def telling_terms(examples: DataFrame) -> list[str]:
-    """Terms whose presence goes with the label by the likelihood-ratio statistic: the strongest, in order. Equal texts
-    count once."""
+def vocabulary(examples: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All terms of the examples, the most frequent first, and how much each tells: the square root of one plus the
+    likelihood-ratio statistic of its presence and the label, in either direction. Equal texts count once."""
     examples = settle(examples.groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "example-texts")
     n, toxic = examples.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     counts = examples.select("text", "toxic").mapInArrow(_label_counts, "term string, toxic bigint, n bigint").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("n").alias("r"))
+    held = counts.toArrow().sort_by([("r", "descending"), ("term", "ascending")])  # the terms of MAX_EXAMPLES texts
+    a, r, t, m = held["a"].to_numpy().astype(float), held["r"].to_numpy().astype(float), float(toxic or 0), float(n)
 
-    def part(seen: Column, row: Column, col: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen * float(n) / (row * col))).otherwise(0.0)
+    def part(seen: np.ndarray, row: np.ndarray, col: float) -> np.ndarray:
+        safe = np.where(seen > 0, seen, 1.0)
+        return np.where(seen > 0, seen * np.log(safe * m / np.where(seen > 0, row * col, m)), 0.0)
 
-    a, r, t, m = F.col("a"), F.col("r"), F.lit(float(toxic or 0)), float(n)
     g2 = 2 * (part(a, r, t) + part(r - a, r, m - t) + part(t - a, m - r, t) + part(m - r - t + a, m - r, m - t))
-    lift = a * m / (r * F.greatest(t, F.lit(1.0)))
-    chosen = counts.filter((F.col("r") >= LEAST_ROWS) & (lift >= LEAST_LIFT)).withColumn("g2", g2).filter(F.col("g2") >= LEAST_G2)
-    return [x.term for x in chosen.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()]
+    return held["term"].to_pylist(), np.sqrt(1 + np.maximum(g2, 0.0))
+
+
+def _flat(terms: pa.ListArray, counts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, term numbers and counts of rows that hold the gaps between term numbers."""
+    offsets = np.asarray(terms.offsets, np.int64)
+    gaps = np.asarray(terms.values)[offsets[0] : offsets[-1]]
+    n = np.asarray(counts.values)[counts.offsets[0].as_py() : counts.offsets[-1].as_py()]
+    offsets = offsets - offsets[0]
+    upto = np.append(0, np.cumsum(gaps, dtype=np.int64))
+    return offsets, (upto[1:] - np.repeat(upto[offsets[:-1]], np.diff(offsets))).astype(np.int32), n
+
+
+def _whole(column: pa.ChunkedArray) -> pa.ListArray:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
 def rate(
@@ -223,9 +305,11 @@ def rate(
     examples with similarity and toxic share.
 
     Examples are the ``MAX_EXAMPLES`` rows of ``labels`` with the smallest hash of the id: a bounded sample, whose index goes
-    to every task. Their terms (lower-case words and word beginnings) that go with the label, met once or often, make the vocabulary. All
-    documents become sparse vectors over it, once; document frequencies are counted over all of them. A document's
-    cosines to the examples are exact (``Index.nearest``); equal vectors are searched once in a task.
+    to every task. All their terms (lower-case words and word beginnings, met once or often) make the vocabulary. All
+    documents become sparse vectors over it, once; document frequencies are counted over all of them. A term weighs its
+    inverse document frequency times how much it tells of the label (``vocabulary``), at least once: none is left out, and a
+    copy of an example has the cosine 1 with it. Cosines to all examples are exact (``Index.search``); equal vectors are
+    searched once in a task. Scores are calibrated on every n-th example, judged by the others.
 
     Null or empty text, or none of the terms: the share of toxic examples among those without terms. Without any labels
     the score is 0.25. Null ids and labels aren't learned from; an id labelled twice counts as toxic if either says so.
@@ -236,45 +320,79 @@ def rate(
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic is not null")
     sample = settle(marked.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(MAX_EXAMPLES), "labelled")
     examples = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    terms = telling_terms(examples)
-    known = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    terms, tells = vocabulary(examples)
+    known, size = spark.sparkContext.broadcast(terms), len(terms)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_to = _Terms(known.value)
+        numbers = {t: i for i, t in enumerate(known.value)}
+        often: dict[int, list[tuple[int, int]]] = {}
+        for t, i in numbers.items():
+            base, star, k = t.partition("*")
+            if star:
+                often.setdefault(numbers[base], []).append((int(k), i))
+        words_to = _Known(numbers, often)
         for batch in batches:
             for part in pieces(batch, 500):
-                out = []
-                for words in _counted(part.column(2)):
-                    out.append(sorted((known.value[t], n) for t, n in text_terms(words, words_to).items() if t in known.value))
-                lists = [pa.array([[x[k] for x in row] for row in out], pa.list_(pa.int32())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["row", "id", "terms", "counts"])
+                out = [words_to.numbered(words) for words in _counted(part.column(2))]
+                offsets = pa.array(np.append(0, np.cumsum([len(x) for x in out])), pa.int32())
+                ids, n = (np.array([x[k] for row in out for x in row], np.int32) for k in (0, 1))
+                gaps = np.diff(ids, prepend=np.int32(0))
+                starts = np.asarray(offsets)[:-1][np.diff(np.asarray(offsets)) > 0]
+                gaps[starts] = ids[starts]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(gaps)), pa.ListArray.from_arrays(offsets, pa.array(n))],
+                    names=["row", "id", "terms", "counts"],
+                )
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(size, np.int64)
+        for batch in batches:
+            df += np.bincount(_flat(batch.column(0), batch.column(1))[1], minlength=size)
+        t = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(df[t])], names=["t", "df"])
 
     rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([rows.schema["row"], rows.schema["id"], *T.StructType.fromDDL("terms array<int>, counts array<int>").fields])
     held = settle(rows.mapInArrow(vectors, schema), "vectors", "zstd")
-    n = held.count()
-    frequency = np.zeros(len(terms))
-    for t, df in held.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect():  # MAX_TERMS rows
-        frequency[t] = df
-    idf = np.log((1 + n) / (1 + frequency)) + 1
-    learned = held.select("id", "terms", "counts").join(F.broadcast(sample), "id").collect()  # MAX_EXAMPLES rows, and those that repeat their ids
-    index = spark.sparkContext.broadcast(Index(terms, idf, [(dict(zip(x.terms, x.counts)), x.toxic, x.id) for x in learned]))
+    frequency = np.zeros(size)
+    met = held.select("terms", "counts").mapInArrow(frequencies, "t bigint, df bigint").groupBy("t").agg(F.sum("df").alias("df")).toArrow()  # a row for each term
+    frequency[met["t"].to_numpy()] = met["df"].to_numpy()
+    weights = (np.log((1 + held.count()) / (1 + frequency)) + 1) * tells
+    learned = held.select("id", "terms", "counts").join(F.broadcast(sample), "id").toArrow()  # MAX_EXAMPLES rows, and those that repeat their ids
+    index = Index.of(weights, *_flat(_whole(learned["terms"]), _whole(learned["counts"])), learned["toxic"].to_pylist(), learned["id"].to_pylist())
+    n_examples = index.n
+    index = spark.sparkContext.broadcast(index)
+
+    def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, BINS))
+        for batch in batches:
+            for part in pieces(batch, BLOCK):
+                sums += index.value.judged(part.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(range(BINS), pa.int32()), pa.array(sums[0]), pa.array(sums[1])], names=["bin", "up", "n"])
+
+    sums = np.zeros((2, BINS))
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, n_examples))
+    for x in spark.range(0, n_examples, max(1, -(-n_examples // JUDGED)), tasks).mapInArrow(calibrate, "bin int, up double, n double").groupBy("bin").agg(F.sum("up").alias("up"), F.sum("n").alias("n")).collect():
+        sums[:, x.bin] = x.up, x.n
+    rising = levels(sums)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, met = index.value, {}
+        held.levels = rising
         kind = pa.list_(pa.struct([("id", pa.int64()), ("similarity", pa.float64()), ("toxic_share", pa.float64())]))
         for batch in batches:
-            scores, evidence = [], []
-            for key in zip(map(tuple, batch.column(1).to_pylist()), map(tuple, batch.column(2).to_pylist())):
-                if key not in met:
-                    if len(met) > 50_000:
-                        met.clear()
-                    vote, near = held.vote(dict(zip(*key)))
+            for part in pieces(batch, BLOCK):
+                offsets, ids, counts = _flat(part.column(1), part.column(2))
+                spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+                keys = [xxhash.xxh3_128_digest(ids[a:z].tobytes() + counts[a:z].tobytes()) for a, z in spans]
+                if len(met) > 50_000:
+                    met.clear()
+                new = {key: (ids[a:z], counts[a:z]) for key, (a, z) in zip(keys, spans) if key not in met}
+                for key, (vote, near) in zip(new, held.votes(list(new.values()))):
                     score = held.score(vote) if near else vote
                     met[key] = round(score, 6), [{"id": held.names[i], "similarity": s, "toxic_share": held.toxic[i] / held.total[i]} for s, i in near[:3]]
-                scores.append(met[key][0])
-                evidence.append(met[key][1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["row", "score", "evidence"])
+                found = [met[key] for key in keys]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], kind)], names=["row", "score", "evidence"])
 
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("score double, evidence array<struct<id:bigint,similarity:double,toxic_share:double>>").fields])
     judged = held.select("row", "terms", "counts").mapInArrow(judge, schema)

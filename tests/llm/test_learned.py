@@ -59,6 +59,20 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in judged)
 
 
+def test_copy_of_a_rare_example_meets_it(spark):
+    """More than a third of the examples are toxic and share no term: each unseen copy still finds its own example."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    learned = [(i, " ".join(word() for _ in range(12)), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in learned] + [(1000 + i, t) for i, t, _ in learned], "doc_id long, text string")
+    got = toxicity.rate(docs, spark.createDataFrame([(i, y) for i, _, y in learned], "doc_id long, toxic int")).collect()
+    for r in got:
+        best = r.evidence[0]
+        assert best.id == r.doc_id % 1000 and best.similarity == pytest.approx(1) and best.toxic_share == r.doc_id % 2
+    mean = lambda y: np.mean([r.score for r in got if r.doc_id % 2 == y])
+    assert mean(1) > mean(0)
+
+
 def test_toxicity_odd_rows(spark):
     docs = documents(spark)
     labels = docs.select("doc_id", F.lit(0).alias("toxic")).limit(40)
