@@ -26,8 +26,8 @@ NEIGHBOURS, PRIOR, BLOCK = 15, 0.5, 256
 COMMON = 0.1
 #: Single precision finds the candidates; what it may be off by, at most, for unit vectors of non-negative weights.
 SLACK = 1e-4
-#: Bins of the calibration, and distinct examples that are judged for it, at most.
-BINS, JUDGED = 10, 500
+#: Bins of the calibration.
+BINS = 10
 
 
 #: A term met so often in a text is a term of its own, as one hit says less than many.
@@ -99,7 +99,7 @@ class Index:
         flat = [sorted(x[0].items()) for x in rows]
         ids, counts = (np.array([x[k] for row in flat for x in row], np.int32) for k in (0, 1))
         self._build(weights, np.append(0, np.cumsum([len(x) for x in flat])).astype(np.int64), ids, counts, [x[1] for x in rows], [x[2] for x in rows])
-        self.levels = levels(self.judged(range(0, self.n, max(1, -(-self.n // JUDGED)))))
+        self.levels = levels(sum((self.judged(range(a, min(a + BLOCK, self.n))) for a in range(0, self.n, BLOCK)), np.zeros((2, BINS))))
 
     @classmethod
     def of(cls, weights: np.ndarray, offsets: np.ndarray, ids: np.ndarray, counts: np.ndarray, labels: Sequence[int], names: Sequence[int]) -> Index:
@@ -130,19 +130,27 @@ class Index:
         self.offsets = np.append(0, np.cumsum([offsets[j + 1] - offsets[j] for j in at])).astype(np.int64)
         self.ids = np.concatenate([ids[:0], *[ids[offsets[j] : offsets[j + 1]] for j in at]]).astype(np.int32)
         self.counts = np.concatenate([counts[:0], *[counts[offsets[j] : offsets[j + 1]] for j in at]]).astype(np.int32)
-        unit = np.concatenate([np.empty(0, np.float32), *[self._unit(self.ids[a:z], self.counts[a:z]).astype(np.float32) for a, z in zip(self.offsets[:-1], self.offsets[1:])]])
+        self.dense = None
+
+    def _lists(self) -> None:
+        """The matrix of common terms and the posting lists of the others: made where the index is first searched."""
         held = np.bincount(self.ids, minlength=len(self.weights))
         common = np.flatnonzero(held > COMMON * self.n)
         self.column = np.full(len(self.weights), -1, np.int32)
         self.column[common] = np.arange(len(common))
-        of, dense = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.offsets)), self.column[self.ids]
-        self.dense = np.zeros((len(common), self.n), np.float32)
-        self.dense[dense[dense >= 0], of[dense >= 0]] = unit[dense >= 0]
-        rare = np.flatnonzero(dense < 0)
-        rare = rare[np.argsort(self.ids[rare], kind="stable")]
-        self.post_of, self.post_w = of[rare], unit[rare]
+        dense, rare = np.zeros((len(common), self.n), np.float32), [(self.ids[:0], self.ids[:0], np.empty(0, np.float32))]
+        for i, (a, z) in enumerate(zip(self.offsets[:-1], self.offsets[1:])):
+            ids, w = self.ids[a:z], self._unit(self.ids[a:z], self.counts[a:z]).astype(np.float32)
+            c = self.column[ids]
+            dense[c[c >= 0], i] = w[c >= 0]
+            rare.append((ids[c < 0], np.full((c < 0).sum(), i, np.int32), w[c < 0]))
+        ids, of, w = (np.concatenate(x) for x in zip(*rare))
+        del rare
+        order = np.argsort(ids, kind="stable")
+        self.post_of, self.post_w = of[order], w[order]
         held[common] = 0
         self.starts = np.append(0, np.cumsum(held)).astype(np.int64)
+        self.dense = dense
 
     def _unit(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.weights[ids]
@@ -167,6 +175,8 @@ class Index:
 
         Every example that shares a term is summed in single precision: common terms as one matrix product, the others by
         their posting lists. All that may be among the ``k`` best are then summed again in double precision."""
+        if self.dense is None:
+            self._lists()
         out = []
         full = np.zeros(len(self.weights))
         for at in range(0, len(queries), BLOCK):
@@ -267,7 +277,7 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def vocabulary(examples: DataFrame) -> tuple[list[str], np.ndarray]:
+def vocabulary(examples: DataFrame) -> tuple[pa.ChunkedArray, np.ndarray]:
     """All terms of the examples, the most frequent first, and how much each tells: the square root of one plus the
     likelihood-ratio statistic of its presence and the label, in either direction. Equal texts count once."""
     examples = settle(examples.groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "example-texts")
@@ -281,7 +291,7 @@ def vocabulary(examples: DataFrame) -> tuple[list[str], np.ndarray]:
         return np.where(seen > 0, seen * np.log(safe * m / np.where(seen > 0, row * col, m)), 0.0)
 
     g2 = 2 * (part(a, r, t) + part(r - a, r, m - t) + part(t - a, m - r, t) + part(m - r - t + a, m - r, m - t))
-    return held["term"].to_pylist(), np.sqrt(1 + np.maximum(g2, 0.0))
+    return held["term"], np.sqrt(1 + np.maximum(g2, 0.0))
 
 
 def _flat(terms: pa.ListArray, counts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,8 +304,10 @@ def _flat(terms: pa.ListArray, counts: pa.ListArray) -> tuple[np.ndarray, np.nda
     return offsets, (upto[1:] - np.repeat(upto[offsets[:-1]], np.diff(offsets))).astype(np.int32), n
 
 
-def _whole(column: pa.ChunkedArray) -> pa.ListArray:
-    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+def _joined(terms: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [_flat(*x) for x in zip(terms.chunks, counts.chunks)]
+    sizes = np.concatenate([np.empty(0, np.int64), *[np.diff(x[0]) for x in parts]])
+    return np.append(0, np.cumsum(sizes)), *[np.concatenate([np.empty(0, np.int32), *[x[k] for x in parts]]) for k in (1, 2)]
 
 
 def rate(
@@ -309,7 +321,8 @@ def rate(
     documents become sparse vectors over it, once; document frequencies are counted over all of them. A term weighs its
     inverse document frequency times how much it tells of the label (``vocabulary``), at least once: none is left out, and a
     copy of an example has the cosine 1 with it. Cosines to all examples are exact (``Index.search``); equal vectors are
-    searched once in a task. Scores are calibrated on every n-th example, judged by the others.
+    searched once in a task. Scores are calibrated on every example, judged by the others (the terms' weights are those of
+    all examples).
 
     Null or empty text, or none of the terms: the share of toxic examples among those without terms. Without any labels
     the score is 0.25. Null ids and labels aren't learned from; an id labelled twice counts as toxic if either says so.
@@ -324,7 +337,7 @@ def rate(
     known, size = spark.sparkContext.broadcast(terms), len(terms)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = {t: i for i, t in enumerate(known.value)}
+        numbers = {t: i for i, t in enumerate(known.value.to_pylist())}
         often: dict[int, list[tuple[int, int]]] = {}
         for t, i in numbers.items():
             base, star, k = t.partition("*")
@@ -359,8 +372,12 @@ def rate(
     frequency[met["t"].to_numpy()] = met["df"].to_numpy()
     weights = (np.log((1 + held.count()) / (1 + frequency)) + 1) * tells
     learned = held.select("id", "terms", "counts").join(F.broadcast(sample), "id").toArrow()  # MAX_EXAMPLES rows, and those that repeat their ids
-    index = Index.of(weights, *_flat(_whole(learned["terms"]), _whole(learned["counts"])), learned["toxic"].to_pylist(), learned["id"].to_pylist())
+    labels_of, ids_of = learned["toxic"].to_pylist(), learned["id"].to_pylist()
+    flat = _joined(learned["terms"], learned["counts"])
+    del learned, met, terms
+    index = Index.of(weights, *flat, labels_of, ids_of)
     n_examples = index.n
+    del flat
     index = spark.sparkContext.broadcast(index)
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +389,7 @@ def rate(
 
     sums = np.zeros((2, BINS))
     tasks = max(1, min(spark.sparkContext.defaultParallelism, n_examples))
-    for x in spark.range(0, n_examples, max(1, -(-n_examples // JUDGED)), tasks).mapInArrow(calibrate, "bin int, up double, n double").groupBy("bin").agg(F.sum("up").alias("up"), F.sum("n").alias("n")).collect():
+    for x in spark.range(0, n_examples, 1, tasks).mapInArrow(calibrate, "bin int, up double, n double").groupBy("bin").agg(F.sum("up").alias("up"), F.sum("n").alias("n")).collect():
         sums[:, x.bin] = x.up, x.n
     rising = levels(sums)
 

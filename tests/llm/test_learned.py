@@ -50,6 +50,13 @@ def test_calibration_rises():
     assert all(a <= b + 1e-12 for a, b in zip(index.levels, index.levels[1:])) and 0 <= index.score(0.0) <= index.score(1.0) <= 1
 
 
+def test_calibration_judges_every_example():
+    index = index_of(3, 3000)
+    sums = sum((index.judged([i]) for i in range(index.n)), np.zeros((2, toxicity.BINS)))
+    assert index.n > 1000 and sums[1].sum() == index.total.sum() and sums[0].sum() == index.toxic.sum()
+    assert np.allclose(toxicity.levels(sums), index.levels)
+
+
 def test_toxicity(spark):
     got = queries.QUERIES["op1_toxicity"](spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
