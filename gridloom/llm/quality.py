@@ -23,8 +23,8 @@ PLAIN, START = SYMBOLS - 512, 1
 SHARD = 32 << 20
 #: Trusted ids that are broadcast, at most; beyond that they meet the documents in a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
-#: One trusted document in so many is kept from training, to set the thresholds.
-HELD_OUT = 10
+#: Trusted documents are dealt into so many folds; each is judged by a model of the other folds. Model 0 has all of them.
+FOLDS = 10
 
 
 def symbols(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,12 +49,24 @@ def grams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return g[s[ORDER - 1 :] != START], sizes
 
 
+def keys(texts: Sequence[str], models: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``grams`` with the number of the text's model (or fold) in the bits above."""
+    g, sizes = grams(texts)
+    return g | np.repeat(models.astype(np.int64) << ORDER * BITS, sizes), sizes
+
+
+def _suffix(k: int) -> Column:
+    """Key of the last k - 1 characters of a gram of k, for the same model."""
+    model = F.shiftrightunsigned("g", BITS * k)
+    return F.shiftleft(model, BITS * (k - 1)).bitwiseOR(F.col("g").bitwiseAND((1 << BITS * (k - 1)) - 1))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Grams with their counts, summed within the task as far as a million distinct ones."""
     kept, sums = np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
         for part in pieces(batch, 500):
-            g, n = np.unique(grams([t or "" for t in part.column(0).to_pylist()])[0], return_counts=True)
+            g, n = np.unique(keys([t or "" for t in part.column(0).to_pylist()], np.asarray(part.column(1)))[0], return_counts=True)
             both, at = np.unique(np.concatenate([kept, g]), return_inverse=True)
             kept, sums = both, np.bincount(at, np.concatenate([sums, n]), len(both)).astype(np.int64)
             if len(kept) > 1_000_000:
@@ -69,38 +81,52 @@ class KneserNey:
     ``levels[k]``: grams of k characters with ``p`` (the discounted share) under their context; ``contexts[k]``: contexts
     with ``back`` (the weight left to the shorter gram). The highest order counts occurrences, the lower ones distinct
     characters before. Discounts follow Chen and Goodman from the counts of counts one to four.
+
+    With a column ``fold`` (1 to ``FOLDS``) there are models 1 to ``FOLDS`` too, each of all texts outside its fold. The texts
+    are counted once. A model's number stands above the characters in each key.
     """
 
     def __init__(self, texts: DataFrame):
-        counts = settle(texts.mapInArrow(_count, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c")), "grams")
+        cross = "fold" in texts.columns
+        counts = texts.select("text", F.col("fold").cast("int") if cross else F.lit(0)).mapInArrow(_count, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
+        if cross:
+            own, bare = F.shiftrightunsigned("g", BITS * ORDER), F.col("g").bitwiseAND((1 << BITS * ORDER) - 1).alias("bare")
+            without = [F.sum("c") - F.coalesce(F.sum(F.when(own == f, F.col("c"))), F.lit(0)) for f in range(1, FOLDS + 1)]
+            every = counts.groupBy(bare).agg(F.array(F.sum("c"), *without).alias("sums")).select("bare", F.posexplode("sums").alias("model", "c"))
+            counts = every.filter("c > 0").select(F.shiftleft(F.col("model").cast("long"), BITS * ORDER).bitwiseOR(F.col("bare")).alias("g"), "c")
+        counts = settle(counts, "grams")
         self.levels, self.contexts = {}, {}
         for k in range(ORDER, 0, -1):
-            d = self._discounts(counts)
+            model = F.shiftrightunsigned("g", BITS * k)
+            by_model = self._discounts(counts.withColumn("model", model))
+            d = [F.element_at(F.array(*[F.lit(x[i]) for x in by_model]), (model + 1).cast("int")) for i in range(3)]
             off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-            context = F.shiftright("g", BITS).alias("h")
+            context = F.shiftrightunsigned("g", BITS).alias("h")
             by = counts.groupBy(context).agg(F.sum("c").alias("total"), F.sum(F.least(off, F.col("c"))).alias("off"))
             self.contexts[k] = settle(by.select("h", "total", (F.col("off") / F.col("total")).alias("back")), f"contexts-{k}")
             self.levels[k] = counts.select("g", "c", F.greatest(F.col("c") - off, F.lit(0.0)).alias("over"))
             if k > 1:
-                counts = settle(counts.groupBy(F.col("g").bitwiseAND((1 << BITS * (k - 1)) - 1).alias("g")).agg(F.count(F.lit(1)).alias("c")), f"grams-{k - 1}")
+                counts = settle(counts.groupBy(_suffix(k).alias("g")).agg(F.count(F.lit(1)).alias("c")), f"grams-{k - 1}")
 
     @staticmethod
-    def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-        n1, n2, n3, n4 = counts.agg(*[F.count(F.when(F.col("c") == i, 1)) for i in (1, 2, 3, 4)]).first()
-        if not (n1 and n2 and n3):
-            return 0.5, 1.0, 1.5  # too little text to tell
-        y = n1 / (n1 + 2 * n2)
-        return tuple(min(max(i - (i + 1) * y * b / a, 0.0), float(i)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+    def _discounts(counts: DataFrame) -> list[tuple[float, float, float]]:
+        """For each model."""
+        found = [(0.5, 1.0, 1.5)] * (FOLDS + 1)  # where there is too little text to tell
+        for model, n1, n2, n3, n4 in counts.groupBy("model").agg(*[F.count(F.when(F.col("c") == i, 1)) for i in (1, 2, 3, 4)]).collect():
+            if n1 and n2 and n3:
+                y = n1 / (n1 + 2 * n2)
+                found[model] = tuple(min(max(i - (i + 1) * y * b / a, 0.0), float(i)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+        return found
 
     def log2(self, wanted: DataFrame) -> DataFrame:
         """``g``, ``bits`` (negative log2 of the probability) of distinct grams, seen or not: joins by gram and by context
         at each order, on keys that 4096 rows share at most."""
         need = {ORDER: wanted}
         for k in range(ORDER - 1, 0, -1):
-            need[k] = settle(need[k + 1].select(F.col("g").bitwiseAND((1 << BITS * k) - 1).alias("g")).distinct(), f"need-{k}")
+            need[k] = settle(need[k + 1].select(_suffix(k + 1).alias("g")).distinct(), f"need-{k}")
         lower = None
         for k in range(1, ORDER + 1):
-            rows = need[k].withColumn("h", F.shiftright("g", BITS)).withColumn("low", F.col("g").bitwiseAND((1 << BITS * (k - 1)) - 1))
+            rows = need[k].withColumn("h", F.shiftrightunsigned("g", BITS)).withColumn("low", _suffix(k))
             rows = rows.join(self.levels[k].select("g", "over"), "g", "left").join(self.contexts[k], "h", "left")
             rows = rows.join(lower.withColumnRenamed("g", "low"), "low") if lower is not None else rows.withColumn("p", F.lit(1.0 / SYMBOLS))
             p = F.when(F.col("total").isNull(), F.col("p")).otherwise(F.coalesce("over", F.lit(0.0)) / F.col("total") + F.col("back") * F.col("p"))
@@ -109,7 +135,7 @@ class KneserNey:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (struct ``row``, ``text``) packed into shards: id, the distinct grams in order, and the rows compressed."""
+    """Rows (struct ``row``, ``text``, ``model``) packed into shards: id, the distinct grams in order, and the rows compressed."""
     made, held, size, known = 0, [], 0, np.empty(0, np.int64)
 
     def shard() -> pa.RecordBatch:
@@ -127,7 +153,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = [t or "" for t in part.column(1).to_pylist()]
             held.append(part)
             size += sum(map(len, texts))
-            known = np.union1d(known, grams(texts)[0])
+            known = np.union1d(known, keys(texts, np.asarray(part.column(2)))[0])
             if size >= SHARD:
                 yield shard()
                 made, held, size, known = made + 1, [], 0, known[:0]
@@ -145,7 +171,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bits[np.asarray(looked.field("at"))] = np.asarray(looked.field("bits"))
             with pa.ipc.open_stream(zstandard.decompress(batch.column(0)[i].as_py())) as rows:
                 for part in rows:
-                    g, sizes = grams([t or "" for t in part.column(1).to_pylist()])
+                    g, sizes = keys([t or "" for t in part.column(1).to_pylist()], np.asarray(part.column(2)))
                     ends = np.append(0.0, np.cumsum(bits[np.searchsorted(known, g)]) if len(g) else [])
                     at = np.append(0, np.cumsum(sizes))
                     yield pa.RecordBatch.from_arrays(
@@ -153,14 +179,15 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
 
 
-def score(docs: DataFrame, model: KneserNey, row: Column, text: Column) -> DataFrame:
-    """``row`` (a struct), ``n_chars`` and ``bits`` (of the whole text under the model) for each row of ``docs``.
+def score(docs: DataFrame, model: KneserNey, row: Column, text: Column, number: Column | None = None) -> DataFrame:
+    """``row`` (a struct), ``n_chars`` and ``bits`` (of the whole text under the model) for each row of ``docs``. ``number``:
+    which of the models, 0 unless given.
 
     Documents are packed into shards that know their distinct grams. These meet the model once per shard and gram, and
     come back to the shards' rows, which lie bucketed by shard and aren't shuffled. So what moves are distinct grams of
     millions of characters each, not documents or their grams."""
     spark = docs.sparkSession
-    rows = docs.select(row.alias("row"), text.alias("text"))
+    rows = docs.select(row.alias("row"), text.alias("text"), (F.lit(0) if number is None else number).cast("int").alias("model"))
     name, buckets = f"gridloom_shards_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = rows.mapInArrow(_pack, "shard bigint, grams array<bigint>, blob binary")
     packed.write.bucketBy(buckets, "shard").option("path", scratch_path(spark, "shards")).option("compression", "zstd").format("parquet").saveAsTable(name)
@@ -180,44 +207,41 @@ def classify(
     """The rows of ``docs`` (columns ``keep``, else all) with ``n_chars``, ``perplexity`` (per character), ``threshold`` (of
     the language) and ``accepted``.
 
-    Trusted text: documents that ``labels`` mark 1. One in ten of them (by crc32 of the id) is kept from training; the
-    ``quantile`` of their bits per character, for each language, is the language's threshold. A document above it is
-    rejected. Counts cover all trusted text, quantiles all documents kept from training: bits are counted by
-    thousandths, so groups of any size are summed, not sorted.
+    Trusted text: documents that ``labels`` mark 1, in ten folds (by crc32 of the id). Each is scored by a model of the
+    other nine folds, all other documents by a model of all ten. The ``quantile`` of the bits per character of a language's
+    trusted documents, however few, is the language's threshold. A document above it is rejected. Counts cover all
+    trusted text, quantiles all trusted documents: bits are counted by thousandths, so groups of any size are summed, not
+    sorted.
 
-    Empty or null text: perplexity 1, accepted. Null language: a language of its own. A language with fewer than 50
-    documents kept from training takes the threshold of all; where there are none at all, every document is accepted.
+    Empty or null text: perplexity 1, accepted. Null language: a language of its own. A language without any trusted
+    document takes the threshold of all; where there are none at all, every document is accepted.
     Null ids are never trusted. Repeated labels of an id: trusted if any is 1. Columns of the input named like the added
     ones are replaced. An empty table gives an empty one.
     """
     added = ("n_chars", "perplexity", "threshold", "accepted")
     names = [c for c in (keep or docs.columns) if c not in added]
     trusted = settle(labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("trusted")).filter("trusted is not null").distinct(), "trusted")
-    held_out = F.crc32(F.col("trusted").cast("string").cast("binary")) % HELD_OUT == 0
+    trusted = trusted.withColumn("fold", (F.crc32(F.col("trusted").cast("string").cast("binary")) % FOLDS + 1).cast("int"))
     few = trusted.count() <= MAX_BROADCAST_IDS
-
-    def learn(ids: DataFrame) -> DataFrame:
-        return docs.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("trusted"), "left_semi")
-
-    model = KneserNey(learn(trusted.filter(~held_out)).select(F.col(text_col).alias("text")))
-    row = F.struct(F.struct(*[docs[c] for c in names]).alias("kept"), docs[id_col].alias("id"), docs[lang_col].alias("lang"))
-    scored = score(docs, model, row, docs[text_col])
+    row = F.struct(F.struct(*[docs[c] for c in names]).alias("kept"), docs[lang_col].alias("lang"))
+    rows = docs.select(row.alias("row"), docs[text_col].alias("text"), docs[id_col].alias("id"))
+    rows = rows.join(F.broadcast(trusted) if few else trusted, F.col("id") == F.col("trusted"), "left")
+    model = KneserNey(rows.filter("fold is not null").select("text", "fold"))
+    number = F.coalesce("fold", F.lit(0))
+    scored = score(rows, model, F.struct("row.kept", "row.lang", number.alias("fold")), F.col("text"), number)
     rate = F.when(F.col("n_chars") > 0, F.col("bits") / F.col("n_chars")).otherwise(0.0)
     scored = settle(scored.withColumn("rate", rate).withColumn("bin", F.ceil(F.col("rate") * 1000)), "scored", "zstd")
 
-    calibration = scored.select(F.col("row.id").alias("id"), F.col("row.lang").alias("lang"), "bin").filter("bin > 0")
-    chosen = trusted.filter(held_out)
-    sample = calibration.join(F.broadcast(chosen) if few else chosen, F.col("id") == F.col("trusted"), "left_semi")
-    bins = settle(sample.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n")), "bins")
+    bins = settle(scored.filter("bin > 0 and row.fold > 0").groupBy(F.col("row.lang").alias("lang"), "bin").agg(F.count(F.lit(1)).alias("n")), "bins")
 
     def cut(by: Sequence[str]) -> DataFrame:
         whole, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("bin").rangeBetween(Window.unboundedPreceding, Window.currentRow)
         marked = bins.withColumn("all", F.sum("n").over(whole)).withColumn("upto", F.sum("n").over(upto))
-        return marked.filter(F.col("upto") >= F.col("all") * quantile).groupBy(*by).agg(F.min("bin").alias("cut"), F.first("all").alias("all"))
+        return marked.filter(F.col("upto") >= F.col("all") * quantile).groupBy(*by).agg(F.min("bin").alias("cut"))
 
     everywhere = cut([]).first()
     shared = F.lit(everywhere["cut"] if everywhere else None).cast("long")
-    by_lang = cut(["lang"]).filter("all >= 50").select(F.col("lang").alias("_of"), "cut")
+    by_lang = cut(["lang"]).select(F.col("lang").alias("_of"), "cut")
     done = scored.join(by_lang, F.col("row.lang").eqNullSafe(F.col("_of")), "left").withColumn("cut", F.coalesce("cut", shared))
     return done.select(
         *[F.col("row.kept").getField(c).alias(c) for c in names], "n_chars", F.pow(F.lit(2.0), F.col("rate")).alias("perplexity"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -173,6 +174,27 @@ def test_quality(spark):
     assert n[1, True] / (n[1, True] + n.get((1, False), 0)) > 0.95 and n.get((0, False), 0) / (n.get((0, True), 0) + n.get((0, False), 0)) > 0.7
 
 
+def test_each_language_takes_its_own_threshold(spark):
+    """Few trusted documents, one language far less regular than the other: folds by hand give the same thresholds."""
+    rng = random.Random(3)  # with discounts above 0 at each order
+    few, many = "abcd ", "abcdefghijklmnopqrstuvwxyz\u00e9\u00e8\u00fc\u00f6 "
+    pick = lambda letters: "".join(rng.choices(letters, [1 / (j + 1) for j in range(len(letters))], k=40))
+    rows = [(i, "xx" if i < 24 else "yy", pick(few if i < 24 else many)) for i in range(36)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in quality.classify(docs, docs.select("doc_id", F.lit(1).alias("quality")), quantile=0.9).collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % quality.FOLDS for i, _, _ in rows}
+    models = {f: Brute([t for i, _, t in rows if fold[i] != f]) for f in set(fold.values())}
+    bits = {i: models[fold[i]].bits(t) / len(t) for i, _, t in rows}
+    for of in ("xx", "yy"):
+        own = sorted(math.ceil(bits[i] * 1000) for i, lang, _ in rows if lang == of)
+        want = own[math.ceil(len(own) * 0.9) - 1]
+        for i, lang, _ in rows:
+            if lang == of:
+                assert math.log2(got[i].perplexity) == pytest.approx(bits[i], abs=1e-4)
+                assert 1000 * math.log2(got[i].threshold) == pytest.approx(want, abs=1.01)
+    assert got[0].threshold < 0.8 * got[35].threshold
+
+
 def test_quality_odd_rows(spark):
     docs = documents(spark)
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
