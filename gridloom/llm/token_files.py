@@ -62,9 +62,19 @@ class Encoder:
         others = iter(self.encode([w for w, p in zip(words, plain) if not p]))
         return [self.word(w) if p else next(others) for w, p in zip(words, plain)]
 
+    def split(self, text: bytes) -> list[bytes]:
+        """Pieces between blanks. Those of ASCII alone are in lower case if the tokenizer lowers them: of others, letters may
+        compose with a following mark, which it does before it lowers."""
+        if not self.lowers or b"<|" in text:
+            return text.translate(SPACES).split(b" ")
+        lowered = text.translate(LOWERED).split(b" ")
+        if text.isascii():
+            return lowered
+        return [x if x.isascii() else y for x, y in zip(lowered, text.translate(SPACES).split(b" "))]
+
     def encode_pieces(self, texts: list[bytes]) -> list[bytes]:
         """As ``encode``, of tokenizers that drop white space. Texts with a special token keep their case."""
-        split = [t.translate(LOWERED if self.lowers and b"<|" not in t else SPACES).split(b" ") for t in texts]
+        split = [self.split(t) for t in texts]
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old

@@ -6,6 +6,7 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -182,6 +183,15 @@ def test_fewest_matches():
 # Token files
 
 
+def test_capitals_with_marks_keep_their_ids():
+    """Letters of which only the lower-case one has a composed form with the mark."""
+    tokenizer, encoder = Tokenizer.from_file(TOKENIZER), token_files.Encoder(TOKENIZER)
+    for pair in ("H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c"):
+        text = f"Some {pair}afiz and {pair} {pair.lower()} ABC \u00c9T\u00c9"
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert list(array("I", encoder.encode_pieces([text.encode()])[0])) == want
+
+
 def test_token_files(spark):
     docs = documents(spark).withColumns({"part": F.lit("clash"), "tokens": F.lit(1), "at": F.lit(2)})
     path = scratch_path(spark, "test-tokens")
