@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import decontaminate, language_id, line_dedup, minhash, mixing, quality, syncmers, token_files, toxicity, warc
+from gridloom.llm import decontaminate, language_id, line_dedup, minhash, mixing, pieces_bpe, quality, syncmers, token_files, toxicity, warc
 from gridloom.llm.common import crc_mod
 from gridloom.session import scratch_path
 
@@ -178,3 +179,12 @@ FROM sized s LEFT JOIN hit_words h ON h.doc_id = s.id LEFT JOIN items t ON t.doc
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Perplexity of every document under a model of trusted text, against its language's threshold."""
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), keep=["doc_id", "lang"])
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded to pieces and decoded again."""
+    model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    ids = pieces_bpe.encode(table(spark, folder, "documents"), model, keep=["doc_id"])
+    hashed = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "ids")
+    return pieces_bpe.decode(hashed, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
