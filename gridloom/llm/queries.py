@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import decontaminate, language_id, line_dedup, minhash, mixing, pieces_bpe, quality, syncmers, token_files, toxicity, warc
+from gridloom.llm import decontaminate, language_id, line_dedup, minhash, mixing, pieces_bpe, quality, spelling, syncmers, token_files, toxicity, warc
 from gridloom.llm.common import crc_mod
 from gridloom.session import scratch_path
 
@@ -188,3 +188,9 @@ def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     ids = pieces_bpe.encode(table(spark, folder, "documents"), model, keep=["doc_id"])
     hashed = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "ids")
     return pieces_bpe.decode(hashed, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of at least six letters met five times or more, near words, and the form each goes back to."""
+    return spelling.group_variants(spelling.count_words(table(spark, folder, "documents"), drop_every=199), ratio=5)
