@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import decontaminate, language_id, line_dedup, minhash, mixing, pieces_bpe, quality, spelling, syncmers, token_files, toxicity, warc
+from gridloom.llm import decontaminate, language_id, line_dedup, minhash, mixing, phrases, pieces_bpe, quality, spelling, syncmers, token_files, toxicity, warc
 from gridloom.llm.common import crc_mod
 from gridloom.session import scratch_path
 
@@ -194,3 +194,34 @@ def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
     """Words of at least six letters met five times or more, near words, and the form each goes back to."""
     return spelling.group_variants(spelling.count_words(table(spark, folder, "documents"), drop_every=199), ratio=5)
+
+
+@query
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The first phrases of each language."""
+    return phrases.collocations(table(spark, folder, "documents")).withColumnRenamed("grp", "lang")
+
+
+ORACLES["op11_phrases"] = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY lang, k, g),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS ws FROM f WHERE k > 1 AND f >= 30),
+inside AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS g, max(a) AS around
+  FROM (SELECT lang, ws, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, g) WHERE around IS NULL OR 100 * around < 80 * a),
+cuts AS (SELECT lang, g, a, cut, array_to_string(ws[1:cut], ' ') AS lg, array_to_string(ws[cut + 1:k], ' ') AS rg FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+rated AS (
+  SELECT cuts.lang, cuts.g, a, cut, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.g = lg JOIN f y ON y.lang = cuts.lang AND y.g = rg),
+best AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
+FROM best JOIN sizes USING (lang) QUALIFY rank <= 2000
+"""
