@@ -6,32 +6,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom import constants as K
 from gridloom.functions import boxes as B
+from gridloom.functions.calls import read_call
 from gridloom.functions.text import strip, tool_to_action
 
 # Markers and number pattern of the model outputs.
 TOOL_CALL = r"(?s)<\|tool_call_start\|>(.*?)<\|tool_call_end\|>"
 CALL_END, TURN_END = "<|tool_call_end|>", "<|im_end|>"
+# The first name with brackets behind it. Starting at whole words and giving nothing back keeps it linear in a word.
+BARE_CALL = r"(?U)(?<!\w)\w++\s*+\([^)]*+\)"
 FOUR_NUMBERS = r"\[\s*[\d.]+\s*,\s*[\d.]+\s*,\s*[\d.]+\s*,\s*[\d.]+\s*\]"
 
-# A call with literal arguments: positional ones first, then keywords. Values: adjacent strings, numbers, names, and lists,
-# tuples and dicts of them, nested twice.
-_STRING = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
-
-
-def _nested(value: str) -> str:
-    some = rf"(?:{value}(?:\s*,\s*{value})*\s*,?)?"
-    pair = rf"{value}\s*:\s*{value}"
-    return rf"(?:{value}|\[\s*{some}\s*\]|\(\s*{some}\s*\)|\{{\s*(?:{pair}(?:\s*,\s*{pair})*\s*,?)?\s*\}})"
-
-
-_STRINGS = rf"{_STRING}(?:\s*{_STRING})*"
-_VALUE = _nested(_nested(rf"(?:{_STRINGS}|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[A-Za-z_]\w*)"))
-_NAMED = rf"[A-Za-z_]\w*\s*=\s*{_VALUE}"
-_ARGS = rf"(?:{_VALUE}(?:\s*,\s*{_VALUE})*(?:\s*,\s*{_NAMED})*|{_NAMED}(?:\s*,\s*{_NAMED})*)"
-CALL = rf"^([A-Za-z_]\w*)\s*\(\s*((?:{_ARGS}\s*,?)?)\s*\)$"
-ARGUMENT = rf"(?:([A-Za-z_]\w*)\s*=\s*)?({_VALUE})\s*(?:,\s*|$)"
-
-
 # An end mark that model text cannot hold: control characters are escaped in JSON.
 _END = "\\u0001end"
 
@@ -132,37 +116,6 @@ def is_parseable_list(text: Column, n_boxes: Column) -> Column:
     return (t == "[]") | (n_boxes > 0) | t.contains("[")
 
 
-def _unquote(literal: Column) -> Column:
-    inner = F.substring(literal, F.lit(2), F.length(literal) - 2)
-    plain = F.replace(F.replace(inner, F.lit('\\"'), F.lit('"')), F.lit("\\'"), F.lit("'"))
-    return F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\"))
-
-
-def _arguments(body: Column) -> Column:
-    """Keywords of a call with their literals, in order; positional arguments have an empty keyword."""
-    inside = F.regexp_extract(body, CALL, 2)
-    names, values = (F.regexp_extract_all(inside, F.lit(ARGUMENT), F.lit(i)) for i in (1, 2))
-    return F.when(inside != "", F.arrays_zip(names.alias("k"), values.alias("v"))).otherwise(F.expr("cast(array() as array<struct<k:string,v:string>>)"))
-
-
-def _call_name(body: Column, arguments: Column) -> Column:
-    """Name of a call, or null where the text is no call or repeats a keyword."""
-    named = F.filter(arguments, lambda a: a["k"] != "")
-    repeated = F.size(named) != F.size(F.array_distinct(F.transform(named, lambda a: a["k"])))
-    return F.when(~repeated, F.nullif(F.regexp_extract(body, CALL, 1), F.lit("")))
-
-
-def _text_of(arguments: Column, name: str) -> Column:
-    """A keyword's value as text: strings unquoted and joined, names other than literals as None, the rest as it stands."""
-    literal = F.get(F.filter(arguments, lambda a: a["k"] == name), F.lit(0))["v"]
-    joined = F.array_join(F.transform(F.regexp_extract_all(literal, F.lit(f"({_STRING})")), _unquote), "")
-    return (
-        F.when(literal.rlike(rf"^{_STRINGS}$"), joined)
-        .when(literal.rlike(r"^[A-Za-z_]\w*$") & ~literal.isin("True", "False"), "None")
-        .otherwise(literal)
-    )
-
-
 def _call_body(inner: Column) -> Column:
     """A call stripped of the list brackets around it."""
     t = strip(inner)
@@ -172,17 +125,18 @@ def _call_body(inner: Column) -> Column:
 
 
 def parse_tool_calls(df: DataFrame, text: str) -> DataFrame:
-    """Add ``action, tool, reason, direction, outcome`` from tool-call text; failures become discards."""
+    """Add ``action, tool, reason, direction, outcome`` from tool-call text; failures become discards.
+
+    Any expression may be an argument and any length is read; values other than literals read None."""
     raw = F.col(text)
     marked = raw.rlike(TOOL_CALL)
     staged = (
         df.withColumn("_body", F.when(marked, _call_body(F.regexp_extract(raw, TOOL_CALL, 1))))
-        .withColumn("_args", _arguments(F.col("_body")))
-        .withColumn("_name", _call_name(F.col("_body"), F.col("_args")))
+        .withColumn("_call", read_call(F.col("_body")))
+        .withColumn("_name", F.col("_call.name"))
         .withColumn("_known", tool_to_action(F.col("_name")))
-        .withColumn("_to", F.when(F.col("_known").isNotNull(), _text_of(F.col("_args"), "direction")))
-        .withColumn("direction", F.when(~F.col("_to").isin("", "None", "False", "0", "[]", "{}", "()"), F.col("_to")))
-        .withColumn("_said", strip(F.coalesce(_text_of(F.col("_args"), "reason"), F.lit(""))))
+        .withColumn("direction", F.when(F.col("_known").isNotNull(), F.col("_call.direction")))
+        .withColumn("_said", strip(F.coalesce(F.col("_call.reason"), F.lit(""))))
     )
     after = F.substring(raw, F.instr(raw, CALL_END) + len(CALL_END), F.length(raw))
     trailing = strip(F.substring_index(after, TURN_END, 1))
@@ -210,19 +164,16 @@ def parse_tool_calls(df: DataFrame, text: str) -> DataFrame:
             .when(F.col("_known").isNull(), F.concat(F.lit("agent called unknown tool '"), name, F.lit("'; default discard")))
             .otherwise(F.coalesce(F.nullif(full, F.lit("")), F.lit("(no reason given)"))),
         )
-        .drop("_body", "_args", "_name", "_known", "_to", "_said", "_after")
+        .drop("_body", "_call", "_name", "_known", "_said", "_after")
     )
 
 
 def lenient_tool(text: Column) -> Column:
     """Tool name of a marked or bare call; ``<no_call>`` or ``<unparseable>`` otherwise."""
     marked = text.rlike(TOOL_CALL)
-    bare = F.nullif(
-        F.regexp_extract(strip(F.substring_index(text, TURN_END, 1)), r"(?s)(\w+)\s*\([^)]*\)", 0), F.lit("")
-    )
+    bare = F.nullif(F.regexp_extract(strip(F.substring_index(text, TURN_END, 1)), BARE_CALL, 0), F.lit(""))
     body = F.when(marked, _call_body(F.regexp_extract(text, TOOL_CALL, 1))).otherwise(bare)
-    name = _call_name(body, _arguments(body))
-    return F.when(body.isNull(), "<no_call>").otherwise(F.coalesce(name, F.lit("<unparseable>")))
+    return F.when(body.isNull(), "<no_call>").otherwise(F.coalesce(read_call(body)["name"], F.lit("<unparseable>")))
 
 
 def _is_null(field: str) -> Column:

@@ -81,34 +81,34 @@ def restricted_tools(fx):
 # --------------------------------------------------------------------------- parsers
 
 _TOOLS = """
-SELECT event_id,
-  CASE event_id % 8 WHEN 0 THEN 'downlink' WHEN 1 THEN 'request_neighbor' ELSE 'discard' END AS action,
-  CASE event_id % 8 WHEN 0 THEN 'downlink_now' WHEN 1 THEN 'request_neighbor_tile' WHEN 3 THEN '(unparseable)' WHEN 4 THEN 'launch' ELSE '(no_tool_call)' END AS tool,
-  CASE event_id % 8 WHEN 0 THEN 'two clear pits — done' WHEN 1 THEN '[east] plume' WHEN 3 THEN 'agent tool-call body did not parse: discard('
-    WHEN 4 THEN 'agent called unknown tool ''launch''; default discard' ELSE 'agent emitted no parseable tool call; default discard' END AS reason,
-  CASE WHEN event_id % 8 = 1 THEN 'east' END AS direction,
-  CASE event_id % 8 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 3 THEN 'unparseable' WHEN 4 THEN 'unknown_tool' ELSE 'no_tool_call' END AS outcome
-FROM fx_raw_outputs"""
+SELECT event_id, CASE WHEN long THEN 'discard' ELSE action END AS action, CASE WHEN long THEN 'discard' ELSE tool END AS tool,
+  CASE WHEN long THEN repeat('x', 1000000) ELSE reason END AS reason, CASE WHEN NOT long THEN direction END AS direction,
+  CASE WHEN long THEN 'ok' ELSE outcome END AS outcome
+FROM fx_calls"""
 
 
-@query("parse_tool_calls", _TOOLS, "fx_raw_outputs")
+@query("parse_tool_calls", _TOOLS, "fx_calls")
 def parse_tool_calls(fx):
-    return G.parse_tool_calls(fx.raw_outputs(), "raw").select("event_id", "action", "tool", "reason", "direction", "outcome")
+    return G.parse_tool_calls(fx.call_outputs(), "raw").select("event_id", "action", "tool", "reason", "direction", "outcome")
 
 
-@query("parse_outcomes", f"SELECT outcome, count(*) AS n FROM ({_TOOLS}) GROUP BY 1", "fx_raw_outputs")
+@query("parse_outcomes", f"SELECT outcome, count(*) AS n FROM ({_TOOLS}) GROUP BY 1", "fx_calls")
 def parse_outcomes(fx):
-    return G.parse_outcomes(G.parse_tool_calls(fx.raw_outputs(), "raw"))
+    return G.parse_outcomes(G.parse_tool_calls(fx.call_outputs(), "raw"))
 
 
+# Bare calls end at the first closing bracket, so what nests or has one in its text is cut there.
 @query("lenient_tools", r"""
-SELECT event_id, CASE WHEN body IS NULL THEN '<no_call>' WHEN regexp_full_match(body, '[A-Za-z_]\w*\(.*\)') THEN regexp_extract(body, '^(\w+)', 1) ELSE '<unparseable>' END AS tool
-FROM (SELECT event_id, CASE WHEN contains(raw, '<|tool_call_start|>') THEN trim(regexp_extract(raw, '(?s)<\|tool_call_start\|>(.*?)<\|tool_call_end\|>', 1), '[]')
-  ELSE nullif(regexp_extract(raw, '(?s)(\w+)\s*\([^)]*\)', 0), '') END AS body
-FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN replace(replace(raw, '<|tool_call_start|>[', ''), ']<|tool_call_end|>', '<|im_end|>') ELSE raw END AS raw FROM fx_raw_outputs))""", "fx_raw_outputs")
+SELECT event_id, CASE WHEN long OR event_id % 3 <> 0 THEN CASE WHEN long THEN 'discard' WHEN outcome = 'unparseable' THEN '<unparseable>' WHEN outcome = 'no_tool_call' THEN
+    CASE WHEN regexp_matches(raw, '\w\(') THEN 'discard' ELSE '<no_call>' END ELSE tool END
+  WHEN NOT regexp_matches(body, '\w+\s*\([^)]*\)') THEN '<no_call>'
+  WHEN contains(body, '"broken') OR contains(body, 'reason=''a'', ') OR contains(body, 'len(x)') OR contains(body, '(3,)') OR contains(body, '(and)') OR contains(body, '[[[[') AND NOT contains(body, ']]]]')
+    THEN '<unparseable>'
+  ELSE regexp_extract(body, '(\w+)\s*\([^)]*\)', 1) END AS tool
+FROM (SELECT *, split_part(replace(replace(raw, '<|tool_call_start|>', ''), '<|tool_call_end|>', '<|im_end|>'), '<|im_end|>', 1) AS body FROM fx_calls)""", "fx_calls")
 def lenient_tools(fx):
-    bare = F.replace(F.replace("raw", F.lit("<|tool_call_start|>["), F.lit("")), F.lit("]<|tool_call_end|>"), F.lit("<|im_end|>"))
-    raw = fx.raw_outputs().withColumn("raw", F.when(F.col("event_id") % 3 == 0, bare).otherwise(F.col("raw")))
+    bare = F.replace(F.replace("raw", F.lit("<|tool_call_start|>"), F.lit("")), F.lit("<|tool_call_end|>"), F.lit("<|im_end|>"))
+    raw = fx.call_outputs().withColumn("raw", F.when(F.col("event_id") % 3 == 0, bare).otherwise(F.col("raw")))
     return raw.select("event_id", G.lenient_tool(F.col("raw")).alias("tool"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.operators.ranking import block_rank
+from gridloom.plans.call_cases import CASES, LONG_EVERY
 
 
 class Fixtures:
@@ -166,6 +167,14 @@ class Fixtures:
         pick = F.get(F.array(*[F.lit(t) for t in texts]), (F.col("event_id") % 8).cast("int"))
         return self.table("events").select("event_id", pick.alias("raw"))
 
+    def call_outputs(self) -> DataFrame:
+        """Model texts with a tool call in every shape that the parser tells apart; one in some thousand is a megabyte long."""
+        k = F.col("event_id")
+        texts = F.array(*[F.lit(case[0]) for case in CASES])
+        text = F.replace(F.get(texts, (k % len(CASES)).cast("int")), F.lit("{id}"), k.cast("string"))
+        long = F.concat(F.lit('<|tool_call_start|>[discard(reason="'), F.repeat(F.lit("x"), 1_000_000), F.lit('")]<|tool_call_end|>'))
+        return self.table("events").select("event_id", F.when(k % LONG_EVERY == 4, long).otherwise(text).alias("raw"))
+
     def text_pairs(self) -> DataFrame:
         """Whole documents against a copy with some words changed or dropped."""
         worded = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", " (the|de|la|die|el) ", " ")).when(

@@ -1,5 +1,7 @@
 """DuckDB text of the derived views, composed into the reference SQL of each query."""
 
+from gridloom.plans.call_cases import CASES, LONG_EVERY
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -194,6 +196,21 @@ SELECT event_id,
     ELSE '{"action": "downlink", ' END AS raw
 FROM events""")
 
+
+
+def _literal(text: str | None) -> str:
+    """Control characters and quotes as DuckDB writes them."""
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+_view("fx_call_cases", "VALUES " + ",\n  ".join(
+    f"({k}, {', '.join(_literal(x) for x in case)})" for k, case in enumerate(CASES)))
+
+_view("fx_calls", f"""
+SELECT event_id, event_id % {LONG_EVERY} = 4 AS long, replace(c.text, '{{id}}', cast(event_id AS varchar)) AS raw,
+  c.action, c.tool, replace(c.reason, '{{id}}', cast(event_id AS varchar)) AS reason, c.direction, c.outcome
+FROM events JOIN fx_call_cases AS c(k, text, action, tool, reason, direction, outcome) ON k = event_id % {len(CASES)}""", "fx_call_cases")
+
 _view("fx_text_pairs", """
 SELECT doc_id, lang, text AS gold, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, ' (the|de|la|die|el) ', ' ', 'g')
   WHEN doc_id % 3 = 1 THEN replace(text, ' and ', ' or ') ELSE lower(text) END AS pred FROM documents""")

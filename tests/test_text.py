@@ -1,9 +1,12 @@
 import math
+import random
+import warnings
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from gridloom.functions import parsing as G, text as X
+from gridloom.functions.calls import call_parts
 from gridloom.functions.numbers import fixed, half_even
 from gridloom.operators import bleu as L, messages as T
 from gridloom.sources import files as S
@@ -172,3 +175,45 @@ def test_json_nulls_and_doubled_keys(spark):
 def test_bleu_counts_pairs_that_share_a_key(spark):
     df = spark.createDataFrame([(1, "a b c d", "w x y z"), (1, "w x y z", "a b c d")], "k long, p string, g string")
     assert L.corpus_bleu(df, "k", "p", "g", tokenize="none").first().bleu == 0.0
+
+
+def test_calls_of_any_length_and_depth(spark):
+    """What would end the JVM or a worker as a pattern: a megabyte, brackets ten thousand deep, runs of blanks and words."""
+    mark = "<|tool_call_start|>[{}]<|tool_call_end|>".format
+    texts = [
+        mark('flag_for_review(reason="' + "a\\n" * 300_000 + '")'), mark("discard(x=" + "[" * 10_000 + "]" * 10_000 + ")"), mark("discard(x=" + "-" * 50_000 + "1)"),
+        mark("discard(" + " " * 200_000 + ")") + " " * 200_000 + "end", mark("discard(reason=" + "9" * 5000 + ")"), mark("discard(reason='\\ud800')"), mark("discard(x={[1]: 2})"), mark("a\x00b()"),
+    ]
+    rows = G.parse_tool_calls(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t").orderBy("i").collect()
+    assert rows[0].reason == ("a\n" * 300_000).strip() and rows[1].outcome == "unparseable" and rows[2].outcome in ("ok", "unparseable")
+    assert [r.outcome for r in rows[3:]] == ["ok", "unparseable", "ok", "ok", "unparseable"] and rows[3].reason == "end" and rows[5].reason == "?"
+    bare = spark.createDataFrame([("x" * 300_000,), ("w" * 200_000 + " discard (reason)",), (" " * 200_000 + "discard()",), (None,)], "t string")
+    assert [r.n for r in bare.select(G.lenient_tool(F.col("t")).alias("n")).collect()] == ["<no_call>", "discard", "discard", "<no_call>"]
+
+
+def test_calls_against_the_grammar():
+    """Random argument lists: a call is read if and only if Python can compile it, and literals print as Python prints them."""
+    rng = random.Random(7)
+    atoms = ["1", "-2.5", "'a'", '"b\\n"', "'x' 'y'", "None", "True", "name", "f'{z}'", "1 + 1", "r'\\d'", "b'q'", "...", "lambda: 0", "(1,)", "[]", "{}", "{1, 2}", "'", "[", ")", "a b"]
+
+    def some(depth):
+        if depth and rng.random() < 0.4:
+            inner = [some(depth - 1) for _ in range(rng.randint(0, 3))]
+            return rng.choice(["[{}]", "({})", "{{{}}}"]).format(", ".join(inner))
+        return rng.choice(atoms[:-4] if rng.random() < 0.95 else atoms)
+
+    read = 0
+    for _ in range(2000):
+        keys = [rng.choice(["reason=", "direction=", "n=", "", "*", "**"]) for _ in range(rng.randint(0, 4))]
+        text = "tool(" + ", ".join(k + some(2) for k in keys) + rng.choice(["", ","]) + ")"
+        got = call_parts(text)
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                compile(text, "t", "eval")
+        except (SyntaxError, ValueError):
+            assert got is None, text
+            continue
+        assert got is not None and got["name"] == "tool", text
+        read += 1
+    assert read > 300
