@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom import constants as K
 from gridloom.functions import boxes as B, text as X
@@ -13,7 +13,7 @@ from gridloom.plans.catalog import query
 from gridloom.plans.fixtures import Fixtures
 from gridloom.plans.oracle_views import iou
 from gridloom.sources.files import policy_markdown, policy_rows, write_policy_csv
-from gridloom.session import cut_lineage, scratch_path
+from gridloom.session import cut_lineage, scratch_path, settle
 from gridloom.streaming import events as S
 
 
@@ -520,27 +520,56 @@ def _replayed(fx: Fixtures, df: DataFrame, files: int = 4) -> DataFrame:
     return fx.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
+def _as_it_came(fx: Fixtures, df: DataFrame, arrival: Column, files: int = 3) -> DataFrame:
+    """A derived table as a stream in the order of ``arrival``: each file, one micro-batch, holds a span of it."""
+    path, staged = scratch_path(fx.spark, "arrivals"), settle(df.withColumn("_at", arrival.cast("double")), "arrivals-all")
+    ends = staged.agg(F.min("_at").alias("low"), F.max("_at").alias("high")).first()
+    for k in range(files if ends.low is not None else 0):
+        part = F.least(F.lit(files - 1), F.floor((F.col("_at") - ends.low) * files / max(1.0, ends.high - ends.low)))
+        staged.filter(part == k).drop("_at").coalesce(1).write.mode("append").parquet(path)
+    return fx.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _decisions(fx: Fixtures) -> DataFrame:
-    return decided(fx).select("pass_id", "seq", F.col("captured_at").alias("ts"), "tile_id", "action", "budget_kb", "tile_count")
+    """Decisions of passes that start within a day, a tile every 20 seconds."""
+    minutes = (F.col("pass_id") % 97) * 10
+    at = (F.lit("2024-01-01 00:00:00").cast("timestamp").cast("long") + minutes * 60 + F.col("seq") * 20).cast("timestamp")
+    return decided(fx).select("pass_id", "seq", at.alias("ts"), "tile_id", "action", "description", "budget_kb", "tile_count")
+
+
+def _late(minutes: int = 50) -> Column:
+    """Seconds of arrival: event time and a delay below the watermark's."""
+    return F.col("ts").cast("long") + F.pmod(F.xxhash64("pass_id", "seq"), F.lit(60 * minutes))
 
 
 @query("stream_tile_state", _STATE + "SELECT * FROM state", "fx_events")
 def stream_tile_state(fx):
-    emitted = S.run_available(S.stream_tile_state(_replayed(fx, fx.numbered_events())), "update", "tile-state")
+    events = _as_it_came(fx, fx.numbered_events(), F.col("ts").cast("timestamp").cast("long") + F.pmod(F.xxhash64("event_id"), F.lit(3000)))
+    emitted = S.run_available(S.stream_tile_state(events, patience_ms=3650 * 86_400_000), "update", "tile-state")
     return S.latest(emitted, ["pass_id", "tile_no"])
 
 
 @query("stream_ledger", "SELECT pass_id, seq, tile_id, action, used_kb, remaining_kb FROM fx_ledger", "fx_ledger")
 def stream_ledger(fx):
-    return S.run_available(S.stream_ledger(_replayed(fx, _decisions(fx)), watermark="3650 days"), "append", "ledger").drop("batch")
+    return S.run_available(S.stream_ledger(_as_it_came(fx, _decisions(fx), _late())), "append", "ledger").drop("batch")
 
 
 @query("stream_summary", """
 SELECT pass_id, count(*) AS tiles_processed, count(*) FILTER (action = 'flag') AS tiles_flagged, count(*) FILTER (action = 'downlink') AS tiles_downlinked,
-  count(*) FILTER (action NOT IN ('flag', 'downlink')) AS tiles_discarded, max(used_kb) AS bandwidth_used_kb, min(remaining_kb) AS bandwidth_remaining_kb
+  count(*) FILTER (action NOT IN ('flag', 'downlink')) AS tiles_discarded, max(used_kb) AS bandwidth_used_kb, min(remaining_kb) AS bandwidth_remaining_kb,
+  coalesce(array_to_string(list_slice(list(description ORDER BY seq) FILTER (action IN ('flag', 'downlink')), 1, 10), '; '), '') AS flagged
 FROM fx_ledger GROUP BY pass_id""", "fx_ledger")
 def stream_summary(fx):
-    return S.run_available(S.stream_summary(_replayed(fx, _decisions(fx)), watermark="3650 days"), "append", "summary").drop("batch")
+    """A row on each ``pass_complete``; one pass in five never completes and is summed up by its timer."""
+    tiles = _decisions(fx).withColumn("event", F.lit("agent_decided"))
+    ended = tiles.groupBy("pass_id").agg((F.max("seq") + 1).alias("seq"), F.max("ts").alias("ts"), F.first("budget_kb").alias("budget_kb"), F.first("tile_count").alias("tile_count"))
+    ends = ended.filter(F.col("pass_id") % 5 != 0).withColumn("event", F.lit(S.PASS_END))
+    # A last event of a pass of its own, long after: the timers of the others run out.
+    beat = ended.agg((F.max("ts").cast("long") + 86_400).cast("timestamp").alias("ts")).select(F.lit(-1).cast("long").alias("pass_id"), F.lit(2).cast("long").alias("seq"), "ts", F.lit(S.PASS_END).alias("event"))
+    rows = tiles.unionByName(ends, True).unionByName(beat.filter("ts IS NOT NULL"), True)
+    late = F.when(F.col("pass_id") < 0, F.col("ts").cast("long")).otherwise(_late())
+    out = S.run_available(S.stream_summary(_as_it_came(fx, rows, late, 4)), "append", "summary")
+    return out.withColumn("flagged", F.array_join("flagged_summary", "; ")).drop("batch", "flagged_summary")
 
 
 @query("stream_accuracy", """

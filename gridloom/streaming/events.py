@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gridloom import constants as K
 from gridloom.operators import passes
 from gridloom.session import scratch_path
 from gridloom.sources.files import read_events
+from gridloom.streaming.processors import LEDGER_ROWS, ROCKS, STORE, SUMMARY_ROWS, PassAccount, TileFold
+
+# Fixed value: the event that ends a pass.
+PASS_END = "pass_complete"
 
 
 def _timed(events: DataFrame, watermark: str) -> DataFrame:
@@ -29,9 +31,20 @@ def event_stream(spark: SparkSession, path: str, watermark: str = "1 hour") -> D
     return once_per_event(read_events(spark, path, streaming=True), watermark)
 
 
-def stream_tile_state(events: DataFrame) -> DataFrame:
-    """Per-tile fold; the batch operator itself, run incrementally in update mode."""
-    return passes.tile_state(events)
+def _millis() -> Column:
+    return F.unix_millis("ts").alias("at_ms")
+
+
+def stream_tile_state(events: DataFrame, watermark: str = "1 hour", patience_ms: int = 3_600_000, by: Sequence[str] = ("pass_id", "tile_no")) -> DataFrame:
+    """Per-tile fold, as the batch operator's; a row for each batch in which a tile changes (update mode).
+
+    ``seq`` counts from 1. Copies change nothing. A tile leaves the state when the watermark is ``patience_ms`` past its
+    last event."""
+    kinds = list(passes.TILE_FIELDS)
+    number = F.element_at(F.create_map(*[F.lit(x) for k, name in enumerate(kinds) for x in (passes.TILE_FIELDS[name], k)]), F.col("event")).alias("kind")
+    rows = _timed(events, watermark).select(*by, "ts", _millis(), "seq", number, F.col("value").cast("double").alias("value")).filter("kind IS NOT NULL")
+    layout = [*[rows.schema[k] for k in by], T.StructField("has_arrived", T.BooleanType()), *[T.StructField(k, T.DoubleType()) for k in kinds], T.StructField("last_seq", T.LongType())]
+    return rows.groupBy(*by).transformWithStateInPandas(TileFold(kinds, list(by), patience_ms), T.StructType(layout), "Update", "eventTime")
 
 
 def stream_counts(events: DataFrame, num: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -41,86 +54,35 @@ def stream_counts(events: DataFrame, num: Column, by: Sequence[str] = ()) -> Dat
     )
 
 
-_STATE = "used long, next_seq long, closed boolean, budget long, planned long, last_ms long, counts array<long>, seqs array<long>, tiles array<long>, actions array<string>"
-_ROWS = "pass_id long, seq long, tile_id long, action string, used_kb long, remaining_kb long"
-_SUMMARY = (
-    "pass_id long, tiles_processed long, tiles_flagged long, tiles_downlinked long, tiles_discarded long, "
-    "bandwidth_used_kb long, bandwidth_remaining_kb long"
-)
-
-
-def _account(cost_kb: int, summarize: bool, patience_ms: int) -> Callable:
-    """State function of one pass: tiles are taken in ``seq`` order, early ones wait in the state.
-
-    The pass ends at its last planned tile or when its budget is used up; its emptied state stays
-    until the timeout only to swallow stragglers. The timeout follows the pass's own last event: once
-    the watermark is ``patience_ms`` past it, the pass is given up and what still waits is settled.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            used, next_seq, closed, budget, planned, last_ms, counts, seqs, tiles, actions = state.get
-        else:
-            used, next_seq, closed, budget, planned, last_ms, counts, seqs, tiles, actions = 0, 1, False, 0, 0, 0, [0, 0, 0], [], [], []
-        waiting = dict(zip(seqs, zip(tiles, actions)))
-        given_up, counts = state.hasTimedOut, list(counts)
-        for pdf in batches:
-            for seq, tile, action, limit, total, at in zip(*(pdf[c] for c in ("seq", "tile_id", "action", "budget_kb", "tile_count", "ts"))):
-                budget, planned, last_ms = int(limit), int(total), max(last_ms, int(at.timestamp() * 1000))
-                if not closed and int(seq) >= next_seq:
-                    waiting[int(seq)] = (int(tile), action)
-        was_closed, rows = closed, []
-        while waiting and not closed:
-            if next_seq not in waiting:
-                if not given_up:
-                    break
-                next_seq = min(waiting)
-            tile, action = waiting.pop(next_seq)
-            used += cost_kb if action == "downlink" else 0
-            counts[{"flag": 0, "downlink": 1}.get(action, 2)] += 1
-            rows.append((key[0], next_seq, tile, action, used, max(0, budget - used)))
-            closed = used >= budget or next_seq >= planned
-            next_seq += 1
-        if given_up:
-            state.remove()
-        else:
-            kept = [] if closed else sorted(waiting)
-            state.update(
-                (used, next_seq, closed, budget, planned, last_ms, counts, kept, [waiting[s][0] for s in kept], [waiting[s][1] for s in kept])
-            )
-            state.setTimeoutTimestamp(max(last_ms + patience_ms, state.getCurrentWatermarkMs() + 1))
-        if not summarize:
-            out, layout = rows, _ROWS
-        else:
-            ended = not was_closed and (closed or (given_up and sum(counts) > 0))
-            out, layout = ([(key[0], sum(counts), *counts, used, max(0, budget - used))] if ended else []), _SUMMARY
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in layout.split(", ")])
-
-    return step
-
-
-def _stateful(decided: DataFrame, cost_kb: int, summarize: bool, watermark: str, patience_ms: int) -> DataFrame:
-    return _timed(decided, watermark).groupBy("pass_id").applyInPandasWithState(
-        _account(cost_kb, summarize, patience_ms),
-        outputStructType=_SUMMARY if summarize else _ROWS,
-        stateStructType=_STATE,
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout,
+def _accounted(decided: DataFrame, cost_kb: int, summarize: bool, watermark: str, patience_ms: int) -> DataFrame:
+    by_event = "event" in decided.columns
+    rows = _timed(decided, watermark).select(
+        F.col("pass_id").cast("long").alias("pass_id"), "ts", _millis(), F.col("seq").cast("long").alias("seq"), F.col("tile_id").cast("long").alias("tile_id"), "action",
+        (F.col("description") if "description" in decided.columns else F.lit(None).cast("string")).alias("description"),
+        F.col("budget_kb").cast("long").alias("budget_kb"), F.col("tile_count").cast("long").alias("tile_count"),
+        (F.coalesce(F.col("event") == PASS_END, F.lit(False)) if by_event else F.lit(False)).alias("ends"),
     )
+    account = PassAccount(cost_kb, patience_ms, summarize, by_event)
+    return rows.groupBy("pass_id").transformWithStateInPandas(account, SUMMARY_ROWS if summarize else LEDGER_ROWS, "Append", "eventTime")
 
 
 def stream_ledger(decided: DataFrame, cost_kb: int = K.DOWNLINK_KB, watermark: str = "1 hour", patience_ms: int = 3_600_000) -> DataFrame:
     """Budget account of every pass as its decisions arrive, in any order.
 
-    ``decided`` brings ``pass_id, seq, ts, tile_id, action, budget_kb, tile_count``.
+    ``decided`` brings ``pass_id, seq, ts, tile_id, action, budget_kb, tile_count``; tiles that come early wait as rows of
+    the state. A pass without events for ``patience_ms`` of event time is settled as far as it came and forgotten.
     """
-    return _stateful(decided, cost_kb, False, watermark, patience_ms)
+    return _accounted(decided, cost_kb, False, watermark, patience_ms)
 
 
 def stream_summary(decided: DataFrame, cost_kb: int = K.DOWNLINK_KB, watermark: str = "1 hour", patience_ms: int = 3_600_000) -> DataFrame:
-    """One summary row when a pass ends (last planned tile, budget used up, or given up on)."""
-    return _stateful(decided, cost_kb, True, watermark, patience_ms)
+    """One summary row of every pass, with its first ten descriptions of flagged or downlinked tiles.
+
+    ``decided`` as for ``stream_ledger``, with ``description`` and, where the stream tells the end of a pass, ``event``: the
+    row comes on ``pass_complete``, whose ``seq`` follows the last tile's, once all earlier tiles are settled. Without that
+    column it comes with the last planned tile or when the budget is used up. Abandoned passes are summed up by the timer.
+    """
+    return _accounted(decided, cost_kb, True, watermark, patience_ms)
 
 
 def run_available(stream: DataFrame, mode: str, label: str = "stream") -> DataFrame:
@@ -134,9 +96,12 @@ def run_available(stream: DataFrame, mode: str, label: str = "stream") -> DataFr
     def save(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(save).start()
-    )
+    store = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)  # read when the query starts
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(save).start()
+    finally:
+        spark.conf.set(STORE, store) if store else spark.conf.unset(STORE)
     query.awaitTermination()
     return spark.read.option("basePath", out).schema(f"{_ddl(stream)}, batch int").parquet(out)
 

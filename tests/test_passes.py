@@ -120,3 +120,71 @@ def test_typed_events_from_json_lines_arrive_once(spark, tmp_path):
     rows = S.run_available(S.event_stream(spark, str(tmp_path / "in")), "append").orderBy("seq").collect()
     assert [(r.seq, r.event) for r in rows] == [(2, "vlm_done"), (3, "budget_update")]
     assert rows[0].detection.boxes[0].bbox == [0.0, 0.0, 1.0, 1.0] and rows[1].bandwidth_used_kb == 80
+
+
+PASS = "pass_id long, seq long, ts timestamp, tile_id long, action string, budget_kb int, tile_count long"
+
+
+def _stream(spark, path, schema, batches):
+    """Each list of rows is a micro-batch."""
+    import time
+
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+        time.sleep(1.1)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def test_many_tiles_wait_in_one_pass(spark, tmp_path):
+    """All tiles but the first come first, in any order, some twice."""
+    n, t0 = 100_000, datetime.datetime(2024, 1, 1)
+    rows = spark.range(2, n + 1).select(
+        F.lit(1).cast("long").alias("pass_id"), F.col("id").alias("seq"), F.lit(t0).alias("ts"), F.col("id").alias("tile_id"),
+        F.when(F.col("id") % 1000 == 0, "downlink").otherwise("flag").alias("action"), F.lit(10**6).alias("budget_kb"), F.lit(n).cast("long").alias("tile_count"))
+    rows.unionByName(rows.filter("seq < 700")).orderBy(F.xxhash64("seq")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = _stream(spark, tmp_path / "in", PASS, [[(1, 1, t0, 1, "discard", 10**6, n)]])
+    out = S.run_available(S.stream_ledger(stream), "append").cache()
+    r = out.agg(F.count("*").alias("n"), F.count_distinct("seq").alias("d"), F.max("used_kb").alias("kb"), F.min("batch").alias("b")).first()
+    assert (r.n, r.d, r.kb, r.b) == (n, n, 8000, 1)
+
+
+def test_summary_comes_on_the_terminal_event_and_passes_leave_the_state(spark, tmp_path):
+    schema = PASS + ", description string, event string"
+    t0, hour = datetime.datetime(2024, 1, 1), datetime.timedelta(hours=1)
+    tile = lambda p, s, at, action, d: (p, s, at, s, action, 800, 20, d, "agent_decided")
+    end = lambda p, s, at: (p, s, at, None, None, None, None, None, "pass_complete")
+    batches = [
+        [end(1, 13, t0), *[tile(1, s, t0, "flag", f"d{s}") for s in range(12, 1, -1)], tile(2, 1, t0, "flag", "left")],
+        [tile(1, 1, t0, "discard", "d1")],
+        [tile(3, s, t0 + 4 * hour, "downlink", f"x{s}") for s in range(1, 13)],  # the budget ends it at the tenth; no terminal event yet
+        [tile(4, 1, t0 + 8 * hour, "flag", "y"), end(3, 13, t0 + 8 * hour), end(1, 13, t0 + 8 * hour)],
+        [end(5, 2, t0 + 16 * hour)],
+    ]
+    stream = _stream(spark, tmp_path / "in", schema, batches)
+    spark.conf.set(S.STORE, S.ROCKS)
+    seen, log = [], str(tmp_path / "log")
+    query = S.stream_summary(stream).writeStream.outputMode("append").option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(
+        lambda rows, batch: seen.extend((batch, r.pass_id, r.tiles_processed, r.bandwidth_used_kb, tuple(r.flagged_summary)) for r in rows.collect())).start()
+    query.awaitTermination()
+    spark.conf.unset(S.STORE)
+    by_pass = {p: (b, *rest) for b, p, *rest in seen}
+    assert len(by_pass) == len(seen) and set(by_pass) == {1, 2, 3, 4}
+    assert by_pass[1] == (1, 12, 0, tuple(f"d{s}" for s in range(2, 12)))  # in order, though the end came first
+    assert by_pass[2][1:] == (1, 0, ("left",)) and by_pass[3] == (3, 10, 800, tuple(f"x{s}" for s in range(1, 11)))
+    assert by_pass[4][1:] == (1, 0, ("y",))
+    # All passes but the last one (whose timer has not run out) have left.
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 6
+
+
+def test_tile_state_is_forgotten_and_copies_change_nothing(spark, tmp_path):
+    schema = "pass_id long, tile_no long, ts timestamp, seq long, event string, value double"
+    t0, day = datetime.datetime(2024, 1, 1), datetime.timedelta(days=1)
+    first = [(1, 1, t0, 1, "tile_arrived", 5.0), (1, 1, t0, 3, "agent_decided", 7.0), (1, 1, t0, 2, "vlm_done", None), (1, 2, t0, 4, "vlm_done", 1.0)]
+    again = [first[1], (1, 1, t0, 5, "tile_arrived", 6.0)]
+    stream = _stream(spark, tmp_path / "in", schema, [first, first, again, [(2, 1, t0 + day, 1, "vlm_done", 2.0)], [(1, 1, t0 + 2 * day, 9, "agent_decided", 8.0)]])
+    got = {(r.batch, r.pass_id, r.tile_no): (r.has_arrived, r.arrived, r.detection, r.decision, r.last_seq) for r in S.run_available(S.stream_tile_state(stream), "update").collect()}
+    assert got == {
+        (0, 1, 1): (True, 5.0, None, 7.0, 3), (0, 1, 2): (False, None, 1.0, None, 4),
+        (2, 1, 1): (True, 6.0, None, None, 5),
+        (3, 2, 1): (False, None, 2.0, None, 1), (4, 1, 1): (False, None, None, 8.0, 9),  # the finished pass was forgotten
+    }
