@@ -5,8 +5,8 @@ counts the longest run from every word, at most four words, shorter where a piec
 node's count is what flows out of it plus its ends, and so on down to single words. Edges of weight ``min_count`` or more
 are compacted: nodes with one way in, one way out and nothing else are merged into paths, which hold the long candidates.
 
-Before that, a sketch (a fixed number of hash slots) tells which word pairs may reach ``min_count``. A run stops at a pair
-that can't: no phrase across it counts, and all counts that matter stay as they are.
+Before that, a sketch (a fixed number of hash slots) tells which runs of two and three words may reach ``min_count``. A run
+stops before one that can't: no phrase across it counts, and all counts that matter stay as they are.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridloom.llm.common import LOWER, UPPER, WordHashes, join_unique, mixed, utf8
+from gridloom.llm.common import LOWER, UPPER, WordHashes, join_unique, mixed, numbered, utf8
 from gridloom.session import cut_lineage, settle
 
 #: Words in an edge.
@@ -28,7 +28,7 @@ LONGEST = 4
 #: Slots of the sketch (2 to that power), and slots a row of it holds.
 SLOT_BITS, ROW_SLOTS = 24, 1 << 16
 #: Words looked at in one step; counts a task holds before it hands them on.
-BLOCK, HELD = 200_000, 400_000
+BLOCK, HELD = 200_000, 300_000
 #: Parts into which a language's candidates are dealt before its first ones are taken.
 DEALT = 64
 #: A-Z in lower case, and all that ends a piece as a line feed.
@@ -63,27 +63,44 @@ def followed(sizes: list[int]) -> np.ndarray:
     return more
 
 
-def pair_slots(group: str, words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    """The slot of each word with the next one (the last with the first, which nothing reads)."""
+def run_slots(group: str, words: list[bytes], hashes: WordHashes) -> list[np.ndarray]:
+    """Slots of the runs of two, and of three words, that start at each word (those beyond the last word mean nothing)."""
     h = hashes.of(words)
-    seed = np.uint64(xxhash.xxh3_64_intdigest(group.encode()))
-    return (mixed(h * np.uint64(0x9E3779B97F4A7C15) + np.roll(h, -1) + seed) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    key = h + np.uint64(xxhash.xxh3_64_intdigest(group.encode()))
+    out = []
+    for k in range(1, LONGEST - 1):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.roll(h, -k))
+        out.append((key >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+    return out
+
+
+def running(more: np.ndarray, k: int) -> np.ndarray:
+    """Whether ``k`` further words of the piece follow."""
+    out = more.copy()
+    for j in range(1, k):
+        out[: max(0, len(out) - j)] &= more[j:]
+    return out
 
 
-def sketch(texts: DataFrame, min_count: int) -> tuple[bytes, dict[str, int]]:
-    """A bit for each slot whose pairs are met ``min_count`` times together; and each group's words.
+def sketch(texts: DataFrame, min_count: int) -> tuple[list[bytes], dict[str, int]]:
+    """For runs of two and of three words a bit for each slot whose runs are met ``min_count`` times together; and each
+    group's words.
 
-    To the driver go ``2 ** SLOT_BITS`` bits, whatever the input, and a row for each group."""
+    To the driver go twice ``2 ** SLOT_BITS`` bits, whatever the input, and a row for each group. Counts stop at
+    ``min_count`` (255 at most, above which the sketch only rules out less)."""
+    cap = min(min_count, 255)
+    n_rows = (1 << SLOT_BITS) // ROW_SLOTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, slots, sizes = WordHashes(), np.zeros(1 << SLOT_BITS, np.uint32), Counter()
+        hashes, slots, sizes = WordHashes(), np.zeros((LONGEST - 2, 1 << SLOT_BITS), np.uint8), Counter()
         for batch in batches:
             for group, words, more in blocks(batch):
                 sizes[group] += len(words)
-                np.add.at(slots, pair_slots(group, words, hashes)[more], 1)
+                for k, own in enumerate(run_slots(group, words, hashes)):
+                    at, n = np.unique(own[running(more, k + 1)], return_counts=True)
+                    slots[k, at] = np.minimum(slots[k, at] + n, cap)
         if sizes:
-            rows = np.minimum(slots, min_count).astype(np.uint32).reshape(-1, ROW_SLOTS)
-            packed = [zstandard.compress(r.tobytes(), 1) if r.any() else None for r in rows]
+            packed = [zstandard.compress(r.tobytes(), 1) if r.any() else None for r in slots.reshape(-1, ROW_SLOTS)]
             at = [k for k, p in enumerate(packed) if p]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([*at, *[-1] * len(sizes)], pa.int32()), pa.array([*[packed[k] for k in at], *[None] * len(sizes)], pa.binary()),
@@ -95,42 +112,43 @@ def sketch(texts: DataFrame, min_count: int) -> tuple[bytes, dict[str, int]]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(zstandard.decompress(counts.as_buffer()), np.uint32)
-                sums[row] = np.minimum(sums[row] + own, min_count) if row in sums else own
+                own = np.frombuffer(zstandard.decompress(counts.as_buffer()), np.uint8)
+                sums[row] = np.minimum(sums[row].astype(np.uint16) + own, cap).astype(np.uint8) if row in sums else own
         if sums:
-            bits = [np.packbits(s >= min_count).tobytes() for s in sums.values()]
+            bits = [np.packbits(s >= cap, bitorder="little").tobytes() for s in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(bits, pa.binary())], names=["row", "bits"])
 
     parts = settle(texts.mapInArrow(count, "row int, counts binary, grp string, n bigint"), "sketch")
-    full = np.zeros(((1 << SLOT_BITS) // ROW_SLOTS, ROW_SLOTS // 8), np.uint8)
-    for r in parts.filter("row >= 0").select("row", "counts").repartition("row").mapInArrow(add, "row int, bits binary").collect():
-        full[r.row] = np.frombuffer(r.bits, np.uint8)
+    full = np.zeros((LONGEST - 2, n_rows, ROW_SLOTS // 8), np.uint8)
+    for r in parts.filter("row >= 0").select("row", "counts").repartition("row").mapInArrow(add, "row int, bits binary").toLocalIterator():
+        full[r.row // n_rows, r.row % n_rows] = np.frombuffer(r.bits, np.uint8)
     sizes = parts.filter("row < 0").groupBy("grp").agg(F.sum("n").alias("n")).collect()
-    return full.tobytes(), {r.grp: r.n for r in sizes}
+    return [bits.tobytes() for bits in full], {r.grp: r.n for r in sizes}
 
 
-def longest_runs(texts: DataFrame, bits: bytes) -> DataFrame:
+def longest_runs(texts: DataFrame, bits: list[bytes]) -> DataFrame:
     """``grp``, ``gram``, ``w``: how often each run of up to four words is the longest from its first word on."""
-    bits = zstandard.compress(bits, 3)
+    packed = [zstandard.compress(b, 3) for b in bits]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(np.frombuffer(zstandard.decompress(bits), np.uint8)).view(bool)
+        flags = [np.frombuffer(zstandard.decompress(b), np.uint8) for b in packed]
         hashes, held = WordHashes(), defaultdict(Counter)
         for batch in batches:
             for group, words, more in blocks(batch):
-                goes = more & flags[pair_slots(group, words, hashes)]
-                size = np.ones(len(words), np.int64)
-                run = goes.copy()
-                for k in range(1, LONGEST):
-                    size += run
-                    run[: max(0, len(run) - k)] &= goes[k:]
+                may = [((own[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) for own, at in zip(flags, run_slots(group, words, hashes))]
+                two = more & may[0]
+                three = running(two, 2) & may[1]
+                four = three.copy()
+                four[:-1] &= three[1:]
+                four[-1:] = False
+                size = 1 + two.astype(np.int64) + three + four
                 own = held[group]
                 own.update([w for w, alone in zip(words, (size == 1).tolist()) if alone])
                 starts = np.flatnonzero(size > 1)
                 own.update([b" ".join(words[i:j]) for i, j in zip(starts.tolist(), (starts + size[starts]).tolist())])
-            if sum(map(len, held.values())) > HELD:
-                yield from counted(held)
-                held.clear()
+                if sum(map(len, held.values())) > HELD:
+                    yield from counted(held)
+                    held.clear()
         yield from counted(held)
 
     return texts.mapInArrow(count, "grp string, gram string, w bigint").groupBy("grp", "gram").agg(F.sum("w").alias("w"))
@@ -157,13 +175,13 @@ def last_words(gram: Column, k: int) -> Column:
 def flows(runs: DataFrame) -> dict[int, DataFrame]:
     """Counts of all runs of 4, 3, 2 and 1 words (``grp``, ``gram``, ``f``): what flows out of a node plus what ends there.
 
-    Counts are whole where a run has no pair that the sketch ruled out."""
+    Counts are whole where the sketch rules out no part of a run."""
     sized = runs.withColumn("size", n_words(F.col("gram")))
     out = {LONGEST: sized.filter(F.col("size") == LONGEST).select("grp", "gram", F.col("w").alias("f"))}
     for k in range(LONGEST - 1, 0, -1):
         longer = out[k + 1].select("grp", first_words(F.col("gram"), k).alias("gram"), "f")
         ends = sized.filter(F.col("size") == k).select("grp", "gram", F.col("w").alias("f"))
-        out[k] = settle(longer.unionByName(ends).groupBy("grp", "gram").agg(F.sum("f").alias("f")), f"flow-{k}")
+        out[k] = settle(longer.unionByName(ends).groupBy("grp", "gram").agg(F.sum("f").alias("f")), f"flow-{k}", "zstd")
     return out
 
 
@@ -248,7 +266,7 @@ def collocations(
     """
     texts = docs.select(F.coalesce(F.col(group).cast("string"), F.lit(no_group)).alias("grp"), F.col(text).alias("text"))
     bits, sizes = sketch(texts, min_count)
-    counts = flows(settle(longest_runs(texts, bits), "runs"))
+    counts = flows(settle(longest_runs(texts, bits), "runs", "zstd"))
     heavy = {k: df.filter(F.col("f") >= min_count) for k, df in counts.items()}
     inner = settle(inner_nodes(heavy[4], heavy[3]), "inner")
     paths = compact(heavy[4], inner)
@@ -261,6 +279,8 @@ def collocations(
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     named = rated.select("grp", F.col("gram").alias("phrase"), F.col("f").alias("a"), "l", "r", "score", F.pmod(F.xxhash64("gram"), F.lit(DEALT)).alias("_part"))
     few = named.withColumn("rank", F.row_number().over(Window.partitionBy("grp", "_part").orderBy(*order))).filter(F.col("rank") <= top)
-    first = few.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(*order))).filter(F.col("rank") <= top)
-    totals = docs.sparkSession.createDataFrame(list(sizes.items()), "grp string, n bigint")
-    return first.join(F.broadcast(totals), "grp").select("grp", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    ordered = numbered(few.drop("rank"), ["grp", *order])
+    firsts = ordered.groupBy("grp").agg(F.min("rn").alias("_first"))
+    totals = firsts.join(docs.sparkSession.createDataFrame(list(sizes.items()), "grp string, n bigint"), "grp")
+    ranked = ordered.join(F.broadcast(totals), "grp").withColumn("rank", F.col("rn") - F.col("_first") + 1).filter(F.col("rank") <= top)
+    return ranked.select("grp", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -15,6 +15,9 @@ from gridloom.llm import phrases
 from gridloom.session import settle
 from tests.llm.fixtures import ascii_lower, documents, empty
 
+#: A sketch that rules nothing out.
+ALL = [b"\xff" * ((1 << phrases.SLOT_BITS) // 8)] * 2
+
 
 def pieces_of(text):
     return [p for p in (re.findall(r"[^\x20\x09]+", piece) for piece in re.split(r"[.,;:!?\x0A-\x0D]", ascii_lower(text or ""))) if p]
@@ -81,7 +84,7 @@ def test_sketch_that_can_not_tell(spark, monkeypatch):
     docs = documents(spark, prose(2))
     rows = [(r.lang, r.text) for r in docs.collect()]
     real = phrases.sketch
-    monkeypatch.setattr(phrases, "sketch", lambda texts, least: (b"\xff" * ((1 << phrases.SLOT_BITS) // 8), real(texts, least)[1]))
+    monkeypatch.setattr(phrases, "sketch", lambda texts, least: (ALL, real(texts, least)[1]))
     assert as_rows(phrases.collocations(docs, 4)) == ranked(rows, 4, 2000)
 
 
@@ -89,7 +92,7 @@ def test_flows(spark):
     """Counts derived from the longest runs and the ends of pieces are the counts of all runs."""
     texts = documents(spark, prose(3)).select(F.coalesce("lang", F.lit("und")).alias("grp"), "text")
     _, f = counts_of([(r.grp, r.text) for r in texts.collect()])
-    runs = settle(phrases.longest_runs(texts, b"\xff" * ((1 << phrases.SLOT_BITS) // 8)), "runs")
+    runs = settle(phrases.longest_runs(texts, ALL), "runs")
     for k, df in phrases.flows(runs).items():
         assert {(r.grp, r.gram): r.f for r in df.collect()} == {(g, " ".join(p)): n for g, c in f.items() for p, n in c.items() if len(p) == k}
 
@@ -99,14 +102,14 @@ def test_paths(spark):
     passage = "one two three four five six seven eight nine ten eleven twelve".split()
     texts = [" ".join(passage)] * 6 + [" ".join([*passage[:6], "other", "way", "on"])] * 2 + [" ".join(passage[3:9])] * 3
     df = spark.createDataFrame([("en", t) for t in texts], "grp string, text string")
-    flows = phrases.flows(settle(phrases.longest_runs(df, b"\xff" * ((1 << phrases.SLOT_BITS) // 8)), "runs"))
+    flows = phrases.flows(settle(phrases.longest_runs(df, ALL), "runs"))
     inner = phrases.inner_nodes(flows[4], flows[3])
     paths = {" ".join(r.words): r.f for r in phrases.compact(flows[4], inner).collect()}
     assert paths == {
         "one two three four five six": 8, "four five six seven eight nine": 9, "seven eight nine ten eleven twelve": 6, "four five six other way on": 2,
     }
     repeats = spark.createDataFrame([("en", "ha " * 50)], "grp string, text string")
-    flows = phrases.flows(settle(phrases.longest_runs(repeats, b"\xff" * ((1 << phrases.SLOT_BITS) // 8)), "runs"))
+    flows = phrases.flows(settle(phrases.longest_runs(repeats, ALL), "runs"))
     assert [(r.words, r.f) for r in phrases.compact(flows[4], phrases.inner_nodes(flows[4], flows[3])).collect()] == [(["ha"] * 4, 47)]
 
 
@@ -115,7 +118,7 @@ def test_long_paths(spark):
     words = [f"w{k}" for k in range(500)]
     df = spark.createDataFrame([("en", " ".join(words))] * 3 + [(None, " ".join(words[:100]))], "lang string, text string")
     df = df.select(F.coalesce("lang", F.lit("und")).alias("grp"), "text")
-    flows = phrases.flows(settle(phrases.longest_runs(df, b"\xff" * ((1 << phrases.SLOT_BITS) // 8)), "runs"))
+    flows = phrases.flows(settle(phrases.longest_runs(df, ALL), "runs"))
     got = {(r.grp, " ".join(r.words), r.f) for r in phrases.compact(flows[4], phrases.inner_nodes(flows[4], flows[3])).collect()}
     assert got == {("en", " ".join(words), 3), ("und", " ".join(words[:100]), 1)}
 
