@@ -17,6 +17,7 @@ from itertools import islice
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, types as T
 from sentencepiece import sentencepiece_model_pb2
@@ -29,8 +30,8 @@ SPACE = "▁"
 LETTERS = "[A-Za-zÀ-ÖØ-öø-ɏ]"
 #: Kinds of pieces, as the model file numbers them.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Merge results and chunks that a worker remembers, at most; and the longest chunk it remembers.
-MOST, LONGEST = 400_000, 40
+#: Chunks that a worker remembers in each of two generations, merge results that it remembers, and the longest chunk.
+MOST, MOST_PAIRS, LONGEST = 250_000, 500_000, 40
 
 
 class Encoder:
@@ -56,15 +57,20 @@ class Encoder:
         for p in made:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
+        self.width = max(map(len, made))
         # No merge crosses from one letter to the next unless a piece has the two side by side.
         side = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         behind = {b for a, b in side if re.match(LETTERS, a)}
         signs = re.escape("".join(sorted({"\n", *(p for p in self.ids if len(p) == 1 and not re.match(LETTERS, p))} - behind - {SPACE})))
         crosses = any(b == SPACE != a for a, b in side)
         self.cut = re.compile("(?s).+" if crosses else f"{SPACE}*{LETTERS}+(?=[{signs}])|{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.foreign = re.compile("([^" + re.escape("".join(sorted(p for p in self.ids if len(p) == 1))) + "]+)")
+        self.letters = {p for p in self.ids if len(p) == 1}
+        self.foreign = re.compile("([^" + re.escape("".join(sorted(self.letters))) + "]+)")
         self.agree: dict[tuple[str, str], bool] = {}
-        self.met = Met(self.chunk)
+        self.met = Met(lambda chunk: array("i", self.chunk(chunk)).tobytes())
+        #: Words behind one blank, which where nothing crosses to a blank are chunks of their own or a few.
+        self.words = Met(lambda word: b"".join(map(self.met.__getitem__, self.cut.findall(SPACE + word))))
+        self.by_words = bool(self.prefix) and not crosses
 
     def merge(self, text: str) -> list[str]:
         """The merge rule itself, for a piece or two."""
@@ -82,20 +88,18 @@ class Encoder:
 
     def agrees(self, pair: tuple[str, str]) -> bool:
         """Whether two adjacent pieces stay as they are when merged anew."""
-        if len(self.agree) >= MOST:
+        if len(self.agree) >= MOST_PAIRS:
             self.agree.clear()
-        known = self.agree[pair] = tuple(self.merge(pair[0] + pair[1])) == pair
+        both = pair[0] + pair[1]
+        known = self.agree[pair] = both not in self.shorter and tuple(self.merge(both)) == pair
         return known
 
     def run(self, text: str) -> list[str]:
         """The pieces of a text whose letters are all pieces."""
-        size, shorter, agree = len(text), self.shorter, self.agree
-        longest: list[str] = [""] * size
-        for end, piece in self.automaton.iter(text):  # ends ascend, so of those with one start the longest stays
-            longest[end + 1 - len(piece)] = piece
+        size, shorter, agree, longest, width = len(text), self.shorter, self.agree, self.automaton.iter_long, self.width
         failed = bytearray(size // 8 + 1)  # a bit for each position
         taken: list[str] = []
-        at, piece, before = 0, longest[0], ""
+        at, piece, before = 0, next(longest(text[:width]))[1], ""
         while True:
             end = at + len(piece)
             if not failed[end >> 3] >> (end & 7) & 1:
@@ -109,7 +113,7 @@ class Encoder:
                     taken.append(piece)
                     if end == size:
                         return taken
-                    at, before, piece = end, piece, longest[end]
+                    at, before, piece = end, piece, next(longest(text[end : end + width]))[1]
                     continue
             piece = shorter[piece]
             while piece is None:  # nothing that starts here fits: the piece before gives way
@@ -120,18 +124,23 @@ class Encoder:
 
     def chunk(self, text: str) -> list[int]:
         """Ids of a part that no merge leaves; letters that are no piece become their bytes."""
+        ids = self.ids.__getitem__
+        if self.letters.issuperset(text):
+            return list(map(ids, self.run(text)))
         out: list[int] = []
         for known in self.foreign.split(text):
             if known[:1] not in self.ids:
                 out.extend(self.bytes[b] for b in known.encode())
             else:
-                out.extend(map(self.ids.__getitem__, self.run(known)))
+                out.extend(map(ids, self.run(known)))
         return out
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as native 32-bit integers."""
         if not text:
             return b""
+        if self.by_words and len(text) < 1 << 20 and text[0] != " " and "  " not in text and SPACE not in text:
+            return b"".join(map(self.words.__getitem__, text.split(" ")))
         found = self.cut.finditer(self.prefix + text.replace(" ", SPACE))
         out = []
         while block := [part.group() for part in islice(found, 1 << 16)]:
@@ -140,18 +149,22 @@ class Encoder:
 
 
 class Met(dict):
-    """Chunks met before, and what makes the ids of new ones."""
+    """The ids of what was met before, and what makes those of the new; the ``MOST`` met last stay, and as many before."""
 
-    def __init__(self, make: Callable[[str], list[int]]):
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = array("i", self.make(chunk)).tobytes()
-        if len(chunk) <= LONGEST:
-            if len(self) >= MOST:
-                self.clear()
-            self[chunk] = ids
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.make(chunk)
+            if len(chunk) > LONGEST:
+                return ids
+        if len(self) >= MOST:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = ids
         return ids
 
 
@@ -202,7 +215,13 @@ def decode(rows: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded"
         library = _library(model)
         for batch in batches:
             for part in pieces(batch, 256):
-                found = [library.decode([i for i in value.as_py() or () if i is not None]) for value in part.column(part.schema.get_field_index(ids))]
+                lists = part.column(part.schema.get_field_index(ids))
+                if lists.flatten().null_count:
+                    found = [library.decode([i for i in value or () if i is not None]) for value in lists.to_pylist()]
+                else:  # null lists have no values
+                    ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+                    flat = lists.flatten().to_numpy(zero_copy_only=False)
+                    found = [library.decode(own.tolist()) for own in np.split(flat, ends[:-1])]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), pa.array(found, pa.string())], names=[*kept, out])
 
     return rows.select(*kept, *extra).mapInArrow(texts, schema)

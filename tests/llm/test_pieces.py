@@ -66,10 +66,11 @@ def test_pieces_that_agree_are_what_the_merges_make(encoder):
 
 def test_memory_of_chunks_is_bounded(library, monkeypatch):
     monkeypatch.setattr(pieces_bpe, "MOST", 50)
+    monkeypatch.setattr(pieces_bpe, "MOST_PAIRS", 50)
     small = pieces_bpe.Encoder(MODEL)
     for text in filter(None, texts()):
         assert ids(small, text) == library.encode(text)
-        assert len(small.met) <= 50 and len(small.agree) <= 50
+        assert max(map(len, (small.met, small.met.old, small.words, small.words.old, small.agree))) <= 50
 
 
 def test_other_models_are_refused():
