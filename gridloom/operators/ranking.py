@@ -83,47 +83,79 @@ def block_rank(
     return block_running_sum(df, by, order, block, F.lit(1).cast("long"), name, total)
 
 
-def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], buckets: int = 4096
-) -> DataFrame:
-    """Linearly interpolated quantiles of groups of any size: ``by…, q0, q1, …``.
-
-    Equal values are counted first. An equal-width bucket histogram then tells which buckets hold the
-    wanted ranks, and only those are sorted.
-    """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    span = counted.groupBy(*by).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_n").alias("_total")
-    )
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(buckets)
-    bucketed = counted.join(span, list(by)).withColumn(
-        "_blk", F.when(width > 0, F.least(F.lit(buckets - 1), F.floor((F.col(value) - F.col("_lo")) / width))).otherwise(F.lit(0))
+#: Splitters of one round of selection, and the error they may have: far less than the step between two of them.
+GRID, ACCURACY = 256, 5000
+#: Rows between the ends of a span that need no further round, whatever the group's size.
+SPAN_ROWS = 100_000
+
+
+def _spanned(df: DataFrame, spans: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Rows of ``df`` inside each span of their group. The spans of a group are few; its rows stay where the join's skew
+    handling deals them."""
+    return df.join(spans, list(by)).filter(F.col(value).between(F.col("_lo"), F.col("_hi")))
+
+
+def _narrowed(df: DataFrame, spans: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """One round: each span cut down to a few steps of its own splitters around the wanted rank, counted exactly."""
+    keys = [*by, "_i"]
+    grid = F.percentile_approx(value, [k / GRID for k in range(GRID + 1)], ACCURACY).alias("_grid")
+    splitters = _spanned(df, spans.select(*keys, "_lo", "_hi"), by, value).groupBy(*keys).agg(grid)
+    place, apart = (F.col("_rank") - F.col("_off")) / F.col("_in") * GRID, F.greatest(F.lit(2), F.ceil(2 * GRID / F.col("_in")))
+    at = lambda step: F.get("_grid", F.greatest(F.lit(0), F.least(F.lit(GRID), step)).cast("int"))
+    cut = spans.join(splitters, keys).withColumns({"_a": at(F.floor(place) - apart), "_b": at(F.ceil(place) + apart)}).drop("_grid")
+    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+    v = F.col(value)
+    inside = _spanned(df, cut.select(*keys, "_lo", "_hi", "_a", "_b"), by, value).groupBy(*keys).agg(
+        count(v < F.col("_a")).alias("_below"), count(v.between(F.col("_a"), F.col("_b"))).alias("_within"),
+        count((v > F.col("_a")) & (v < F.col("_b"))).alias("_between"),
     )
-    per_bucket = bucketed.groupBy(*by, "_blk", "_total").agg(F.sum("_n").alias("_in"))
-    upto = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per_bucket = per_bucket.withColumn("_upto", F.sum("_in").over(upto)).withColumn("_off", F.col("_upto") - F.col("_in"))
-    ranks = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs]
-    wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(r), F.ceil(r)) for r in ranks])))
-    hit = F.exists(wanted, lambda r: (r >= F.col("_off")) & (r < F.col("_upto")))
-    hits = per_bucket.filter(hit).select(*by, "_blk", "_off")
-    local = Window.partitionBy(*by, "_blk").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.col("_off") + F.col("_below")
+    holds = (F.floor("_rank") >= start) & (F.ceil("_rank") < start + F.col("_within"))
+    new = {"_lo": "_a", "_hi": "_b", "_in": "_within"}
+    picked = {name: F.when(holds, F.col(better)).otherwise(F.col(name)) for name, better in new.items()}
+    picked["_inner"] = F.when(holds, F.col("_between")).otherwise(0)  # a sketch that erred: the whole span is sorted
+    met = cut.join(inside, keys).withColumns({**picked, "_off": F.when(holds, start).otherwise(F.col("_off"))})
+    return met.select(*spans.columns)
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], span_rows: int = SPAN_ROWS) -> DataFrame:
+    """Linearly interpolated quantiles of groups of any size: ``by…, q0, q1, …``; null for groups without values.
+
+    Groups of ``span_rows`` rows or fewer are sorted as they are. In larger ones the rank is closed in by rounds: quantiles of
+    bounded sketches, pre-aggregated, cut the span around it, rows are counted exactly, and the next round looks at a
+    fiftieth of them. Outliers cost nothing, for ranks and not widths are cut; values that many rows share become ends of
+    the span, which don't count. No task holds more than a span's distinct values. ``df`` is read several times.
+    """
+    by, probs = list(by), [float(p) for p in probs]
+    v = F.col(value)
+    sizes = df.groupBy(*by).agg(F.count(v).alias("_in"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    large = cut_lineage(sizes.filter((F.col("_in") > span_rows) & (F.col("_lo") < F.col("_hi"))))
+    names = [F.get("_q", F.lit(i)).alias(f"q{i}") for i in range(len(probs))]
+    if not large.limit(1).count():
+        return df.groupBy(*by).agg(F.percentile(v, F.array(*map(F.lit, probs))).alias("_q")).select(*by, *names)
+    small = df.join(large.select(*by), by, "left_anti").groupBy(*by).agg(F.percentile(v, F.array(*map(F.lit, probs))).alias("_q")).select(*by, *names)
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), ((F.col("_in") - 1) * p).alias("_rank")) for i, p in enumerate(probs)])).alias("_w")
+    spans = large.select(*by, wanted, "_lo", "_hi", F.lit(0).cast("long").alias("_off"), "_in", F.col("_in").alias("_inner"))
+    spans = spans.select(*by, "_w.*", "_lo", "_hi", "_off", "_in", "_inner")
+    done = None
+    while True:
+        spans = cut_lineage(spans)
+        ready = spans.filter(F.col("_inner") <= span_rows)
+        done = ready if done is None else done.unionByName(ready)
+        spans = spans.filter(F.col("_inner") > span_rows)
+        if not spans.limit(1).count():
+            break
+        spans = _narrowed(df, spans, by, value)
+    keys = [*by, "_i"]
+    local = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
-        bucketed.join(hits, [*by, "_blk"])
-        .withColumn("_end", F.sum("_n").over(local) + F.col("_off"))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-    )
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_start")) & (rank < F.col("_end")), F.col(value)))
-
-    aggs = [F.first("_total").alias("_total")]
-    for i, r in enumerate(ranks):
-        aggs += [at(F.floor(r)).alias(f"_f{i}"), at(F.ceil(r)).alias(f"_c{i}")]
-    found = placed.groupBy(*by).agg(*aggs)
-    return found.select(
-        *by,
-        *[
-            (F.col(f"_f{i}") + (F.col(f"_c{i}") - F.col(f"_f{i}")) * (r - F.floor(r))).alias(f"q{i}")
-            for i, r in enumerate(ranks)
-        ],
+        _spanned(df, done.select(*keys, "_rank", "_lo", "_hi", "_off"), by, value)
+        .groupBy(*keys, "_rank", "_off", value).agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_end", F.sum("_n").over(local) + F.col("_off")).withColumn("_start", F.col("_end") - F.col("_n"))
     )
+    rank = F.col("_rank")
+    at = lambda r: F.max(F.when((r >= F.col("_start")) & (r < F.col("_end")), F.col(value)))
+    found = placed.groupBy(*keys, "_rank").agg(at(F.floor(rank)).alias("_f"), at(F.ceil(rank)).alias("_c"))
+    between = F.when(F.col("_f") == F.col("_c"), F.col("_f")).otherwise((F.ceil(rank) - rank) * F.col("_f") + (rank - F.floor(rank)) * F.col("_c"))
+    wide = found.withColumn("_v", between.cast("double")).groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(f"q{i}") for i in range(len(probs))])
+    return small.unionByName(wide)

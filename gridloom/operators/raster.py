@@ -12,6 +12,7 @@ from gridloom import constants as K
 from gridloom.functions.keyed import key_hash, uniform
 from gridloom.functions.numbers import half_even
 from gridloom.operators.graph import connected
+from gridloom.operators.ranking import exact_quantiles
 from gridloom.session import cut_lineage
 
 BLOCK = 128
@@ -390,11 +391,11 @@ def band_bounds(
 ) -> DataFrame:
     """Exact interpolated percentiles per patch and band: ``keys…, band, lo, hi``; null for a band without values.
 
-    Equal values are counted map-side, so a task holds a patch's distinct values and never its pixels.
+    A patch's values are sorted as they are; in a scene under one key the two ranks are closed in by rounds, so no task
+    holds a scene's values (``exact_quantiles``).
     """
-    q = F.percentile("v", F.array(F.lit(lo), F.lit(hi)))
-    found = pixels.groupBy(*keys, "band").agg(q.alias("_q"))
-    return found.select(*keys, "band", F.get("_q", F.lit(0)).alias("lo"), F.get("_q", F.lit(1)).alias("hi"))
+    found = exact_quantiles(pixels, [*keys, "band"], "v", (lo, hi))
+    return found.select(*keys, "band", F.col("q0").alias("lo"), F.col("q1").alias("hi"))
 
 
 def _stretched(v: Column, lo: Column, hi: Column) -> Column:

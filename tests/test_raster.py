@@ -126,13 +126,34 @@ def test_ceiling_recall_is_one(spark):
     assert conf.agg(F.sum("fn")).first()[0] == 0
 
 
-def test_quantiles_of_one_hot_group(spark):
+@pytest.mark.parametrize("span_rows", [20, 100_000])
+def test_quantiles_of_one_hot_group(spark, span_rows):
+    """By rounds and sorted as it is: outliers, ties at and beside the ranks, one value alone, nulls, an empty group."""
     r = random.Random(5)
-    values = [r.lognormvariate(0, 3) for _ in range(3001)] + [1e9, 5.0, 5.0, 5.0]
-    df = spark.createDataFrame([("hot", v) for v in values] + [("one", 4.0)], "k string, v double")
-    got = {row.k: (row.q0, row.q1) for row in exact_quantiles(df, ["k"], "v", (0.02, 0.98)).collect()}
-    want = df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.02), F.lit(0.98))).alias("q")).collect()
-    assert all(abs(got[w.k][i] - w.q[i]) <= 1e-9 * max(1.0, abs(w.q[i])) for w in want for i in (0, 1))
+    values = [r.lognormvariate(0, 3) for _ in range(3001)] + [1e300, -1e300, 5.0, 5.0, 5.0, None]
+    rows = [("hot", v) for v in values] + [("one", 4.0), ("none", None)] + [("flat", 7.0)] * 90
+    rows += [("ties", float(v)) for v in [1] * 500 + [2] * 3 + list(range(3, 300)) + [400] * 500] + [("steps", float(r.choice([1, 2, 3]))) for _ in range(800)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = (0.02, 0.5, 0.98, 0.0, 1.0)
+    got = {row.k: tuple(row)[1:] for row in exact_quantiles(df, ["k"], "v", probs, span_rows).collect()}
+    want = df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).collect()
+    assert got == {w.k: tuple(w.q) if w.q else (None,) * 5 for w in want}
+
+
+def test_quantiles_of_a_scene_of_millions_of_values(spark):
+    """Ten million distinct values and outliers under one key, beside a small patch."""
+    n = 10_000_000
+    scene = spark.range(0, n, 1, 16).select(F.lit(1).alias("k"), F.when(F.col("id") % 3_000_000 == 7, 1e200).otherwise(F.pmod(F.col("id") * 7_654_321, F.lit(n)).cast("double")).alias("v"))
+    df = scene.unionByName(spark.range(101).select(F.lit(2).alias("k"), F.col("id").cast("double").alias("v")))
+    got = {r.k: (r.q0, r.q1) for r in exact_quantiles(df, ["k"], "v", (0.02, 0.98)).collect()}
+    values = sorted([float(i * 7_654_321 % n) for i in range(n) if i % 3_000_000 != 7] + [1e200] * 4)
+
+    def at(p):
+        r = (n - 1) * p
+        f, c = values[int(r)], values[int(r) + 1]
+        return (int(r) + 1 - r) * f + (r - int(r)) * c
+
+    assert got == {1: (at(0.02), at(0.98)), 2: (2.0, 98.0)}
 
 
 def test_stretch_truncates_and_flat_bands_are_black(spark):
