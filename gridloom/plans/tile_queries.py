@@ -68,7 +68,7 @@ def nms_boxes(fx):
 
 @query("nms_boxes_crowded", "SELECT tile_id, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM fx_kept", "fx_kept")
 def nms_boxes_crowded(fx):
-    """The join rounds that crowded tiles take, forced for all tiles of more than five boxes."""
+    """The sweep that crowded tiles take, forced for all tiles of more than five boxes."""
     return M.nms_table(valid(fx), "ord", max_array=5).select("tile_id", *[F.round(c, 6).alias(c) for c in B.CORNERS])
 
 
@@ -415,7 +415,7 @@ def match_change(fx):
 SELECT n.tile_id, round(n.x1, 6) AS x1, round(n.y1, 6) AS y1, round(n.x2, 6) AS x2, round(n.y2, 6) AS y2, w.status
 FROM walk w JOIN now n ON n.tile_id = w.tile_id AND n.no = w.no""", "fx_valid")
 def match_change_crowded(fx):
-    """The join rounds that crowded tiles take, forced for tiles of more than four boxes."""
+    """The sweep that crowded tiles take, forced for tiles of more than four boxes."""
     past, present = _years(fx)
     return M.match_change_table(past, present, "ord", max_array=4).select("tile_id", *[F.round(c, 6).alias(c) for c in B.CORNERS], "status")
 

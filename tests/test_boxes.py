@@ -1,5 +1,7 @@
 import random
+from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import boxes as B
@@ -116,3 +118,66 @@ def test_least_iou_counts_on_both_paths(spark):
         for least, status in ((0.3, "persistent"), (0.6, "new")):
             out = M.match_change_table(table(spark, past), table(spark, now), "no", min_iou=least, max_array=limit)
             assert [r.status for r in out.collect()] == [status]
+
+
+def jobs(spark):
+    return spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+
+
+@pytest.mark.parametrize("most", [(1_000_000, 5_000_000), (0, 5_000_000), (0, 0)])
+def test_tiles_components_and_rounds_agree(spark, monkeypatch, most):
+    """Whole tiles in a sweep, components in a sweep, and rounds for components beyond a task."""
+    monkeypatch.setattr(M, "TILE_EDGES", most[0])
+    monkeypatch.setattr(M, "BLOCK_EDGES", most[1])
+    tiles = {1: crowd(1, 40), 2: crowd(2, 7), 4: crowd(4, 20, 6)}
+    got = {(r.tile_id, r.x1, r.y1, r.x2, r.y2) for r in M.nms_table(table(spark, tiles), "no", max_array=0).collect()}
+    assert got == {(t, *k) for t, bs in tiles.items() for k in brute_nms(bs)}
+    past, now = {t: crowd(10 + t, 18, 30) for t in range(2)}, {t: crowd(20 + t, 22, 30) for t in range(2)}
+    out = M.match_change_table(table(spark, past), table(spark, now), "no", max_array=0)
+    assert {(r.tile_id, r.no): r.status for r in out.collect()} == {(t, i): s for t, bs in now.items() for i, s in enumerate(brute_match(past[t], bs))}
+
+
+def test_a_long_chain_of_overlaps_takes_few_jobs(spark):
+    """5,000 boxes, each over the next: every other one stays, and rounds don't grow with the chain."""
+    chain = {7: [(i * 1.8e-4, 0.0, i * 1.8e-4 + 6e-4, 0.5 - i * 1e-6) for i in range(5000)]}
+    before = jobs(spark)
+    kept = {r.no for r in M.nms_table(table(spark, chain), "no", max_array=0).collect()}
+    assert kept == set(range(0, 5000, 2)) and jobs(spark) - before < 60
+    # Each present box prefers the past box that the one before it takes.
+    past = {7: [(i * 1.8e-4, 0.0, i * 1.8e-4 + 6e-4, 0.5) for i in range(2000)]}
+    now = {7: [(i * 1.8e-4 + 1.0e-4, 0.0, i * 1.8e-4 + 7.0e-4, 0.5) for i in range(2000)]}
+    before = jobs(spark)
+    got = {r.no: r.status for r in M.match_change_table(table(spark, past), table(spark, now), "no", max_array=0).collect()}
+    assert got == dict(enumerate(brute_match(past[7], now[7]))) and jobs(spark) - before < 60
+
+
+def test_many_boxes_in_a_corner_of_one_tile(spark):
+    """100,000 small boxes and a few large ones within a sixteenth of a tile's sides, against a bucketed greedy pass."""
+    r = random.Random(11)
+    boxes = []
+    for k in range(100_000):
+        x, y, w, h = r.random() / 16, r.random() / 16, r.uniform(1e-4, 3e-4), r.uniform(1e-4, 3e-4)
+        if k % 10 == 9:
+            x, y, w, h = (v * r.uniform(0.98, 1.02) for v in (boxes[-1][0], boxes[-1][1], boxes[-1][2] - boxes[-1][0], boxes[-1][3] - boxes[-1][1]))
+        boxes.append((x, y, x + w, y + h))
+    boxes += [(0.0, 0.0, 0.05, 0.05), (0.001, 0.0, 0.05, 0.05), (0.2, 0.2, 0.9, 0.9)]
+    buckets = defaultdict(list)
+    kept = set()
+    for k in sorted(range(len(boxes)), key=lambda k: (-(boxes[k][2] - boxes[k][0]) * (boxes[k][3] - boxes[k][1]), k)):
+        b = boxes[k]
+        cells = [(i, j) for i in range(int(b[0] * 3000), int(b[2] * 3000) + 1) for j in range(int(b[1] * 3000), int(b[3] * 3000) + 1)] if b[2] - b[0] < 0.01 else [("large",)]
+        if not any(iou(b, boxes[o]) >= 0.5 for c in cells for o in buckets[c]):
+            kept.add(k)
+            for c in cells:
+                buckets[c].append(k)
+    df = table(spark, {3: boxes})
+    assert {row.no for row in M.nms_table(df, "no").collect()} == kept and len(kept) < len(boxes) - 1000
+    # Few candidates meet, and those are dealt over cells.
+    side = df.select("tile_id", F.struct(*B.CORNERS).alias("b"))
+    levels = side.groupBy("tile_id").agg(F.collect_set(M._level(F.col("b"))).alias("_levels"))
+    cell = ["tile_id", "_level", "_cx", "_cy", "_meets"]
+    counts = [M._in_cells(side, "b", ["tile_id"], levels, left).groupBy(*cell).agg(F.count("*").alias(f"n{left:d}")) for left in (True, False)]
+    met = counts[0].join(counts[1], cell).select((F.col("n0") * F.col("n1")).alias("met")).agg(F.max("met").alias("top"), F.sum("met").alias("all")).first()
+    assert met["all"] < 40 * len(boxes) and met.top < 3 * len(boxes)
+    best = M.best_iou(df, df.filter("no % 2 = 0"), spark.createDataFrame([(3,)], "tile_id long")).first()
+    assert abs(best.iou - 1.0) < 1e-12 and best.n_pred == len(boxes)
