@@ -235,37 +235,42 @@ def compare_policies(
 STEPS = {"north": (1, 0), "south": (-1, 0), "east": (0, 1), "west": (0, -1)}
 
 
-def neighbor_summary(tiles: DataFrame, by: Sequence[str] = ("pass_id",)) -> DataFrame:
-    """Adds ``neighbors``: direction to action, boxes and scene hint of tiles decided earlier.
+#: Sides of the blocks of the grid that are dealt to tasks.
+GRID_BLOCK = 16
 
-    ``tiles`` brings ``row, col, seq, action, boxes, scene_hint``. Every tile is offered to the four
-    cells around it and met there by an equi join on the cell.
+
+def neighbor_summary(tiles: DataFrame, by: Sequence[str] = ("pass_id",), side: int = GRID_BLOCK) -> DataFrame:
+    """Adds ``neighbors``: direction to action, boxes and scene hint of tiles decided earlier (the newest of each cell).
+
+    ``tiles`` brings ``row, col, seq, action, boxes, scene_hint``. Blocks of ``side`` by ``side`` cells get their tiles and
+    the rim around them in one exchange, so a pass of any size is dealt over tasks. Inside a block every tile is offered to
+    the four cells around it and met there in one running window; nothing is joined. A tile without a cell has no neighbors.
     """
     by = list(by)
-    seen_as = F.array(
-        *[
-            F.struct(F.lit(d).alias("direction"), (F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"))
-            for d, (dr, dc) in STEPS.items()
-        ]
+    block = lambda r, c: F.struct(F.floor(r / side).alias("br"), F.floor(c / side).alias("bc"))
+    around = [F.struct(F.lit(d).alias("direction"), (F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col")) for d, (dr, dc) in STEPS.items()]
+    row, col = F.col("row"), F.col("col")
+    blocks = F.array_distinct(F.array(block(row, col), *[block(row - dr, col - dc) for dr, dc in STEPS.values()]))
+    sent = tiles.withColumn("_at", F.explode(blocks)).select(
+        *by, F.col("_at.br").alias("_br"), F.col("_at.bc").alias("_bc"), "row", "col", "seq", F.struct("action", "boxes", "scene_hint").alias("_seen"),
+        # Only the tile's own block needs its other columns.
+        F.when(F.col("_at").eqNullSafe(block(row, col)), F.struct(*tiles.columns)).alias("_tile"),
     )
-    offers = tiles.select(
-        *by, F.col("seq").alias("_seq"), F.struct("action", "boxes", "scene_hint").alias("seen"), F.explode(seen_as).alias("o")
-    ).select(*by, "_seq", "seen", "o.direction", "o.row", "o.col")
-    cell = [*by, "row", "col"]
-    met = (
-        tiles.select(*cell, "seq").join(offers, cell).filter(F.col("_seq") < F.col("seq"))
-        .groupBy(*cell, "seq")
-        .agg(*[F.max_by(F.when(F.col("direction") == d, F.col("seen")), F.when(F.col("direction") == d, F.col("_seq"))).alias(f"_{d}") for d in STEPS])
+    dealt = sent.repartition(*by, "_br", "_bc")
+    asks = F.struct(F.lit(None).cast("string").alias("direction"), row.alias("row"), col.alias("col"))
+    here = F.filter(F.array(*around), lambda o: (F.floor(o["row"] / side) == F.col("_br")) & (F.floor(o["col"] / side) == F.col("_bc")))
+    offers = F.concat(here, F.when(F.col("_tile").isNotNull(), F.array(asks)).otherwise(F.filter(F.array(asks), lambda o: F.lit(False))))
+    met = dealt.withColumn("_o", F.explode(offers)).select(
+        *by, "_br", "_bc", F.col("_o.row").alias("_row"), F.col("_o.col").alias("_col"), "seq", F.col("_o.direction").alias("_d"),
+        F.when(F.col("_o.direction").isNotNull(), F.col("_seen")).alias("_seen"), F.when(F.col("_o.direction").isNull(), F.col("_tile")).alias("_tile"),
     )
+    before = Window.partitionBy(*by, "_br", "_bc", "_row", "_col").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    latest = [F.last(F.when(F.col("_d") == d, F.col("_seen")), ignorenulls=True).over(before).alias(f"_{d}") for d in STEPS]
     pairs = F.filter(
         F.array(*[F.struct(F.lit(d).alias("key"), F.col(f"_{d}").alias("value")) for d in STEPS]), lambda e: e["value"].isNotNull()
     )
-    empty = F.expr("map_from_entries(cast(array() as array<struct<key:string,value:struct<action:string,boxes:bigint,scene_hint:string>>>))")
-    return (
-        tiles.join(met, [*cell, "seq"], "left")
-        .withColumn("neighbors", F.coalesce(F.map_from_entries(pairs), empty))
-        .drop(*[f"_{d}" for d in STEPS])
-    )
+    seen = met.select("_tile", *latest).filter(F.col("_tile").isNotNull())
+    return seen.select("_tile.*", F.map_from_entries(pairs).alias("neighbors"))
 
 
 def number_events(events: DataFrame, order: Sequence[str] = ("ts", "event_id"), block: Column | None = None) -> DataFrame:

@@ -188,3 +188,23 @@ def test_tile_state_is_forgotten_and_copies_change_nothing(spark, tmp_path):
         (2, 1, 1): (True, 6.0, None, None, 5),
         (3, 2, 1): (False, None, 2.0, None, 1), (4, 1, 1): (False, None, None, 8.0, 9),  # the finished pass was forgotten
     }
+
+
+def test_neighbors_across_blocks_repeats_and_missing_cells(spark):
+    """Blocks of three cells a side: rims meet, the newest earlier tile of a cell counts, tiles without a cell have none."""
+    r = random.Random(8)
+    rows = [(p, i, r.randrange(-4, 8), r.randrange(0, 9), i // 2, r.choice("abc"), i, "h") for p in (1, 2) for i in range(150)]
+    rows += [(1, 900, None, 2, 5, "a", 1, "h"), (None, 901, 1, 1, 9, "a", 1, "h"), (None, 902, 1, 2, 8, "b", 2, "h")]
+    df = spark.createDataFrame(rows, "pass_id long, tile_id long, row int, col int, seq long, action string, boxes long, scene_hint string")
+    got = {x.tile_id + 1000 * (x.pass_id or 0): {d: s.boxes for d, s in x.neighbors.items()} for x in P.neighbor_summary(df, side=3).collect()}
+    assert len(got) == len(rows)
+    for p, t, row, col, seq, *_ in rows:
+        want = {}
+        for d, (dr, dc) in P.STEPS.items():
+            near = [(x[4], x[6]) for x in rows if row is not None and x[0] == p and (x[2], x[3]) == (row + dr, col + dc) and x[4] < seq]
+            if near:
+                want[d] = {b for s, b in near if s == max(near)[0]}
+        mine = got[t + 1000 * (p or 0)]
+        assert mine.keys() == want.keys() and all(mine[d] in want[d] for d in want), (t, mine, want)
+    plan = P.neighbor_summary(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition") <= 1 and "Join" not in plan
