@@ -116,9 +116,8 @@ def is_parseable_list(text: Column, n_boxes: Column) -> Column:
     return (t == "[]") | (n_boxes > 0) | t.contains("[")
 
 
-def _call_body(inner: Column) -> Column:
+def _unlisted(t: Column) -> Column:
     """A call stripped of the list brackets around it."""
-    t = strip(inner)
     return F.when(
         t.startswith("[") & t.endswith("]") & (F.length(t) >= 2), strip(F.substring(t, F.lit(2), F.length(t) - 2))
     ).otherwise(t)
@@ -129,9 +128,10 @@ def parse_tool_calls(df: DataFrame, text: str) -> DataFrame:
 
     Any expression may be an argument and any length is read; values other than literals read None."""
     raw = F.col(text)
-    marked = raw.rlike(TOOL_CALL)
     staged = (
-        df.withColumn("_body", F.when(marked, _call_body(F.regexp_extract(raw, TOOL_CALL, 1))))
+        df.withColumn("_marked", raw.rlike(TOOL_CALL))
+        .withColumn("_inner", F.when(F.col("_marked"), strip(F.regexp_extract(raw, TOOL_CALL, 1))))
+        .withColumn("_body", _unlisted(F.col("_inner")))
         .withColumn("_call", read_call(F.col("_body")))
         .withColumn("_name", F.col("_call.name"))
         .withColumn("_known", tool_to_action(F.col("_name")))
@@ -140,6 +140,7 @@ def parse_tool_calls(df: DataFrame, text: str) -> DataFrame:
     )
     after = F.substring(raw, F.instr(raw, CALL_END) + len(CALL_END), F.length(raw))
     trailing = strip(F.substring_index(after, TURN_END, 1))
+    marked = F.col("_marked")
     body, name, said, direction = (F.col(c) for c in ("_body", "_name", "_said", "direction"))
     directed = (
         F.when(direction.isNull(), said)
@@ -164,7 +165,7 @@ def parse_tool_calls(df: DataFrame, text: str) -> DataFrame:
             .when(F.col("_known").isNull(), F.concat(F.lit("agent called unknown tool '"), name, F.lit("'; default discard")))
             .otherwise(F.coalesce(F.nullif(full, F.lit("")), F.lit("(no reason given)"))),
         )
-        .drop("_body", "_call", "_name", "_known", "_said", "_after")
+        .drop("_marked", "_inner", "_body", "_call", "_name", "_known", "_said", "_after")
     )
 
 
@@ -172,7 +173,7 @@ def lenient_tool(text: Column) -> Column:
     """Tool name of a marked or bare call; ``<no_call>`` or ``<unparseable>`` otherwise."""
     marked = text.rlike(TOOL_CALL)
     bare = F.nullif(F.regexp_extract(strip(F.substring_index(text, TURN_END, 1)), BARE_CALL, 0), F.lit(""))
-    body = F.when(marked, _call_body(F.regexp_extract(text, TOOL_CALL, 1))).otherwise(bare)
+    body = F.when(marked, _unlisted(strip(F.regexp_extract(text, TOOL_CALL, 1)))).otherwise(bare)
     return F.when(body.isNull(), "<no_call>").otherwise(F.coalesce(read_call(body)["name"], F.lit("<unparseable>")))
 
 
