@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridloom import constants as K
 from gridloom.functions import boxes as B, text as X
 from gridloom.functions.numbers import clamp_cloud_cover
-from gridloom.operators import evaluate as E, matching as M, passes as P
+from gridloom.operators import budget as U, evaluate as E, matching as M, passes as P
 from gridloom.operators.ranking import seq_block
 from gridloom.plans.catalog import query
 from gridloom.plans.fixtures import Fixtures
@@ -144,6 +144,21 @@ def fit_ledger_blocks(fx):
     return P.ledger(decided(fx), F.col("action"), check_fit=True, block=4).select("pass_id", "seq", "tile_id", "action", "used_kb", "remaining_kb")
 
 
+@query("cost_ledger", """
+, tiles AS (SELECT *, CASE WHEN action = 'downlink' THEN 30 + 25 * (tile_id % 7) ELSE 0 END AS cost FROM fx_decided),
+replay AS (
+  SELECT pass_id, seq, tile_id, action, cost, 512 AS found FROM tiles WHERE seq = 1
+  UNION ALL
+  SELECT t.pass_id, t.seq, t.tile_id, t.action, t.cost, CASE WHEN r.cost <= r.found THEN r.found - r.cost ELSE r.found END
+  FROM replay r JOIN tiles t ON t.pass_id = r.pass_id AND t.seq = r.seq + 1)
+SELECT pass_id, seq, tile_id, CASE WHEN cost > found THEN 'discard' ELSE action END AS action, cost AS cost_kb,
+  found - CASE WHEN cost <= found THEN cost ELSE 0 END AS remaining_kb, 512 - found + CASE WHEN cost <= found THEN cost ELSE 0 END AS used_kb FROM replay""", "fx_decided")
+def cost_ledger(fx):
+    """Downlinks of seven sizes, with blocks of four tiles, so every pass spans several."""
+    out = U.cost_ledger(decided(fx), F.col("action"), F.lit(30) + 25 * (F.col("tile_id") % 7), block=4)
+    return out.select("pass_id", "seq", "tile_id", "action", "cost_kb", "remaining_kb", "used_kb")
+
+
 @query("pass_summary", """
 SELECT pass_id, count(*) AS tiles_processed, count(*) FILTER (action = 'flag') AS tiles_flagged, count(*) FILTER (action = 'downlink') AS tiles_downlinked,
   count(*) FILTER (action NOT IN ('flag', 'downlink')) AS tiles_discarded, max(used_kb) AS bandwidth_used_kb, min(remaining_kb) AS bandwidth_remaining_kb,

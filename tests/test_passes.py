@@ -1,10 +1,11 @@
 import datetime
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions.keyed import hash_block, key_hash
-from gridloom.operators import curation as C, passes as P
+from gridloom.operators import budget as U, curation as C, passes as P
 from gridloom.operators.ranking import block_rank
 from gridloom.streaming import events as S
 
@@ -208,3 +209,24 @@ def test_neighbors_across_blocks_repeats_and_missing_cells(spark):
         assert mine.keys() == want.keys() and all(mine[d] in want[d] for d in want), (t, mine, want)
     plan = P.neighbor_summary(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition") <= 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_unequal_costs_equal_a_sequential_replay(spark, block):
+    r = random.Random(5)
+    rows = [(p, i, r.choice(["downlink", "downlink", "flag"]), r.choice([0, 1, 7, 40, 300, None, -3]), 10 ** (p or 1)) for p in (1, 2, 3, None) for i in range(1, 200)]
+    rows += [(9, i, "downlink", 1, 5000) for i in range(1, 6001)] + [(8, 1, "downlink", 5, 0), (7, 4, "downlink", 5, 9), (7, 2, "downlink", 5, 9)]
+    df = spark.createDataFrame(rows, "pass_id long, seq long, want string, kb int, budget_kb int").repartition(5)
+    got = {(x.pass_id, x.seq): (x.action, x.cost_kb, x.used_kb, x.remaining_kb) for x in U.cost_ledger(df, F.col("want"), F.col("kb"), block=block).collect()}
+    want, left = {}, {}
+    for p, i, action, kb, budget in sorted(rows, key=lambda x: (x[0] or 0, x[1])):
+        now = left.get(p, budget)
+        cost = max(0, kb or 0) if action == "downlink" else 0
+        if cost > now:
+            action = "discard"
+        else:
+            now -= cost
+        left[p] = now
+        want[(p, i)] = (action, cost, budget - now, now)
+    assert got == want
+    assert U.cost_ledger(df.limit(0), F.col("want"), F.col("kb")).collect() == []
