@@ -9,7 +9,8 @@ from gridloom.functions.text import plain_description, presence_description
 from gridloom.operators import curation as C, dataset as D, evaluate as E, messages as T, raster as R
 from gridloom.plans.catalog import query
 from gridloom.plans.fixtures import Fixtures
-from gridloom.plans.tile_queries import valid
+from gridloom.plans.tile_queries import as_it_came, valid
+from gridloom.streaming import events as ST
 
 _COMPS = "SELECT patch_id, year, comp, px, x1, y1, x2, y2 FROM {}"
 
@@ -160,6 +161,22 @@ def pixel_scores(fx):
     return E.pixel_metrics(confusion(fx), ["split"])
 
 
+@query("stream_pixel_scores", _CONF + f"SELECT split, {_SCORES} FROM conf GROUP BY split", "fx_valid fx_mask fx_patches")
+def stream_pixel_scores(fx):
+    """Predictions and truth as two streams that are joined as they arrive, truth some minutes late."""
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp").cast("long") + F.pmod(F.xxhash64("patch_id", "year"), F.lit(36_000))
+
+    def side(bits: DataFrame, name: str) -> DataFrame:
+        rows = bits.groupBy(*R.YEARLY, "y", "word").agg(F.bit_or("bits").alias("bits")).groupBy(*R.YEARLY).agg(F.collect_list(F.struct("y", "word", "bits")).alias(name))
+        none = F.expr("cast(array() as array<struct<y:bigint,word:bigint,bits:bigint>>)")
+        return fx.patches().join(rows, list(R.YEARLY), "left").withColumn(name, F.coalesce(F.col(name).cast("array<struct<y:bigint,word:bigint,bits:bigint>>"), none))
+
+    pred = side(_pred_bits(fx), "pred").withColumn("ts", at.cast("timestamp"))
+    truth = side(R.mask_bits(fx.mask(), R.YEARLY), "truth").select(*R.YEARLY, "truth", (at + F.pmod(F.xxhash64("year", "patch_id"), F.lit(1500))).cast("timestamp").alias("ts"))
+    joined = ST.stream_confusion(as_it_came(fx, pred, F.unix_timestamp("ts")), as_it_came(fx, truth, F.unix_timestamp("ts")), R.YEARLY)
+    return E.pixel_metrics(ST.run_available(joined, "append", "confusion"), ["split"])
+
+
 @query("presence_scores", _CONF + """,
 b AS (SELECT DISTINCT patch_id, year, true AS has FROM span),
 j AS (SELECT tp + fn > 0 AS truth, coalesce(has, false) AS pred FROM conf LEFT JOIN b USING (patch_id, year))

@@ -8,11 +8,12 @@ from gridloom import constants as K
 from gridloom.functions import boxes as B, text as X
 from gridloom.functions.numbers import clamp_cloud_cover
 from gridloom.operators import budget as U, evaluate as E, matching as M, passes as P
+from gridloom.operators.detect import detect
 from gridloom.operators.ranking import seq_block
 from gridloom.plans.catalog import query
 from gridloom.plans.fixtures import Fixtures
 from gridloom.plans.oracle_views import iou
-from gridloom.sources.files import policy_markdown, policy_rows, write_policy_csv
+from gridloom.sources.files import policy_markdown, policy_rows, write_json, write_policy_csv
 from gridloom.session import cut_lineage, scratch_path, settle
 from gridloom.streaming import events as S
 
@@ -483,6 +484,40 @@ def explode_detections(fx):
     )
 
 
+def _load_detector():
+    """Stands in for a model: boxes from a tile's two numbers, six to a tile."""
+    import numpy as np
+
+    def boxes_of(batch):
+        k, cust = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[:, None] for c in ("o_orderkey", "o_custkey"))
+        i = np.arange(6)
+        x, y = (cust + i * 5 + (k % 3) * i) % 96, (k + i * 7) % 96
+        return np.stack([x / 128, y / 128, (x + (k + i * i) % 40) / 128, (y + 1 + (k + i) % 30) / 128], axis=2).tolist()
+
+    return boxes_of
+
+
+@query("detected_by_function", """
+SELECT tile_id, row_number() OVER (PARTITION BY tile_id ORDER BY (x2 - x1) * (y2 - y1) DESC, box_no) - 1 AS pos, round(x1, 6) AS x1, round(y2, 6) AS y2 FROM fx_nkept""", "fx_nkept")
+def detected_by_function(fx):
+    """Boxes of a detector function, which enter as a table's do."""
+    tiles = fx.table("orders").select(F.col("o_orderkey").alias("tile_id"), "o_orderkey", "o_custkey")
+    found = detect(tiles, _load_detector, "six-boxes", keep=["tile_id"])
+    kept = found.select("tile_id", B.nms(B.valid_boxes(F.col("raw"), True, K.MIN_BOX_AREA)).alias("boxes"))
+    return kept.select("tile_id", F.posexplode("boxes").alias("pos", "b")).select("tile_id", "pos", F.round("b.x1", 6).alias("x1"), F.round("b.y2", 6).alias("y2"))
+
+
+@query("predictions_written", """
+SELECT action, count(*) AS n, round(avg(confidence), 6) AS confidence FROM fx_decided GROUP BY 1""", "fx_decided")
+def predictions_written(fx):
+    """Predictions of every tile written as JSON lines, read back and summed up; the summary is written and read as well."""
+    rows, sums = scratch_path(fx.spark, "predictions"), scratch_path(fx.spark, "metrics")
+    write_json(decided(fx).select("tile_id", "pass_id", "action", "confidence", "n_boxes"), rows)
+    back = fx.spark.read.schema("tile_id long, pass_id long, action string, confidence double, n_boxes long").json(rows)
+    write_json(back.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence")), sums)
+    return fx.spark.read.schema("action string, n long, confidence double").json(sums)
+
+
 # --------------------------------------------------------------------------- events
 
 @query("number_events", "SELECT event_id, pass_id, seq FROM fx_events", "fx_events")
@@ -535,7 +570,7 @@ def _replayed(fx: Fixtures, df: DataFrame, files: int = 4) -> DataFrame:
     return fx.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-def _as_it_came(fx: Fixtures, df: DataFrame, arrival: Column, files: int = 3) -> DataFrame:
+def as_it_came(fx: Fixtures, df: DataFrame, arrival: Column, files: int = 3) -> DataFrame:
     """A derived table as a stream in the order of ``arrival``: each file, one micro-batch, holds a span of it."""
     path, staged = scratch_path(fx.spark, "arrivals"), settle(df.withColumn("_at", arrival.cast("double")), "arrivals-all")
     ends = staged.agg(F.min("_at").alias("low"), F.max("_at").alias("high")).first()
@@ -559,14 +594,14 @@ def _late(minutes: int = 50) -> Column:
 
 @query("stream_tile_state", _STATE + "SELECT * FROM state", "fx_events")
 def stream_tile_state(fx):
-    events = _as_it_came(fx, fx.numbered_events(), F.col("ts").cast("timestamp").cast("long") + F.pmod(F.xxhash64("event_id"), F.lit(3000)))
+    events = as_it_came(fx, fx.numbered_events(), F.col("ts").cast("timestamp").cast("long") + F.pmod(F.xxhash64("event_id"), F.lit(3000)))
     emitted = S.run_available(S.stream_tile_state(events, patience_ms=3650 * 86_400_000), "update", "tile-state")
     return S.latest(emitted, ["pass_id", "tile_no"])
 
 
 @query("stream_ledger", "SELECT pass_id, seq, tile_id, action, used_kb, remaining_kb FROM fx_ledger", "fx_ledger")
 def stream_ledger(fx):
-    return S.run_available(S.stream_ledger(_as_it_came(fx, _decisions(fx), _late())), "append", "ledger").drop("batch")
+    return S.run_available(S.stream_ledger(as_it_came(fx, _decisions(fx), _late())), "append", "ledger").drop("batch")
 
 
 @query("stream_summary", """
@@ -583,10 +618,24 @@ def stream_summary(fx):
     beat = ended.agg((F.max("ts").cast("long") + 86_400).cast("timestamp").alias("ts")).select(F.lit(-1).cast("long").alias("pass_id"), F.lit(2).cast("long").alias("seq"), "ts", F.lit(S.PASS_END).alias("event"))
     rows = tiles.unionByName(ends, True).unionByName(beat.filter("ts IS NOT NULL"), True)
     late = F.when(F.col("pass_id") < 0, F.col("ts").cast("long")).otherwise(_late())
-    out = S.run_available(S.stream_summary(_as_it_came(fx, rows, late, 4)), "append", "summary")
+    out = S.run_available(S.stream_summary(as_it_came(fx, rows, late, 4)), "append", "summary")
     return out.withColumn("flagged", F.array_join("flagged_summary", "; ")).drop("batch", "flagged_summary")
 
 
+@query("typed_event_stream", """
+SELECT pass_id::varchar AS pass_id, count(*) AS n, count(*) FILTER (event = 'vlm_done') AS n_detections, max(seq) AS last_seq FROM fx_events GROUP BY 1""", "fx_events")
+def typed_event_stream(fx):
+    """Events as JSON lines, some files twice, through the typed source."""
+    path = scratch_path(fx.spark, "json-events")
+    events = fx.numbered_events().select(
+        F.col("pass_id").cast("string").alias("pass_id"), "seq", "event", F.col("ts").cast("timestamp").alias("ts"), F.col("tile_no").cast("string").alias("tile_id"))
+    for _ in range(2):
+        write_json(events, path, "append")
+    out = S.run_available(S.event_stream(fx.spark, path, "3650 days"), "append", "typed")
+    seen = F.sum(F.when(F.col("event") == "vlm_done", 1).otherwise(0)).alias("n_detections")
+    return out.groupBy("pass_id").agg(F.count(F.lit(1)).alias("n"), seen, F.max("seq").alias("last_seq"))
+
+
 @query("stream_accuracy", """
 SELECT gold_action, count(*) AS n, count(*) FILTER (pred_action = gold_action) AS n_correct, round(avg((pred_action = gold_action)::int), 6) AS accuracy
 FROM fx_actions GROUP BY 1""", "fx_actions")

@@ -54,6 +54,29 @@ def stream_counts(events: DataFrame, num: Column, by: Sequence[str] = ()) -> Dat
     )
 
 
+def stream_confusion(pred: DataFrame, truth: DataFrame, keys: Sequence[str], watermark: str = "1 hour", apart: str = "1 hour") -> DataFrame:
+    """Pixel confusion of each patch as its two sides arrive, ``apart`` at most: the columns of ``pred`` but for its rows, and
+    ``tp, fp, fn, tn``. Feed it to ``evaluate.pixel_metrics`` for running scores.
+
+    ``pred`` brings ``ts, w, h`` and ``pred``, ``truth`` brings ``ts`` and ``truth``: lists of ``y, word, bits``, each ``(y, word)``
+    once. A side whose other one does not come in time leaves the state unmatched.
+    """
+    right = _timed(truth, watermark).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("ts").alias("_ts"), "truth")
+    near = F.expr(f"_ts BETWEEN ts - INTERVAL {apart} AND ts + INTERVAL {apart}")
+    for k in keys:
+        near = near & (F.col(k) == F.col(f"_{k}"))
+    joined = _timed(pred, watermark).join(right, near)
+    place = lambda r: F.struct(r["y"].alias("y"), r["word"].alias("word"))
+    other = F.map_from_entries(F.transform("truth", lambda r: F.struct(place(r), r["bits"])))
+    count = lambda rows, bits: F.aggregate(F.transform(rows, lambda r: F.bit_count(bits(r)).cast("long")), F.lit(0).cast("long"), lambda a, n: a + n)
+    both = lambda r: r["bits"].bitwiseAND(F.coalesce(F.try_element_at(F.col("_other"), place(r)), F.lit(0).cast("long")))
+    counted = joined.withColumn("_other", other).withColumns(
+        {"tp": count("pred", both), "_p": count("pred", lambda r: r["bits"]), "_t": count("truth", lambda r: r["bits"])})
+    fp, fn = F.col("_p") - F.col("tp"), F.col("_t") - F.col("tp")
+    rest = [c for c in pred.columns if c not in ("ts", "pred")]
+    return counted.select(*rest, "tp", fp.alias("fp"), fn.alias("fn"), (F.col("w").cast("long") * F.col("h") - F.col("tp") - fp - fn).alias("tn"))
+
+
 def _accounted(decided: DataFrame, cost_kb: int, summarize: bool, watermark: str, patience_ms: int) -> DataFrame:
     by_event = "event" in decided.columns
     rows = _timed(decided, watermark).select(
