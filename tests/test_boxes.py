@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import boxes as B
 from gridloom.operators import evaluate as E, matching as M
+from gridloom.operators.detect import detect
 
 
 def iou(a, b):
@@ -181,3 +182,20 @@ def test_many_boxes_in_a_corner_of_one_tile(spark):
     assert met["all"] < 40 * len(boxes) and met.top < 3 * len(boxes)
     best = M.best_iou(df, df.filter("no % 2 = 0"), spark.createDataFrame([(3,)], "tile_id long")).first()
     assert abs(best.iou - 1.0) < 1e-12 and best.n_pred == len(boxes)
+
+
+def test_detector_function(spark):
+    """Loaded by name, shown few tiles at once, held to one answer a tile; columns kept, nulls passed on."""
+    def load():
+        def boxes_of(batch):
+            assert batch.num_rows <= 3
+            return [[(0, 0, v, 1.0)] * (v % 3) if v is not None else [] for v in batch.column(batch.schema.get_field_index("v")).to_pylist()]
+        return boxes_of
+
+    df = spark.createDataFrame([(i, i if i % 4 else None, "clash") for i in range(20)], "tile_id long, v long, raw string")
+    rows = detect(df, load, "by-number", keep=["tile_id", "raw"], rows=3).collect()
+    assert {r.tile_id: len(r.raw) for r in rows} == {i: i % 3 if i % 4 else 0 for i in range(20)}
+    assert {(b.label, b.x1, b.y2) for r in rows for b in r.raw if r.tile_id == 5} == {("mining_pit", 0.0, 1.0)}
+    assert detect(df.limit(0), load, "by-number").collect() == []
+    with pytest.raises(Exception, match="answered for 0"):
+        detect(df, lambda: lambda batch: [], "silent").collect()

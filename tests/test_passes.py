@@ -230,3 +230,15 @@ def test_unequal_costs_equal_a_sequential_replay(spark, block):
         want[(p, i)] = (action, cost, budget - now, now)
     assert got == want
     assert U.cost_ledger(df.limit(0), F.col("want"), F.col("kb")).collect() == []
+
+
+def test_streamed_confusion_joins_both_sides_once(spark, tmp_path):
+    """Sides in either order, a late one that stays unmatched, empty sides; scores as the batch's."""
+    rows = "array<struct<y:bigint,word:bigint,bits:bigint>>"
+    t0, minute = datetime.datetime(2024, 1, 1), datetime.timedelta(minutes=1)
+    pred = [(1, t0, 8, 8, [(0, 0, 0b1110), (1, 0, 0b1)]), (2, t0 + minute, 8, 8, []), (3, t0, 8, 8, [(0, 0, 1)])]
+    truth = [(1, t0 + 30 * minute, [(0, 0, 0b0111), (5, 0, 0b1)]), (2, t0, [(2, 0, 0b11)]), (3, t0 + 90 * minute, [(0, 0, 1)]), (4, t0, [])]
+    p = _stream(spark, tmp_path / "p", f"k long, ts timestamp, w int, h int, pred {rows}", [pred[:1], pred[1:]])
+    t = _stream(spark, tmp_path / "t", f"k long, ts timestamp, truth {rows}", [truth[2:], truth[:2]])
+    got = {r.k: (r.tp, r.fp, r.fn, r.tn) for r in S.run_available(S.stream_confusion(p, t, ["k"], watermark="2 hours"), "append").collect()}
+    assert got == {1: (2, 2, 2, 58), 2: (0, 0, 2, 62)}
