@@ -62,7 +62,8 @@ def plan_grid(passes: DataFrame) -> DataFrame:
 def sample_coordinates(ids: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """A stratified coordinate per id: stratum by weight, area within it evenly, Gaussian scatter.
 
-    The standard deviation is half the area's radius. Draws are keyed by id, so any partitioning and
+    Adds ``stratum, area, lon, lat``, the area's ``mission_priors`` and ``coord_id``, ``u`` and the number in four digits or
+    more. The standard deviation is half the area's radius. Draws are keyed by id, so any partitioning and
     any subset of ids gives the same coordinates.
     """
     h, h2 = key_hash(seed, key), key_hash(seed + 1, key)
@@ -74,13 +75,12 @@ def sample_coordinates(ids: DataFrame, key: str, seed: int = 42) -> DataFrame:
         upto -= weight
     by_stratum: dict[str, list[tuple]] = {}
     for area in K.SAMPLING_AREAS:
-        by_stratum.setdefault(area[1], []).append(area)
+        by_stratum.setdefault(area[4], []).append(area)
 
     def choices(areas: Sequence[tuple]) -> Column:
         return F.array(
             *[
-                F.struct(F.lit(a[0]).alias("area"), F.lit(a[2]).alias("lon"), F.lit(a[3]).alias("lat"), F.lit(a[4]).alias("radius"))
-                for a in areas
+                F.struct(*[F.lit(v).alias(n) for n, v in zip(("area", "lon", "lat", "radius", "stratum", "prior"), a)]) for a in areas
             ]
         )
 
@@ -94,6 +94,8 @@ def sample_coordinates(ids: DataFrame, key: str, seed: int = 42) -> DataFrame:
         .withColumn("area", F.col("_a.area"))
         .withColumn("lon", F.col("_a.lon") + sigma * gauss(h2, 1, 9))
         .withColumn("lat", F.col("_a.lat") + sigma * gauss(h2, 17, 25))
+        .withColumn("mission_priors", F.col("_a.prior"))
+        .withColumn("coord_id", F.when(F.col(key).isNotNull(), F.format_string("u%04d", F.col(key).cast("long"))))
         .drop("_a")
     )
 

@@ -265,16 +265,16 @@ u AS (SELECT *, cast('0x' || substr(a, 1, 8) AS bigint) / 4294967296e0 AS u0, ca
   (cast('0x' || substr(b, 17, 8) AS bigint) + 0.5e0) / 4294967296e0 AS u3, cast('0x' || substr(b, 25, 8) AS bigint) / 4294967296e0 AS u4 FROM h),
 s AS (SELECT *, CASE WHEN u0 < 0.3e0 THEN 'mining' WHEN u0 < 0.55e0 THEN 'forest' WHEN u0 < 0.65e0 THEN 'water' WHEN u0 < 0.75e0 THEN 'urban'
   WHEN u0 < 0.9e0 THEN 'mixed' ELSE 'edge' END AS stratum FROM u),
-areas(area, stratum, clon, clat, radius, no) AS (VALUES
+areas(area, clon, clat, radius, stratum, prior, no) AS (VALUES
 """ + ",\n".join(
-    f"('{a}', '{s}', {lon}e0, {lat}e0, {r}e0, {[x[0] for x in K.SAMPLING_AREAS if x[1] == s].index(a)})" for a, s, lon, lat, r in K.SAMPLING_AREAS
+    f"('{a}', {lon}e0, {lat}e0, {r}e0, '{s}', '{prior}', {[x[0] for x in K.SAMPLING_AREAS if x[4] == s].index(a)})" for a, lon, lat, r, s, prior in K.SAMPLING_AREAS
 ) + """)
 SELECT id, s.stratum AS stratum, area, round(clon + radius / 2 * (sqrt(-2e0 * ln(u1)) * cos(2e0 * pi() * u2)), 6) AS lon,
-  round(clat + radius / 2 * (sqrt(-2e0 * ln(u3)) * cos(2e0 * pi() * u4)), 6) AS lat
+  round(clat + radius / 2 * (sqrt(-2e0 * ln(u3)) * cos(2e0 * pi() * u4)), 6) AS lat, printf('u%04d', id) AS coord_id, prior AS mission_priors
 FROM s JOIN areas ON areas.stratum = s.stratum AND areas.no = p % (SELECT count(*) FROM areas a2 WHERE a2.stratum = s.stratum)""")
 def sample_coordinates(fx):
     out = P.sample_coordinates(fx.table("orders").select(F.col("o_orderkey").alias("id")), "id")
-    return out.select("id", "stratum", "area", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    return out.select("id", "stratum", "area", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "coord_id", "mission_priors")
 
 
 def gridded(fx: Fixtures) -> DataFrame:
