@@ -118,6 +118,22 @@ def _narrowed(df: DataFrame, spans: DataFrame, by: Sequence[str], value: str) ->
     return met.select(*spans.columns)
 
 
+def _between(low: Column, high: Column, rank: Column) -> Column:
+    """``low * (1 - w) + high * w`` with the last product and sum rounded once, as DuckDB's ``quantile_cont``: levels on the
+    edge of two steps depend on the last bit. ``rank`` on a row gives that row's value."""
+    w = rank - F.floor(rank)
+    fused = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), low, F.lit(1.0) - w, high * w).cast("double")
+    return F.when(w == 0, low).when(low.isNotNull() & high.isNotNull(), fused)
+
+
+def _sorted_quantiles(df: DataFrame, by: Sequence[str], v: Column, probs: Sequence[float]) -> DataFrame:
+    """Quantiles of groups whose values one task may sort."""
+    listed = df.groupBy(*by).agg(F.sort_array(F.collect_list(v.cast("double"))).alias("_s"))
+    at = lambda r: F.get("_s", r.cast("int"))
+    ranks = [(F.size("_s") - 1) * F.lit(p) for p in probs]
+    return listed.select(*by, *[_between(at(F.floor(r)), at(F.ceil(r)), r).alias(f"q{i}") for i, r in enumerate(ranks)])
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], span_rows: int = SPAN_ROWS) -> DataFrame:
     """Linearly interpolated quantiles of groups of any size: ``by…, q0, q1, …``; null for groups without values.
 
@@ -129,13 +145,13 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     by, probs = list(by), [float(p) for p in probs]
     v = F.col(value)
     sizes = df.groupBy(*by).agg(F.count(v).alias("_in"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    large = cut_lineage(sizes.filter((F.col("_in") > span_rows) & (F.col("_lo") < F.col("_hi"))))
-    names = [F.get("_q", F.lit(i)).alias(f"q{i}") for i in range(len(probs))]
+    large = cut_lineage(sizes.filter(F.col("_in") > span_rows))
     if not large.limit(1).count():
-        return df.groupBy(*by).agg(F.percentile(v, F.array(*map(F.lit, probs))).alias("_q")).select(*by, *names)
-    small = df.join(large.select(*by), by, "left_anti").groupBy(*by).agg(F.percentile(v, F.array(*map(F.lit, probs))).alias("_q")).select(*by, *names)
+        return _sorted_quantiles(df, by, v, probs)
+    small = _sorted_quantiles(df.join(large.select(*by), by, "left_anti"), by, v, probs)
     wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), ((F.col("_in") - 1) * p).alias("_rank")) for i, p in enumerate(probs)])).alias("_w")
-    spans = large.select(*by, wanted, "_lo", "_hi", F.lit(0).cast("long").alias("_off"), "_in", F.col("_in").alias("_inner"))
+    inner = F.when(F.col("_lo") < F.col("_hi"), F.col("_in")).otherwise(0).alias("_inner")
+    spans = large.select(*by, wanted, "_lo", "_hi", F.lit(0).cast("long").alias("_off"), "_in", inner)
     spans = spans.select(*by, "_w.*", "_lo", "_hi", "_off", "_in", "_inner")
     done = None
     while True:
@@ -156,6 +172,5 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     rank = F.col("_rank")
     at = lambda r: F.max(F.when((r >= F.col("_start")) & (r < F.col("_end")), F.col(value)))
     found = placed.groupBy(*keys, "_rank").agg(at(F.floor(rank)).alias("_f"), at(F.ceil(rank)).alias("_c"))
-    between = F.when(F.col("_f") == F.col("_c"), F.col("_f")).otherwise((F.ceil(rank) - rank) * F.col("_f") + (rank - F.floor(rank)) * F.col("_c"))
-    wide = found.withColumn("_v", between.cast("double")).groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(f"q{i}") for i in range(len(probs))])
+    wide = found.withColumn("_v", _between(F.col("_f").cast("double"), F.col("_c").cast("double"), rank)).groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(f"q{i}") for i in range(len(probs))])
     return small.unionByName(wide)

@@ -2,6 +2,7 @@ import itertools
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,16 @@ def test_declared_extent_is_checked(spark):
     assert [r.px for r in R.components(df, ["patch_id"], within_block=True).collect()] == [2]
     with pytest.raises(Exception, match="within_block"):
         R.components(spark.createDataFrame([(1, 500, 3)], "patch_id long, x int, y int"), ["patch_id"], within_block=True).collect()
+
+
+@pytest.mark.parametrize("span_rows", [100_000, 3])
+def test_quantiles_equal_duckdb_to_the_last_bit(spark, span_rows):
+    r = random.Random(5)
+    price = lambda: round(r.uniform(900, 100_000), 2)
+    rows = [(k, v) for k in range(300) for n in [r.randrange(2, 60)] for v in ([price()] * n if k % 3 == 0 else [price() for _ in range(n)])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (k BIGINT, v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    want = {k: (a, b) for k, a, b in con.execute("SELECT k, quantile_cont(v, 0.02e0), quantile_cont(v, 0.98e0) FROM t GROUP BY k").fetchall()}
+    df = spark.createDataFrame(rows, "k long, v double")
+    assert {q.k: (q.q0, q.q1) for q in exact_quantiles(df, ["k"], "v", (0.02, 0.98), span_rows).collect()} == want
