@@ -60,15 +60,29 @@ def _list_of(values: list[np.ndarray], kind: pa.StructType, group: np.ndarray, n
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, fields=list(kind)))
 
 
+#: Pixels labelled at once: a batch of many blocks is worked off in runs of so many, one block at least.
+LABELLED_PIXELS = 1 << 18
+
+
+def _runs(lists: pa.ListArray, most: int) -> list[tuple[int, int]]:
+    """Spans of consecutive lists with ``most`` items or fewer in all, or a single list; one empty span where there is none."""
+    ends = lists.offsets.to_numpy()
+    spans, a = [], 0
+    while a < len(lists):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, side="right")) - 1)
+        spans.append((a, b))
+        a = b
+    return spans or [(0, 0)]
+
+
 def _label_blocks(size: int):
     """Arrow function: pixel codes of many blocks at once to their components and border labels.
 
-    A block holds at most ``size * size`` pixels, whatever the patch's extent.
+    A block holds at most ``size * size`` pixels, whatever the patch's extent. A worker's memory follows
+    ``LABELLED_PIXELS``, not the number of blocks in a batch.
     """
 
-    @F.arrow_udf(_LABELLED)
-    def label(cells: pa.Array) -> pa.Array:
-        cells = cells.combine_chunks() if isinstance(cells, pa.ChunkedArray) else cells
+    def label_some(cells: pa.Array) -> pa.Array:
         n_groups = len(cells)
         lengths = np.diff(cells.offsets.to_numpy())
         local = cells.flatten().to_numpy().astype(np.int64)
@@ -100,6 +114,11 @@ def _label_blocks(size: int):
             names=["parts", "seam"],
         )
 
+    @F.arrow_udf(_LABELLED)
+    def label(cells: pa.Array) -> pa.Array:
+        cells = cells.combine_chunks() if isinstance(cells, pa.ChunkedArray) else cells
+        return pa.concat_arrays([label_some(cells.slice(a, b - a)) for a, b in _runs(cells, LABELLED_PIXELS)])
+
     return label
 
 

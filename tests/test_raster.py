@@ -1,8 +1,10 @@
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +200,17 @@ def test_quantiles_equal_duckdb_to_the_last_bit(spark, span_rows):
     want = {k: (a, b) for k, a, b in con.execute("SELECT k, quantile_cont(v, 0.02e0), quantile_cont(v, 0.98e0) FROM t GROUP BY k").fetchall()}
     df = spark.createDataFrame(rows, "k long, v double")
     assert {q.k: (q.q0, q.q1) for q in exact_quantiles(df, ["k"], "v", (0.02, 0.98), span_rows).collect()} == want
+
+
+def test_labelling_a_large_batch_takes_bounded_memory(spark):
+    """4,000 full blocks in one batch: a worker's arrays follow the runs, and every block is labelled as if alone."""
+    label, full = R._label_blocks(32).func, list(range(1024))
+    cells = pa.array([full, [0, 2, 34], []] * 4_000, pa.list_(pa.int32()))
+    tracemalloc.start()
+    got = label(cells.slice(1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    assert len(got) == 11_999 and got[0].as_py()["parts"] == [dict(zip(("root", "px", "x1", "y1", "x2", "y2"), v)) for v in ((0, 1, 0, 0, 1, 1), (2, 2, 2, 0, 3, 2))]
+    assert got.slice(3, 9).equals(got.slice(0, 9)) and got[11_997] == got[0]
+    assert len(label(cells.slice(0, 0))) == 0
