@@ -10,7 +10,7 @@ from gridloom import constants as K
 from gridloom.operators import passes
 from gridloom.session import scratch_path
 from gridloom.sources.files import read_events
-from gridloom.streaming.processors import LEDGER_ROWS, ROCKS, STORE, SUMMARY_ROWS, PassAccount, TileFold
+from gridloom.streaming.processors import BUCKETS, LEDGER_ROWS, ROCKS, STORE, SUMMARY_ROWS, PassAccount, TileFold
 
 # Fixed value: the event that ends a pass.
 PASS_END = "pass_complete"
@@ -42,9 +42,12 @@ def stream_tile_state(events: DataFrame, watermark: str = "1 hour", patience_ms:
     last event."""
     kinds = list(passes.TILE_FIELDS)
     number = F.element_at(F.create_map(*[F.lit(x) for k, name in enumerate(kinds) for x in (passes.TILE_FIELDS[name], k)]), F.col("event")).alias("kind")
-    rows = _timed(events, watermark).select(*by, "ts", _millis(), "seq", number, F.col("value").cast("double").alias("value")).filter("kind IS NOT NULL")
-    layout = [*[rows.schema[k] for k in by], T.StructField("has_arrived", T.BooleanType()), *[T.StructField(k, T.DoubleType()) for k in kinds], T.StructField("last_seq", T.LongType())]
-    return rows.groupBy(*by).transformWithStateInPandas(TileFold(kinds, list(by), patience_ms), T.StructType(layout), "Update", "eventTime")
+    names = [k.cast("string").alias(name) for k, name in zip(map(F.col, by), by)]  # lossless, and whole numbers stay whole beside nulls
+    rows = _timed(events, watermark).select(
+        F.pmod(F.xxhash64(*by), F.lit(BUCKETS)).alias("_bucket"), *names, "ts", _millis(), "seq", number, F.col("value").cast("double").alias("value")).filter("kind IS NOT NULL")
+    layout = [*[T.StructField(k, T.StringType()) for k in by], T.StructField("has_arrived", T.BooleanType()), *[T.StructField(k, T.DoubleType()) for k in kinds], T.StructField("last_seq", T.LongType())]
+    folded = rows.groupBy("_bucket").transformWithStateInPandas(TileFold(kinds, list(by), patience_ms), T.StructType(layout), "Update", "eventTime")
+    return folded.withColumns({k: F.col(k).cast(events.schema[k].dataType) for k in by})
 
 
 def stream_counts(events: DataFrame, num: Column, by: Sequence[str] = ()) -> DataFrame:

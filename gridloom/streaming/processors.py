@@ -6,6 +6,7 @@ it fires too early, because more has come since, it is set anew.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -158,11 +159,13 @@ class PassAccount(StatefulProcessor):
             state.clear()
 
 
-FOLD = "seqs array<long>, values array<double>, last_seq long, last_ms long, timer_ms long"
+#: Tiles and passes share the state row of their bucket, so what a batch costs follows its rows and not its keys. The number
+#: belongs to a stream's state: it must not change between restarts.
+BUCKETS = 4096
 
 
 class TileFold(StatefulProcessor):
-    """Newest value of each event kind of a tile; a row for every batch that changes it.
+    """Newest value of each event kind of a tile; a row for every batch that changes it. The tiles of a bucket come together.
 
     An event that comes twice, or after a newer one of its kind, changes nothing. A tile without events for
     ``patience_ms`` leaves the state; should it come back, it starts afresh.
@@ -173,39 +176,60 @@ class TileFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.fold = handle.getValueState("fold", FOLD)
+        self.fold = handle.getValueState("fold", "tiles string, timer_ms long")
 
     def close(self) -> None:
         pass
 
+    def _load(self) -> tuple[dict[tuple, list], int]:
+        """Tiles of the bucket (newest number and value of each kind, last number, last time) and its timer."""
+        if not self.fold.exists():
+            return {}, 0
+        held, timer_ms = self.fold.get()
+        return {tuple(tile): rest for tile, *rest in json.loads(held)}, timer_ms
+
+    def _store(self, tiles: dict[tuple, list], timer_ms: int, now: int) -> None:
+        """The bucket with a timer for the tile that leaves first; one timer at a time."""
+        due = max(min(last_ms for *_, last_ms in tiles.values()) + self.patience_ms, now + 1)
+        if not timer_ms or due < timer_ms:
+            if timer_ms:
+                self.handle.deleteTimer(timer_ms)
+            self.handle.registerTimer(due)
+            timer_ms = due
+        self.fold.update((json.dumps([(tile, *rest) for tile, rest in tiles.items()]), timer_ms))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.fold.get() if self.fold.exists() else None
-        timer_ms = known[4] if known else 0
-        if not known or known[3] + self.patience_ms <= timerValues.getCurrentWatermarkInMs():  # new, or its timer fires after this batch
-            known = ([0] * len(self.kinds), [None] * len(self.kinds), 0, 0)
-        seqs, values, last, last_ms = list(known[0]), list(known[1]), known[2], known[3]
-        before = (list(seqs), last)
+        now = timerValues.getCurrentWatermarkInMs()
+        tiles, timer_ms = self._load()
+        before: dict[tuple, tuple] = {}
         for pdf in rows:
-            for kind, seq, value, at in zip(*(pdf[c].tolist() for c in ("kind", "seq", "value", "at_ms"))):
-                last, last_ms = max(last, seq), max(last_ms, at)
-                if seq > seqs[kind]:
-                    seqs[kind], values[kind] = seq, None if pd.isna(value) else float(value)
-        if not timer_ms:
-            timer_ms = max(last_ms + self.patience_ms, timerValues.getCurrentWatermarkInMs() + 1)
-            self.handle.registerTimer(timer_ms)
-        self.fold.update((seqs, values, last, last_ms, timer_ms))
-        if (seqs, last) != before:
-            shown = [v if k == 0 or s > seqs[0] else None for k, (s, v) in enumerate(zip(seqs, values))]  # an arrival starts the tile afresh
-            yield pd.DataFrame([(*key, seqs[0] > 0, *shown, last)], columns=[*self.keys, "has_arrived", *self.kinds, "last_seq"]).astype(
-                {k: "float64" for k in self.kinds}
-            )
+            named = zip(*([x if isinstance(x, str) else None for x in pdf[k]] for k in self.keys))
+            for tile, kind, seq, value, at in zip(named, *(pdf[c].tolist() for c in ("kind", "seq", "value", "at_ms"))):
+                if tile not in before:
+                    known = tiles.get(tile)
+                    if known is None or known[3] + self.patience_ms <= now:  # new, or forgotten by now
+                        known = tiles[tile] = [[0] * len(self.kinds), [None] * len(self.kinds), 0, at]
+                    before[tile] = (list(known[0]), known[2])
+                known = tiles[tile]
+                known[2], known[3] = max(known[2], seq), max(known[3], at)
+                if seq > known[0][kind]:
+                    known[0][kind], known[1][kind] = seq, None if pd.isna(value) else float(value)
+        self._store(tiles, timer_ms, now)
+        changed = []
+        for tile, was in before.items():
+            seqs, values, last, _ = tiles[tile]
+            if (seqs, last) != was:
+                shown = [v if k == 0 or s > seqs[0] else None for k, (s, v) in enumerate(zip(seqs, values))]  # an arrival starts the tile afresh
+                changed.append((*tile, seqs[0] > 0, *shown, last))
+        for at in range(0, len(changed), FRAME):
+            yield pd.DataFrame(changed[at : at + FRAME], columns=[*self.keys, "has_arrived", *self.kinds, "last_seq"]).astype({k: "float64" for k in self.kinds})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seqs, values, last, last_ms, _ = self.fold.get()
-        due = last_ms + self.patience_ms
-        if due > timerValues.getCurrentWatermarkInMs():
-            self.handle.registerTimer(due)
-            self.fold.update((list(seqs), list(values), last, last_ms, due))
+        now = timerValues.getCurrentWatermarkInMs()
+        held, _ = self._load()
+        tiles = {tile: rest for tile, rest in held.items() if rest[3] + self.patience_ms > now}
+        if tiles:
+            self._store(tiles, 0, now)
         else:
             self.fold.clear()
         return iter(())

@@ -242,3 +242,22 @@ def test_streamed_confusion_joins_both_sides_once(spark, tmp_path):
     t = _stream(spark, tmp_path / "t", f"k long, ts timestamp, truth {rows}", [truth[2:], truth[:2]])
     got = {r.k: (r.tp, r.fp, r.fn, r.tn) for r in S.run_available(S.stream_confusion(p, t, ["k"], watermark="2 hours"), "append").collect()}
     assert got == {1: (2, 2, 2, 58), 2: (0, 0, 2, 62)}
+
+
+def test_tile_state_costs_a_state_row_for_each_bucket(spark, tmp_path):
+    """Keys share buckets: state rows and timers don't grow with the tiles; null and text keys stay as they are."""
+    schema = "pass_id long, tile_no string, ts timestamp, seq long, event string, value double"
+    t0, n = datetime.datetime(2024, 1, 1), 20_000
+    tile = lambda i: (None if i % 7 == 0 else 2**53 + i, None if i % 5 == 0 else f"t{i}")
+    stream = _stream(spark, tmp_path / "in", schema, [[(*tile(i), t0, 1, "vlm_done", float(i)) for i in range(1, n)]])
+    spark.conf.set(S.STORE, S.ROCKS)
+    seen = []
+    query = S.stream_tile_state(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).foreachBatch(
+        lambda rows, batch: seen.extend((r.pass_id, r.tile_no, r.detection, r.last_seq) for r in rows.collect())).start()
+    query.awaitTermination()
+    spark.conf.unset(S.STORE)
+    want = {}
+    for i in range(1, n):
+        want.setdefault(tile(i), set()).add(float(i))
+    assert len(seen) == len(want) and all(v in want[(p, t)] and s == 1 for p, t, v, s in seen)
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 3 * 4096
