@@ -82,14 +82,17 @@ def stream_confusion(pred: DataFrame, truth: DataFrame, keys: Sequence[str], wat
 
 def _accounted(decided: DataFrame, cost_kb: int, summarize: bool, watermark: str, patience_ms: int) -> DataFrame:
     by_event = "event" in decided.columns
+    ends = F.coalesce(F.col("event") == PASS_END, F.lit(False)) if by_event else F.lit(False)
+    number = lambda c: F.when(ends, F.lit(0).cast("long")).otherwise(F.col(c).cast("long")).alias(c)  # noqa: E731  # ends carry none
     rows = _timed(decided, watermark).select(
-        F.col("pass_id").cast("long").alias("pass_id"), "ts", _millis(), F.col("seq").cast("long").alias("seq"), F.col("tile_id").cast("long").alias("tile_id"), "action",
+        F.pmod(F.xxhash64(F.col("pass_id").cast("long")), F.lit(BUCKETS)).alias("_bucket"), F.col("pass_id").cast("long").cast("string").alias("pass_id"),
+        "ts", _millis(), F.col("seq").cast("long").alias("seq"), F.col("tile_id").cast("long").cast("string").alias("tile_id"), "action",
         (F.col("description") if "description" in decided.columns else F.lit(None).cast("string")).alias("description"),
-        F.col("budget_kb").cast("long").alias("budget_kb"), F.col("tile_count").cast("long").alias("tile_count"),
-        (F.coalesce(F.col("event") == PASS_END, F.lit(False)) if by_event else F.lit(False)).alias("ends"),
+        number("budget_kb"), number("tile_count"), ends.alias("ends"),
     )
     account = PassAccount(cost_kb, patience_ms, summarize, by_event)
-    return rows.groupBy("pass_id").transformWithStateInPandas(account, SUMMARY_ROWS if summarize else LEDGER_ROWS, "Append", "eventTime")
+    told = rows.groupBy("_bucket").transformWithStateInPandas(account, SUMMARY_ROWS if summarize else LEDGER_ROWS, "Append", "eventTime")
+    return told.withColumns({c: F.col(c).cast("long") for c in ("pass_id", "tile_id") if c in told.columns})
 
 
 def stream_ledger(decided: DataFrame, cost_kb: int = K.DOWNLINK_KB, watermark: str = "1 hour", patience_ms: int = 3_600_000) -> DataFrame:

@@ -1,6 +1,6 @@
 """State of passes and tiles between micro-batches: keyed rows, bounded lists and event-time timers.
 
-Both processors need a state store with column families (``ROCKS`` under ``STORE``). A key has one timer at a time: when
+Both processors need a state store with column families (``ROCKS`` under ``STORE``). A bucket has one timer at a time: when
 it fires too early, because more has come since, it is set anew.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -15,17 +16,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-ACCOUNT = (
-    "used long, next_seq long, closed boolean, told boolean, budget long, planned long, end_seq long, "
-    "last_ms long, timer_ms long, n_blocks long, n_flag long, n_down long, n_other long, n_noted long"
-)
-FRESH = dict(used=0, next_seq=1, closed=False, told=False, budget=0, planned=0, end_seq=0, last_ms=0, timer_ms=0, n_blocks=0, n_flag=0, n_down=0, n_other=0, n_noted=0)
-LEDGER_ROWS = "pass_id long, seq long, tile_id long, action string, used_kb long, remaining_kb long"
+FRESH = dict(used=0, next_seq=1, closed=False, told=False, budget=0, planned=0, end_seq=0, last_ms=0, n_blocks=0, n_flag=0, n_down=0, n_other=0, noted=[], held=[])
+#: Numbers of passes and tiles as text, which keeps them whole beside nulls.
+LEDGER_ROWS = "pass_id string, seq long, tile_id string, action string, used_kb long, remaining_kb long"
 SUMMARY_ROWS = (
-    "pass_id long, tiles_processed long, tiles_flagged long, tiles_downlinked long, tiles_discarded long, "
+    "pass_id string, tiles_processed long, tiles_flagged long, tiles_downlinked long, tiles_discarded long, "
     "bandwidth_used_kb long, bandwidth_remaining_kb long, flagged_summary array<string>"
 )
-#: Waiting tiles lie in rows of so many numbers; ledger rows leave in frames of so many.
+#: Waiting tiles of a pass lie in rows of so many numbers, or with its account if they are no more; rows leave in frames of so many.
 BLOCK, FRAME = 256, 10_000
 
 
@@ -33,8 +31,12 @@ def _names(layout: str) -> list[str]:
     return [part.split()[0] for part in layout.split(", ")]
 
 
+def _text(x) -> str | None:
+    return x if isinstance(x, str) else None
+
+
 class PassAccount(StatefulProcessor):
-    """Budget account of a pass: tiles in ``seq`` order; early ones wait in the state, ``BLOCK`` numbers to a row.
+    """Budget accounts of a bucket's passes: tiles in ``seq`` order; early ones wait in the state, ``BLOCK`` numbers to a row.
 
     A pass ends at its last planned tile or when its budget is used up. Its emptied account stays until the timer, to
     swallow stragglers. The timer runs out ``patience_ms`` after the pass's last event: what still waits is then settled
@@ -47,116 +49,154 @@ class PassAccount(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.account = handle.getValueState("account", ACCOUNT)
-        self.waiting = handle.getMapState("waiting", "block long", "seqs array<long>, tiles array<long>, actions array<string>, descriptions array<string>")
-        self.noted = handle.getListState("noted", "description string")
+        self.accounts = handle.getValueState("accounts", "passes string, timer_ms long")
+        self.waiting = handle.getMapState("waiting", "pass string, block long", "seqs array<long>, tiles array<string>, actions array<string>, descriptions array<string>")
 
     def close(self) -> None:
         pass
 
-    def _load(self) -> dict:
-        return dict(zip(FRESH, self.account.get())) if self.account.exists() else dict(FRESH)
+    def _load(self) -> tuple[dict[str | None, dict], int]:
+        """Accounts of the bucket's passes and its timer."""
+        if not self.accounts.exists():
+            return {}, 0
+        passes, timer_ms = self.accounts.get()
+        return {name: dict(zip(FRESH, values)) for name, *values in json.loads(passes)}, timer_ms
+
+    def _store(self, passes: dict[str | None, dict], timer_ms: int, now: int) -> None:
+        """The bucket with a timer for the pass that leaves first; one timer at a time."""
+        due = max(min(a["last_ms"] for a in passes.values()) + self.patience_ms, now + 1)
+        if not timer_ms or due < timer_ms:
+            if timer_ms:
+                self.handle.deleteTimer(timer_ms)
+            self.handle.registerTimer(due)
+            timer_ms = due
+        self.accounts.update((json.dumps([(name, *a.values()) for name, a in passes.items()]), timer_ms))
+
+    def _blocks(self, name: str | None) -> list[int]:
+        return sorted(block for of, block in self.waiting.keys() if of == (name or ""))
 
-    def _taken(self, block: int) -> dict[int, tuple]:
+    def _taken(self, name: str | None, block: int) -> dict[int, tuple]:
         """A row of waiting tiles, removed from the state."""
-        row = self.waiting.getValue((block,))
-        self.waiting.removeKey((block,))
+        row = self.waiting.getValue((name or "", block))
+        self.waiting.removeKey((name or "", block))
         return {s: rest for s, *rest in zip(*row)}
 
-    def _keep(self, a: dict, early: dict[int, tuple]) -> None:
+    def _keep(self, a: dict, name: str | None, early: dict[int, tuple]) -> None:
+        a["held"] = []
+        if not a["n_blocks"] and len(early) <= BLOCK:
+            a["held"] = [(seq, *tile) for seq, tile in early.items()]
+            return
         blocks: dict[int, dict[int, tuple]] = {}
         for seq, tile in early.items():
             blocks.setdefault(seq // BLOCK, {})[seq] = tile
         for block, rows in blocks.items():
-            if a["n_blocks"] and self.waiting.containsKey((block,)):
-                rows = {**self._taken(block), **rows}
+            if a["n_blocks"] and self.waiting.containsKey((name or "", block)):
+                rows = {**self._taken(name, block), **rows}
                 a["n_blocks"] -= 1
             seqs = sorted(rows)
-            self.waiting.updateValue((block,), (seqs, *map(list, zip(*(rows[s] for s in seqs)))))
+            self.waiting.updateValue((name or "", block), (seqs, *map(list, zip(*(rows[s] for s in seqs)))))
             a["n_blocks"] += 1
 
-    def _settled(self, a: dict, key: tuple, early: dict[int, tuple], gaps: bool) -> Iterator[tuple]:
+    def _drop_waiting(self, a: dict, name: str | None) -> None:
+        for block in self._blocks(name) if a["n_blocks"] else []:
+            self.waiting.removeKey((name or "", block))
+        a["n_blocks"], a["held"] = 0, []
+
+    def _settled(self, a: dict, name: str | None, early: dict[int, tuple], gaps: bool) -> Iterator[tuple]:
         """Account rows of all tiles whose turn has come; with ``gaps`` of all that wait."""
-        blocks = sorted(k[0] for k in self.waiting.keys()) if gaps and a["n_blocks"] else []
+        blocks = self._blocks(name) if gaps and a["n_blocks"] else []
+        order = sorted(early, reverse=True) if gaps else []
         while not a["closed"]:
             seq = a["next_seq"]
             if seq not in early:
-                if gaps and early:
-                    seq = min(early)
+                while order and order[-1] not in early:
+                    order.pop()
+                if order:
+                    seq = order.pop()
                 else:
                     block = seq // BLOCK if not gaps else blocks.pop(0) if blocks else -1
-                    if not a["n_blocks"] or not self.waiting.containsKey((block,)):
+                    if not a["n_blocks"] or not self.waiting.containsKey((name or "", block)):
                         return
-                    early.update(self._taken(block))
+                    early.update(self._taken(name, block))
+                    order = sorted(early, reverse=True) if gaps else []
                     a["n_blocks"] -= 1
                     continue
             tile, action, description = early.pop(seq)
             a["used"] += self.cost_kb if action == "downlink" else 0
             a[{"flag": "n_flag", "downlink": "n_down"}.get(action, "n_other")] += 1
-            if self.summarize and action in ("flag", "downlink") and a["n_noted"] < self.first:
-                self.noted.appendValue((description,))
-                a["n_noted"] += 1
+            if self.summarize and action in ("flag", "downlink") and len(a["noted"]) < self.first:
+                a["noted"] = [*a["noted"], description]
             a["closed"] = a["used"] >= a["budget"] or seq >= a["planned"] > 0
             a["next_seq"] = seq + 1
-            yield (key[0], seq, tile, action, a["used"], max(0, a["budget"] - a["used"]))
+            yield (name, seq, tile, action, a["used"], max(0, a["budget"] - a["used"]))
 
-    def _emitted(self, a: dict, key: tuple, early: dict[int, tuple], gaps: bool) -> Iterator[pd.DataFrame]:
-        rows = []
-        for row in self._settled(a, key, early, gaps):
+    def _told(self, a: dict, name: str | None, early: dict[int, tuple], gaps: bool) -> Iterator[tuple]:
+        """Rows that a pass has to tell now: of its account, or its summary."""
+        for row in self._settled(a, name, early, gaps):
             if not self.summarize:
-                rows.append(row)
-                if len(rows) == FRAME:
-                    yield pd.DataFrame(rows, columns=_names(LEDGER_ROWS))
-                    rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=_names(LEDGER_ROWS))
+                yield row
         counts = (a["n_flag"], a["n_down"], a["n_other"])
         through = a["closed"] or a["next_seq"] == a["end_seq"]
         if self.summarize and not a["told"] and (gaps and sum(counts) > 0 or (a["end_seq"] > 0 and through if self.by_event else a["closed"])):
             a["told"] = True
-            noted = [d for (d,) in self.noted.get()] if a["n_noted"] else []
-            row = (key[0], sum(counts), *counts, a["used"], max(0, a["budget"] - a["used"]), noted)
-            yield pd.DataFrame([row], columns=_names(SUMMARY_ROWS))
+            yield (name, sum(counts), *counts, a["used"], max(0, a["budget"] - a["used"]), a["noted"])
+
+    def _framed(self, rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        names = _names(SUMMARY_ROWS if self.summarize else LEDGER_ROWS)
+        while frame := list(islice(rows, FRAME)):
+            yield pd.DataFrame(frame, columns=names)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        a, early = self._load(), {}
+        passes, timer_ms = self._load()
+        came: dict[str | None, dict[int, tuple]] = {}
         for pdf in rows:
-            for seq, at, tile, action, description, budget, planned, ends in zip(
-                *(pdf[c].tolist() for c in ("seq", "at_ms", "tile_id", "action", "description", "budget_kb", "tile_count", "ends"))
+            for name, seq, at, tile, action, description, budget, planned, ends in zip(
+                *(pdf[c].tolist() for c in ("pass_id", "seq", "at_ms", "tile_id", "action", "description", "budget_kb", "tile_count", "ends"))
             ):
+                name = _text(name)
+                if name not in came:
+                    a = passes.setdefault(name, dict(FRESH))
+                    came[name] = {s: tuple(rest) for s, *rest in a["held"]}
+                a = passes[name]
                 a["last_ms"] = max(a["last_ms"], at)
                 if ends:
                     a["end_seq"] = int(seq)
                     continue
                 a["budget"], a["planned"] = int(budget), int(planned)
                 if not a["closed"] and seq >= a["next_seq"]:
-                    early[int(seq)] = (int(tile), action, description)
-        yield from self._emitted(a, key, early, False)
-        a["closed"] = a["closed"] or a["told"]
-        if not a["closed"]:
-            self._keep(a, early)
-        elif a["n_blocks"]:
-            self.waiting.clear()
-            a["n_blocks"] = 0
-        if a["told"] and a["n_noted"]:
-            self.noted.clear()
-            a["n_noted"] = 0
-        if not a["timer_ms"]:
-            a["timer_ms"] = max(a["last_ms"] + self.patience_ms, timerValues.getCurrentWatermarkInMs() + 1)
-            self.handle.registerTimer(a["timer_ms"])
-        self.account.update(tuple(a.values()))
+                    came[name][int(seq)] = (_text(tile), _text(action), _text(description))
+
+        def told() -> Iterator[tuple]:
+            for name, early in came.items():
+                a = passes[name]
+                yield from self._told(a, name, early, False)
+                a["closed"] = a["closed"] or a["told"]
+                if a["closed"]:
+                    self._drop_waiting(a, name)
+                else:
+                    self._keep(a, name, early)
+                if a["told"]:
+                    a["noted"] = []
+
+        yield from self._framed(told())
+        self._store(passes, timer_ms, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        a = self._load()
-        due = a["last_ms"] + self.patience_ms
-        if due > timerValues.getCurrentWatermarkInMs():
-            a["timer_ms"] = due
-            self.handle.registerTimer(due)
-            self.account.update(tuple(a.values()))
-            return
-        yield from self._emitted(a, key, {}, True)
-        for state in (self.account, self.waiting, self.noted):
-            state.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        passes, _ = self._load()
+        due = [name for name, a in passes.items() if a["last_ms"] + self.patience_ms <= now]
+
+        def told() -> Iterator[tuple]:
+            for name in due:
+                a = passes.pop(name)
+                yield from self._told(a, name, {s: tuple(rest) for s, *rest in a["held"]}, True)
+                self._drop_waiting(a, name)
+
+        yield from self._framed(told())
+        if passes:
+            self._store(passes, 0, now)
+        else:
+            self.accounts.clear()
 
 
 #: Tiles and passes share the state row of their bucket, so what a batch costs follows its rows and not its keys. The number

@@ -261,3 +261,18 @@ def test_tile_state_costs_a_state_row_for_each_bucket(spark, tmp_path):
         want.setdefault(tile(i), set()).add(float(i))
     assert len(seen) == len(want) and all(v in want[(p, t)] and s == 1 for p, t, v, s in seen)
     assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 3 * 4096
+
+
+def test_passes_share_state_rows(spark, tmp_path):
+    """Every pass waits for its first tile; null and large numbers of passes and tiles stay whole."""
+    t0, n, big = datetime.datetime(2024, 1, 1), 15_000, 2**53
+    name = lambda i: None if i == 7 else big + i
+    stream = _stream(spark, tmp_path / "in", PASS, [[(name(i), s, t0, big + s, "downlink", 512, 2) for i in range(n) for s in (k,)] for k in (2, 1)])
+    spark.conf.set(S.STORE, S.ROCKS)
+    seen = []
+    query = S.stream_ledger(stream).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).foreachBatch(
+        lambda rows, batch: seen.extend(tuple(r) for r in rows.collect())).start()
+    query.awaitTermination()
+    spark.conf.unset(S.STORE)
+    assert sorted(seen, key=str) == sorted([(name(i), s, big + s, "downlink", 80 * s, 512 - 80 * s) for i in range(n) for s in (1, 2)], key=str)
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 3 * 4096
