@@ -124,7 +124,7 @@ def _label_blocks(size: int):
 
 def components(
     mask: DataFrame, keys: Sequence[str] = YEARLY, min_pixels: int = 1,
-    block: int = BLOCK, within_block: bool = False,
+    block: int = BLOCK, within_block: bool = False, symmetries: str | None = None, size: Column | None = None,
 ) -> DataFrame:
     """4-connected components: ``keys…, comp, px, x1, y1, x2, y2`` (exclusive maxima).
 
@@ -132,9 +132,13 @@ def components(
     Pixels are gathered per fixed-size block, never per patch. Where a mask spans several blocks the
     block results are stitched over their seams, so a scene of any extent, or a whole archive under
     one key, is labelled by the same call. ``within_block`` declares that no patch reaches beyond one
-    block, which leaves the stitching out; a pixel that does so fails the job.
+    block, which leaves the stitching out; a pixel that does so fails the job. With ``within_block`` every patch can be
+    labelled once per symmetry of a square of ``size``, named by one more key ``variant``: as ``augment`` before, but
+    pixels are gathered once and moved inside their row. ``size`` is the same for all patches, or made of ``keys``.
     """
     keys = list(keys)
+    if symmetries and (not within_block or size is None):
+        raise ValueError("symmetries need within_block and size")
     x, y = F.col("x").cast("long"), F.col("y").cast("long")
     bx, by = F.floor(x / block), F.floor(y / block)
     if within_block:
@@ -145,6 +149,9 @@ def components(
         .groupBy(*keys, "_bx", "_by")
         .agg(F.collect_set(((F.col("y") - F.col("_by") * block) * block + F.col("x") - F.col("_bx") * block).cast("int")).alias("_cells"))
     )
+    if symmetries:
+        cells = _moved(cells, symmetries, size, block, keys)
+        keys.append("variant")
     several = not within_block
     labelled = cells.select(*keys, "_bx", "_by", _label_blocks(block)("_cells").alias("_l"))
     x0, y0 = F.col("_bx") * block, F.col("_by") * block
@@ -405,6 +412,24 @@ def augment(pixels: DataFrame, size: Column, group: str = "d4", only: Column | N
     )
 
 
+def _moved(cells: DataFrame, group: str, size: Column, block: int, keys: Sequence[str]) -> DataFrame:
+    """Gathered pixels of a block, a row for each symmetry: codes ``y * block + x`` are moved where they lie."""
+    m = size - 1
+    beyond = F.raise_error(F.lit("a pixel lies outside the square or the square outside the block")).cast("int")
+
+    def moved(name: str) -> Column:
+        def code(c: Column) -> Column:
+            x, y = c % block, F.floor(c / block)
+            terms = {"x": x, "y": y, "M - x": m - x, "M - y": m - y}
+            nx, ny = (terms[t] for t in D4[name])
+            return F.when((x <= m) & (y <= m) & (m < block), ny * block + nx).otherwise(beyond).cast("int")
+
+        return F.struct(F.lit(name).alias("variant"), F.transform("_cells", code).alias("_cells"))
+
+    every = F.explode(F.array(*[moved(n) for n in SYMMETRIES[group]])).alias("_v")
+    return cells.select(*keys, "_bx", "_by", every).select(*keys, "_bx", "_by", "_v.variant", "_v._cells")
+
+
 def band_bounds(
     pixels: DataFrame, keys: Sequence[str] = PATCH, lo: float = K.STRETCH_LOW, hi: float = K.STRETCH_HIGH
 ) -> DataFrame:

@@ -237,7 +237,7 @@ def augmented_masks(fx):
 SELECT v.variant, count(*) AS n, cast(sum(px) AS bigint) AS px FROM fx_mask_comps CROSS JOIN (SELECT unnest(['orig', 'hflip', 'vflip', 'hvflip', 'rot90', 'rot270', 'rot90_hflip', 'rot90_vflip']) AS variant) v GROUP BY 1""", "fx_mask_comps")
 def augmented_components(fx):
     """Boxes are taken anew from every transformed mask."""
-    comps = R.components(R.augment(fx.mask(), F.lit(32)), ["patch_id", "year", "variant"], within_block=True)
+    comps = R.components(fx.mask(), within_block=True, symmetries="d4", size=F.lit(32))
     return comps.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.sum("px").alias("px"))
 
 

@@ -214,3 +214,15 @@ def test_labelling_a_large_batch_takes_bounded_memory(spark):
     assert len(got) == 11_999 and got[0].as_py()["parts"] == [dict(zip(("root", "px", "x1", "y1", "x2", "y2"), v)) for v in ((0, 1, 0, 0, 1, 1), (2, 2, 2, 0, 3, 2))]
     assert got.slice(3, 9).equals(got.slice(0, 9)) and got[11_997] == got[0]
     assert len(label(cells.slice(0, 0))) == 0
+
+
+def test_symmetries_are_labelled_from_pixels_gathered_once(spark):
+    rows = pixels(SPIRAL, "a") + pixels(U_SHAPE, "b") + pixels(DIAGONAL, "c")
+    df = spark.createDataFrame(rows + rows[:9], "patch_id string, x int, y int")
+    for group in ("d4", "flips", "none"):
+        want = R.components(R.augment(df, F.lit(9), group), ["patch_id", "variant"], 2, within_block=True)
+        got = R.components(df, ["patch_id"], 2, within_block=True, symmetries=group, size=F.lit(9))
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    for size in (8, 129):  # a pixel beyond the square, a square beyond the block
+        with pytest.raises(Exception, match="outside"):
+            R.components(df, ["patch_id"], within_block=True, symmetries="d4", size=F.lit(size)).collect()
