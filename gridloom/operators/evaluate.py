@@ -50,13 +50,14 @@ def presence_metrics(patches: DataFrame, truth: Column, pred: Column, by: Sequen
     )
 
 
-def hygiene(pred: DataFrame, unparseable: Column, n_boxes: Column, truth: Column, by: Sequence[str] = ()) -> DataFrame:
-    """Unparseable outputs, and empty outputs on negatives and on positives."""
+def hygiene(pred: DataFrame, unparseable: Column, n_boxes: Column, truth: Column, by: Sequence[str] = (), parseable: Column | None = None) -> DataFrame:
+    """Unparseable outputs, and empty outputs on negatives and on positives; with ``parseable`` also how many are so."""
     return pred.groupBy(*by).agg(
         _n(unparseable).alias("n_unparseable"),
         _n((n_boxes == 0) & ~truth).alias("empty_on_negative"),
         _n((n_boxes == 0) & truth).alias("empty_on_positive"),
         F.count(F.lit(1)).alias("n"),
+        *([] if parseable is None else [_n(parseable).alias("n_parseable")]),
     )
 
 

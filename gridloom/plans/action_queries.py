@@ -186,9 +186,7 @@ def output_hygiene(fx):
     out = G.parse_boxes(fx.answers(), "answer", "strict")
     bad, truth = G.is_unparseable(F.col("answer"), F.col("n_boxes")), F.col("tile_id") % 3 == 0
     listed = G.is_parseable_list(F.col("answer"), F.col("n_boxes"))
-    scored = E.hygiene(out.withColumn("_all", F.lit(1)), bad, F.col("n_boxes"), truth, ["_all"])
-    counted = out.groupBy(F.lit(1).alias("_all")).agg(F.sum(F.when(listed, 1).otherwise(0)).alias("n_parseable"))
-    return scored.join(counted, "_all").drop("_all")
+    return E.hygiene(out.withColumn("_all", F.lit(1)), bad, F.col("n_boxes"), truth, ["_all"], listed).drop("_all")
 
 
 # --------------------------------------------------------------------------- text scores

@@ -9,6 +9,7 @@ from gridloom.functions import parsing as G, text as X
 from gridloom.functions.calls import call_parts
 from gridloom.functions.numbers import fixed, half_even
 from gridloom.operators import bleu as L, messages as T
+from gridloom.plans import all_queries
 from gridloom.sources import files as S
 
 
@@ -217,3 +218,10 @@ def test_calls_against_the_grammar():
         assert got is not None and got["name"] == "tool", text
         read += 1
     assert read > 300
+
+
+def test_output_hygiene_parses_answers_once(spark):
+    out = all_queries.QUERIES["output_hygiene"](spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    row = out.first()
+    assert row.n_parseable + row.n_unparseable == row.n > 0
