@@ -58,14 +58,22 @@ def _pair_counts(pred: list[str], gold: list[str]) -> list[int]:
 _SUMS = [*[f"correct_{n}" for n in range(1, MAX_ORDER + 1)], *[f"total_{n}" for n in range(1, MAX_ORDER + 1)], "pred_len", "gold_len"]
 
 
+def _blank(pred: str) -> Column:
+    return strip(F.coalesce(F.col(pred), F.lit(""))) == ""
+
+
+def empty_counts(pairs: DataFrame, pred: str, by: Sequence[str] = ()) -> DataFrame:
+    """``n_empty, n_pairs`` per group, as ``bleu_counts`` gives them, without counting words."""
+    return pairs.groupBy(*by).agg(F.sum(_blank(pred).cast("long")).alias("n_empty"), F.count(F.lit(1)).alias("n_pairs"))
+
+
 def bleu_counts(pairs: DataFrame, key: str, pred: str, gold: str, by: Sequence[str] = (), tokenize: str = "13a") -> DataFrame:
     """Sums that BLEU needs, per group: ``correct_n, total_n, pred_len, gold_len, n_empty, n_pairs``.
 
     A row is a pair, counted where it lies whatever its ``key``; only sums per group are shuffled.
     """
-    blank = strip(F.coalesce(F.col(pred), F.lit(""))) == ""
     rows = pairs.select(
-        F.struct(F.lit(0).alias("_"), *by).alias("by"), tokens(F.col(pred), tokenize).alias("p"), tokens(F.col(gold), tokenize).alias("g"), blank.cast("long").alias("n_empty")
+        F.struct(F.lit(0).alias("_"), *by).alias("by"), tokens(F.col(pred), tokenize).alias("p"), tokens(F.col(gold), tokenize).alias("g"), _blank(pred).cast("long").alias("n_empty")
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

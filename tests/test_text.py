@@ -225,3 +225,13 @@ def test_output_hygiene_parses_answers_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
     row = out.first()
     assert row.n_parseable + row.n_unparseable == row.n > 0
+
+
+def test_empty_counts_equal_those_of_bleu_and_need_no_python(spark):
+    rows = [("a", " \n", "x"), ("a", "y", "y"), ("a", None, "y"), ("b", "", ""), ("b", " z ", "z")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k long, lang string, pred string, gold string")
+    got = {tuple(r) for r in L.empty_counts(df, "pred", ["lang"]).collect()}
+    want = {tuple(r) for r in L.bleu_counts(df, "k", "pred", "gold", ["lang"]).select("lang", "n_empty", "n_pairs").collect()}
+    assert got == want == {("a", 2, 3), ("b", 1, 2)}
+    plan = all_queries.QUERIES["empty_outputs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
