@@ -45,9 +45,21 @@ def _in_cells(boxes: DataFrame, box: str, keys: Sequence[str], other: DataFrame,
     placed = placed.withColumn("_level", F.explode(levels)).withColumn(
         "_meets", F.explode(F.when(F.col("_level") == F.col("_l"), F.array(*map(F.lit, own))).otherwise(F.array(F.lit(finer))))
     )
+    return _touched(placed, b).drop("_l", "_levels")
+
+
+def _touched(boxes: DataFrame, b: Column) -> DataFrame:
+    """A row per cell of ``_level`` that the box touches."""
     columns = F.sequence(_cell(b["x1"], F.col("_level")), _cell(b["x2"], F.col("_level")))
     rows = F.sequence(_cell(b["y1"], F.col("_level")), _cell(b["y2"], F.col("_level")))
-    return placed.withColumn("_cx", F.explode(columns)).withColumn("_cy", F.explode(rows)).drop("_l", "_levels")
+    return boxes.withColumn("_cx", F.explode(columns)).withColumn("_cy", F.explode(rows))
+
+
+def _in_lower_cell(a: Column, b: Column) -> Column:
+    """Whether this cell holds the lower corner of the intersection."""
+    return (_cell(F.greatest(a["x1"], b["x1"]), F.col("_level")) == F.col("_cx")) & (
+        _cell(F.greatest(a["y1"], b["y1"]), F.col("_level")) == F.col("_cy")
+    )
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
@@ -63,18 +75,34 @@ def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str,
     levels = lambda df, box: df.groupBy(*keys).agg(F.collect_set(_level(box)).alias("_levels"))
     la = _in_cells(left, a, keys, levels(right, pb), True)
     rb = _in_cells(right, b, keys, levels(left, pa), False)
-    lower = (_cell(F.greatest(pa["x1"], pb["x1"]), F.col("_level")) == F.col("_cx")) & (
-        _cell(F.greatest(pa["y1"], pb["y1"]), F.col("_level")) == F.col("_cy")
-    )
     return (
         la.join(rb, [*keys, "_level", "_cx", "_cy", "_meets"])
-        .filter(lower)
+        .filter(_in_lower_cell(pa, pb))
         .withColumn("iou", B.box_iou(pa, pb))
         .filter(F.col("iou") > 0)
         .drop("_level", "_cx", "_cy", "_meets")
     )
 
 
+def overlapping_pairs(boxes: DataFrame, keys: Sequence[str], box: str, number: str) -> DataFrame:
+    """Pairs of overlapping boxes of one table, each once: ``keys…, ia, ib, iou`` with the lower ``number`` as ``ia``.
+
+    The cells are those of ``overlapping``. One side lies in its own cells alone, the other also in the coarser ones of its
+    tile, so a pair of one level meets twice and counts in one order, and a finer box meets a coarser one there once. Only
+    numbers and corners are shuffled.
+    """
+    b = F.col(box)
+    placed = boxes.filter(B.is_valid_box(b)).select(*keys, F.col(number).alias("_n"), b.alias("_b")).withColumn("_level", _level(F.col("_b")))
+    levels = placed.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))
+    coarser = F.array_distinct(F.concat(F.array("_l"), F.filter("_levels", lambda x: x < F.col("_l"))))
+    either = placed.withColumnRenamed("_level", "_l").join(levels, list(keys)).withColumn("_level", F.explode(coarser))
+    either = either.select(*keys, F.col("_n").alias("_m"), F.col("_b").alias("_c"), "_level", (F.col("_level") < F.col("_l")).alias("_finer"))
+    met = _touched(placed, F.col("_b")).join(_touched(either, F.col("_c")), [*keys, "_level", "_cx", "_cy"])
+    once = met.filter((F.col("_finer") | (F.col("_n") < F.col("_m"))) & _in_lower_cell(F.col("_b"), F.col("_c")))
+    ends = [F.least("_n", "_m").alias("ia"), F.greatest("_n", "_m").alias("ib")]
+    return once.select(*keys, *ends, B.box_iou(F.col("_b"), F.col("_c")).alias("iou")).filter(F.col("iou") > 0)
+
+
 def _by_component(edges: DataFrame, keys: Sequence[str], a: str, b: str) -> tuple[DataFrame, DataFrame | None]:
     """``edges`` with the group (``root``) whose decisions hang together, settled: a tile, or a component of the graph where a
     tile has more than ``TILE_EDGES``; and the edges of components beyond ``BLOCK_EDGES`` (None where there are none).
@@ -194,10 +222,6 @@ def _crowded(boxes: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | N
     return None if found.isEmpty() else cut_lineage(found)
 
 
-def _box_of(row: Column) -> Column:
-    return B.box(*[row[c] for c in B.CORNERS])
-
-
 def nms_table(
     boxes: DataFrame, order: str, keys: Sequence[str] = TILE, iou: float = K.NMS_IOU, max_array: int = MAX_ARRAY
 ) -> DataFrame:
@@ -232,16 +256,16 @@ def _nms_components(boxes: DataFrame, order: str, keys: list[str], iou: float) -
     rank = F.struct((-B.box_area(F.struct(*B.CORNERS))).alias("neg"), F.col(order).alias("ord"), *[F.col(c) for c in B.CORNERS])
     # Copies of a box overlap it fully: only the first can survive, so copies are folded before pairing.
     single = boxes.groupBy(*keys, *B.CORNERS).agg(F.min_by(F.struct(*rest), F.col(order)).alias("row")).select(*keys, "row.*")
-    nodes = cut_lineage(single.withColumn("_rank", rank).withColumn("_no", F.monotonically_increasing_id()))
-    a = nodes.select(*keys, F.col("_rank").alias("ra"), F.col("_no").alias("ia"), _box_of(F.col("_rank")).alias("a"))
-    b = nodes.select(*keys, F.col("_rank").alias("rb"), F.col("_no").alias("ib"), _box_of(F.col("_rank")).alias("b"))
-    pairs = overlapping(a, b, keys, "a", "b").filter((F.col("iou") >= iou) & (F.col("ra") < F.col("rb")))
-    edges = cut_lineage(pairs.select(*keys, "ra", "ia", "ib"))
+    # Numbers follow the ranks within a tile, so pairs need no ranks.
+    ranked = single.withColumn("_rank", rank).orderBy(*keys, "_rank").drop("_rank")
+    nodes = cut_lineage(ranked.withColumn("_no", F.monotonically_increasing_id()))
+    pairs = overlapping_pairs(nodes.select(*keys, "_no", B.box(*[F.col(c) for c in B.CORNERS]).alias("b")), keys, "b", "_no")
+    edges = cut_lineage(pairs.filter(F.col("iou") >= iou).select(*keys, "ia", "ib"))
     few, large = _by_component(edges, keys, "ia", "ib")
-    lost = _swept(few, ["ra", "ib"], "ia", "ib", False).select("ib")
+    lost = _swept(few, ["ia", "ib"], "ia", "ib", False).select("ib")
     if large is not None:
         lost = lost.unionByName(_lost_by_rounds(large.select("ia", "ib")))
-    return nodes.join(lost.select(F.col("ib").alias("_no")).distinct(), "_no", "left_anti").drop("_no", "_rank")
+    return nodes.join(lost.select(F.col("ib").alias("_no")).distinct(), "_no", "left_anti").drop("_no")
 
 
 def _lost_by_rounds(edges: DataFrame) -> DataFrame:

@@ -66,6 +66,16 @@ def test_nms_paths_agree_with_brute_force_and_are_idempotent(spark):
     assert again.count() == len(want)
 
 
+def test_each_overlapping_pair_of_a_table_is_found_once_from_numbers_and_corners(spark):
+    boxes = {t: list(dict.fromkeys(crowd(t, 40))) + [(0.0, 0.0, 1.0, 1.0), (0.3, 0.3, 0.3001, 0.3001)] for t in (1, 2)}
+    rows = [(t, i, *b) for t, bs in boxes.items() for i, b in enumerate(bs)]
+    df = spark.createDataFrame(rows, "tile_id long, no long, x1 double, y1 double, x2 double, y2 double")
+    pairs = M.overlapping_pairs(df.withColumn("b", F.struct(*B.CORNERS)), ["tile_id"], "b", "no")
+    meet = lambda a, b: min(a[2], b[2]) > max(a[0], b[0]) and min(a[3], b[3]) > max(a[1], b[1])
+    want = [(t, i, j) for t, bs in boxes.items() for j, b in enumerate(bs) for i in range(j) if meet(bs[i], b)]
+    assert sorted((r.tile_id, r.ia, r.ib) for r in pairs.collect()) == sorted(want)
+
+
 def test_change_matching_paths_agree_with_brute_force(spark):
     past, now = {t: crowd(10 + t, 18, 30) for t in range(4)}, {t: crowd(20 + t, 22, 30) for t in range(1, 5)}
     past[1] = past[1] + past[1][:4]
