@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,31 @@ def tokens(text: Column, tokenize: str = "13a") -> Column:
     return F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
 
 
+# What the rules leave besides blanks at a punctuation mark; the first rule also pads blanks, which says nothing once words are split.
+_MARKS = re.compile(r"[!-&(-+:-@/\[-`{-~]")
+_POINTS = [(re.compile(pattern), put.replace("$", "\\")) for pattern, put in RULES[1:]]
+# ``str.split`` also takes these for white space, ``tokens`` doesn't.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def _words(tokenize: str) -> Callable[[str], list[str]]:
+    """``tokens`` of one text, for a worker that goes on with the words: a text is shipped instead of a list."""
+    if tokenize not in ("13a", "none"):
+        raise ValueError(f"unknown tokenisation {tokenize!r}")
+
+    def words(text: str) -> list[str]:
+        if tokenize == "13a":
+            for old, new in [("<skipped>", ""), ("-\n", ""), ("\n", " "), *ENTITIES]:
+                text = text.replace(old, new)
+            text = _MARKS.sub(r" \g<0> ", f" {text} ")
+            for pattern, put in _POINTS:
+                text = pattern.sub(put, text)
+        return [w for w in _SPACE.split(text) if w] if _SEPARATORS.search(text) else text.split()
+
+    return words
+
+
 def _pair_counts(pred: list[str], gold: list[str]) -> list[int]:
     """Clipped matches and totals of orders 1..4, and both lengths. N-grams are numbered, so counts are exact."""
     ids: dict[str, int] = {}
@@ -72,15 +98,16 @@ def bleu_counts(pairs: DataFrame, key: str, pred: str, gold: str, by: Sequence[s
 
     A row is a pair, counted where it lies whatever its ``key``; only sums per group are shuffled.
     """
+    words, text = _words(tokenize), lambda c: F.make_valid_utf8(F.coalesce(F.col(c), F.lit("")))
     rows = pairs.select(
-        F.struct(F.lit(0).alias("_"), *by).alias("by"), tokens(F.col(pred), tokenize).alias("p"), tokens(F.col(gold), tokenize).alias("g"), _blank(pred).cast("long").alias("n_empty")
+        F.struct(F.lit(0).alias("_"), *by).alias("by"), text(pred).alias("p"), text(gold).alias("g"), _blank(pred).cast("long").alias("n_empty")
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                sums = [_pair_counts(p, g) for p, g in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                sums = [_pair_counts(words(p), words(g)) for p, g in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(3), *[pa.array([x[i] for x in sums], pa.int64()) for i in range(len(_SUMS))]], names=["by", "n_empty", *_SUMS]
                 )

@@ -235,3 +235,16 @@ def test_empty_counts_equal_those_of_bleu_and_need_no_python(spark):
     assert got == want == {("a", 2, 3), ("b", 1, 2)}
     plan = all_queries.QUERIES["empty_outputs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_words_of_a_worker_are_the_tokens_of_the_columns(spark):
+    r = random.Random(4)
+    parts = ["a", "Ü", "7", "12", ".", ",", "-", "..", ", .", " ", "  ", "\n", "-\n", "\t", "\x1c", "\x85", "\xa0", " ", "​", "&amp;", "&quot;", "<skipped>", "'", "(", "~", "é!", "\U0001f600", "$1", "\\", "_", "/"]
+    texts = ["", " ", *["".join(r.choices(parts, k=r.randrange(1, 25))) for _ in range(1500)]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for how in ("13a", "none"):
+        words = L._words(how)
+        for row in df.select("t", L.tokens(F.col("t"), how).alias("want")).collect():
+            assert words(row.t) == row.want, row.t
+    counts = L.bleu_counts(df.withColumn("p", F.lower("t")), "t", "p", "t")
+    assert "regexp_replace" not in counts._jdf.queryExecution().toString()
