@@ -79,20 +79,22 @@ def confidence_eval(n: Column) -> Column:
 
 def nms(boxes: Column, iou: float = K.NMS_IOU) -> Column:
     """Greedy non-maximum suppression of one row's box array: larger area first, list order on ties."""
-    ranked = F.array_sort(
-        F.transform(
-            boxes, lambda b, i: F.struct((-box_area(b)).alias("neg_area"), i.alias("ord"), b.alias("b"))
+
+    def settled(boxes: Column) -> Column:
+        ranked = F.sort_array(
+            F.transform(
+                boxes, lambda b, i: F.struct((-box_area(b)).alias("neg_area"), i.alias("ord"), b.alias("b"))
+            )
         )
-    )
-    candidates = F.transform(ranked, lambda r: r["b"])
-    nothing = F.filter(boxes, lambda b: F.lit(False))
-    return F.aggregate(
-        candidates,
-        nothing,
-        lambda kept, b: F.when(
-            F.exists(kept, lambda k: box_iou(b, k) >= F.lit(float(iou))), kept
-        ).otherwise(F.array_append(kept, b)),
-    )
+        return F.aggregate(
+            F.transform(ranked, lambda r: r["b"]),
+            F.filter(boxes, lambda b: F.lit(False)),
+            lambda kept, b: F.when(
+                F.exists(kept, lambda k: box_iou(b, k) >= F.lit(float(iou))), kept
+            ).otherwise(F.array_append(kept, b)),
+        )
+
+    return F.get(F.transform(F.array(boxes), settled), F.lit(0))  # a variable: what makes the boxes runs once
 
 
 def match_change(past: Column, present: Column, min_iou: float = K.CHANGE_IOU) -> Column:

@@ -242,7 +242,8 @@ def nms_table(
         F.filter("_r", lambda b: F.lit(False)),
         lambda acc, b: F.when(F.exists(acc, lambda k: B.box_iou(b, k) >= F.lit(float(iou))), acc).otherwise(F.array_append(acc, b)),
     )
-    out = rows.select(*keys, F.explode(kept).alias("b")).select(*keys, "b.*").select(*boxes.columns)
+    # explode would run the suppression a second time, in a filter of empty arrays; there are none.
+    out = rows.select(*keys, F.explode_outer(kept).alias("b")).select(*keys, "b.*").select(*boxes.columns)
     if crowded is None:
         return out
     return out.unionByName(_nms_components(valid.join(crowded, keys, "left_semi"), order, keys, iou).select(*boxes.columns))
@@ -299,7 +300,8 @@ def match_change_table(
 
     lists = few.groupBy(*keys).agg(side(0).alias("_past"), side(1).alias("_present"))
     matched = B.match_change(F.transform("_past", lambda r: r["b"]), F.transform("_present", lambda r: r["b"]), min_iou)
-    out = lists.select(*keys, F.explode(F.arrays_zip(F.col("_present"), matched.alias("_m"))).alias("z")).select(
+    zipped = F.explode_outer(F.arrays_zip(F.col("_present"), matched.alias("_m"))).alias("z")  # as in nms_table
+    out = lists.select(*keys, zipped).filter(F.col("z").isNotNull()).select(
         *keys, F.col("z._present.ord").alias(order), *[F.col(f"z._present.b.{c}").alias(c) for c in B.CORNERS],
         F.col("z._m.status").alias("status"),
     )

@@ -479,9 +479,9 @@ SELECT tile_id, row_number() OVER (PARTITION BY tile_id ORDER BY (x2 - x1) * (y2
 def explode_detections(fx):
     """Nested detections to one row per surviving box."""
     kept = fx.detections().select("tile_id", B.nms(B.valid_boxes(F.col("raw"), True, K.MIN_BOX_AREA)).alias("boxes"))
-    return kept.select("tile_id", F.posexplode("boxes").alias("pos", "b")).select(
-        "tile_id", "pos", F.round("b.x1", 6).alias("x1"), F.round("b.y2", 6).alias("y2")
-    )
+    # Not posexplode, for which Spark first runs the suppression once more to leave out rows without boxes.
+    rows = kept.select("tile_id", F.posexplode_outer("boxes").alias("pos", "b")).filter(F.col("pos").isNotNull())
+    return rows.select("tile_id", "pos", F.round("b.x1", 6).alias("x1"), F.round("b.y2", 6).alias("y2"))
 
 
 def _load_detector():
@@ -504,7 +504,8 @@ def detected_by_function(fx):
     tiles = fx.table("orders").select(F.col("o_orderkey").alias("tile_id"), "o_orderkey", "o_custkey")
     found = detect(tiles, _load_detector, "six-boxes", keep=["tile_id"])
     kept = found.select("tile_id", B.nms(B.valid_boxes(F.col("raw"), True, K.MIN_BOX_AREA)).alias("boxes"))
-    return kept.select("tile_id", F.posexplode("boxes").alias("pos", "b")).select("tile_id", "pos", F.round("b.x1", 6).alias("x1"), F.round("b.y2", 6).alias("y2"))
+    rows = kept.select("tile_id", F.posexplode_outer("boxes").alias("pos", "b")).filter(F.col("pos").isNotNull())
+    return rows.select("tile_id", "pos", F.round("b.x1", 6).alias("x1"), F.round("b.y2", 6).alias("y2"))
 
 
 @query("predictions_written", """

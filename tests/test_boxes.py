@@ -1,4 +1,5 @@
 import random
+import tempfile
 from collections import defaultdict
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import boxes as B
 from gridloom.operators import evaluate as E, matching as M
 from gridloom.operators.detect import detect
+from gridloom.plans import all_queries
 
 
 def iou(a, b):
@@ -76,6 +78,17 @@ def test_each_overlapping_pair_of_a_table_is_found_once_from_numbers_and_corners
     assert sorted((r.tile_id, r.ia, r.ib) for r in pairs.collect()) == sorted(want)
 
 
+def test_suppression_runs_once_a_row(spark):
+    """No filter of empty arrays repeats it; rows without boxes are left out all the same."""
+    df = table(spark, {1: crowd(1, 9), 2: crowd(2, 4)})
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(aggregate(" not in plan(M.nms_table(df, "no"))
+    assert "size(arrays_zip(" not in plan(M.match_change_table(df, df, "no"))
+    spark.range(3).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(folder := tempfile.mkdtemp() + "/orders.parquet")
+    found = all_queries.QUERIES["explode_detections"](spark, folder.removesuffix("/orders.parquet"))
+    assert "size(" not in plan(found) and found.count() > 0
+
+
 def test_change_matching_paths_agree_with_brute_force(spark):
     past, now = {t: crowd(10 + t, 18, 30) for t in range(4)}, {t: crowd(20 + t, 22, 30) for t in range(1, 5)}
     past[1] = past[1] + past[1][:4]
