@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,10 +69,32 @@ def clear_scratch(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def settle(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: computed once, compressed, safe from lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path, compression=compression)
+def release(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ``scratch_path``, or one below it, that no frame in use reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _scratch.discard(path)
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files behind, for jobs whose results are written as tables."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def settle(df: DataFrame, label: str, compression: str = "snappy", below: str | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: computed once, compressed, safe from lost executors.
+
+    ``below``: a folder of ``scratch_path`` that holds the table under its label, so that ``release`` can remove it."""
+    path = f"{below}/{label}" if below else scratch_path(df.sparkSession, label)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
