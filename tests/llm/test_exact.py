@@ -192,6 +192,20 @@ def test_capitals_with_marks_keep_their_ids():
         assert list(array("I", encoder.encode_pieces([text.encode()])[0])) == want
 
 
+def test_new_pieces_are_encoded_together():
+    """A call and a result of the library for each new piece would cost more than its merges."""
+    tokenizer, encoder = Tokenizer.from_file(TOKENIZER), token_files.Encoder(TOKENIZER, most=500)
+    odd = ["\u0130", "\u0130.", "a\u0130,", "\u0958,", "\u00e9t\u00e9!!", "don't.", "x\u0301.", "A<|endoftext|>B", "<|endoftext|", "|>", "\x0b", "1,2", "\u4e2d\u6587\u3002", "'s", "a\u0308***"]
+    words = [f"{'abcdefghij'[i % 10]}{'\u00e9u'[i % 2]}{a}{b}{c}{end}" for i, (a, b, c) in enumerate((a, b, c) for a in "tnrs" for b in "aeiou" for c in "lmdkv") for end in ("", ".", "###", "9", "x1,")]
+    texts = ["", "  ", *[" ".join(words[i::7] + odd[i:]) + "\t" * (i % 3) + "\n" for i in range(7)] * 2, " ".join(odd), odd[0]]
+    asked, library = [], encoder.encode
+    encoder.encode = lambda some: asked.append(len(some)) or library(some)
+    got = [encoder.encode_pieces([t.encode() for t in part]) for part in (texts[:5], texts[5:], [], ["", " "])]
+    want = [array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in [*texts, "", " "]]
+    assert [x for part in got for x in part] == want
+    assert sum(asked) < 100 < len(words)
+
+
 def test_token_files(spark):
     docs = documents(spark).withColumns({"part": F.lit("clash"), "tokens": F.lit(1), "at": F.lit(2)})
     path = scratch_path(spark, "test-tokens")
