@@ -34,8 +34,9 @@ def symbols(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(t) for t in texts], np.int64)
     mark = "\x01" * (ORDER - 1)
     points = np.frombuffer(("".join(mark + t.replace("\x01", "\x02") for t in texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.where(points < PLAIN, points, PLAIN + points % np.uint32(SYMBOLS - PLAIN)).astype(np.int64)
-    s[(s >= 9) & (s <= 13)] = 32
+    s, high = points.astype(np.int64), np.flatnonzero(points >= PLAIN)
+    s[high] = PLAIN + s[high] % (SYMBOLS - PLAIN)
+    s[(points >= 9) & (points <= 13)] = 32
     return s, sizes
 
 
@@ -54,7 +55,8 @@ def grams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 def keys(texts: Sequence[str], models: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``grams`` with the number of the text's model (or fold) in the bits above."""
     g, sizes = grams(texts)
-    return g | np.repeat(models.astype(np.int64) << ORDER * BITS, sizes), sizes
+    g |= np.repeat(models.astype(np.int64) << ORDER * BITS, sizes)
+    return g, sizes
 
 
 def _apart(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,23 +273,25 @@ def _score(texts: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         for i in range(batch.num_rows):
             known, asks = (np.asarray(batch.column(k)[i].values) for k in (1, 2))
             starts = np.append(0, np.cumsum(np.bitwise_count(asks), dtype=np.int64))
-            bits = np.zeros(starts[-1])
+            bits = np.zeros(starts[-1], np.float32)
             for told in batch.column(3)[i].values or ():  # none where its texts are all empty
                 at, values = np.cumsum(np.asarray(told["at"].values), dtype=np.int64), np.asarray(told["bits"].values)
                 n = np.diff(starts)[at]
                 bits[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(len(values))] = values
-            with zstandard.ZstdDecompressor().stream_reader(batch.column(0)[i].as_py()) as packed, pa.ipc.open_stream(packed) as rows:
-                for part in rows:
+            with zstandard.ZstdDecompressor().stream_reader(batch.column(0)[i].as_buffer()) as packed, pa.ipc.open_stream(packed) as rows:
+                for part in (x for some in rows for x in pieces(some, 125)):
                     key, sizes = keys([t or "" for t in part.column(1).to_pylist()], np.asarray(part.column(2)))
                     distinct, of = _distinct(key)
                     bare, model = _apart(distinct)
                     to = np.searchsorted(known, bare)
                     below = np.bitwise_count(asks[to] & ((1 << model.astype(np.int32)) - 1))
-                    ends = np.append(0.0, np.cumsum(bits[starts[to] + below][of]))
+                    ends = np.append(0.0, np.cumsum(bits[starts[to] + below][of], dtype=np.float64))
                     at = np.append(0, np.cumsum(sizes))
                     yield pa.RecordBatch.from_arrays(
                         [*part.columns[: 1 + texts], pa.array(sizes), pa.array((ends[at[1:]] - ends[at[:-1]]).round(6))], names=["row", *["text"] * texts, "n_chars", "bits"]
                     )
+            del known, asks, starts, bits
+        del batch  # a shard is large: gone before the next is read
 
 
 def score(docs: DataFrame, model: KneserNey, row: Column, text: Column, number: Column | None = None, texts: bool = False, last: bool = False) -> DataFrame:

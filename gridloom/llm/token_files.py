@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tokenizers import Tokenizer
 
 from gridloom.llm.common import TO_LOWER, utf8
+from gridloom.session import small_batches
 
 #: White space at which a text may be cut without changing its ids, for tokenizers that drop white space.
 SPACES = bytes.maketrans(b"\t\n\r", b"   ")
@@ -210,6 +211,7 @@ def write_tokens(
     ordered = rows.repartitionByRange(files, "row.id", "tie").sortWithinPartitions("row.id", "tie").select("row", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what other operators' tasks left in this worker
         encoder, at, part_id = Encoder.of(tokenizer), 0, TaskContext.get().partitionId()
         for batch in batches:
             for part in _runs(batch):
@@ -236,7 +238,8 @@ def write_tokens(
         "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": row_group_bytes, "parquet.page.row.count.limit": page_rows,
         "parquet.enable.dictionary": "true", "compression": "zstd",
     }
-    out.write.options(**options).parquet(path)
+    with small_batches(spark):
+        out.write.options(**options).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,23 +77,32 @@ def release(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Queries run inside leave no shuffle files behind, for jobs whose results are written as tables."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def shuffles_freed(spark: SparkSession) -> AbstractContextManager[None]:
+    """Queries run inside leave no shuffle files behind, for jobs whose results are written as tables."""
+    return _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """Queries run inside hand rows to Python in Arrow batches of 4 MB or less (one row at least), not of 10,000 rows whatever
+    their size: a batch is held by the executor and by its worker, whole on both sides."""
+    return _set(spark, "spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def settle(df: DataFrame, label: str, compression: str = "snappy", below: str | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: computed once, compressed, safe from lost executors.
 
     ``below``: a folder of ``scratch_path`` that holds the table under its label, so that ``release`` can remove it."""
     path = f"{below}/{label}" if below else scratch_path(df.sparkSession, label)
-    with shuffles_freed(df.sparkSession):
+    with shuffles_freed(df.sparkSession), small_batches(df.sparkSession):
         df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -10,13 +10,14 @@ from array import array
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm import decontaminate, line_dedup, minhash, mixing, queries, syncmers, token_files, warc
-from gridloom.session import scratch_path
+from gridloom.session import scratch_path, settle
 from tests.compare import compare, duck
 from tests.llm.fixtures import ascii_lower, documents, empty, texts, words
 
@@ -206,6 +207,16 @@ def test_new_pieces_are_encoded_together():
     assert sum(asked) < 100 < len(words)
 
 
+def test_settled_rows_reach_python_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["size", "n"])
+
+    rows = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    got = settle(rows.mapInArrow(sizes, "size bigint, n bigint"), "test-sizes").collect()
+    assert sum(r.n for r in got) == 9000 and max(r.size for r in got) < 6 << 20
+
+
 def test_token_files(spark):
     docs = documents(spark).withColumns({"part": F.lit("clash"), "tokens": F.lit(1), "at": F.lit(2)})
     path = scratch_path(spark, "test-tokens")
