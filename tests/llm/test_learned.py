@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import os
+import pickle
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,53 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.rate(empty(spark), labels).count() == 0
 
 
+def test_blocks_that_cannot_reach_are_left_out():
+    """Four vocabularies with a few terms in common: the ten nearest are exact though blocks of other vocabularies are left out."""
+    rng = random.Random(11)
+    row = lambda g: {rng.randrange(60 * g, 60 * g + 60): rng.randint(1, 3) for _ in range(20)} | {240 + rng.randrange(10): 1}
+    rows = [(row(i % 4), int(rng.random() < 0.3), i) for i in range(800)]
+    index = toxicity.Index([f"t{i}" for i in range(250)], np.array([rng.uniform(1, 4) for _ in range(250)]), rows)
+    index.skipped = 0
+    queries_ = [{**row(g), 240 + rng.randrange(10): 1} for g in range(4) for _ in range(10)]
+    vectors = [index.vector(q) for q in queries_]
+    got = index.search([(np.array(list(v)), np.array(list(v.values()))) for v in vectors], 10)
+    examples = [index.vector(dict(e)) for e in index.examples]
+    for v, near in zip(vectors, got):
+        every = sorted(((round(sum(w * e.get(t, 0.0) for t, w in v.items()), 12), i) for i, e in enumerate(examples)), key=lambda x: (-x[0], x[1]))
+        assert [s for s, _ in near] == pytest.approx([s for s, _ in every[:10]], abs=1e-9)
+        assert all(abs(dict((i, s) for s, i in every)[i] - s) < 1e-9 for s, i in near)
+    assert index.skipped > 0
+
+
+def test_index_travels_small_and_whole():
+    index = index_of(5, 900)
+    packed = pickle.dumps(index)
+    again = pickle.loads(packed)
+    assert again.examples == index.examples and again.names == index.names and len(packed) < len(pickle.dumps((index.ids, index.counts))) + 80 * index.n
+    assert [again.nearest(index.vector(dict(e))) for e in index.examples[:20]] == [index.nearest(index.vector(dict(e))) for e in index.examples[:20]]
+
+
+def test_terms_of_odd_texts():
+    """Terms by number, as told by splitting each text at all that is no letter."""
+    odd = ["", None, "Don't STOP, stop-stop_stop 4ever² ½", "ΣΑΣ ΣΑΣΣ. ὈΔΥΣΣΕΥΣ!", "Étés İstanbul straße naïveté éte", "张三李四 \U00010400\U00010401 a\x1cb\x85c　d" + "x" * 5000, "wordwordword " * 9 + "wordy words"]
+    texts_ = odd + [" ".join(random.Random(i).choices(["tion", "tionary", "nation", "stationer", "stationery"], k=30)) for i in range(5)]
+
+    def told(text):
+        counts = Counter(t for w in toxicity.WORD.findall((text or "").lower()) for t in toxicity.word_terms(w))
+        return counts | {f"{t}*{k}": n for t, n in counts.items() for k in toxicity.OFTEN if n >= k}
+
+    every = [told(t) for t in texts_]
+    names = sorted({t for x in every[2:] for t in x} - {"stat-"} - {t for t in every[-1] if t.startswith("stat-*")})
+    number = {t: i for i, t in enumerate(names)}
+    for part in (texts_, texts_[::-1], [None], [""]):
+        offsets, ids, counts = toxicity.Vocabulary(pa.chunked_array([pa.array(names)])).of_texts().counted(part)
+        got = [dict(zip(ids[a:z].tolist(), counts[a:z].tolist())) for a, z in zip(offsets[:-1], offsets[1:])]
+        assert got == [{number[t]: n for t, n in told(x).items() if t in number} for x in part]
+        assert all(list(x) == sorted(x) for x in got)
+        data, at = toxicity._varints(offsets, ids, counts)
+        assert all((x == y).all() and len(x) == len(y) for x, y in zip(toxicity._from_varints(data, at), (offsets, ids, counts)))
+
+
 # Languages
 
 
