@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gridloom.llm.common import pieces
+from gridloom.llm.common import mixed, pieces
 from gridloom.session import settle
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD, BLANK = re.compile(r"[^\W\d_]+"), re.compile(r"\s")
+#: Hashes of words: the odd base of their letters' places, and what makes a beginning another term than the word it equals.
+BASE, STEM = 0x9FB21C651E98DF25, np.uint64(0xD6E8FEB86659FD93)
+#: Texts are hashed together up to so many letters; longer ones in parts.
+LETTERS = 100_000
 #: Word beginnings that are terms too, so that inflected forms meet.
 STEMS = (4, 5, 6)
 #: Labelled rows to learn from, at most (those with the smallest hash of the id).
@@ -44,71 +48,159 @@ def word_terms(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in STEMS if len(word) > n)]
 
 
-class Terms(dict):
-    """The terms of texts by number. Texts are split at blanks, and what a piece holds is looked up once, for the pieces met last.
+class _Signs:
+    """By code point: whether it is a letter of ``WORD``, and a random number; by place: powers of a base and of its inverse."""
 
-    ``number`` tells a term's number, or None where it has none. ``often``: for each of ``OFTEN``, the number of the term that
-    is met so often, by the term's own number (-1: none). Without it those terms aren't told."""
+    made: _Signs | None = None
 
-    def __init__(self, number: Callable[[str], int | None], often: np.ndarray | None = None, most: int = 300_000):
-        super().__init__()
-        self.number, self.often, self.most = number, often, most
-        self.terms, self.ends = array("i"), array("q", [0])
+    def __init__(self):
+        every = "".join(map(chr, range(0x110000)))
+        self.letter = np.zeros(len(every), bool)
+        for m in WORD.finditer(every):
+            self.letter[m.start() : m.end()] = True
+        self.value = mixed(np.arange(1, len(every) + 1, dtype=np.uint64))
+        self.up = self.down = np.ones(1, np.uint64)
 
-    def __missing__(self, piece: str) -> int:
-        for word in WORD.findall(piece):
-            self.terms.extend([k for t in word_terms(word) if (k := self.number(t)) is not None])
-        self.ends.append(len(self.terms))
-        value = self[piece] = len(self.ends) - 2
-        return value
+    @classmethod
+    def get(cls, places: int) -> _Signs:
+        """The worker's tables, with powers for so many places."""
+        cls.made = cls.made or cls()
+        if len(cls.made.up) < places:
+            powers = lambda b: np.cumprod(np.append(np.uint64(1), np.full(places + places // 2, b, np.uint64)), dtype=np.uint64)
+            cls.made.up, cls.made.down = powers(BASE), powers(pow(BASE, -1, 1 << 64))
+        return cls.made
+
+
+def hashed_words(text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The words of a text, then their beginnings by ``STEMS``: length of the beginning (0: whole words), which words, where they
+    begin and end in the text, and 64-bit hashes of the terms."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    signs = _Signs.get(len(code) + 1)
+    letter = np.zeros(len(code) + 2, np.int8)
+    letter[1:-1] = signs.letter[code]
+    turns = np.diff(letter)
+    begin, end = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+    upto = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(signs.value[code] * signs.up[: len(code)], out=upto[1:])
+    first, back, which = upto[begin], signs.down[begin], np.arange(len(begin))
+    yield 0, which, begin, end, mixed((upto[end] - first) * back)
+    for n in STEMS:
+        which = which[end[which] - begin[which] > n]
+        a = begin[which]
+        yield n, which, a, a + n, mixed(mixed((upto[a + n] - first[which]) * back[which]) ^ STEM)
+
+
+def hashed_terms(texts: Sequence[str | None]) -> Iterator[tuple[str, np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """All terms of some texts: the text they are in, which of ``texts`` that is, and as ``hashed_words`` where and what they are."""
+    held, numbers, size = [], [], 0
+    for number, text in [*enumerate(texts), (-1, None)]:
+        for part in _parted(text.lower()) if text else ("",):
+            held.append(part)
+            numbers.append(number)
+            size += len(part) + 1
+            if size >= LETTERS or number < 0:
+                starts = np.cumsum([0, *[len(x) + 1 for x in held[:-1]]])
+                joined, of = "\n".join(held), np.array(numbers)
+                for n, which, begin, end, hashes in hashed_words(joined):
+                    if not n:
+                        row = of[np.searchsorted(starts, begin, side="right") - 1]
+                    yield joined, row[which], n, begin, end, hashes
+                held, numbers, size = [], [], 0
+
+
+def _parted(text: str) -> Iterator[str]:
+    """A long text in parts that end before a blank."""
+    at, least = 0, LETTERS
+    while len(text) - at > least:
+        blank = BLANK.search(text, at + least)
+        if not blank:
+            break
+        yield text[at : blank.start()]
+        at = blank.start()
+    yield text[at:]
+
+
+def _counted(parts: list[np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and terms as one number each (the row times 2 ** 32): where each row's terms begin (and the last ones end), the
+    terms in ascending order, how often each is there."""
+    key = np.concatenate([np.empty(0, np.int64), *parts])
+    key.sort()
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    key, counts = key[first], np.diff(first, append=len(key))
+    return np.searchsorted(key, np.arange(rows + 1) << 32), (key & 0xFFFFFFFF).astype(np.int32), counts.astype(np.int32)
+
+
+def _hashed_names(names: pa.Array) -> np.ndarray:
+    """Hashes of terms, or of those that terms like ``term*2`` are made of."""
+    out = [np.empty(0, np.uint64)]
+    for a in range(0, len(names), CHUNK):
+        part = names.slice(a, CHUNK)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), "\n")[0].as_py()
+        *_, hashes = next(hashed_words(text))  # dashes, stars and digits are no letters
+        out.append(np.where(pc.match_substring(part, "-"), mixed(hashes ^ STEM), hashes))
+    return np.concatenate(out)
+
+
+class Terms:
+    """Known terms by number, found by their hashes."""
+
+    def __init__(self, names: pa.Array):
+        often = [np.flatnonzero(pc.ends_with(names, f"*{k}")) for k in OFTEN]
+        base = np.delete(np.arange(len(names), dtype=np.int32), np.concatenate(often))
+        keys = _hashed_names(names.take(pa.array(base)))
+        self.mask = np.int64((1 << max(4, (2 * len(keys)).bit_length())) - 1)
+        self.keys, self.values = np.zeros(self.mask + 1, np.uint64), np.full(self.mask + 1, -1, np.int32)
+        to = keys.astype(np.int64) & self.mask
+        while len(keys):
+            free = np.flatnonzero(self.values[to] < 0)
+            self.keys[to[free]], self.values[to[free]] = keys[free], base[free]
+            left = self.keys[to] != keys
+            keys, base, to = keys[left], base[left], to[left] + 1 & self.mask
+        self.often = np.full((len(OFTEN), len(names)), -1, np.int64)
+        for numbers, some in zip(self.often, often):
+            numbers[self.numbers(_hashed_names(names.take(pa.array(some))))] = some
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The terms' numbers, -1 for those that aren't known."""
+        at = hashes.astype(np.int64) & self.mask
+        out = self.values[at]
+        left = np.flatnonzero((self.keys[at] != hashes) & (out >= 0))
+        while len(left):  # the place is another's: the next one
+            at[left] = at[left] + 1 & self.mask
+            out[left] = self.values[at[left]]
+            left = left[(self.keys[at[left]] != hashes[left]) & (out[left] >= 0)]
+        return out
 
     def counted(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each text's terms begin (and the last ones end), their numbers in ascending order, how often each is met."""
-        if len(self) >= self.most:
-            self.clear()
-            self.terms, self.ends = array("i"), array("q", [0])
-        flat, held = [], []
-        for text in texts:
-            words = text.lower().split() if text else []
-            flat += words
-            held.append(len(words))
-        at = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
-        items, _, n = _spans(np.array(self.ends), at)
-        key = np.repeat(np.repeat(np.arange(len(held)) << 32, held), n)
-        key += np.array(self.terms, np.int32)[items]
-        key.sort()
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        key, counts = key[first], np.diff(first, append=len(key))
-        if self.often is not None:
-            keys, met = [key], [counts]
-            for least, numbers in zip(OFTEN, self.often):
-                some = np.flatnonzero(counts >= least)
-                to = numbers[key[some] & 0xFFFFFFFF] if len(some) else some
-                some = some[to >= 0]
-                keys.append(key[some] >> 32 << 32 | to[to >= 0])
-                met.append(counts[some])
-            key, counts = np.concatenate(keys), np.concatenate(met)
-            order = np.argsort(key)
-            key, counts = key[order], counts[order]
-        return np.searchsorted(key, np.arange(len(held) + 1) << 32), (key & 0xFFFFFFFF).astype(np.int32), counts.astype(np.int32)
+        parts = []
+        for _, row, _, _, _, hashes in hashed_terms(texts):
+            numbers = self.numbers(hashes)
+            known = np.flatnonzero(numbers >= 0)
+            parts.append(row[known] << 32 | numbers[known])
+        offsets, ids, counts = _counted(parts, len(texts))
+        row, keys, met = np.repeat(np.arange(len(texts)) << 32, np.diff(offsets)), [], []
+        for least, numbers in zip((1, *OFTEN), (np.arange(self.often.shape[1]), *self.often)):
+            some = np.flatnonzero(counts >= least)
+            to = numbers[ids[some]]
+            some, to = some[to >= 0], to[to >= 0]
+            keys.append(row[some] | to)
+            met.append(counts[some])
+        key, counts = np.concatenate(keys), np.concatenate(met)
+        order = np.argsort(key, kind="stable")  # few ascending runs
+        key = key[order]
+        return np.searchsorted(key, np.arange(len(texts) + 1) << 32), (key & 0xFFFFFFFF).astype(np.int32), counts[order]
 
 
 class Vocabulary:
-    """Known terms by number; made ready for texts where it is first used, once in a worker."""
+    """Known terms; made ready for texts where they are first used, once in a worker."""
 
     def __init__(self, terms: pa.ChunkedArray):
         self.terms, self.ready = terms, None
 
     def of_texts(self) -> Terms:
         if self.ready is None:
-            names = self.terms.to_pylist()
-            numbers = {t: i for i, t in enumerate(names)}
-            often = np.full((len(OFTEN), len(names)), -1, np.int64)
-            for i, t in enumerate(names):
-                if "*" in t:
-                    base, _, k = t.partition("*")
-                    often[OFTEN.index(int(k)), numbers[base]] = i
-            self.ready = Terms(numbers.get, often)
+            self.ready = Terms(pa.concat_arrays(self.terms.chunks).cast(pa.string()) if self.terms.num_chunks else pa.array([], pa.string()))
         return self.ready
 
 
@@ -282,15 +374,14 @@ class Index:
         del rare
         held = np.bincount(ids, minlength=size)
         upto, self.starts = np.append(0, np.cumsum(held)), np.append(0, np.cumsum(-(-held // LINE)))
-        self.lines = np.zeros((self.starts[-1], 2 * LINE), np.int32)  # examples, then their weights; where a line isn't full, nothing is added to the first
-        flat, lo = self.lines.ravel(), 0
+        self.line_of, self.line_w = (np.zeros((self.starts[-1], LINE), t) for t in (np.int64, np.float32))  # where a line isn't full, the first example gets 0
+        lo = 0
         while lo < size:
             hi = min(size, lo + 65_536, max(lo + 1, int(np.searchsorted(upto, upto[lo] + 1_000_000, side="right")) - 1))
             some = np.flatnonzero((ids >= lo) & (ids < hi))
             some = some[np.argsort((ids[some] - lo).astype(np.uint16), kind="stable")]  # 16 bits are sorted by counting
             to = np.arange(len(some)) + np.repeat(self.starts[lo:hi] * LINE - (upto[lo:hi] - upto[lo]), held[lo:hi])
-            to += to // LINE * LINE
-            flat[to], flat.view(np.float32)[to + LINE] = of[some], w[some]
+            self.line_of.ravel()[to], self.line_w.ravel()[to] = of[some], w[some]
             lo = hi
         self.most = [math.sqrt(float(np.einsum("ij,ij->j", x, x).max())) if x.size else 0.0 for x in self.dense]
         self.seen = np.zeros(size, bool)
@@ -341,11 +432,10 @@ class Index:
         sums[:] = 0
         for s, (ids, w) in zip(sums, part):
             at, _, held = _spans(self.starts, ids)
-            lines = np.take(self.lines, at, 0, out=self._room("lines", (len(at), 2 * LINE), np.int32), mode="clip")
-            of = self._room("of", (len(at), LINE), np.int64)
-            of[:] = lines[:, :LINE]
-            add = np.multiply(lines.view(np.float32)[:, LINE:], np.repeat(w.astype(np.float32), held)[:, None], out=self._room("add", (len(at), LINE), np.float32))
-            np.add.at(s, of.ravel(), add.ravel())
+            of = np.take(self.line_of, at, 0, out=self._room("of", (len(at), LINE), np.int64), mode="clip")
+            add = np.take(self.line_w, at, 0, out=self._room("add", (len(at), LINE), np.float32), mode="clip").ravel()
+            add *= np.repeat(w.astype(np.float32), held * LINE)
+            np.add.at(s, of.ravel(), add)
         ids, w = (np.concatenate([x[i] for x in part]) for i in (0, 1))
         of, w, few = np.repeat(np.arange(len(part)), [len(x[0]) for x in part]), w.astype(np.float32), []
         for b, (dense, column, a, z) in enumerate(zip(self.dense, self.column, self.cuts[:-1], self.cuts[1:])):
@@ -382,12 +472,12 @@ class Index:
         if not len(near):
             return []
         near = self.order[near]
-        self.seen[ids], self.full[ids] = True, w
-        at, starts, _ = _spans(self.offsets, near)
-        shared = np.flatnonzero(self.seen[self.ids[at]])
-        at = at[shared]
-        terms = self.ids[at]
-        exact = np.add.reduceat(self._raw(terms, self.counts[at]) * self.full[terms], np.searchsorted(shared, starts))
+        self.seen[ids], self.full[ids] = True, w * self.weights[ids]
+        at = [slice(a, z) for a, z in zip(self.offsets[near].tolist(), self.offsets[near + 1].tolist())]
+        terms, counts = (np.concatenate([x[y] for y in at]) for x in (self.ids, self.counts))
+        shared = np.flatnonzero(self.seen[terms])
+        starts = np.searchsorted(shared, np.cumsum([0, *[x.stop - x.start for x in at[:-1]]]))
+        exact = np.add.reduceat((1 + np.log(counts[shared])) * self.full[terms[shared]], starts)
         exact = (exact / self.lengths[near]).round(12)
         self.seen[ids] = False
         best = np.lexsort((near, -exact))[:k]
@@ -453,22 +543,27 @@ def levels(sums: np.ndarray) -> np.ndarray:
 
 def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's terms with the rows that hold them, by label; ``term*2`` and so on where a row holds them that often."""
-    numbers: dict[str, int] = {}
-    terms = Terms(lambda t: numbers.setdefault(t, len(numbers)))
-    sums = np.zeros((1 + len(OFTEN), 2, 0), np.int64)
+    names, known, sums = [], {}, np.zeros((1 + len(OFTEN), 2, 0), np.int64)
     for batch in batches:
         for part in pieces(batch, ROWS):
-            offsets, ids, counts = terms.counted(part.column(0).to_pylist())
-            if len(numbers) > sums.shape[2]:
-                sums = np.pad(sums, ((0, 0), (0, 0), (0, 2 * len(numbers) - sums.shape[2])))
+            keys = []
+            for text, row, n, begin, end, hashes in hashed_terms(part.column(0).to_pylist()):
+                hashes, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+                before = len(known)
+                numbers = np.fromiter((known.setdefault(h, len(known)) for h in hashes.tolist()), np.int64, len(hashes))
+                first = first[numbers >= before]
+                names += [text[a:z] + "-" * (n > 0) for a, z in zip(begin[first].tolist(), end[first].tolist())]
+                keys.append(row << 32 | numbers[which])
+            offsets, ids, counts = _counted(keys, part.num_rows)
+            if len(names) > sums.shape[2]:
+                sums = np.pad(sums, ((0, 0), (0, 0), (0, 2 * len(names) - sums.shape[2])))
             toxic = np.repeat(np.array([bool(x) for x in part.column(1).to_pylist()], bool), np.diff(offsets))
             for held, least in zip(sums, (1, *OFTEN)):
                 held[0] += np.bincount(ids[toxic & (counts >= least)], minlength=sums.shape[2])
                 held[1] += np.bincount(ids[counts >= least], minlength=sums.shape[2])
-    names = pa.array(list(numbers), pa.string())
     for (toxic, rows), least in zip(sums, (1, *OFTEN)):
         some = np.flatnonzero(rows)
-        told = names.take(pa.array(some)) if least == 1 else pa.array([f"{t}*{least}" for t in names.take(pa.array(some)).to_pylist()], pa.string())
+        told = pa.array([names[i] + f"*{least}" * (least > 1) for i in some.tolist()], pa.string())
         yield pa.RecordBatch.from_arrays([told, pa.array(toxic[some]), pa.array(rows[some])], names=["term", "toxic", "n"])
 
 
@@ -574,7 +669,10 @@ def rate(
     for i, s, near in zip(found["number"].to_pylist(), found["similarity"].to_pylist(), found["near"].to_pylist()):
         around[i] = list(zip(s, near))
     rising = levels(made.judged(range(made.n), around))
-    known_near = spark.sparkContext.broadcast([x[:NEIGHBOURS] for x in around])
+    close = np.zeros((len(around), NEIGHBOURS), [("s", float), ("i", np.int32)])  # 0: no neighbour
+    for row, near in zip(close, around):
+        row[: len(near)] = near[:NEIGHBOURS]
+    close = spark.sparkContext.broadcast(close)
     del found, around, made
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -589,7 +687,7 @@ def rate(
                 if len(met) > 50_000:
                     met.clear()
                 new = {key: (ids[a:z], counts[a:z]) for key, (a, z) in zip(keys, spans) if key not in met}
-                near_to = {key: known_near.value[held.numbers[key]] for key in new if key in held.numbers}
+                near_to = {key: [(s, i) for s, i in close.value[held.numbers[key]].tolist() if s] for key in new if key in held.numbers}
                 other = [key for key in new if key not in near_to]
                 near_to.update(zip(other, held.search([(new[key][0], held._unit(*new[key])) for key in other])))
                 for key, near in near_to.items():
