@@ -303,7 +303,8 @@ class Index:
         self.base = (toxic + 0.5) / (seen + 2)
         at = [slice(offsets[g[3]], offsets[g[3] + 1]) for g in chosen]
         self.offsets = np.append(0, np.cumsum([x.stop - x.start for x in at])).astype(np.int64)
-        self.ids, self.counts = (np.concatenate([x[:0], *[x[y] for y in at]]).astype(np.int32, copy=False) for x in (ids, counts))
+        self.ids = np.concatenate([ids[:0], *[ids[y] for y in at]]).astype(np.int32, copy=False)
+        self.counts = np.concatenate([counts[:0], *[counts[y] for y in at]]).astype(np.min_scalar_type(int(counts.max(initial=0))))
         self.block, self.dense, self.skipped = self._blocks(), None, 0
 
     def __getstate__(self) -> dict:
@@ -313,13 +314,17 @@ class Index:
             at = self.offsets[a : a + ROWS + 1]
             data, at = _varints(at - at[0], self.ids[at[0] : at[-1]], self.counts[at[0] : at[-1]])
             rows.append((pa.compress(data, "zstd", asbytes=True), at))
-        names = ("weights", "plain", "numbers", "n", "names", "toxic", "total", "base", "block", "levels")
-        return {k: getattr(self, k) for k in names} | {"rows": rows}
+        names = ("weights", "plain", "numbers", "n", "names", "toxic", "total", "base", "block", "levels", "offsets")
+        return {k: getattr(self, k) for k in names} | {"rows": rows, "kind": self.counts.dtype}
 
     def __setstate__(self, state: dict) -> None:
-        rows = state.pop("rows")
+        rows, kind = state.pop("rows"), state.pop("kind")
         self.__dict__.update(state)
-        self.offsets, self.ids, self.counts = _joined(_from_varints(np.frombuffer(pa.decompress(data, int(at[-1]), "zstd"), np.uint8), at) for data, at in rows)
+        self.ids, self.counts, upto = np.empty(self.offsets[-1], np.int32), np.empty(self.offsets[-1], kind), 0
+        for data, at in rows:
+            _, ids, counts = _from_varints(np.frombuffer(pa.decompress(data, int(at[-1]), "zstd"), np.uint8), at)
+            self.ids[upto : upto + len(ids)], self.counts[upto : upto + len(ids)] = ids, counts
+            upto += len(ids)
         self.dense, self.skipped = None, 0
 
     def _blocks(self) -> np.ndarray:
@@ -351,30 +356,33 @@ class Index:
         size = len(self.weights)
         self.order = np.argsort(self.block, kind="stable")
         self.cuts = np.append(0, np.cumsum(np.bincount(self.block, minlength=1)))
-        self.column, self.dense, self.lengths, rare = [], [], np.empty(self.n), []
-        for a, z in zip(self.cuts[:-1], self.cuts[1:]):
-            parts = [(x, self.order[x : min(x + ROWS, z)]) for x in range(a, z, ROWS)]
-            held = sum((np.bincount(self.ids[_spans(self.offsets, part)[0]], minlength=size) for _, part in parts), np.zeros(size, np.int64))
-            common = np.flatnonzero(held > max(COMMON * (z - a), FEW))
-            column, dense = np.full(size, -1, np.int32), np.zeros((len(common), z - a), np.float32)
+        self.column, self.dense, self.lengths, rare = [], [], np.empty(self.n), 0
+        parts = [[(x, self.order[x : min(x + ROWS, z)]) for x in range(a, z, ROWS)] for a, z in zip(self.cuts[:-1], self.cuts[1:])]
+        for block in parts:
+            held = sum((np.bincount(self.ids[_spans(self.offsets, part)[0]], minlength=size) for _, part in block), np.zeros(size, np.int64))
+            n = sum(len(part) for _, part in block)
+            common = np.flatnonzero(held > max(COMMON * n, FEW))
+            column = np.full(size, -1, np.int32)
             column[common] = np.arange(len(common))
-            for x, part in parts:
+            self.column.append(column)
+            self.dense.append(np.zeros((len(common), n), np.float32))
+            rare += int(held.sum() - held[common].sum())
+        (ids, of, w), upto = (np.empty(rare, t) for t in (np.int32, np.int32, np.float32)), 0
+        for block, column, dense, a in zip(parts, self.column, self.dense, self.cuts):
+            for x, part in block:
                 at, starts, held = _spans(self.offsets, part)
-                ids = self.ids[at]
-                w = self._raw(ids, self.counts[at])
-                self.lengths[part] = length = np.sqrt(np.add.reduceat(w * w, starts))
-                w = (w / np.repeat(length, held)).astype(np.float32)
-                of, c = np.repeat(np.arange(x, x + len(part), dtype=np.int32), held), column[ids]
+                terms = self.ids[at]
+                weight = self._raw(terms, self.counts[at])
+                self.lengths[part] = length = np.sqrt(np.add.reduceat(weight * weight, starts))
+                weight = (weight / np.repeat(length, held)).astype(np.float32)
+                row, c = np.repeat(np.arange(x, x + len(part), dtype=np.int32), held), column[terms]
                 own, other = np.flatnonzero(c >= 0), np.flatnonzero(c < 0)
-                dense[c[own], of[own] - a] = w[own]
-                rare.append((ids[other], of[other], w[other]))
-            self.column.append(column)
-            self.dense.append(dense)
-        ids, of, w = (np.concatenate([np.empty(0, t), *[x[k] for x in rare]]) for k, t in enumerate((np.int32, np.int32, np.float32)))
-        del rare
+                dense[c[own], row[own] - a] = weight[own]
+                to = slice(upto, upto + len(other))
+                ids[to], of[to], w[to], upto = terms[other], row[other], weight[other], to.stop
         held = np.bincount(ids, minlength=size)
         upto, self.starts = np.append(0, np.cumsum(held)), np.append(0, np.cumsum(-(-held // LINE)))
-        self.line_of, self.line_w = (np.zeros((self.starts[-1], LINE), t) for t in (np.int64, np.float32))  # where a line isn't full, the first example gets 0
+        self.line_of, self.line_w = (np.zeros((self.starts[-1], LINE), t) for t in (np.int32, np.float32))  # where a line isn't full, the first example gets 0
         lo = 0
         while lo < size:
             hi = min(size, lo + 65_536, max(lo + 1, int(np.searchsorted(upto, upto[lo] + 1_000_000, side="right")) - 1))
@@ -396,7 +404,7 @@ class Index:
         return held[:n].reshape(shape)
 
     def _raw(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return (1 + np.log(counts)) * self.weights[ids]
+        return (1 + np.log(counts, dtype=float)) * self.weights[ids]
 
     def _unit(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = self._raw(ids, counts)
@@ -432,7 +440,8 @@ class Index:
         sums[:] = 0
         for s, (ids, w) in zip(sums, part):
             at, _, held = _spans(self.starts, ids)
-            of = np.take(self.line_of, at, 0, out=self._room("of", (len(at), LINE), np.int64), mode="clip")
+            of = self._room("of", (len(at), LINE), np.int64)
+            of[:] = np.take(self.line_of, at, 0, out=self._room("lines", (len(at), LINE), np.int32), mode="clip")
             add = np.take(self.line_w, at, 0, out=self._room("add", (len(at), LINE), np.float32), mode="clip").ravel()
             add *= np.repeat(w.astype(np.float32), held * LINE)
             np.add.at(s, of.ravel(), add)
@@ -477,7 +486,7 @@ class Index:
         terms, counts = (np.concatenate([x[y] for y in at]) for x in (self.ids, self.counts))
         shared = np.flatnonzero(self.seen[terms])
         starts = np.searchsorted(shared, np.cumsum([0, *[x.stop - x.start for x in at[:-1]]]))
-        exact = np.add.reduceat((1 + np.log(counts[shared])) * self.full[terms[shared]], starts)
+        exact = np.add.reduceat((1 + np.log(counts[shared], dtype=float)) * self.full[terms[shared]], starts)
         exact = (exact / self.lengths[near]).round(12)
         self.seen[ids] = False
         best = np.lexsort((near, -exact))[:k]
