@@ -616,8 +616,8 @@ def rate(
     documents become sparse vectors over it, once; document frequencies are counted over all of them. A term weighs its
     inverse document frequency times how much it tells of the label (``vocabulary``), at least once: none is left out, and a
     copy of an example has the cosine 1 with it. Cosines to all examples are exact (``Index.search``); equal vectors are
-    searched once in a task. Scores are calibrated on every example, judged by the others (the terms' weights are those of
-    all examples).
+    searched once in a task, those that equal an example for the calibration alone. Scores are calibrated on every example,
+    judged by the others (the terms' weights are those of all examples).
 
     Null or empty text, or none of the terms: the share of toxic examples among those without terms. Without any labels
     the score is 0.25. Null ids and labels aren't learned from; an id labelled twice counts as toxic if either says so.
